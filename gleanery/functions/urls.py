@@ -244,6 +244,22 @@ def with_normalized(df: DataFrame, column: str = "url", into: str = "norm_url")
     return df.withColumn(into, normalize(column))
 
 
+def with_resolved(df: DataFrame, url: str, base: str, into: str, error_into: str | None = None) -> DataFrame:
+    """``resolve`` in two projections: the joined URL is computed once and then read many times."""
+    joined = f"_{into}_joined"
+    out = df.withColumn(
+        joined, F.when(is_absolute(url), F.col(url)).otherwise(make_absolute(url, base))
+    ).withColumn(into, normalize(joined))
+    if error_into:
+        out = out.withColumn(
+            error_into,
+            F.when(F.coalesce(strip(url), F.lit("")) == "", "empty")
+            .when(F.col(joined).isNull(), "bad_base")
+            .otherwise(url_error(joined)),
+        )
+    return out.drop(joined)
+
+
 def duplicates(df: DataFrame, column: str = "url") -> DataFrame:
     """Canonical URLs that occur more than once; counts combine map-side."""
     return (

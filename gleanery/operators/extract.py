@@ -15,11 +15,13 @@ serves a stream.
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gleanery.functions import urls, xpath as xp
 from gleanery.functions.html import repair
-from gleanery.session import broadcast_if_small
+from gleanery.session import BROADCAST_MAX_BYTES, BROADCAST_MAX_ROWS
 from gleanery.sources import pages as page_source
 from gleanery.sources.specs import (
     DEFAULT_FRAME_EXIT,
@@ -38,6 +40,7 @@ MSG_EMPTY = "URL cannot be empty"
 MSG_BLANK = "URL is empty after stripping whitespace"
 MSG_NO_SCHEME = "URL must have scheme (http/https): %s"
 MSG_BAD_SCHEME = "URL scheme must be http or https, got: %s"
+MSG_INVALID_HOST = "Invalid IPv6 URL"
 MSG_BAD_BASE = "Cannot make absolute URL: relative URL '%s' but invalid base_url '%s'"
 # our own, for what only a capture can report
 MSG_NOT_CAPTURED = "Page not captured: %s"
@@ -57,20 +60,32 @@ def _truthy(text: Column) -> Column:
     return F.coalesce(text != "", F.lit(False))
 
 
-def _url_message(url: Column, base: Column) -> Column:
-    """Message of the rejection that ``urls.resolve`` turns into null."""
-    joined = urls.make_absolute(url, base)
-    final = F.when(urls.is_absolute(url), url).otherwise(joined)
-    reason = urls.url_error(final)
-    cleaned = urls.cleaned(final)
+def _with_target(df: DataFrame, url: str, base: str, direct: Column) -> DataFrame:
+    """Adds ``target`` and ``target_error``: the canonical URL, or the message of its rejection.
+
+    A ``direct`` URL (the base page itself) is canonicalised without the joining rules.
+    """
+    u, b = F.col(url), F.col(base)
+    joined = F.col("_joined")
+    cleaned = urls.cleaned(joined)
+    message = (
+        F.when(u.isNull(), F.lit(None).cast("string"))
+        .when(joined.isNull() & (urls.strip(u) == ""), MSG_EMPTY)
+        .when(joined.isNull(), F.format_string(MSG_BAD_BASE, urls.strip(u), b))
+        .when(F.col("_reason") == "blank", MSG_BLANK)
+        .when(F.col("_reason") == "no_scheme", F.format_string(MSG_NO_SCHEME, cleaned))
+        .when(
+            F.col("_reason") == "bad_scheme",
+            F.format_string(MSG_BAD_SCHEME, F.lower(F.substring_index(cleaned, ":", 1))),
+        )
+        .when(F.col("_reason") == "invalid_host", MSG_INVALID_HOST)
+    )
     return (
-        F.when(~urls.is_absolute(url) & (urls.strip(url) == ""), MSG_EMPTY)
-        .when(final.isNull(), F.format_string(MSG_BAD_BASE, urls.strip(url), base))
-        .when(reason == "blank", MSG_BLANK)
-        .when(reason == "no_scheme", F.format_string(MSG_NO_SCHEME, cleaned))
-        .when(reason == "bad_scheme", F.format_string(MSG_BAD_SCHEME, F.lower(F.substring_index(cleaned, ":", 1))))
-        .when(reason == "invalid_host", F.lit("Invalid IPv6 URL"))
-        .when(reason == "empty", MSG_EMPTY)
+        df.withColumn("_joined", F.when(direct | urls.is_absolute(u), u).otherwise(urls.make_absolute(u, b)))
+        .withColumn("target", urls.normalize("_joined"))
+        .withColumn("_reason", urls.url_error("_joined"))
+        .withColumn("target_error", message)
+        .drop("_joined", "_reason")
     )
 
 
@@ -177,26 +192,22 @@ def step_targets(specs: DataFrame) -> DataFrame:
     the base. ``target`` is null on a blank page or when ``target_error`` says why.
     ``chain`` lists the frames to enter, including those an earlier step left open.
     """
-    rows = _step_rows(specs)
-    base, goto = F.col("base_url"), F.col("goto")
-    own = _planned(
-        rows.withColumn(
-            "target",
-            F.when(goto.isNotNull(), urls.resolve(goto, base)).when(base != "", urls.normalize(base)),
-        ).withColumn(
-            "target_error", F.when(goto.isNotNull() & F.col("target").isNull(), _url_message(goto, base))
-        )
+    # a step without any URL so far stays on the base page, or on a blank one
+    rows = (
+        _step_rows(specs)
+        .withColumn("on_base", F.col("goto").isNull())
+        .withColumn("goto", F.coalesce("goto", F.when(F.col("base_url") != "", F.col("base_url"))))
     )
-    base_rows = specs.where(_truthy(F.col("base_url"))).select(
+    own = _planned(_with_target(rows, "goto", "base_url", F.col("on_base")))
+    with_base = _with_target(specs.where(_truthy(F.col("base_url"))), "base_url", "base_url", F.lit(True))
+    base_rows = with_base.select(
         "spec_id",
         F.col("name").alias("site"),
         F.lit(0).alias("step_ord"),
         F.lit(None).cast("string").alias("step"),
         F.lit(True).alias("is_base"),
-        urls.normalize("base_url").alias("target"),
-        F.when(urls.normalize("base_url").isNull(), _url_message(F.col("base_url"), F.col("base_url"))).alias(
-            "target_error"
-        ),
+        "target",
+        "target_error",
     )
     return own.unionByName(base_rows, allowMissingColumns=True)
 
@@ -269,18 +280,50 @@ def _probes_of(steps: Column) -> Column:
     return F.array_sort(F.array_distinct(F.flatten(F.transform(steps, of_step))))
 
 
-def with_templates(visits: DataFrame) -> tuple[DataFrame, dict[int, list[xp.Probe]]]:
-    """Tag each visit with the list of selectors it needs; return the distinct lists.
+class Compiled(NamedTuple):
+    """Visits with the distinct selector lists they need, and what decides the plan's shape."""
+
+    visits: DataFrame
+    templates: dict[int, list[xp.Probe]]
+    framed: bool
+    small: bool
+
+    def for_join(self, side: DataFrame) -> DataFrame:
+        return F.broadcast(side) if self.small else side
+
+
+def compile_visits(visits: DataFrame) -> Compiled:
+    """Tag each visit with the list of selectors it needs.
 
-    Sites share few distinct lists. Their number is checked, since each becomes part of the plan.
+    Sites share few distinct lists. Their number is checked, since each becomes part of the
+    plan. The same pass measures the visits, so a broadcast is hinted only within bounds.
     """
-    tagged = visits.withColumn("probes", _probes_of(F.col("steps"))).withColumn(
-        "template", F.xxhash64(F.to_json("probes"))
+    tagged = (
+        visits.withColumn("probes", _probes_of(F.col("steps")))
+        .withColumn("template", F.xxhash64(F.to_json("probes")))
+        .persist()
+    )
+    lists = (
+        tagged.groupBy("template")
+        .agg(
+            F.any_value("probes").alias("probes"),
+            F.max(F.size("chain")).alias("depth"),
+            F.count(F.lit(1)).alias("n"),
+            F.sum(F.length(F.to_json(F.struct("steps", "probes")))).alias("size"),
+        )
+        .limit(MAX_TEMPLATES + 1)
+        .collect()
     )
-    lists = tagged.select("template", "probes").distinct().limit(MAX_TEMPLATES + 1).collect()
     if len(lists) > MAX_TEMPLATES:
         raise ValueError(f"more than {MAX_TEMPLATES} distinct selector lists: run the specs in several parts")
-    return tagged, {row["template"]: [xp.Probe(p["xpath"], p["attribute"]) for p in row["probes"]] for row in lists}
+    templates = {row["template"]: [xp.Probe(p["xpath"], p["attribute"]) for p in row["probes"]] for row in lists}
+    return Compiled(
+        tagged,
+        templates,
+        framed=any(row["depth"] for row in lists),
+        small=sum(row["n"] for row in lists) <= BROADCAST_MAX_ROWS
+        and sum(row["size"] for row in lists) <= BROADCAST_MAX_BYTES,
+    )
 
 
 def _values(df: DataFrame, templates: dict[int, list[xp.Probe]], document: str, page_url: str) -> DataFrame:
@@ -499,9 +542,9 @@ def _descend(rows: DataFrame, pages: DataFrame) -> DataFrame:
     ).drop("frame_failed")
 
 
-def _with_frames(rows: DataFrame, visits: DataFrame, pages: DataFrame) -> DataFrame:
+def _with_frames(rows: DataFrame, framed: bool, pages: DataFrame) -> DataFrame:
     """Enter frames only for the visits that have any."""
-    if visits.where(F.size("chain") > 0).limit(1).count() == 0:
+    if not framed:
         return rows.drop("chain")
     marked = rows.withColumn("frame_failed", F.lit(None).cast("string"))
     flat = rows.where(F.size("chain") == 0).drop("chain")
@@ -520,15 +563,14 @@ def outcomes_by_target(
     unsupported: str = "fail",
 ) -> DataFrame:
     """``(spec_id, site, outcomes)``: every step of every site, answered on the capture it targets."""
-    visits, templates = with_templates(visits_by_target(specs))
-    visits = visits.withColumn("visit_id", F.xxhash64("spec_id", "norm_url", F.to_json("chain")))
+    compiled = compile_visits(visits_by_target(specs))
+    visits = compiled.visits
     wanted = visits.where(F.col("norm_url").isNotNull()).select("norm_url").distinct()
     captured = page_source.latest(pages, wanted).select("norm_url", "html")
     # inner join keeps page bodies on their side; visits without a capture come back by anti join
-    hits = captured.join(broadcast_if_small(visits.where(F.col("norm_url").isNotNull())), "norm_url")
+    hits = captured.join(compiled.for_join(visits.where(F.col("norm_url").isNotNull())), "norm_url")
     rows = hits.select(
         *_RUN_KEYS,
-        "visit_id",
         F.col("norm_url").alias("visit_url"),
         F.col("norm_url").alias("doc_url"),
         "html",
@@ -539,7 +581,7 @@ def outcomes_by_target(
         "chain",
     )
     answered = _evaluate(
-        _with_frames(rows, visits, pages), templates, _RUN_KEYS + ["visit_id"], visibility, unsupported
+        _with_frames(rows, compiled.framed, pages), compiled.templates, _RUN_KEYS, visibility, unsupported
     )
     absent = visits.join(
         page_source.latest_ids(pages, wanted).select("norm_url"), "norm_url", "left_anti"
@@ -558,8 +600,7 @@ def outcomes_by_target(
         ).alias("outcomes"),
     )
     return (
-        answered.drop("visit_id")
-        .unionByName(empty)
+        answered.unionByName(empty)
         .groupBy(*_RUN_KEYS)
         .agg(F.array_sort(F.flatten(F.collect_list("outcomes")), _by_step).alias("outcomes"))
     )
@@ -582,7 +623,8 @@ def outcomes_by_page(
     ``page_site``. Without frames the plan has no shuffle after the scan, and ``pages`` may
     be a stream.
     """
-    visits, templates = with_templates(visits_by_page(specs))
+    compiled = compile_visits(visits_by_page(specs))
+    visits = compiled.visits
     if page_site is None:
         hosts = specs.select("spec_id", urls.host("base_url").alias("join_key"))
         visits = visits.join(hosts, "spec_id")
@@ -592,11 +634,12 @@ def outcomes_by_page(
         key = page_site
     rows = (
         pages.select("page_id", "url", "html", key.alias("join_key"))
-        .join(broadcast_if_small(visits), "join_key")
+        .join(compiled.for_join(visits), "join_key")
+        .withColumn("visit_url", F.coalesce(urls.normalize("url"), F.col("url")))
         .select(
             *_PAGE_KEYS,
-            F.coalesce(urls.normalize("url"), F.col("url")).alias("visit_url"),
-            F.coalesce(urls.normalize("url"), F.col("url")).alias("doc_url"),
+            "visit_url",
+            F.col("visit_url").alias("doc_url"),
             "html",
             F.lit(None).cast("string").alias("nav_error"),
             "steps",
@@ -605,10 +648,9 @@ def outcomes_by_page(
             "chain",
         )
     )
-    framed = visits.where(F.size("chain") > 0).limit(1).count() > 0
-    source = _with_frames(rows, visits, pages) if framed else rows.drop("chain")
-    answered = _evaluate(source, templates, _PAGE_KEYS, visibility, unsupported)
-    if not framed:
+    source = _with_frames(rows, compiled.framed, pages)
+    answered = _evaluate(source, compiled.templates, _PAGE_KEYS, visibility, unsupported)
+    if not compiled.framed:
         return answered
     return answered.groupBy(*_PAGE_KEYS).agg(
         F.array_sort(F.flatten(F.collect_list("outcomes")), _by_step).alias("outcomes")

@@ -35,6 +35,18 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Even out the rows of a scan that has fewer splits than there are task slots.
+
+    Meant for a bare file scan: counting its splits plans it but runs nothing. Only a small
+    input is moved; a large one already has more splits than slots.
+    """
+    if df.isStreaming:
+        return df
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(slots, key) if df.rdd.getNumPartitions() < slots else df
+
+
 def broadcast_if_small(
     df: DataFrame,
     max_rows: int = BROADCAST_MAX_ROWS,

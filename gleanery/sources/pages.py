@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gleanery.functions import urls
-from gleanery.session import broadcast_if_small
+from gleanery.session import broadcast_if_small, spread
 
 PAGE_SCHEMA = "page_id BIGINT, url STRING, html STRING"
 
 
 def read_pages(spark: SparkSession, path: str, source_format: str = "parquet") -> DataFrame:
-    return spark.read.format(source_format).load(path)
+    """Batch source. A capture with fewer splits than task slots is spread by id, since repair is CPU-bound."""
+    return spread(spark.read.format(source_format).load(path), "page_id")
 
 
 def read_page_stream(
