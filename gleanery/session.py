@@ -67,3 +67,19 @@ def broadcast_if_small(
     if measured["n"] <= max_rows and (measured["size"] or 0) <= max_bytes:
         return F.broadcast(df)
     return df
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in Python tasks, as ``--py-files`` would."""
+    import shutil
+    from pathlib import Path
+
+    import gleanery
+
+    if spark.conf.get("gleanery.shipped", None) == "true":
+        return
+    package = Path(gleanery.__file__).resolve().parent
+    folder = tempfile.mkdtemp(prefix="gleanery-py-")
+    archive = shutil.make_archive(f"{folder}/gleanery", "zip", package.parent, package.name)
+    spark.sparkContext.addPyFile(archive)
+    spark.conf.set("gleanery.shipped", "true")
