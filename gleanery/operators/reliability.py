@@ -74,6 +74,7 @@ RETRYABLE_SUBCLASSES = (
 POLICIES = {"standard": (3, 0.5, 0.5, 4.0), "aggressive": (5, 0.3, 0.3, 8.0)}
 JITTER, WAIT_FLOOR = 0.25, 0.1
 
+
 # --- chunked replay ----------------------------------------------------------------------
 
 @dataclass(frozen=True)
@@ -93,6 +94,7 @@ class Machine:
     transfer: Callable[[Iterator[tuple]], list]
     apply: Callable[[list, tuple], tuple]
 
+
 def _runs(batches: Iterator[pd.DataFrame], machine: Machine) -> Iterator[tuple[str, Iterator[tuple]]]:
     """Consecutive rows of one site, streamed: yields ``(site, rows)`` in order."""
     source = (
@@ -119,6 +121,7 @@ def _runs(batches: Iterator[pd.DataFrame], machine: Machine) -> Iterator[tuple[s
 
 _SUMMARY = "chunk INT, first_site STRING, last_site STRING, transfer STRING, last_exit STRING"
 
+
 def _summarize(machine: Machine):
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -154,6 +157,7 @@ def _summarize(machine: Machine):
 
     return run
 
+
 def _chain(summaries: Iterator, machine: Machine) -> dict[int, tuple]:
     """Entry state of every chunk's first site; one small record per chunk passes by, in order."""
 
@@ -168,6 +172,7 @@ def _chain(summaries: Iterator, machine: Machine) -> dict[int, tuple]:
         site = row["last_site"]
     return entries
 
+
 def _replay(machine: Machine, entries: dict[int, tuple]):
     names = [part.split()[0] for part in machine.output.split(", ")]
 
@@ -193,9 +198,11 @@ def _replay(machine: Machine, entries: dict[int, tuple]):
 
     return run
 
+
 def _micros(ts: Column) -> Column:
     return F.unix_micros(ts.cast("timestamp"))
 
+
 def chunked(log: DataFrame, chunks: int | None = None) -> DataFrame:
     """The log in (site, time, id) order, cut into balanced chunks whose layout is durable."""
     spark = log.sparkSession
@@ -208,6 +215,7 @@ def chunked(log: DataFrame, chunks: int | None = None) -> DataFrame:
     )
     return durable(ordered)
 
+
 def replay(log: DataFrame, machine: Machine, chunks: int | None = None) -> DataFrame:
     """Run a sequential operator over ``log(site, ts, id, …)``; adds its output columns."""
     laid_out = chunked(log, chunks)
@@ -217,6 +225,7 @@ def replay(log: DataFrame, machine: Machine, chunks: int | None = None) -> DataF
     kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in laid_out.schema if f.name not in ("chunk", "t_us")]
     return laid_out.mapInPandas(_replay(machine, entries), ", ".join([*kept, machine.output]))
 
+
 # --- token bucket ------------------------------------------------------------------------
 
 @dataclass(frozen=True)
@@ -236,6 +245,7 @@ class Bucket:
     def tokens(self, level: int) -> float:
         return level / self.unit
 
+
 def _bucket_transfer(bucket: Bucket) -> Callable[[Iterator[tuple]], list]:
     """Pieces ``(entry from, entry to, shift or None, constant)`` of the level function.
 
@@ -289,6 +299,7 @@ def _bucket_transfer(bucket: Bucket) -> Callable[[Iterator[tuple]], list]:
 
     return run
 
+
 def _bucket_machine(bucket: Bucket) -> Machine:
     """State: (level, time of the last event or None)."""
 
@@ -321,9 +332,11 @@ def _bucket_machine(bucket: Bucket) -> Machine:
         apply=apply,
     )
 
+
 def default_capacity(requests_per_second: float) -> int:
     return max(1, int(requests_per_second * BURST_SECONDS))
 
+
 def limiter_defaults(sites: DataFrame, rate: Column | None = None) -> DataFrame:
     """Per-site limiter parameters: capacity is ten seconds' worth of requests, at least one."""
     rps = F.lit(REQUESTS_PER_SECOND) if rate is None else F.coalesce(rate, F.lit(REQUESTS_PER_SECOND))
@@ -331,6 +344,7 @@ def limiter_defaults(sites: DataFrame, rate: Column | None = None) -> DataFrame:
         "capacity", F.greatest(F.lit(1), (F.col("fill_rate") * BURST_SECONDS).cast("int"))
     )
 
+
 def token_bucket(
     attempts: DataFrame,
     capacity: int | None = None,
@@ -350,6 +364,7 @@ def token_bucket(
         return token_bucket_stream(attempts, size, rate, tokens)
     return replay(attempts, _bucket_machine(Bucket.of(size, rate, tokens)), chunks)
 
+
 # --- waiting mode ------------------------------------------------------------------------
 
 def _wait_step(bucket: Bucket, timeout_us: int | None) -> Callable[[tuple, int], tuple[tuple, tuple]]:
@@ -382,6 +397,7 @@ def _wait_step(bucket: Bucket, timeout_us: int | None) -> Callable[[tuple, int],
 
 _WAIT_OUTPUT = "admitted boolean, timed_out boolean, wait_sec double, queued_sec double, tokens_after double"
 
+
 def token_bucket_wait(
     attempts: DataFrame,
     capacity: int | None = None,
@@ -464,6 +480,7 @@ def token_bucket_wait(
     kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in laid_out.schema if f.name not in ("chunk", "t_us")]
     return laid_out.mapInPandas(emit, ", ".join([*kept, _WAIT_OUTPUT]))
 
+
 # --- circuit breaker ---------------------------------------------------------------------
 
 CLOSED, OPEN, HALF_OPEN = 0, 1, 2
@@ -473,6 +490,7 @@ _BREAKER_OUTPUT = (
     "failure_rate double, last_failure_us bigint"
 )
 
+
 @dataclass(frozen=True)
 class BreakerRules:
     failures: int = FAILURE_THRESHOLD
@@ -507,6 +525,7 @@ class BreakerRules:
         shown = STATE_NAMES[was] if before == was else "OPEN>HALF_OPEN"
         return (mode, failed, passed, last), (shown, before != OPEN, STATE_NAMES[mode], failed, passed, rate, last)
 
+
 def _breaker_transfer(rules: BreakerRules) -> Callable[[Iterator[tuple]], list]:
     """Exit state for every entry state.
 
@@ -552,6 +571,7 @@ def _breaker_transfer(rules: BreakerRules) -> Callable[[Iterator[tuple]], list]:
 
     return run
 
+
 def _joined(members: list) -> list:
     """Adjacent wake-up ranges of one follower become one range."""
     out: list = []
@@ -562,6 +582,7 @@ def _joined(members: list) -> list:
             out.append(member)
     return out
 
+
 def _breaker_apply(rules: BreakerRules) -> Callable[[list, tuple], tuple]:
     def enters(member: list, mode: int, failed: int, passed: int, wake: int | None) -> bool:
         kind, low, high = member
@@ -589,6 +610,7 @@ def _breaker_apply(rules: BreakerRules) -> Callable[[list, tuple], tuple]:
 
     return run
 
+
 def _breaker_machine(rules: BreakerRules) -> Machine:
     return Machine(
         columns=("t_us", "ok"),
@@ -599,6 +621,7 @@ def _breaker_machine(rules: BreakerRules) -> Machine:
         apply=_breaker_apply(rules),
     )
 
+
 def breaker(
     attempts: DataFrame,
     failures: int = FAILURE_THRESHOLD,
@@ -624,12 +647,14 @@ def breaker(
         return breaker_stream(attempts, rules)
     return shape_breaker(replay(attempts, _breaker_machine(rules), chunks))
 
+
 def shape_breaker(replayed: DataFrame) -> DataFrame:
     woke = F.col("state_before").contains(">")
     return replayed.withColumn("woke", woke).withColumn(
         "state_before", F.when(woke, "HALF_OPEN").otherwise(F.col("state_before"))
     )
 
+
 def transitions(replayed: DataFrame) -> DataFrame:
     """State changes in order: a time-driven wake-up is its own row (``part`` 0)."""
     woke = F.when(
@@ -642,9 +667,11 @@ def transitions(replayed: DataFrame) -> DataFrame:
     )
     return replayed.select("site", "id", "ts", F.inline(F.array_compact(F.array(woke, changed))))
 
+
 def transition_counts(changes: DataFrame) -> DataFrame:
     return changes.groupBy("site", "from_state", "to_state").agg(F.count(F.lit(1)).alias("transitions"))
 
+
 def breaker_state(replayed: DataFrame, at: Column, recovery_sec: float = RECOVERY_SEC) -> DataFrame:
     """State per site at a moment: the last one recorded, woken up when recovery has passed."""
     last = replayed.where(F.col("ts") <= at).groupBy("site").agg(
@@ -656,6 +683,7 @@ def breaker_state(replayed: DataFrame, at: Column, recovery_sec: float = RECOVER
         F.when((F.col("s.state_after") == "OPEN") & recovered, "HALF_OPEN").otherwise(F.col("s.state_after")).alias("state"),
     )
 
+
 def failure_rate_gauge(replayed: DataFrame) -> DataFrame:
     """Last published failure rate per site (published on failures only)."""
     return (
@@ -664,6 +692,7 @@ def failure_rate_gauge(replayed: DataFrame) -> DataFrame:
         .agg(F.max_by("failure_rate", F.struct("ts", "id")).alias("failure_rate"))
     )
 
+
 # --- retries -----------------------------------------------------------------------------
 
 def is_retryable(exception_type: Column | str) -> Column:
@@ -671,6 +700,7 @@ def is_retryable(exception_type: Column | str) -> Column:
     kind = F.col(exception_type) if isinstance(exception_type, str) else exception_type
     return F.coalesce(kind.isin(*RETRYABLE, *RETRYABLE_SUBCLASSES), F.lit(False))
 
+
 def backoff(attempt: Column, multiplier: float, min_wait: float, max_wait: float, spread: Column | None = None) -> Column:
     """Exponential wait after the given attempt. ``spread`` in [-1, 1] adds up to a quarter of jitter."""
     wait = F.greatest(F.lit(min_wait), F.least(F.lit(max_wait), F.lit(multiplier) * F.pow(F.lit(2.0), attempt)))
@@ -678,10 +708,12 @@ def backoff(attempt: Column, multiplier: float, min_wait: float, max_wait: float
         return wait
     return F.greatest(F.lit(WAIT_FLOOR), wait + wait * JITTER * spread)
 
+
 def spread_of(*key: Column) -> Column:
     """Repeatable value in [-1, 1) from a key, in place of a random draw."""
     return F.pmod(F.xxhash64(*key), F.lit(2_000_001)) / 1_000_000.0 - 1.0
 
+
 def retry_plan(
     attempts: DataFrame,
     policy: str = "standard",
@@ -709,6 +741,7 @@ def retry_plan(
         )
     )
 
+
 def retry_outcome(plan: DataFrame, job: tuple[str, ...] = ("site", "step", "job_id")) -> DataFrame:
     """Per job: tries, final success, exhaustion, and the error that is raised in the end."""
     last = F.max_by(F.struct("ok", "exception_type", "exhausted"), "attempt")
@@ -724,6 +757,7 @@ def retry_outcome(plan: DataFrame, job: tuple[str, ...] = ("site", "step", "job_
         )
     )
 
+
 def retries(plan: DataFrame) -> DataFrame:
     """Attempts that lead to another try, with the site and class they are counted under."""
     return plan.where("eligible").select("site", "exception_type", "ts")
