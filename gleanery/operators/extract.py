@@ -380,16 +380,17 @@ def _outcome(s: Column, row_url: Column, nav: Column, visibility: str, unsupport
     def shown(status: Column) -> Column:
         return status == "found" if visibility == "approx" else status.isin("found", "hidden")
 
-    fields = F.transform(
-        s["fields"],
-        lambda f: F.struct(
+    def read(f: Column) -> Column:
+        got = answer(f["xpath"], f["attribute"])
+        return F.struct(
             f["field_ord"].alias("field_ord"),
             f["field"].alias("field"),
             f["xpath"].alias("xpath"),
-            F.coalesce(answer(f["xpath"], f["attribute"])["status"], F.lit("missing")).alias("status"),
-            F.coalesce(answer(f["xpath"], f["attribute"])["value"], F.lit("")).alias("value"),
-        ),
-    )
+            F.coalesce(got["status"], F.lit("missing")).alias("status"),
+            F.when(shown(got["status"]), got["value"]).otherwise("").alias("value"),
+        )
+
+    fields = F.transform(s["fields"], read)
     failed_fields = F.filter(fields, lambda f: ~shown(f["status"]))
     first_bad = F.get(failed_fields, F.lit(0))
     wait_status = F.coalesce(answer(s["wait_xpath"], F.lit(""))["status"], F.lit("missing"))

@@ -159,7 +159,19 @@ def label_text(labels: tuple[str, ...], le: Column | None = None) -> Column:
 
 
 def _number(value: Column) -> Column:
-    return value.cast("double").cast("string")
+    """Float text of the exposition format: an exponent from seven integer digits on."""
+    text = value.cast("double").cast("string")
+    scientific = text.contains("E")
+    digits = F.replace(text, F.lit("."), F.lit(""))
+    mantissa = F.when(scientific, F.substring_index(text, "E", 1)).otherwise(
+        F.concat(F.left(digits, F.lit(1)), F.lit("."), F.substr(digits, F.lit(2)))
+    )
+    exponent = F.when(scientific, F.substring_index(text, "E", -1)).otherwise(
+        (F.instr(text, ".") - 2).cast("string")
+    )
+    return F.when(
+        value >= 1e6, F.concat(F.regexp_replace(mantissa, r"[0.]+\z", ""), F.lit("e+0"), exponent)
+    ).otherwise(text)
 
 
 def counter_lines(df: DataFrame, name: str, labels: tuple[str, ...], prefix: str = PREFIX) -> DataFrame:

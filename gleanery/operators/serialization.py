@@ -39,7 +39,10 @@ def to_jsonable(df: DataFrame) -> DataFrame:
 
 def dumps(value: Column, pretty: bool = False) -> Column:
     """Compact or two-space indented JSON; null struct members are left out."""
-    return F.to_json(value, {"pretty": "true"} if pretty else {})
+    if not pretty:
+        return F.to_json(value)
+    # keys open a line of the indented form; drop the space the writer puts before the colon
+    return F.regexp_replace(F.to_json(value, {"pretty": "true"}), r'(?m)^(\s*"(?:[^"\\]|\\.)*") : ', "$1: ")
 
 
 def lines(df: DataFrame) -> DataFrame:

@@ -28,7 +28,20 @@ _FIELD = "named_struct('name', '{n}', 'xpath', '{x}', 'attribute', {a})"
 _NO_FRAMES = "cast(array() as array<struct<xpath:string,css:string,index:int,name:string>>)"
 
 
-def _step(name: str, fields: list[tuple[str, str, str | None]], **options: str) -> str:
+def _frame(kind: str, value: str) -> str:
+    members = [
+        f"'{name}', " + (f"'{value}'" if name == kind and name != "index" else value if name == kind else f"cast(null as {kind_type})")
+        for name, kind_type in (("xpath", "string"), ("css", "string"), ("index", "int"), ("name", "string"))
+    ]
+    return f"named_struct({', '.join(members)})"
+
+
+def _step(
+    name: str,
+    fields: list[tuple[str, str, str | None]],
+    frames: list[tuple[str, str]] = (),
+    **options: str,
+) -> str:
     quoted = ", ".join(
         _FIELD.format(n=n, x=x.replace("'", "\\'"), a=f"'{a}'" if a else "cast(null as string)")
         for n, x, a in fields
@@ -38,10 +51,11 @@ def _step(name: str, fields: list[tuple[str, str, str | None]], **options: str)
         for key in ("goto_url", "click_xpath", "wait_xpath", "wait_url_contains", "execute_js", "frame_exit")
     }
     listed = f"array({quoted})" if fields else "cast(array() as array<struct<name:string,xpath:string,attribute:string>>)"
+    entered = f"array({', '.join(_frame(*f) for f in frames)})" if frames else _NO_FRAMES
     return (
         f"named_struct('name', '{name}', 'goto_url', {option['goto_url']}, 'click_xpath', {option['click_xpath']},"
         f" 'wait_xpath', {option['wait_xpath']}, 'wait_url_contains', {option['wait_url_contains']},"
-        f" 'execute_js', {option['execute_js']}, 'fields', {listed}, 'frames', {_NO_FRAMES},"
+        f" 'execute_js', {option['execute_js']}, 'fields', {listed}, 'frames', {entered},"
         f" 'frame_exit', {option['frame_exit']})"
     )
 
@@ -64,12 +78,26 @@ PAGE_STEPS = {
 }
 
 
-def page_specs(spark: SparkSession, sf_dir: str) -> DataFrame:
+ACTION_STEPS = {
+    "site_com": [_step("read", [("h1", "//h1", None)]), _step("press", [("h1", "//h1", None)], click_xpath="//a")],
+    "site_net": [_step("run", [("h1", "//h1", None)], execute_js="return 1")],
+    "site_org": [_step("read", [("h1", "//h1", None)])],
+}
+
+FRAME_STEPS = [
+    _step("inline", [("h1", "//h1", None)], frames=[("css", "iframe.in")]),
+    _step("linked", [("h1", "//h1", None)], frames=[("name", "outer"), ("index", "0")], frame_exit="parent"),
+    _step("still", [("note", "//p[@class='note']", None)]),
+    _step("none", [], frames=[("xpath", "//iframe[@id=\\'absent\\']")]),
+]
+
+
+def specs_of(spark: SparkSession, sf_dir: str, listed: dict[str, list[str]]) -> DataFrame:
     """One spec per group that occurs among the pages."""
     groups = table(spark, sf_dir, "pages").select(page_group().alias("name")).distinct()
     steps = F.expr(
         "case name "
-        + " ".join(f"when '{name}' then array({', '.join(steps)})" for name, steps in PAGE_STEPS.items())
+        + " ".join(f"when '{name}' then array({', '.join(steps)})" for name, steps in listed.items())
         + " end"
     )
     return groups.select(
@@ -80,3 +108,121 @@ def page_specs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(20).alias("wait_timeout_sec"),
         F.lit(30).alias("page_load_timeout_sec"),
     ).where(F.col("steps").isNotNull())
+
+
+def page_specs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return specs_of(spark, sf_dir, PAGE_STEPS)
+
+
+def framed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three documents per page: a frame set, the page it links to, and that page's own frame.
+
+    The given page's html is what both the inline and the innermost linked frame show.
+    """
+    source = table(spark, sf_dir, "pages")
+    origin = F.regexp_extract("url", r"^[a-z]+://[^/?#]+", 0)
+    escaped = F.replace(F.replace(F.col("html"), F.lit("&"), F.lit("&amp;")), F.lit('"'), F.lit("&quot;"))
+    number = F.col("page_id").cast("string")
+    top = F.concat(
+        F.lit('<html><body><iframe class="x in" srcdoc="'), escaped,
+        F.lit('"></iframe><iframe name="outer" src="/middle/'), number, F.lit('?b=1&amp;a"></iframe></body></html>'),
+    )
+    middle = F.concat(
+        F.lit('<body><p class="note">middle '), number, F.lit("</p><iframe srcdoc='"),
+        F.replace(escaped, F.lit("'"), F.lit("&#39;")), F.lit("'></iframe>"),
+    )
+    documents = F.array(
+        F.struct((F.col("page_id") * 2).alias("page_id"), F.concat(origin, F.lit("/top/"), number).alias("url"), top.alias("html")),
+        F.struct(
+            (F.col("page_id") * 2 + 1).alias("page_id"),
+            F.concat(origin, F.lit("/middle/"), number, F.lit("?b=1&a=")).alias("url"),
+            middle.alias("html"),
+        ),
+    )
+    return source.select(F.inline(documents))
+
+
+def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page captured three times, under differently written forms of its URL."""
+    source = table(spark, sf_dir, "pages")
+    forms = F.array(
+        F.struct(F.lit(0).alias("n"), F.col("url").alias("u")),
+        F.struct(F.lit(1).alias("n"), F.regexp_replace("url", "^http", "HTTP").alias("u")),
+        F.struct(F.lit(2).alias("n"), F.concat(F.lit("  "), F.col("url"), F.lit("\t")).alias("u")),
+    )
+    return source.select("page_id", "html", F.inline(forms)).select(
+        (F.col("page_id") * 3 + F.col("n")).alias("page_id"),
+        F.col("u").alias("url"),
+        "html",
+        F.timestamp_seconds(F.lit(1_700_000_000) + F.pmod(F.col("page_id") * 7 + F.col("n") * 11, F.lit(13)) * 60).alias("fetched_at"),
+    )
+
+
+# --- attempts and requests ---------------------------------------------------------------
+
+EXCEPTIONS = (
+    "TimeoutException",
+    "StaleElementReferenceException",
+    "NoSuchElementException",
+    "NoSuchFrameException",
+    "ElementNotFoundError",
+    "ValueError",
+)
+
+
+def attempts(spark: SparkSession, sf_dir: str, failing: tuple[str, ...] = ("error",)) -> DataFrame:
+    """The event log as an attempt log: ten sites, the event type as step."""
+    events = table(spark, sf_dir, "events")
+    return attempts_of(events, failing)
+
+
+def attempts_of(events: DataFrame, failing: tuple[str, ...] = ("error",)) -> DataFrame:
+    ok = ~F.col("event_type").isin(*failing)
+    kind = F.get(
+        F.array(*[F.lit(name) for name in EXCEPTIONS]),
+        F.pmod(F.get_json_object("props", "$.k").cast("int"), F.lit(len(EXCEPTIONS))),
+    )
+    ts = F.col("ts").cast("timestamp")
+    return events.select(
+        F.col("event_id").alias("id"),
+        F.concat(F.lit("site_"), (F.col("user_id") % 10).cast("string")).alias("site"),
+        F.col("event_type").alias("step"),
+        ts.alias("ts"),
+        F.col("value").alias("duration_sec"),
+        ok.alias("ok"),
+        F.when(~ok, kind).alias("exception_type"),
+        F.concat_ws("-", F.col("user_id").cast("string"), F.date_format(ts, "yyyyMMdd")).alias("job_id"),
+    )
+
+
+def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The event log as a load-test log; status and body follow from the event."""
+    k = F.get_json_object("props", "$.k").cast("int")
+    status = F.when(F.col("event_type") == "error", 500).when(k % 10 == 0, 404).otherwise(200)
+    body = (
+        F.when(k % 7 == 0, "not json")
+        .when(F.col("event_type") == "view", F.format_string('{"status": "%s"}', F.when(k % 3 == 0, "ready").otherwise("healthy")))
+        .when(F.col("event_type") == "click", F.format_string('{"active_jobs": %d}', k * 2))
+        .when(F.col("event_type") == "signup", F.format_string('{"quality_score": 0.%02d}', k))
+        .when(F.col("event_type") == "purchase", F.format_string('{"cpu_percent": %d, "memory_percent": %d}', k, F.lit(99) - k))
+        .otherwise("")
+    )
+    name = (
+        F.when(F.col("event_type") == "view", "GET /healthz")
+        .when(F.col("event_type") == "click", "REAL /metrics")
+        .when(F.col("event_type") == "signup", "POST /api/Scrape")
+        .when(F.col("event_type") == "purchase", "GET /browser/resources")
+        .otherwise("CIRCUIT_TEST /error")
+    )
+    return table(spark, sf_dir, "events").select(
+        F.col("event_id").alias("id"),
+        F.col("ts").cast("timestamp").alias("ts"),
+        name.alias("name"),
+        F.lit("GET").alias("method"),
+        status.alias("status"),
+        (F.col("value") * 100).alias("response_ms"),
+        (k * 20).cast("long").alias("length"),
+        body.alias("body"),
+        (status >= 400).alias("failed"),
+        F.col("event_type").alias("kind"),
+    )
