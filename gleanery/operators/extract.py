@@ -326,6 +326,15 @@ def compile_visits(visits: DataFrame) -> Compiled:
     )
 
 
+def _computed_once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a column that later filters and projections read instead of repeating its expression.
+
+    The optimizer pushes predicates through projections by copying their expressions, which would
+    run the selectors again for every reference; it does not push them through a generator.
+    """
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def _values(df: DataFrame, templates: dict[int, list[xp.Probe]], document: str, page_url: str) -> DataFrame:
     """Adds ``found``: status and value per selector of the row's template."""
     spark = df.sparkSession
@@ -339,7 +348,7 @@ def _values(df: DataFrame, templates: dict[int, list[xp.Probe]], document: str,
         found = F.when(mine, shaped) if found is None else found.when(mine, shaped)
     if answers is None:
         return df.withColumn("found", F.array().cast(_VALUE))
-    return df.withColumn("answers", answers).withColumn("found", found).drop("answers")
+    return _computed_once(df, "answers", answers).withColumn("found", found).drop("answers")
 
 
 def _error(
@@ -458,12 +467,10 @@ def _evaluate(
     """Rows ``(keys, visit_url, doc_url, html, nav_error, steps, probes, template)`` -> outcomes per visit."""
     repaired = rows.withColumn("document", repair("html", keep_raw_text))
     valued = _values(repaired, templates, "document", "doc_url")
-    return valued.select(
-        *keys,
-        F.transform(
-            "steps", lambda s: _outcome(s, F.col("visit_url"), F.col("nav_error"), visibility, unsupported)
-        ).alias("outcomes"),
+    outcomes = F.transform(
+        "steps", lambda s: _outcome(s, F.col("visit_url"), F.col("nav_error"), visibility, unsupported)
     )
+    return _computed_once(valued, "outcomes", outcomes).select(*keys, "outcomes")
 
 
 def _descend(rows: DataFrame, pages: DataFrame) -> DataFrame:
@@ -511,8 +518,7 @@ def _descend(rows: DataFrame, pages: DataFrame) -> DataFrame:
             )
             continue
         step = (
-            current.withColumn("document", repair("html"))
-            .withColumn("frame_answers", located[0])
+            _computed_once(current.withColumn("document", repair("html")), "frame_answers", located[0])
             .withColumn("frame", located[1])
             .withColumn("srcdoc", F.col("frame")[0]["value"])
             .withColumn("present", F.coalesce(F.col("frame")[0]["status"] != "missing", F.lit(False)))

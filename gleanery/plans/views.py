@@ -226,3 +226,108 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         (status >= 400).alias("failed"),
         F.col("event_type").alias("kind"),
     )
+
+
+# --- specs derived from pages ------------------------------------------------------------
+
+_FRAME_ROW = "named_struct('xpath', {x}, 'css', {c}, 'index', {i}, 'name', cast(null as string))"
+_NS, _NI = "cast(null as string)", "cast(null as int)"
+_DERIVED_STEP = f"""
+named_struct(
+  'n', page_id,
+  'name', case when page_id % 29 = 0 then '  ' when page_id % 5 = 4 and page_id % 3 = 0 then concat('step_', page_id - 1)
+    else concat('step_', page_id) end,
+  'goto_url', case when page_id % 23 = 1 then 'no-slash'
+    when page_id % 3 = 1 then regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) else url end,
+  'click_xpath', {_NS},
+  'wait_xpath', case when page_id % 37 = 2 then '//a[' when page_id % 2 = 0 then '//article' end,
+  'wait_url_contains', {_NS},
+  'execute_js', {_NS},
+  'fields', array(
+    named_struct('name', 'h1', 'xpath', if(page_id % 41 = 3, '   ', '//h1'), 'attribute', {_NS}),
+    named_struct('name', case when page_id % 19 = 5 then 'h1' when page_id % 43 = 6 then '' else 'ad' end,
+      'xpath', if(page_id % 17 = 7, '//p[[', '//div[@class="ad"]'), 'attribute', {_NS})),
+  'frames', case
+    when page_id % 13 = 8 then array({_FRAME_ROW.format(x="'//iframe'", c="'iframe'", i=_NI)})
+    when page_id % 11 = 9 then array({_FRAME_ROW.format(x=_NS, c=_NS, i="-1")})
+    when page_id % 7 = 3 then array({_FRAME_ROW.format(x=_NS, c="'div:hover > iframe'", i=_NI)})
+    when page_id % 10 = 0 then array({_FRAME_ROW.format(x=_NS, c=_NS, i="0")})
+    else {_NO_FRAMES} end,
+  'frame_exit', case when page_id % 31 = 10 then 'sideways' when page_id % 6 = 0 then 'parent' end)
+"""
+_DERIVED_LOGIN = f"""
+case when g % 6 = 0 then named_struct(
+  'url', if(g % 12 = 0, 'nope', 'http://login.example/x'), 'username_xpath', '//u', 'password_xpath', '//p',
+  'submit_xpath', '//s', 'username_env', if(g % 18 = 0, '', 'U'), 'password_env', if(g % 24 = 0, {_NS}, 'P'),
+  'post_login_wait_xpath', {_NS}, 'post_login_url_contains', {_NS}) end
+"""
+
+
+def derived_specs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One spec per five pages, with mistakes of every kind spread over them."""
+    rows = table(spark, sf_dir, "pages").select(
+        F.floor(F.col("page_id") / 5).alias("g"), "url", "page_id", F.expr(_DERIVED_STEP).alias("step")
+    )
+    grouped = rows.groupBy("g").agg(
+        F.array_sort(F.collect_list("step")).alias("steps"), F.min_by("url", "page_id").alias("url")
+    )
+    return grouped.select(
+        F.concat(F.lit("spec_"), F.lpad(F.col("g").cast("string"), 6, "0")).alias("spec_id"),
+        F.expr("if(g % 12 = 0, ' ', concat('site_', g % 40))").alias("name"),
+        F.expr(
+            "case when g % 9 = 1 then 'ftp://x' when g % 4 = 0 then '' else regexp_extract(url, '^[a-z]+://[^/?#]+', 0) end"
+        ).alias("base_url"),
+        F.expr(_DERIVED_LOGIN).alias("login"),
+        F.transform("steps", lambda s: s.dropFields("n")).alias("steps"),
+        F.expr("if(g % 8 = 2, 0, 20)").alias("wait_timeout_sec"),
+        F.expr("if(g % 10 = 3, -5, 30)").alias("page_load_timeout_sec"),
+        F.expr("case when g % 7 = 4 then 'a/b' when g % 15 = 5 then '' end").alias("artifact_dir"),
+        F.lit(None).cast("boolean").alias("capture_enabled"),
+    )
+
+
+def target_specs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Valid specs of up to five steps whose targets are mostly captured pages."""
+    step = F.expr(
+        f"""named_struct('n', page_id, 'name', concat('step_', page_id),
+        'goto_url', case when page_id % 5 = 3 then {_NS} when page_id % 15 = 4 then '/missing/page' else url end,
+        'click_xpath', {_NS}, 'wait_xpath', if(page_id % 2 = 0, '//article', {_NS}), 'wait_url_contains', {_NS},
+        'execute_js', {_NS},
+        'fields', array(named_struct('name', 'h1', 'xpath', '//h1', 'attribute', {_NS}),
+          named_struct('name', 'p2', 'xpath', '//article/p[2]', 'attribute', {_NS})),
+        'frames', {_NO_FRAMES}, 'frame_exit', {_NS})"""
+    )
+    rows = table(spark, sf_dir, "pages").select(F.floor(F.col("page_id") / 5).alias("g"), "url", "page_id", step.alias("step"))
+    return rows.groupBy("g").agg(
+        F.array_sort(F.collect_list("step")).alias("steps"), F.min_by("url", "page_id").alias("url")
+    ).select(
+        F.concat(F.lit("spec_"), F.lpad(F.col("g").cast("string"), 6, "0")).alias("spec_id"),
+        F.concat(F.lit("site_"), F.col("g").cast("string")).alias("name"),
+        F.expr("case when g % 4 = 0 then regexp_extract(url, '^[a-z]+://[^/?#]+', 0) when g % 4 = 1 then regexp_extract(url, '^[^?#]*', 0) else '' end").alias("base_url"),
+        F.transform("steps", lambda s: s.dropFields("n")).alias("steps"),
+        F.lit(20).alias("wait_timeout_sec"),
+        F.lit(30).alias("page_load_timeout_sec"),
+    )
+
+
+def spec_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One JSON document per ten pages, one site per page, with timeouts written in several ways."""
+    timeout = F.expr(
+        """case pmod(page_id, 7) when 0 then '15' when 1 then '3.7' when 2 then '"12"' when 3 then '"3.5"'
+        when 4 then 'true' when 5 then '" 8 "' else '"soon"' end"""
+    )
+    site = F.format_string(
+        '{"name": "page_%d", "base_url": "%s", "wait_timeout_sec": %s, "steps": [{"name": "s", "fields": [{"name": "h", "xpath": "//h1"}]}]}',
+        F.col("page_id"), F.regexp_extract("url", r"^[a-z]+://[^/?#]+", 0), timeout,
+    )
+    groups = table(spark, sf_dir, "pages").select(
+        F.floor(F.col("page_id") / 10).alias("g"), F.struct("page_id", site.alias("text")).alias("s")
+    ).groupBy("g").agg(F.array_sort(F.collect_list("s")).alias("s"))
+    listed = F.array_join(F.transform("s", lambda x: x["text"]), ", ")
+    value = (
+        F.when(F.col("g") % 6 == 1, F.concat(F.lit('{"pages": ['), listed, F.lit("]}")))
+        .when(F.col("g") % 6 == 2, F.lit('{"sites": "none"}'))
+        .when(F.col("g") % 6 == 3, F.concat(F.lit('{"sites": ['), listed))
+        .otherwise(F.concat(F.lit('{"sites": ['), listed, F.lit("]}")))
+    )
+    return groups.select(F.concat(F.lit("doc_"), F.lpad(F.col("g").cast("string"), 6, "0")).alias("source"), value.alias("value"))
