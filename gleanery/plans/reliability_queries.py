@@ -217,18 +217,14 @@ with {attempts_sql()} select exception_type, exception_type in {_RETRYABLE} as r
 
 
 def backoff_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Both policies' waits, without jitter, after every failed attempt's ordinal."""
-    plan = R.retry_plan(V.attempts(spark, sf_dir), job=("site", "step"))
-    tries = plan.where(~F.col("ok")).select("id", F.pmod("attempt", F.lit(6)).alias("attempt"))
-    waits = [
-        F.round(R.backoff(F.col("attempt"), *R.POLICIES[name][1:]), 6).alias(name) for name in ("standard", "aggressive")
-    ]
-    return tries.select("id", F.col("attempt").cast("int").alias("attempt"), *waits)
+    """Both policies' waits, without jitter, for failed attempts numbered by their id."""
+    attempt = F.pmod("id", F.lit(6)).cast("int")
+    waits = [F.round(R.backoff(attempt, *R.POLICIES[name][1:]), 6).alias(name) for name in R.POLICIES]
+    return V.attempts(spark, sf_dir).where(~F.col("ok")).select("id", attempt.alias("attempt"), *waits)
 
 
 BACKOFF_SCHEDULE = f"""
-with {attempts_sql()},
-t as (select id, ok, (row_number() over (partition by site, step order by us, id) % 6)::int as attempt from att)
+with {attempts_sql()}, t as (select id, ok, (id % 6)::int as attempt from att)
 select id, attempt, round(greatest(0.5::double, least(4.0::double, 0.5::double * power(2.0::double, attempt))), 6) as standard,
   round(greatest(0.3::double, least(8.0::double, 0.3::double * power(2.0::double, attempt))), 6) as aggressive
 from t where not ok
