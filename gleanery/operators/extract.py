@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from gleanery.functions import urls, xpath as xp
 from gleanery.functions.html import repair
-from gleanery.session import BROADCAST_MAX_BYTES, BROADCAST_MAX_ROWS
+from gleanery.session import BROADCAST_MAX_BYTES, BROADCAST_MAX_ROWS, durable
 from gleanery.sources import pages as page_source
 from gleanery.sources.specs import (
     DEFAULT_FRAME_EXIT,
@@ -473,89 +473,98 @@ def _evaluate(
     return _computed_once(valued, "outcomes", outcomes).select(*keys, "outcomes")
 
 
-def _descend(rows: DataFrame, pages: DataFrame) -> DataFrame:
+def _frame_selectors(visits: DataFrame) -> list[list[tuple[str, str]]]:
+    """Distinct frame selectors per depth; part of the spec, so their number is checked."""
+    rows = (
+        visits.select(F.posexplode("chain").alias("level", "f"))
+        .select("level", "f.kind", "f.value")
+        .distinct()
+        .limit(MAX_TEMPLATES + 1)
+        .collect()
+    )
+    if len(rows) > MAX_TEMPLATES:
+        raise ValueError(f"more than {MAX_TEMPLATES} distinct frame selectors")
+    levels: list[list[tuple[str, str]]] = [[] for _ in range(1 + max((r["level"] for r in rows), default=-1))]
+    for row in rows:
+        levels[row["level"]].append((row["kind"], row["value"]))
+    return levels
+
+
+def _descend(rows: DataFrame, visits: DataFrame, pages: DataFrame) -> DataFrame:
     """Replace each row's document by the frame its chain points to, one depth at a time.
 
-    A frame that cannot be entered keeps the row, with ``frame_desc`` set on its steps.
+    A frame that cannot be entered keeps the row, with ``frame_desc`` set on its steps. Each
+    depth is written out once, so that only the pages it links to have to be fetched.
     """
+    if rows.isStreaming:
+        raise ValueError("frames are looked up among captured pages: use a batch of pages")
     spark = rows.sparkSession
-    depth = rows.agg(F.max(F.size("chain"))).first()[0] or 0
-    current = rows
-    for level in range(depth):
-        selectors = [
-            (row["kind"], row["value"])
-            for row in rows.where(F.size("chain") > level)
-            .select(F.col("chain")[level]["kind"].alias("kind"), F.col("chain")[level]["value"].alias("value"))
-            .distinct()
-            .limit(MAX_TEMPLATES + 1)
-            .collect()
-        ]
-        if len(selectors) > MAX_TEMPLATES:
-            raise ValueError(f"more than {MAX_TEMPLATES} distinct frame selectors at one depth")
+    current = rows.withColumn("frame_failed", F.lit(None).cast("string"))
+    for level, selectors in enumerate(_frame_selectors(visits)):
         here = F.get(F.col("chain"), F.lit(level))
         wants = F.coalesce((F.size("chain") > level) & F.col("frame_failed").isNull(), F.lit(False))
-        located = None
+        answers = found = F.lit(None)
         for kind, value in selectors:
             path = xp.of_frame(kind, value)
             if path is None or xp.not_elements(spark, [path]):
                 continue
-            answers, shaped = xp.evaluate(
-                spark,
-                F.col("document"),
-                F.col("frame_answers"),
-                F.col("doc_url"),
-                [xp.Probe(path, "srcdoc"), xp.Probe(path, "src")],
-            )
+            probes = [xp.Probe(path, "srcdoc"), xp.Probe(path, "src")]
+            read, shaped = xp.evaluate(spark, F.col("document"), F.col("frame_answers"), F.col("doc_url"), probes)
             mine = wants & (here["kind"] == kind) & (here["value"] == value)
-            located = (
-                (F.when(mine, answers), F.when(mine, shaped))
-                if located is None
-                else (located[0].when(mine, answers), located[1].when(mine, shaped))
-            )
-        if located is None:
-            current = current.withColumn(
-                "frame_failed", F.when(wants, F.concat_ws("=", here["kind"], here["value"])).otherwise(F.col("frame_failed"))
-            )
-            continue
-        step = (
-            _computed_once(current.withColumn("document", repair("html")), "frame_answers", located[0])
-            .withColumn("frame", located[1])
-            .withColumn("srcdoc", F.col("frame")[0]["value"])
-            .withColumn("present", F.coalesce(F.col("frame")[0]["status"] != "missing", F.lit(False)))
-            .withColumn("src", urls.normalize(F.col("frame")[1]["value"]))
-            .drop("document", "frame_answers", "frame")
+            answers = F.when(mine, read).otherwise(answers)
+            found = F.when(mine, shaped).otherwise(found)
+        located = _computed_once(
+            current.withColumn("document", repair("html")), "frame_answers", answers.cast("array<string>")
+        ).withColumn("frame", found.cast(_VALUE))
+        present = F.coalesce(F.col("frame")[0]["status"] != "missing", F.lit(False))
+        srcdoc = F.when(present & (F.col("frame")[0]["value"] != ""), F.col("frame")[0]["value"])
+        entry = _computed_once(
+            located,
+            "entry",
+            F.struct(
+                wants.alias("wants"),
+                srcdoc.alias("srcdoc"),
+                F.when(present & srcdoc.isNull(), urls.normalize(F.col("frame")[1]["value"])).alias("src"),
+                F.concat_ws("=", here["kind"], here["value"]).alias("desc"),
+            ),
+        )
+        # only a linked frame needs another page; other rows get a key that matches nothing but
+        # spreads them, and a body is carried only where it is still the row's document
+        keyed = entry.select(
+            *[c for c in current.columns if c != "html"],
+            "entry",
+            F.when(~F.col("entry.wants"), F.col("html")).otherwise(F.col("entry.srcdoc")).alias("own_html"),
+            F.coalesce("entry.src", F.concat(F.lit("!"), F.xxhash64("visit_url", "template").cast("string"))).alias("src_key"),
         )
-        needs_page = wants & F.col("present") & (F.col("srcdoc") == "") & F.col("src").isNotNull()
-        inner_pages = page_source.latest(pages).select(
+        keyed = durable(keyed)
+        linked = keyed.where(F.col("entry.src").isNotNull()).select(F.col("entry.src").alias("norm_url"))
+        frames = page_source.latest(pages, linked).select(
             F.col("norm_url").alias("src_key"), F.col("html").alias("src_html")
         )
-        joined = step.withColumn("src_key", F.when(needs_page, F.col("src"))).join(inner_pages, "src_key", "left")
-        entered = wants & F.col("present") & ((F.col("srcdoc") != "") | F.col("src_html").isNotNull())
+        joined = keyed.join(frames, "src_key", "left")
+        html = F.coalesce("own_html", "src_html")
+        kept = [c for c in current.columns if c not in ("html", "doc_url", "frame_failed")]
         current = joined.select(
-            *[c for c in current.columns if c not in ("html", "doc_url", "frame_failed")],
-            F.when(~wants, F.col("html"))
-            .when(F.col("srcdoc") != "", F.col("srcdoc"))
-            .otherwise(F.col("src_html"))
-            .alias("html"),
-            F.when(wants & (F.col("srcdoc") == "") & F.col("src_html").isNotNull(), F.col("src"))
+            *kept,
+            F.when(F.col("own_html").isNull() & F.col("src_html").isNotNull(), F.col("entry.src"))
             .otherwise(F.col("doc_url"))
             .alias("doc_url"),
-            F.when(wants & ~entered, F.concat_ws("=", here["kind"], here["value"]))
+            F.when(F.col("entry.wants") & html.isNull(), F.col("entry.desc"))
             .otherwise(F.col("frame_failed"))
             .alias("frame_failed"),
+            F.coalesce(html, F.lit(_BLANK_PAGE)).alias("html"),
         )
     return current.withColumn(
         "steps", F.transform("steps", lambda s: s.withField("frame_desc", F.col("frame_failed")))
     ).drop("frame_failed")
 
 
-def _with_frames(rows: DataFrame, framed: bool, pages: DataFrame) -> DataFrame:
+def _with_frames(rows: DataFrame, compiled: Compiled, pages: DataFrame) -> DataFrame:
     """Enter frames only for the visits that have any."""
-    if not framed:
+    if not compiled.framed:
         return rows.drop("chain")
-    marked = rows.withColumn("frame_failed", F.lit(None).cast("string"))
     flat = rows.where(F.size("chain") == 0).drop("chain")
-    framed = _descend(marked.where(F.size("chain") > 0), pages).drop("chain")
+    framed = _descend(rows.where(F.size("chain") > 0), compiled.visits, pages).drop("chain")
     return flat.unionByName(framed)
 
 
@@ -573,10 +582,11 @@ def outcomes_by_target(
     compiled = compile_visits(visits_by_target(specs))
     visits = compiled.visits
     wanted = visits.where(F.col("norm_url").isNotNull()).select("norm_url").distinct()
-    captured = page_source.latest(pages, wanted).select("norm_url", "html")
-    # inner join keeps page bodies on their side; visits without a capture come back by anti join
-    hits = captured.join(compiled.for_join(visits.where(F.col("norm_url").isNotNull())), "norm_url")
-    rows = hits.select(
+    # keys are paired first; page bodies are then read once, by id, and never leave their side
+    # of a broadcast; visits without a capture need no body at all
+    paired = visits.join(page_source.latest_ids(pages, wanted), "norm_url", "left").persist()
+    found = paired.where(F.col("page_id").isNotNull())
+    rows = pages.select("page_id", "html").join(compiled.for_join(found), "page_id").select(
         *_RUN_KEYS,
         F.col("norm_url").alias("visit_url"),
         F.col("norm_url").alias("doc_url"),
@@ -588,11 +598,9 @@ def outcomes_by_target(
         "chain",
     )
     answered = _evaluate(
-        _with_frames(rows, compiled.framed, pages), compiled.templates, _RUN_KEYS, visibility, unsupported
+        _with_frames(rows, compiled, pages), compiled.templates, _RUN_KEYS, visibility, unsupported
     )
-    absent = visits.join(
-        page_source.latest_ids(pages, wanted).select("norm_url"), "norm_url", "left_anti"
-    ).select(
+    absent = paired.where(F.col("page_id").isNull()).select(
         *_RUN_KEYS,
         F.coalesce("norm_url", F.lit(BLANK_URL)).alias("visit_url"),
         F.when(F.col("norm_url").isNotNull(), F.format_string(MSG_NOT_CAPTURED, F.col("norm_url"))).alias("nav_error"),
@@ -655,7 +663,7 @@ def outcomes_by_page(
             "chain",
         )
     )
-    source = _with_frames(rows, compiled.framed, pages)
+    source = _with_frames(rows, compiled, pages)
     answered = _evaluate(source, compiled.templates, _PAGE_KEYS, visibility, unsupported)
     if not compiled.framed:
         return answered

@@ -67,7 +67,8 @@ def path_verdicts(tables: Specs) -> DataFrame:
 
 def violations(specs: DataFrame) -> DataFrame:
     """``(rule, spec_id, site, step, field, detail, seq)`` for nested spec rows."""
-    tables = flatten(specs)
+    # specs are configuration; each table below reads them, so they are computed once
+    tables = flatten(specs.persist())
     sites, steps, fields, frames = tables
     bad_paths = broadcast_if_small(path_verdicts(tables))
 

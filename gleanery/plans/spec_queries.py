@@ -74,7 +74,8 @@ SPEC_RULE_COUNTS = f"with {_V} select rule, count(*) as n from v group by rule"
 
 
 def spec_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return validation.clean(V.derived_specs(spark, sf_dir)).select("spec_id", F.col("name").alias("site"))
+    specs = V.derived_specs(spark, sf_dir).persist()
+    return validation.clean(specs).select("spec_id", F.col("name").alias("site"))
 
 
 SPEC_CLEAN = f"""

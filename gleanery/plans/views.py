@@ -119,7 +119,7 @@ def framed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     The given page's html is what both the inline and the innermost linked frame show.
     """
-    source = table(spark, sf_dir, "pages")
+    source = pages(spark, sf_dir)
     origin = F.regexp_extract("url", r"^[a-z]+://[^/?#]+", 0)
     escaped = F.replace(F.replace(F.col("html"), F.lit("&"), F.lit("&amp;")), F.lit('"'), F.lit("&quot;"))
     number = F.col("page_id").cast("string")
