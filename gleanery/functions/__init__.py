@@ -1 +1,13 @@
 """Column expressions and the one Arrow function (HTML repair)."""
+
+from pyspark.sql import SparkSession
+
+
+def register_sql(spark: SparkSession) -> None:
+    """Make the URL, name and back-off expressions available to SQL."""
+    from gleanery.functions import names, urls
+    from gleanery.operators import reliability
+
+    urls.register(spark)
+    names.register(spark)
+    reliability.register(spark)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gleanery.functions.names import artifact_file, safe_context
 from gleanery.operators import extract
@@ -125,12 +125,23 @@ def artifacts(
     )
 
 
-def number_copies(manifest: DataFrame, order: list[str]) -> DataFrame:
-    """Ordinal among captures that would get the same file name (bounded by one second of one step)."""
-    from pyspark.sql import Window
+def number_copies(manifest: DataFrame, order: str, cell: int = 10_000) -> DataFrame:
+    """Ordinal (by the numeric ``order`` column) among captures that would share a file name.
 
-    same = Window.partitionBy("html").orderBy(*order)
-    return manifest.withColumn("copy", F.row_number().over(same))
+    One name may be shared by very many captures, so rows are numbered inside cells of the
+    order column and shifted by the counts of the cells before, which are one row each.
+    """
+    placed = manifest.withColumn("_cell", F.floor(F.col(order) / F.lit(cell)))
+    counts = placed.groupBy("html", "_cell").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy("html").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = counts.select("html", "_cell", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy("html", "_cell").orderBy(order)
+    return (
+        placed.withColumn("_k", F.row_number().over(inside))
+        .join(shifts, ["html", "_cell"])
+        .withColumn("copy", F.col("_before") + F.col("_k"))
+        .drop("_cell", "_k", "_before")
+    )
 
 
 def artifact_bodies(manifest: DataFrame, pages: DataFrame) -> DataFrame:

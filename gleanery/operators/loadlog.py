@@ -31,8 +31,8 @@ def summary(requests: DataFrame, recent_sec: int = RECENT_SEC) -> DataFrame:
         F.sum("response_ms").alias("ms"),
         F.max("response_ms").alias("slowest"),
     )
-    end = per_second.agg(F.max("second").alias("end"))
-    return per_second.crossJoin(F.broadcast(end)).agg(
+    end = per_second.agg(F.max("second")).scalar()
+    return per_second.withColumn("end", end).agg(
         F.sum("n").alias("total_requests"),
         F.sum("failures").alias("total_failures"),
         (F.sum("ms") / F.sum("n")).alias("avg_response_time"),

@@ -101,7 +101,7 @@ def duration_stats(df: DataFrame, labels: tuple[str, ...], value: str = "duratio
 # --- active sessions ---------------------------------------------------------------------
 
 
-def active(intervals: DataFrame, cell: int = 3_600_000_000) -> DataFrame:
+def active(intervals: DataFrame, cell: int = 10_000_000) -> DataFrame:
     """Gauge of open intervals after every instant at which it may change.
 
     ``intervals(start_us, end_us)`` in microseconds; an open end is null. The global running

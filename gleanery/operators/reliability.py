@@ -22,7 +22,7 @@ from dataclasses import dataclass
 from fractions import Fraction
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from gleanery.session import durable
 
@@ -418,6 +418,10 @@ def token_bucket_wait(
     size = default_capacity(rate) if capacity is None else capacity
     bucket = Bucket.of(size, rate, tokens)
     timeout_us = None if timeout_sec is None else round(timeout_sec * MICROS)
+    if attempts.isStreaming:
+        from gleanery.streaming.stateful import token_bucket_wait_stream
+
+        return token_bucket_wait_stream(attempts, bucket, timeout_us)
     advance = _wait_step(bucket, timeout_us)
     idle = (bucket.capacity, None)
 
@@ -634,7 +638,8 @@ def breaker(
 
     Adds ``state_before, permitted, state_after, failures, successes, failure_rate, last_failure_us``;
     ``state_before`` is the state after the recovery check, ``woke`` marks a time-driven
-    OPEN -> HALF_OPEN, ``last_failure_us`` is kept while OPEN. ``record_at='end'`` dates an attempt by its end (start plus duration).
+    OPEN -> HALF_OPEN, ``last_failure_us`` is kept while OPEN. ``record_at='end'`` dates an
+    attempt by its end (start plus duration).
     """
     rules = BreakerRules(failures, round(recovery_sec * MICROS), successes)
     if record_at == "end":
@@ -714,6 +719,15 @@ def spread_of(*key: Column) -> Column:
     return F.pmod(F.xxhash64(*key), F.lit(2_000_001)) / 1_000_000.0 - 1.0
 
 
+def register(spark: SparkSession) -> None:
+    """The un-jittered wait as a SQL function."""
+    spark.sql(
+        "CREATE OR REPLACE TEMPORARY FUNCTION backoff_wait(attempt INT, multiplier DOUBLE, min_wait DOUBLE,"
+        " max_wait DOUBLE) RETURNS DOUBLE"
+        " RETURN greatest(min_wait, least(max_wait, multiplier * power(2, attempt)))"
+    )
+
+
 def retry_plan(
     attempts: DataFrame,
     policy: str = "standard",

@@ -44,4 +44,5 @@ def latest_ids(pages: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
 def latest(pages: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
     """Newest snapshot per canonical URL, optionally only for ``wanted(norm_url)``."""
     winners = latest_ids(pages, wanted)
-    return pages.join(broadcast_if_small(winners), "page_id", "inner")
+    # without a wish list there are about as many winners as pages: not worth measuring
+    return pages.join(winners if wanted is None else broadcast_if_small(winners.persist()), "page_id", "inner")

@@ -116,6 +116,21 @@ def token_bucket_stream(
     return _fold(attempts, processor, machine.output, watermark)
 
 
+def token_bucket_wait_stream(
+    attempts: DataFrame, bucket: rel.Bucket, timeout_us: int | None, watermark: str = WATERMARK
+) -> DataFrame:
+    """Waiting mode: the columns of the batch operator plus ``site, id, ts``."""
+    advance = rel._wait_step(bucket, timeout_us)
+    names = [part.split()[0] for part in rel._WAIT_OUTPUT.split(", ")]
+    processor = _OrderedFold(
+        (bucket.capacity, None),
+        lambda state, row: advance(tuple(state), row[0]),
+        "level bigint, clock bigint",
+        names,
+    )
+    return _fold(attempts, processor, rel._WAIT_OUTPUT, watermark)
+
+
 def breaker_stream(
     attempts: DataFrame, rules: rel.BreakerRules, watermark: str = WATERMARK, emit_recovery: bool = False
 ) -> DataFrame:
