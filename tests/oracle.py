@@ -32,7 +32,7 @@ def rows_of(names, rows):
 
 
 _KINDS = {
-    "BIGINT": "bigint", "HUGEINT": "bigint", "INTEGER": "int", "VARCHAR": "string", "DOUBLE": "double", "BOOLEAN": "boolean",
+    "BIGINT": "bigint", "INTEGER": "int", "VARCHAR": "string", "DOUBLE": "double", "BOOLEAN": "boolean",
 }
 
 
