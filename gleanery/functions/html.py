@@ -22,6 +22,10 @@ from pyspark.sql.types import StringType
 
 HIDDEN_MARK = "_hid"
 
+# Limits of what follows: browsers stop nesting at this depth, and the XML parser refuses
+# longer names and more attributes on one element.
+MAX_DEPTH, MAX_NAME, MAX_ATTRIBUTES = 512, 1000, 9000
+
 # Element groups of the HTML standard.
 _VOID = frozenset("area base br col embed frame hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style xmp iframe noembed noframes".split())
@@ -59,7 +63,7 @@ _TOKEN = re.compile(
 _ATTRIBUTE = re.compile(r"([^\s=>\"'/][^\s=>/]*+)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]++)))?", re.S)
 _NAME = re.compile(r"[a-z_][a-z0-9_.\-]*\Z")
 _BAD_NAME_CHAR = re.compile(r"[^a-z0-9_.\-]")
-_NOT_XML = re.compile("[^\t\n\r\x20-퟿-�\U00010000-\U0010ffff]")
+_NOT_XML = re.compile("[^\\t\\n\\r\\x20-\\ud7ff\\ue000-\\ufffd\\U00010000-\\U0010ffff]")
 _HIDING_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
@@ -91,6 +95,8 @@ class _Page:
         self.seen_body = False
 
     def push(self, name: str, attributes: str, hides: bool) -> None:
+        if len(self.stack) >= MAX_DEPTH:
+            self.pop()
         hidden = hides or self.hidden[-1]
         self.out.append(f'<{name}{attributes} {HIDDEN_MARK}="1">' if hidden else f"<{name}{attributes}>")
         self.stack.append((name, attributes))
@@ -142,8 +148,10 @@ def _attributes(raw: str, name: str) -> tuple[str, bool]:
     hides = name in _NOT_RENDERED
     for found in _ATTRIBUTE.finditer(raw):
         key = found[1].lower()
-        if key in seen or key == HIDDEN_MARK or not _NAME.match(key):
+        if key in seen or key == HIDDEN_MARK or len(key) > MAX_NAME or not _NAME.match(key):
             continue
+        if len(seen) >= MAX_ATTRIBUTES:
+            break
         seen.add(key)
         value = found[2] if found[2] is not None else found[3] if found[3] is not None else found[4] or ""
         if key == "hidden" or (key == "style" and _HIDING_STYLE.search(value)):
@@ -256,7 +264,7 @@ def repair_page(html: str | None, keep_raw_text: bool = False) -> str | None:
             break
         at = found.end()
         if found[2]:
-            name = _BAD_NAME_CHAR.sub("_", found[2].lower())
+            name = _BAD_NAME_CHAR.sub("_", found[2][:MAX_NAME].lower())
             raw = found[3]
             _open(page, name, raw)
             if name in _RAW or name in _ESCAPABLE_RAW:
@@ -269,7 +277,7 @@ def repair_page(html: str | None, keep_raw_text: bool = False) -> str | None:
                 page.pop()
                 at = end.end() if end else size
         elif found[1]:
-            _close(page, _BAD_NAME_CHAR.sub("_", found[1].lower()))
+            _close(page, _BAD_NAME_CHAR.sub("_", found[1][:MAX_NAME].lower()))
     if not page.seen_body:
         page.need_body()
     while page.stack:

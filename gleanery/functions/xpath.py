@@ -90,10 +90,12 @@ def invalid_paths(paths: DataFrame, batch: int = 200) -> list[str]:
 
 
 def not_elements(spark: SparkSession, paths: list[str]) -> set[str]:
-    """Paths that cannot be asked for a first element: invalid, or numbers/strings/booleans."""
+    """Paths that cannot be asked for a first element: invalid, too long for the engine's
+    limits, or numbers/strings/booleans."""
 
     def failing(part: list[str]) -> list[str]:
-        if not part or _accepts(spark, [f"({path})[1]/self::*" for path in part]):
+        asked = [f"concat(string(({path})[1]/@{HIDDEN_MARK}), '')" for path in part]
+        if not part or _accepts(spark, asked):
             return []
         if len(part) == 1:
             return part
@@ -134,12 +136,15 @@ def packs(spark: SparkSession, probes: list[Probe]) -> list[str]:
     at, width = 0, _PACK_START
     while at < len(probes):
         path = _pack_path(probes[at : at + width])
-        if width == 1 or _accepts(spark, [path]):
+        if _accepts(spark, [path]):
             out.append(path)
-            at += width
-            width = min(width + 1, _PACK_START)
+        elif width == 1:
+            out += _answers(probes[at])  # a long path: one call per answer
         else:
             width -= 1
+            continue
+        at += width
+        width = min(width + 1, _PACK_START)
     return out
 
 

@@ -15,6 +15,7 @@ serves a stream.
 
 from __future__ import annotations
 
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -46,7 +47,7 @@ MSG_BAD_BASE = "Cannot make absolute URL: relative URL '%s' but invalid base_url
 MSG_NOT_CAPTURED = "Page not captured: %s"
 MSG_UNSUPPORTED = "Step '%s' needs %s, which a captured page cannot answer"
 
-MAX_TEMPLATES = 500
+TEMPLATES_PER_PASS = 100
 
 _ERROR = (
     "struct<type:string,message:string,"
@@ -295,8 +296,9 @@ class Compiled(NamedTuple):
 def compile_visits(visits: DataFrame) -> Compiled:
     """Tag each visit with the list of selectors it needs.
 
-    Sites share few distinct lists. Their number is checked, since each becomes part of the
-    plan. The same pass measures the visits, so a broadcast is hinted only within bounds.
+    Sites share few distinct lists; each becomes part of the plan, which reads the rows in
+    several passes when there are many. The same aggregation measures the visits, so a
+    broadcast is hinted only within bounds.
     """
     tagged = (
         visits.withColumn("probes", _probes_of(F.col("steps")))
@@ -311,11 +313,8 @@ def compile_visits(visits: DataFrame) -> Compiled:
             F.count(F.lit(1)).alias("n"),
             F.sum(F.length(F.to_json(F.struct("steps", "probes")))).alias("size"),
         )
-        .limit(MAX_TEMPLATES + 1)
         .collect()
     )
-    if len(lists) > MAX_TEMPLATES:
-        raise ValueError(f"more than {MAX_TEMPLATES} distinct selector lists: run the specs in several parts")
     templates = {row["template"]: [xp.Probe(p["xpath"], p["attribute"]) for p in row["probes"]] for row in lists}
     return Compiled(
         tagged,
@@ -465,6 +464,21 @@ def _evaluate(
     keep_raw_text: bool = False,
 ) -> DataFrame:
     """Rows ``(keys, visit_url, doc_url, html, nav_error, steps, probes, template)`` -> outcomes per visit."""
+    names = sorted(templates)
+    if len(names) > TEMPLATES_PER_PASS:
+        parts = [names[n : n + TEMPLATES_PER_PASS] for n in range(0, len(names), TEMPLATES_PER_PASS)]
+        answered = [
+            _evaluate(
+                rows.where(F.col("template").isin(part)),
+                {name: templates[name] for name in part},
+                keys,
+                visibility,
+                unsupported,
+                keep_raw_text,
+            )
+            for part in parts
+        ]
+        return reduce(DataFrame.unionByName, answered)
     repaired = rows.withColumn("document", repair("html", keep_raw_text))
     valued = _values(repaired, templates, "document", "doc_url")
     outcomes = F.transform(
@@ -474,16 +488,8 @@ def _evaluate(
 
 
 def _frame_selectors(visits: DataFrame) -> list[list[tuple[str, str]]]:
-    """Distinct frame selectors per depth; part of the spec, so their number is checked."""
-    rows = (
-        visits.select(F.posexplode("chain").alias("level", "f"))
-        .select("level", "f.kind", "f.value")
-        .distinct()
-        .limit(MAX_TEMPLATES + 1)
-        .collect()
-    )
-    if len(rows) > MAX_TEMPLATES:
-        raise ValueError(f"more than {MAX_TEMPLATES} distinct frame selectors")
+    """Distinct frame selectors per depth; configuration that becomes part of the plan."""
+    rows = visits.select(F.posexplode("chain").alias("level", "f")).select("level", "f.kind", "f.value").distinct().collect()
     levels: list[list[tuple[str, str]]] = [[] for _ in range(1 + max((r["level"] for r in rows), default=-1))]
     for row in rows:
         levels[row["level"]].append((row["kind"], row["value"]))

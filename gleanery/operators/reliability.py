@@ -72,6 +72,8 @@ RETRYABLE_SUBCLASSES = (
     "NoSuchDriverException",
 )
 POLICIES = {"standard": (3, 0.5, 0.5, 4.0), "aggressive": (5, 0.3, 0.3, 8.0)}
+SPECULATIVE_ROUNDS = 3
+ROWS_PER_CHUNK, MIN_ROWS_PER_CHUNK = 4_000_000, 5_000
 JITTER, WAIT_FLOOR = 0.25, 0.1
 
 
@@ -203,10 +205,16 @@ def _micros(ts: Column) -> Column:
     return F.unix_micros(ts.cast("timestamp"))
 
 
+def chunk_count(log: DataFrame) -> int:
+    """Chunks of a few million rows each; a small log still uses the task slots there are."""
+    rows = log.count()
+    slots = log.sparkSession.sparkContext.defaultParallelism
+    return max(rows // ROWS_PER_CHUNK, min(slots, rows // MIN_ROWS_PER_CHUNK + 1))
+
+
 def chunked(log: DataFrame, chunks: int | None = None) -> DataFrame:
     """The log in (site, time, id) order, cut into balanced chunks whose layout is durable."""
-    spark = log.sparkSession
-    count = chunks or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    count = chunks or chunk_count(log)
     ordered = (
         log.withColumn("t_us", _micros(F.col("ts")))
         .repartitionByRange(count, "site", "t_us", "id")
@@ -412,8 +420,9 @@ def token_bucket_wait(
     at or past ``timeout_sec``. Adds ``admitted, timed_out, wait_sec, queued_sec, tokens_after``.
 
     A chunk cannot list its exit for every possible backlog, so entry states are guessed (an
-    idle site) and checked: only chunks whose guess proves wrong run again, until all agree.
-    One round is enough where queues empty within a chunk.
+    idle site) and checked: chunks whose guess proves wrong run again. Where queues empty
+    within a chunk, two rounds settle everything. For a site whose queue never empties, later
+    rounds run only the first unsettled chunk, so the work stays proportional to the log.
     """
     size = default_capacity(rate) if capacity is None else capacity
     bucket = Bucket.of(size, rate, tokens)
@@ -452,18 +461,28 @@ def token_bucket_wait(
     found: dict[int, tuple] = {}
     entries: dict[int, tuple] = {}
     pending: list[int] | None = None
+    rounds = 0
     while pending is None or pending:
         todo = narrow if pending is None else narrow.where(F.col("chunk").isin(pending))
         for row in todo.mapInPandas(exits(dict(entries)), schema).toLocalIterator():
             found[row["chunk"]] = (row["first_site"], row["last_site"], (row["level"], row["clock"]))
-        pending, previous = [], None
+        rounds += 1
+        pending, previous, settled = [], None, True
         for chunk in sorted(found):
             first, last, out = found[chunk]
-            entry = previous[1] if previous and previous[0] == first else idle
-            if entry != entries.get(chunk, idle):
+            follows = previous is not None and previous[0] == first
+            entry = previous[1] if follows else idle
+            settled = settled or not follows
+            if entry != entries.get(chunk, idle) and (settled or rounds <= SPECULATIVE_ROUNDS):
                 entries[chunk] = entry
+                # the exit of a chunk that also holds another site does not depend on its entry
                 if first == last:
                     pending.append(chunk)
+                    settled = False
+            elif not settled:
+                settled = first != last
+            else:
+                settled = True
             previous = (last, out)
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -79,7 +80,12 @@ def ship_package(spark: SparkSession) -> None:
     if spark.conf.get("gleanery.shipped", None) == "true":
         return
     package = Path(gleanery.__file__).resolve().parent
+    if not package.is_dir():  # already running from a shipped archive
+        return
     folder = tempfile.mkdtemp(prefix="gleanery-py-")
     archive = shutil.make_archive(f"{folder}/gleanery", "zip", package.parent, package.name)
     spark.sparkContext.addPyFile(archive)
+    # stateful streaming starts a Python process on the driver, which does not see shipped files
+    paths = [str(package.parent), spark.sparkContext.environment.get("PYTHONPATH", "")]
+    spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(path for path in paths if path)
     spark.conf.set("gleanery.shipped", "true")

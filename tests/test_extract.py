@@ -207,3 +207,18 @@ def test_validation_rules(spark):
     assert [r["spec_id"] for r in validation.clean(spec, found).collect()] == ["d#000000000"]
     first = validation.first_violations(found).collect()
     assert [(r["rule"], r["detail"]) for r in first] == [("V14", "nope")]
+
+
+def test_long_paths_and_many_selector_lists(spark, monkeypatch):
+    monkeypatch.setattr(X, "TEMPLATES_PER_PASS", 2)
+    long = "//p[" + " or ".join(f"@id='p{n}'" for n in range(12)) + "]"
+    sites = [
+        {"name": f"s{n}", "base_url": "http://a.example/", "steps": [{"name": "a", "fields": [
+            {"name": "f", "xpath": f"//p[@id='p{n}']"}, {"name": "g", "xpath": long}, {"name": "h", "xpath": long, "attribute": "id"}]}]}
+        for n in range(5)
+    ]
+    pages = _pages(spark, ("http://a.example/", "".join(f"<p id=p{n}>v{n}</p>" for n in range(5))))
+    spec = _spec(spark, *sites)
+    want = {f"s{n}": {"a": {"f": f"v{n}", "g": "v0", "h": "p0"}} for n in range(5)}
+    assert {r["site"]: r["data"] for r in X.records(X.outcomes_by_target(pages, spec)).collect()} == want
+    assert {r["site"]: r["data"] for r in X.records(X.outcomes_by_page(pages, spec)).collect()} == want

@@ -77,3 +77,18 @@ def test_invalid_paths(spark):
     paths = ["//a", "//a[", "", "count(//b)", "//p[[", "//a/@href", "string(//x"]
     found = invalid_paths(spark.createDataFrame([(p,) for p in paths * 3], "path string"))
     assert sorted(found) == sorted(["//a[", "", "//p[[", "string(//x"])
+
+
+def test_extreme_pages_are_readable(spark):
+    pages = [
+        "<div>" * 30_000 + "<h1>deep</h1>",
+        "<p " + " ".join(f"a{n}=1" for n in range(20_000)) + "><h1>wide</h1>",
+        f"<{'x' * 5000} {'y' * 5000}=1><h1>long</h1>",
+        "<h1>" + "word " * 200_000 + "</h1>",
+        "<a \"<a '<b \"><h1>quotes</h1>",
+        "<!-- open <h1>comment</h1>",
+    ]
+    df = spark.createDataFrame([(n, p) for n, p in enumerate(pages)], "n int, html string")
+    got = df.select("n", F.xpath_string(repair("html"), F.lit("normalize-space((//h1)[1])")).alias("h")).orderBy("n").collect()
+    assert [r["h"][:6].strip() for r in got] == ["deep", "wide", "long", "word w", "", ""] or got[4]["h"] == "quotes"
+    assert len(got[3]["h"]) == len("word " * 200_000) - 1
