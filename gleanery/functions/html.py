@@ -17,7 +17,7 @@ import re
 from html import unescape
 
 import pyarrow as pa
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, SparkSession, functions as F
 from pyspark.sql.types import StringType
 
 HIDDEN_MARK = "_hid"
@@ -298,3 +298,8 @@ def _repair_keeping_raw_text(pages: pa.Array) -> pa.Array:
 def repair(html: Column | str, keep_raw_text: bool = False) -> Column:
     """Well-formed document for Spark's ``xpath*`` functions."""
     return (_repair_keeping_raw_text if keep_raw_text else _repair)(html)
+
+
+def register(spark: SparkSession) -> None:
+    """``repair_html(html)`` for SQL, to be combined with ``xpath_string`` and its relatives."""
+    spark.udf.register("repair_html", _repair)

@@ -90,5 +90,5 @@ def test_extreme_pages_are_readable(spark):
     ]
     df = spark.createDataFrame([(n, p) for n, p in enumerate(pages)], "n int, html string")
     got = df.select("n", F.xpath_string(repair("html"), F.lit("normalize-space((//h1)[1])")).alias("h")).orderBy("n").collect()
-    assert [r["h"][:6].strip() for r in got] == ["deep", "wide", "long", "word w", "", ""] or got[4]["h"] == "quotes"
+    assert [r["h"][:6].strip() for r in got] == ["deep", "wide", "long", "word w", "quotes", ""]
     assert len(got[3]["h"]) == len("word " * 200_000) - 1

@@ -117,3 +117,5 @@ def test_sql_functions(spark):
         "select backoff_wait(1, 0.5, 0.5, 4.0), sanitize_context('é/x'), safe_context('é/x'), make_absolute_url('a', 'http://b/'), is_absolute_url('HTTP://x')"
     ).first()
     assert tuple(row) == (1.0, "__x", "é_x", "http://b/a", False)
+    found = spark.sql("select xpath_string(repair_html('<p>a<p>b <i>c'), '//p[2]')").first()[0]
+    assert found == "b c"
