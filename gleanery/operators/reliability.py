@@ -255,55 +255,70 @@ class Bucket:
 
 
 def _bucket_transfer(bucket: Bucket) -> Callable[[Iterator[tuple]], list]:
-    """Pieces ``(entry from, entry to, shift or None, constant)`` of the level function.
+    """Stages of pieces ``(entry from, entry to, shift or None, constant)`` of the level function.
 
     All entry levels are followed at once: intervals that decide alike stay together, a full
     bucket makes them a constant, and neighbours with the same rule are merged again, so
-    there are at most about ``capacity / cost`` pieces.
+    there are at most about ``capacity / cost`` pieces. Once every level is below the cost of
+    one attempt, the rest only depends on that level: a new stage starts from it, with one
+    piece, and a busy chunk goes on with two or three.
     """
     capacity, cost = bucket.capacity, bucket.cost
 
+    def refill(pieces: list[tuple], gain: int) -> list[tuple]:
+        out: list[tuple] = []
+        for low, high, shift, constant in pieces:
+            if constant is not None:
+                out.append((low, high, None, min(capacity, constant + gain)))
+                continue
+            moved = shift + gain
+            if high + moved < capacity:
+                out.append((low, high, moved, None))
+            elif low + moved >= capacity:
+                out.append((low, high, None, capacity))
+            else:
+                edge = capacity - moved
+                out.append((low, edge - 1, moved, None))
+                out.append((edge, high, None, capacity))
+        return out
+
+    def consume(pieces: list[tuple]) -> list[tuple]:
+        out: list[tuple] = []
+        for low, high, shift, constant in pieces:
+            if constant is not None:
+                parts = ((low, high, None, constant - cost if constant >= cost else constant),)
+            elif low + shift >= cost:
+                parts = ((low, high, shift - cost, None),)
+            elif high + shift < cost:
+                parts = ((low, high, shift, None),)
+            else:
+                edge = cost - shift
+                parts = ((low, edge - 1, shift, None), (edge, high, shift - cost, None))
+            for part in parts:
+                if out and out[-1][2] == part[2] and out[-1][3] == part[3]:
+                    out[-1] = (out[-1][0], part[1], part[2], part[3])
+                else:
+                    out.append(part)
+        return out
+
     def run(rows: Iterator[tuple]) -> list:
-        pieces: list[tuple] | None = None
-        at = first = 0
+        # the gap before the first row belongs to the entry state; levels count from that row
+        pieces = [(0, capacity, 0, None)]
+        stages = [pieces]
+        first = at = None
+        narrow = capacity < cost
         for (t,) in rows:
-            if pieces is None:
-                # the gap before the first row belongs to the entry state; levels count from here
-                first = at = t
-                pieces = [(0, capacity, 0, None)]
-            gain = (t - at) * bucket.gain
+            first, at = (t, t) if at is None else (first, at)
+            pieces = consume(refill(pieces, (t - at) * bucket.gain))
             at = t
-            grown: list[tuple] = []
-            for low, high, shift, constant in pieces:
-                if constant is not None:
-                    grown.append((low, high, None, min(capacity, constant + gain)))
-                    continue
-                moved = shift + gain
-                if high + moved < capacity:
-                    grown.append((low, high, moved, None))
-                elif low + moved >= capacity:
-                    grown.append((low, high, None, capacity))
-                else:
-                    edge = capacity - moved
-                    grown.append((low, edge - 1, moved, None))
-                    grown.append((edge, high, None, capacity))
-            pieces = []
-            for low, high, shift, constant in grown:
-                if constant is not None:
-                    parts = [(low, high, None, constant - cost if constant >= cost else constant)]
-                elif low + shift >= cost:
-                    parts = [(low, high, shift - cost, None)]
-                elif high + shift < cost:
-                    parts = [(low, high, shift, None)]
-                else:
-                    edge = cost - shift
-                    parts = [(low, edge - 1, shift, None), (edge, high, shift - cost, None)]
-                for part in parts:
-                    if pieces and pieces[-1][2:] == part[2:]:
-                        pieces[-1] = (pieces[-1][0], part[1], *part[2:])
-                    else:
-                        pieces.append(part)
-        return [first, at, [list(piece) for piece in pieces or []]]
+            stages[-1] = pieces
+            if not narrow and len(pieces) > 2:
+                highest = max(high + shift if constant is None else constant for _, high, shift, constant in pieces)
+                if highest < cost:
+                    narrow = True
+                    pieces = [(0, cost - 1, 0, None)]
+                    stages.append(pieces)
+        return [first, at, stages]
 
     return run
 
@@ -324,12 +339,14 @@ def _bucket_machine(bucket: Bucket) -> Machine:
         return (level, t), (admitted, bucket.tokens(level))
 
     def apply(transfer: list, state: tuple) -> tuple:
-        first, last, pieces = transfer
+        first, last, stages = transfer
         level = refilled(tuple(state), first)
-        for low, high, shift, constant in pieces:
-            if low <= level <= high:
-                return (constant if constant is not None else level + shift), last
-        raise AssertionError("level outside the bucket")
+        for pieces in stages:
+            rule = next((piece for piece in pieces if piece[0] <= level <= piece[1]), None)
+            if rule is None:
+                raise AssertionError("level outside the bucket")
+            level = rule[3] if rule[3] is not None else level + rule[2]
+        return level, last
 
     return Machine(
         columns=("t_us",),
