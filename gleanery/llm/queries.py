@@ -10,7 +10,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gleanery.llm import bytebpe, mixing, piececount
+from gleanery.llm import bytebpe, fingerprint, language, mixing, piececount
 from gleanery.session import durable, ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +26,19 @@ def byte_codec() -> bytebpe.Codec:
     return bytebpe.Codec(bytebpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN)
 
 
+def op2_weighted_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text, and how alike they are."""
+    return fingerprint.with_edited(table(spark, sf_dir, "documents"))
+
+
+def op3_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from the documents outside the held-out fold."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language.train(docs.where(language.fold("doc_id") != 0))
+    found = language.predict(docs, model)
+    return found.select("doc_id", (language.fold("doc_id") == 0).alias("held_out"), "lang_pred", "score", "languages")
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document by the 50k byte-level vocabulary, and what they decode to, as digests."""
     return bytebpe.encode(table(spark, sf_dir, "documents"), byte_codec(), keep_ids=False)
@@ -79,6 +92,8 @@ from running
 
 
 QUERIES: dict[str, tuple[Query, str | None]] = {
+    "op2_weighted_samples": (op2_weighted_samples, None),
+    "op3_language_mixture": (op3_language_mixture, None),
     "op5_byte_bpe": (op5_byte_bpe, None),
     "op7_token_counts": (op7_token_counts, None),
     "op9_source_mix": (op9_source_mix, OP9_SQL),

@@ -14,6 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 SLICE_BYTES = 1 << 20
+MAX_ROWS = 1 << 15
 SHINGLE_WORDS = 5
 
 _U = np.uint64
@@ -58,14 +59,14 @@ def raw(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def slices(batch: pa.RecordBatch, name: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The batch in pieces of about ``limit`` bytes of text, one row at least."""
+    """The batch in pieces of about ``limit`` bytes of text and at most ``MAX_ROWS`` rows, one row at least."""
     if not batch.num_rows:
         return
     ends = raw(column(batch, name))[1][1:]
     start = 0
     while start < len(ends):
         base = ends[start - 1] if start else 0
-        stop = max(start + 1, int(np.searchsorted(ends, base + limit, "right")))
+        stop = min(start + MAX_ROWS, max(start + 1, int(np.searchsorted(ends, base + limit, "right"))))
         yield batch.slice(start, stop - start)
         start = stop
 
@@ -85,20 +86,37 @@ def spans(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray) -> tuple[np.n
     return starts, np.flatnonzero(last) + 1, np.searchsorted(starts, offsets)
 
 
-def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span's bytes."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    sizes = ends - starts
-    begins = np.zeros(len(sizes), np.int64)
-    np.cumsum(sizes[:-1], out=begins[1:])
-    place = np.arange(int(sizes.sum())) - np.repeat(begins, sizes)
-    powers = np.full(int(sizes.max()), _PRIME, np.uint64)
+def _powers(base: int, size: int) -> np.ndarray:
+    powers = np.full(size, base, np.uint64)
     powers[0] = 1
-    np.multiply.accumulate(powers, out=powers)
-    values = _BYTES[data[place + np.repeat(starts, sizes)]]
-    values *= powers[place]
-    return mix(np.add.reduceat(values, begins) + sizes.astype(np.uint64))
+    return np.multiply.accumulate(powers)
+
+
+_INVERSE = pow(int(_PRIME), -1, 1 << 64)
+_UP, _DOWN = _powers(int(_PRIME), SLICE_BYTES), _powers(_INVERSE, SLICE_BYTES)
+
+
+def _hash_some(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Polynomial hashes by one running sum: the terms of a span, scaled back by the power at its start."""
+    base = starts[0]
+    size = int(ends[-1] - base)
+    up, down = (_UP, _DOWN) if size <= SLICE_BYTES else (_powers(int(_PRIME), size), _powers(_INVERSE, size))
+    sums = np.zeros(size + 1, np.uint64)
+    terms = _BYTES[data[base : base + size]]
+    terms *= up[:size]
+    np.cumsum(terms, out=sums[1:])
+    starts, ends = starts - base, ends - base
+    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+
+
+def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each span's bytes; the spans ascend."""
+    found, at = [np.zeros(0, np.uint64)], 0
+    while at < len(starts):
+        stop = max(at + 1, int(np.searchsorted(ends, starts[at] + SLICE_BYTES, "right")))
+        found.append(_hash_some(data, starts[at:stop], ends[at:stop]))
+        at = stop
+    return np.concatenate(found)
 
 
 def word_hashes(texts: pa.Array, kind: np.ndarray = ALNUM, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
@@ -127,14 +145,19 @@ def shingle_hashes(words: np.ndarray, first: np.ndarray, size: int = SHINGLE_WOR
 
 
 def multisets(values: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct values of each text in ascending order, their counts, and each text's first entry."""
-    if not len(values):
-        return values, np.zeros(0, np.int64), np.zeros(len(first), np.int64)
-    owner = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    order = np.lexsort((values, owner))
-    values, owner = values[order], owner[order]
-    new = np.ones(len(values), bool)
-    new[1:] = (values[1:] != values[:-1]) | (owner[1:] != owner[:-1])
+    """Distinct values of each text in ascending order, their counts, and each text's first entry.
+
+    A value is the upper 48 bits of its hash; a slice has fewer than ``MAX_ROWS`` texts, whose number fits
+    into the rest of a word, so that one sort of plain words does it.
+    """
+    texts = len(first) - 1
+    if texts > MAX_ROWS:
+        raise ValueError("too many texts in one slice")
+    keys = np.repeat(np.arange(texts, dtype=np.uint64) << _U(48), np.diff(first)) | (values >> _U(16))
+    keys.sort()
+    new = np.ones(len(keys), bool)
+    new[1:] = keys[1:] != keys[:-1]
     at = np.flatnonzero(new)
-    counts = np.diff(np.append(at, len(values)))
-    return values[at], counts, np.searchsorted(owner[at], np.arange(len(first)))
+    counts = np.diff(np.append(at, len(keys)))
+    keys = keys[at]
+    return keys & _U((1 << 48) - 1), counts, np.searchsorted(keys, np.arange(texts + 1, dtype=np.uint64) << _U(48))
