@@ -10,7 +10,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gleanery.llm import bytebpe, fingerprint, language, mixing, piececount
+from gleanery.llm import bytebpe, fingerprint, language, mixing, permutation, piececount
 from gleanery.session import durable, ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -57,6 +57,13 @@ def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select(F.col("key").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op10_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 vectors of largest inner product for every vector whose id is divisible by 20."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    found = permutation.search(rows, rows.where("vec_id % 20 = 0"), k=20)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
 OP9_SQL = r"""
 with docs as (
   select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size,
@@ -97,6 +104,7 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     "op5_byte_bpe": (op5_byte_bpe, None),
     "op7_token_counts": (op7_token_counts, None),
     "op9_source_mix": (op9_source_mix, OP9_SQL),
+    "op10_permutation_index": (op10_permutation_index, None),
 }
 
 
