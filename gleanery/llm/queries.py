@@ -6,12 +6,13 @@ The SQL beside a query is what its rows must equal; queries without one are test
 from __future__ import annotations
 
 from collections.abc import Callable
+from uuid import uuid4
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gleanery.llm import bytebpe, fingerprint, language, mixing, permutation, piececount
-from gleanery.session import durable, ship_package
+from gleanery.llm import bytebpe, fingerprint, language, mixing, permutation, piececount, warc
+from gleanery.session import durable, shared_dir, ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -26,6 +27,28 @@ def byte_codec() -> bytebpe.Codec:
     return bytebpe.Codec(bytebpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN)
 
 
+def op1_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write all pages as archives into the shared folder, read them back and reassemble them."""
+    path = f"{shared_dir(spark)}/warc-{uuid4().hex}"
+    warc.write(warc.records(warc.captures(table(spark, sf_dir, "pages"))), path)
+    found = durable(warc.reassemble(warc.read(spark, path)))
+    page = lambda c: F.col(c).cast("long")
+    return warc.resolve(found).select(
+        page("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page("refers_to").alias("refers_to")
+    )
+
+
+OP1_SQL = """
+with sized as (
+  select page_id, strlen(coalesce(html, ''))::bigint as payload_bytes, sha256(coalesce(html, '')) as payload_digest from pages),
+firsts as (select payload_digest, min(page_id) as first_id from sized where payload_bytes >= 100 group by 1)
+select page_id, payload_bytes, payload_digest,
+  case when page_id > first_id then 'revisit' else 'response' end as record_type,
+  case when page_id > first_id then first_id end as refers_to
+from sized left join firsts using (payload_digest)
+"""
+
+
 def op2_weighted_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document and of its edited text, and how alike they are."""
     return fingerprint.with_edited(table(spark, sf_dir, "documents"))
@@ -99,6 +122,7 @@ from running
 
 
 QUERIES: dict[str, tuple[Query, str | None]] = {
+    "op1_warc_segments": (op1_warc_segments, OP1_SQL),
     "op2_weighted_samples": (op2_weighted_samples, None),
     "op3_language_mixture": (op3_language_mixture, None),
     "op5_byte_bpe": (op5_byte_bpe, None),
