@@ -11,7 +11,7 @@ from uuid import uuid4
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gleanery.llm import bytebpe, fingerprint, language, mixing, permutation, piececount, warc
+from gleanery.llm import backoff, bytebpe, fingerprint, language, mixing, permutation, piececount, warc
 from gleanery.session import durable, shared_dir, ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -73,6 +73,14 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
         return piececount.count(table(spark, sf_dir, "documents"), model.read(), limit=MAX_TOKENS)
 
 
+def op8_backoff_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probability of every document, learned from the documents outside the held-out fold."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = backoff.score(docs, language.fold("doc_id") != 1)
+    held = (language.fold("doc_id") == 1).alias("held_out")
+    return found.select("doc_id", held, "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that a mix of all documents by source weights takes from each."""
     rows = durable(mixing.sized(table(spark, sf_dir, "documents")))
@@ -127,6 +135,7 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     "op3_language_mixture": (op3_language_mixture, None),
     "op5_byte_bpe": (op5_byte_bpe, None),
     "op7_token_counts": (op7_token_counts, None),
+    "op8_backoff_automaton": (op8_backoff_automaton, None),
     "op9_source_mix": (op9_source_mix, OP9_SQL),
     "op10_permutation_index": (op10_permutation_index, None),
 }
