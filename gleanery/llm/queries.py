@@ -11,7 +11,7 @@ from uuid import uuid4
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gleanery.llm import backoff, bytebpe, fingerprint, language, mixing, permutation, piececount, warc
+from gleanery.llm import backoff, bagminhash, bytebpe, fingerprint, language, mixing, permutation, piececount, warc
 from gleanery.session import durable, shared_dir, ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -67,6 +67,11 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bytebpe.encode(table(spark, sf_dir, "documents"), byte_codec(), keep_ids=False)
 
 
+def op6_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate class of every document."""
+    return bagminhash.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id")
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document by the 32k piece vocabulary."""
     with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as model:
@@ -134,6 +139,7 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     "op2_weighted_samples": (op2_weighted_samples, None),
     "op3_language_mixture": (op3_language_mixture, None),
     "op5_byte_bpe": (op5_byte_bpe, None),
+    "op6_bag_minhash": (op6_bag_minhash, None),
     "op7_token_counts": (op7_token_counts, None),
     "op8_backoff_automaton": (op8_backoff_automaton, None),
     "op9_source_mix": (op9_source_mix, OP9_SQL),
