@@ -305,3 +305,27 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold:
     first = F.col("key").eqNullSafe(F.col("lead.key")) & (F.col("tag") == F.col("lead.tag"))
     columns = ["key", "tag", F.col("lead.key").alias("class_id"), first.alias("head")]
     return whole.select(*columns).union(alone.select(*columns)).withColumnRenamed("key", key)
+
+
+def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The documents, with all their columns, that stand for their class: one of each.
+
+    What goes is found by id and text hash, so that texts move only where that list is too long to broadcast. Of
+    rows that repeat both, one stays.
+    """
+    named = durable(classes(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")), threshold=threshold))
+    gone = named.where(~F.col("head")).select(F.col("doc_id").alias("__key"), F.col("tag").alias("__tag"))
+    again = (
+        named.where("head").groupBy("doc_id", "tag").agg(F.count("*").alias("n")).where("n > 1")
+        .select(F.col("doc_id").alias("__key"), F.col("tag").alias("__tag"))
+    )
+    # the row as a whole keeps its columns apart from those added here
+    rows = docs.select(F.struct("*").alias("__row"), F.col(key).alias("__k"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("__t"))
+    same = F.col("__k").eqNullSafe(F.col("__key")) & (F.col("__t") == F.col("__tag"))
+    kept = rows.join(broadcast_if_small(durable(gone.distinct())), same, "left_anti")
+    again = durable(again)
+    if again.isEmpty():
+        return kept.select("__row.*")
+    again = broadcast_if_small(again)
+    single = kept.join(again, same, "left_semi").dropDuplicates(["__k", "__t"])
+    return kept.join(again, same, "left_anti").union(single).select("__row.*")

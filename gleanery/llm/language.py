@@ -187,6 +187,19 @@ def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "tex
     return rows.mapInArrow(run, f"key {kind}, lang_pred string, score double, languages array<string>").withColumnRenamed("key", key)
 
 
+def keep(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """The documents, with all their columns, whose language is not ``und``."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in words.slices(batch, text):
+                names, _, _ = shared.value.predict(words.column(part, text))
+                yield part.filter(pa.array([name != UNKNOWN for name in names], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def fold(key: str, folds: int = 5):
     """crc32 of the id as text, modulo ``folds``; a null id is the empty text."""
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % folds

@@ -122,3 +122,11 @@ def apply(rows: DataFrame, made: DataFrame, source: str = "source", hashed: str
     return joined.withColumns(
         {"source_size": F.col("__source_size"), "target": F.col("__target"), "copies": F.col("__copies") + more}
     ).drop(*[f"__{c}" for c in made.columns])
+
+
+def mixed(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights=WEIGHTS, most: int = MAX_COPIES) -> DataFrame:
+    """The documents, with all their columns, as often as the mix takes them."""
+    made = plan(durable(sized(docs, key, text, source)), weights, most)
+    rows = docs.select(F.struct("*").alias("__row"), F.col(source).alias("__from"), document_hash(key).alias("__at"))
+    taken = apply(rows, made, "__from", "__at").where("copies > 0")
+    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("__row.*")

@@ -11,7 +11,7 @@ from uuid import uuid4
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gleanery.llm import backoff, bagminhash, bytebpe, fingerprint, language, mixing, permutation, piececount, warc
+from gleanery.llm import backoff, bagminhash, bytebpe, fingerprint, language, licenses, mixing, permutation, piececount, warc
 from gleanery.session import durable, shared_dir, ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -62,6 +62,12 @@ def op3_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (language.fold("doc_id") == 0).alias("held_out"), "lang_pred", "score", "languages")
 
 
+def op4_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences of every document, by sentence rules."""
+    found = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_sentences", F.array_join("licenses", ",").alias("licenses"))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document by the 50k byte-level vocabulary, and what they decode to, as digests."""
     return bytebpe.encode(table(spark, sf_dir, "documents"), byte_codec(), keep_ids=False)
@@ -138,6 +144,7 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     "op1_warc_segments": (op1_warc_segments, OP1_SQL),
     "op2_weighted_samples": (op2_weighted_samples, None),
     "op3_language_mixture": (op3_language_mixture, None),
+    "op4_license_rules": (op4_license_rules, licenses.sql()),
     "op5_byte_bpe": (op5_byte_bpe, None),
     "op6_bag_minhash": (op6_bag_minhash, None),
     "op7_token_counts": (op7_token_counts, None),
