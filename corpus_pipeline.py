@@ -20,7 +20,7 @@ from gleanery.session import shared_dir, ship_package
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the labelled ones teach; those without a letter go."""
     ship_package(spark)
-    return language.keep(docs, language.train(docs))
+    return language.keep(docs, language.train(docs.where(language.fold("doc_id") != 0)))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
