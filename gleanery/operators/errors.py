@@ -67,9 +67,9 @@ def circuit_open(replayed: DataFrame) -> DataFrame:
     )
 
 
-def rate_limited(waited: DataFrame) -> DataFrame:
-    """One record per attempt that gave up waiting for the rate limiter."""
-    return waited.where(F.col("timed_out")).select(
+def rate_limited(admissions: DataFrame) -> DataFrame:
+    """One record per attempt that the rate limiter did not admit."""
+    return admissions.where(~F.col("admitted")).select(
         "id",
         "site",
         F.struct(

@@ -20,18 +20,19 @@ import json
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from fractions import Fraction
+from functools import cache
+from itertools import chain
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from gleanery.session import durable
+from gleanery.session import broadcast_if_small, durable
 
 MICROS = 1_000_000
 
 # Limiter, breaker and retry defaults.
 REQUESTS_PER_SECOND = 2.0
 BURST_SECONDS = 10
-POLL_SEC = Fraction(1, 10)
 FAILURE_THRESHOLD, RECOVERY_SEC, SUCCESS_THRESHOLD = 5, 60.0, 2
 RETRYABLE = (
     "TimeoutException",
@@ -72,7 +73,6 @@ RETRYABLE_SUBCLASSES = (
     "NoSuchDriverException",
 )
 POLICIES = {"standard": (3, 0.5, 0.5, 4.0), "aggressive": (5, 0.3, 0.3, 8.0)}
-SPECULATIVE_ROUNDS = 3
 ROWS_PER_CHUNK, MIN_ROWS_PER_CHUNK = 4_000_000, 5_000
 JITTER, WAIT_FLOOR = 0.25, 0.1
 
@@ -121,6 +121,8 @@ def _runs(batches: Iterator[pd.DataFrame], machine: Machine) -> Iterator[tuple[s
         for _ in run:  # whatever the consumer left
             pass
 
+# no site, not even a null one
+_NOWHERE = object()
 _SUMMARY = "chunk INT, first_site STRING, last_site STRING, transfer STRING, last_exit STRING"
 
 
@@ -136,9 +138,10 @@ def _summarize(machine: Machine):
                     chunk = int(batch["chunk"].iloc[0])
                 yield batch
 
-        first = last = transfer = exit_state = None
+        first = _NOWHERE
+        last = transfer = exit_state = None
         for site, rows in _runs(noted(), machine):
-            if first is None:
+            if first is _NOWHERE:
                 first, transfer = site, machine.transfer(rows)
             else:
                 state = machine.start()
@@ -146,7 +149,7 @@ def _summarize(machine: Machine):
                     state, _ = machine.step(state, row)
                 exit_state = state
             last = site
-        if first is not None:
+        if first is not _NOWHERE:
             yield pd.DataFrame(
                 {
                     "chunk": [chunk],
@@ -163,7 +166,7 @@ def _summarize(machine: Machine):
 def _chain(summaries: Iterator, machine: Machine) -> dict[int, tuple]:
     """Entry state of every chunk's first site; one small record per chunk passes by, in order."""
 
-    entries, site, state = {}, None, None
+    entries, site, state = {}, _NOWHERE, None
     for row in summaries:
         entry = state if row["first_site"] == site else machine.start()
         entries[row["chunk"]] = entry
@@ -179,7 +182,7 @@ def _replay(machine: Machine, entries: dict[int, tuple]):
     names = [part.split()[0] for part in machine.output.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        site, state = None, None
+        site, state = _NOWHERE, None
         for batch in batches:
             out = []
             for chunk, name, *values in zip(
@@ -189,7 +192,7 @@ def _replay(machine: Machine, entries: dict[int, tuple]):
                 strict=True,
             ):
                 if name != site:
-                    state = entries[chunk] if site is None else machine.start()
+                    state = entries[chunk] if site is _NOWHERE else machine.start()
                     site = name
                 state, result = machine.step(state, values)
                 out.append(result)
@@ -236,6 +239,14 @@ def replay(log: DataFrame, machine: Machine, chunks: int | None = None) -> DataF
 
 # --- token bucket ------------------------------------------------------------------------
 
+def _simple(rate: float) -> Fraction:
+    """The simplest of ever finer fractions that is the rate to double precision, however slow it is."""
+    exact, limit = Fraction(rate), 10**6
+    while abs((near := exact.limit_denominator(limit)) - exact) > abs(exact) / 10**13:
+        limit *= 10**3
+    return near
+
+
 @dataclass(frozen=True)
 class Bucket:
     """A token bucket in whole numbers: one token is ``unit`` quanta, a microsecond adds ``gain``."""
@@ -247,14 +258,14 @@ class Bucket:
 
     @classmethod
     def of(cls, capacity: int, rate: float, tokens: int = 1) -> Bucket:
-        per_micro = Fraction(rate).limit_denominator(10**6) / MICROS
+        per_micro = _simple(rate) / MICROS
         return cls(capacity * per_micro.denominator, per_micro.numerator, per_micro.denominator, tokens * per_micro.denominator)
 
     def tokens(self, level: int) -> float:
         return level / self.unit
 
 
-def _bucket_transfer(bucket: Bucket) -> Callable[[Iterator[tuple]], list]:
+def _bucket_stages(bucket: Bucket, times: Iterator[int]) -> list:
     """Stages of pieces ``(entry from, entry to, shift or None, constant)`` of the level function.
 
     All entry levels are followed at once: intervals that decide alike stay together, a full
@@ -301,46 +312,53 @@ def _bucket_transfer(bucket: Bucket) -> Callable[[Iterator[tuple]], list]:
                     out.append(part)
         return out
 
-    def run(rows: Iterator[tuple]) -> list:
-        # the gap before the first row belongs to the entry state; levels count from that row
-        pieces = [(0, capacity, 0, None)]
-        stages = [pieces]
-        first = at = None
-        narrow = capacity < cost
-        for (t,) in rows:
-            first, at = (t, t) if at is None else (first, at)
-            pieces = consume(refill(pieces, (t - at) * bucket.gain))
-            at = t
-            stages[-1] = pieces
-            if not narrow and len(pieces) > 2:
-                highest = max(high + shift if constant is None else constant for _, high, shift, constant in pieces)
-                if highest < cost:
-                    narrow = True
-                    pieces = [(0, cost - 1, 0, None)]
-                    stages.append(pieces)
-        return [first, at, stages]
-
-    return run
-
-
-def _bucket_machine(bucket: Bucket) -> Machine:
-    """State: (level, time of the last event or None)."""
-
-    def refilled(state: tuple, t: int) -> int:
+    # the gap before the first row belongs to the entry state; levels count from that row
+    pieces = [(0, capacity, 0, None)]
+    stages = [pieces]
+    first = at = None
+    narrow = capacity < cost
+    for t in times:
+        first, at = (t, t) if at is None else (first, at)
+        pieces = consume(refill(pieces, (t - at) * bucket.gain))
+        at = t
+        stages[-1] = pieces
+        if not narrow and len(pieces) > 2:
+            highest = max(high + shift if constant is None else constant for _, high, shift, constant in pieces)
+            if highest < cost:
+                narrow = True
+                pieces = [(0, cost - 1, 0, None)]
+                stages.append(pieces)
+    return [first, at, stages]
+
+
+@cache
+def _bucket(capacity: int, rate: float, tokens: int) -> Bucket:
+    return Bucket.of(capacity, rate, tokens)
+
+
+def _bucket_machine(tokens: int) -> Machine:
+    """State: (level or None while full, time of the last event or None). A site's rows carry its parameters."""
+    def refilled(bucket: Bucket, state: tuple, t: int) -> int:
         level, at = state
-        return level if at is None else min(bucket.capacity, level + (t - at) * bucket.gain)
+        return bucket.capacity if level is None else min(bucket.capacity, level + (t - at) * bucket.gain)
 
     def step(state: tuple, row: tuple) -> tuple[tuple, tuple]:
-        (t,) = row
-        level = refilled(state, t)
+        t, capacity, rate = row
+        bucket = _bucket(capacity, rate, tokens)
+        level = refilled(bucket, state, t)
         admitted = level >= bucket.cost
         if admitted:
             level -= bucket.cost
         return (level, t), (admitted, bucket.tokens(level))
 
+    def transfer(rows: Iterator[tuple]) -> list:
+        t, capacity, rate = next(rows)
+        times = chain([t], (row[0] for row in rows))
+        return [*_bucket_stages(_bucket(capacity, rate, tokens), times), capacity, rate]
+
     def apply(transfer: list, state: tuple) -> tuple:
-        first, last, stages = transfer
-        level = refilled(tuple(state), first)
+        first, last, stages, capacity, rate = transfer
+        level = refilled(_bucket(capacity, rate, tokens), tuple(state), first)
         for pieces in stages:
             rule = next((piece for piece in pieces if piece[0] <= level <= piece[1]), None)
             if rule is None:
@@ -349,11 +367,11 @@ def _bucket_machine(bucket: Bucket) -> Machine:
         return level, last
 
     return Machine(
-        columns=("t_us",),
+        columns=("t_us", "limit_capacity", "limit_rate"),
         output="admitted boolean, tokens_after double",
-        start=lambda: (bucket.capacity, None),
+        start=lambda: (None, None),
         step=step,
-        transfer=_bucket_transfer(bucket),
+        transfer=transfer,
         apply=apply,
     )
 
@@ -376,149 +394,31 @@ def token_bucket(
     rate: float = REQUESTS_PER_SECOND,
     tokens: int = 1,
     chunks: int | None = None,
+    limits: DataFrame | None = None,
 ) -> DataFrame:
     """Admission per attempt, drop mode: adds ``admitted, tokens_after``.
 
     The bucket starts full, refills with time, and an attempt that finds too few tokens
-    changes nothing but the clock.
+    changes nothing but the clock. ``limits(site, fill_rate, capacity)``, as of
+    :func:`limiter_defaults`, gives sites their own parameters; the others have ``capacity``
+    and ``rate``. A null site is a site of its own.
     """
     size = default_capacity(rate) if capacity is None else capacity
+    if limits is None:
+        own = attempts.withColumns({"limit_capacity": F.lit(size), "limit_rate": F.lit(float(rate))})
+    else:
+        table = limits.groupBy(F.col("site").alias("limit_site")).agg(
+            F.max("capacity").cast("int").alias("limit_capacity"), F.max("fill_rate").cast("double").alias("limit_rate")
+        )
+        own = attempts.join(broadcast_if_small(table), F.col("site").eqNullSafe(F.col("limit_site")), "left").drop("limit_site")
+        own = own.withColumns(
+            {"limit_capacity": F.coalesce("limit_capacity", F.lit(size)), "limit_rate": F.coalesce("limit_rate", F.lit(float(rate)))}
+        )
     if attempts.isStreaming:
         from gleanery.streaming.stateful import token_bucket_stream
 
-        return token_bucket_stream(attempts, size, rate, tokens)
-    return replay(attempts, _bucket_machine(Bucket.of(size, rate, tokens)), chunks)
-
-
-# --- waiting mode ------------------------------------------------------------------------
-
-def _wait_step(bucket: Bucket, timeout_us: int | None) -> Callable[[tuple, int], tuple[tuple, tuple]]:
-    """One attempt that polls until it gets its tokens or gives up; state (level, clock)."""
-    poll = int(POLL_SEC * MICROS)
-
-    def step(state: tuple, t: int) -> tuple[tuple, tuple]:
-        level, clock = state
-        begin = t if clock is None else max(t, clock)
-        if clock is not None:
-            level = min(bucket.capacity, level + (begin - clock) * bucket.gain)
-        short = bucket.cost - level
-        if short <= 0:
-            polls = 0
-        elif bucket.cost > bucket.capacity or bucket.gain == 0:
-            polls = None
-        else:
-            polls = -(-short // (bucket.gain * poll))
-        last_poll = None if timeout_us is None else -(-timeout_us // poll)
-        gave_up = polls is None or (last_poll is not None and polls > last_poll)
-        if gave_up and last_poll is None:
-            raise ValueError("an attempt that needs more tokens than the bucket holds waits forever: set a timeout")
-        waited = (last_poll if gave_up else polls) * poll
-        level = min(bucket.capacity, level + waited * bucket.gain)
-        if not gave_up:
-            level -= bucket.cost
-        return (level, begin + waited), (not gave_up, gave_up, waited / MICROS, (begin - t) / MICROS, bucket.tokens(level))
-
-    return step
-
-_WAIT_OUTPUT = "admitted boolean, timed_out boolean, wait_sec double, queued_sec double, tokens_after double"
-
-
-def token_bucket_wait(
-    attempts: DataFrame,
-    capacity: int | None = None,
-    rate: float = REQUESTS_PER_SECOND,
-    tokens: int = 1,
-    timeout_sec: float | None = None,
-    chunks: int | None = None,
-) -> DataFrame:
-    """Admission per attempt, waiting mode: a site's attempts queue, each polls every 0.1 s.
-
-    An attempt starts when the one before it is through. It gives up at the first failed poll
-    at or past ``timeout_sec``. Adds ``admitted, timed_out, wait_sec, queued_sec, tokens_after``.
-
-    A chunk cannot list its exit for every possible backlog, so entry states are guessed (an
-    idle site) and checked: chunks whose guess proves wrong run again. Where queues empty
-    within a chunk, two rounds settle everything. For a site whose queue never empties, later
-    rounds run only the first unsettled chunk, so the work stays proportional to the log.
-    """
-    size = default_capacity(rate) if capacity is None else capacity
-    bucket = Bucket.of(size, rate, tokens)
-    timeout_us = None if timeout_sec is None else round(timeout_sec * MICROS)
-    if attempts.isStreaming:
-        from gleanery.streaming.stateful import token_bucket_wait_stream
-
-        return token_bucket_wait_stream(attempts, bucket, timeout_us)
-    advance = _wait_step(bucket, timeout_us)
-    idle = (bucket.capacity, None)
-
-    laid_out = chunked(attempts, chunks)
-    narrow = laid_out.select("chunk", "site", "t_us")
-
-    def exits(known: dict[int, tuple]):
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            first = site = state = chunk = None
-            for batch in batches:
-                for number, name, t in zip(batch["chunk"].tolist(), batch["site"].tolist(), batch["t_us"].tolist(), strict=True):
-                    if name != site:
-                        if site is None:
-                            first, chunk = name, number
-                            state = known.get(number, idle)
-                        else:
-                            state = idle
-                        site = name
-                    state, _ = advance(state, t)
-            if chunk is not None:
-                yield pd.DataFrame(
-                    {"chunk": [chunk], "first_site": [first], "last_site": [site], "level": [state[0]], "clock": [state[1]]}
-                )
-
-        return run
-
-    schema = "chunk int, first_site string, last_site string, level bigint, clock bigint"
-    found: dict[int, tuple] = {}
-    entries: dict[int, tuple] = {}
-    pending: list[int] | None = None
-    rounds = 0
-    while pending is None or pending:
-        todo = narrow if pending is None else narrow.where(F.col("chunk").isin(pending))
-        for row in todo.mapInPandas(exits(dict(entries)), schema).toLocalIterator():
-            found[row["chunk"]] = (row["first_site"], row["last_site"], (row["level"], row["clock"]))
-        rounds += 1
-        pending, previous, settled = [], None, True
-        for chunk in sorted(found):
-            first, last, out = found[chunk]
-            follows = previous is not None and previous[0] == first
-            entry = previous[1] if follows else idle
-            settled = settled or not follows
-            if entry != entries.get(chunk, idle) and (settled or rounds <= SPECULATIVE_ROUNDS):
-                entries[chunk] = entry
-                # the exit of a chunk that also holds another site does not depend on its entry
-                if first == last:
-                    pending.append(chunk)
-                    settled = False
-            elif not settled:
-                settled = first != last
-            else:
-                settled = True
-            previous = (last, out)
-
-    def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        site = state = None
-        names = [part.split()[0] for part in _WAIT_OUTPUT.split(", ")]
-        for batch in batches:
-            out = []
-            for number, name, t in zip(batch["chunk"].tolist(), batch["site"].tolist(), batch["t_us"].tolist(), strict=True):
-                if name != site:
-                    state = entries.get(number, idle) if site is None else idle
-                    site = name
-                state, result = advance(state, t)
-                out.append(result)
-            yield pd.concat(
-                [batch.drop(columns=["chunk", "t_us"]).reset_index(drop=True), pd.DataFrame(out, columns=names, dtype=object)], axis=1
-            )
-
-    kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in laid_out.schema if f.name not in ("chunk", "t_us")]
-    return laid_out.mapInPandas(emit, ", ".join([*kept, _WAIT_OUTPUT]))
+        return token_bucket_stream(own, tokens)
+    return replay(own, _bucket_machine(tokens), chunks).drop("limit_capacity", "limit_rate")
 
 
 # --- circuit breaker ---------------------------------------------------------------------

@@ -10,7 +10,6 @@ from gleanery.plans import views as V
 CAPACITY, RATE = 5, 1 / 3600
 RECOVERY_SEC = 6 * 3600
 _BROKEN = ("error", "view")
-_WAIT_TIMEOUT_SEC = 1800
 
 _KINDS = ", ".join(f"'{name}'" for name in V.EXCEPTIONS)
 
@@ -48,45 +47,64 @@ run as (
 TOKEN_BUCKET = f"{_BUCKET} select id, site, admitted, round(level / {_UNIT}, 6) as tokens_after from run"
 
 
-def token_bucket_wait(spark: SparkSession, sf_dir: str) -> DataFrame:
-    waited = R.token_bucket_wait(
-        V.attempts(spark, sf_dir).select("id", "site", "ts"), CAPACITY, RATE, timeout_sec=_WAIT_TIMEOUT_SEC
-    )
-    return waited.select(
-        "id", "site", "admitted", "timed_out", F.round("wait_sec", 3).alias("wait_sec"), F.round("queued_sec", 3).alias("queued_sec")
+def token_bucket_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every site by its own limits: even ones as above, odd ones with three tokens and half the rate."""
+    log = V.attempts(spark, sf_dir).select("id", "site", "ts")
+    odd = F.col("site").substr(6, 9).cast("int") % 2 == 1
+    limits = log.select("site").distinct().select(
+        "site", F.when(odd, RATE / 2).otherwise(RATE).alias("fill_rate"), F.when(odd, 3).otherwise(CAPACITY).alias("capacity")
     )
+    replayed = R.token_bucket(log, limits=limits)
+    return replayed.select("id", "site", "admitted", F.round("tokens_after", 6).alias("tokens_after"))
 
 
-_WAIT = f"""
-with recursive {attempts_sql()}, {_SEQUENCE},
+# a token is 7.2e9 quanta; a microsecond adds one or two
+_SITES = f"""
+with recursive {attempts_sql()},
+own as (
+  select *, split_part(site, '_', 2)::int % 2 = 1 as odd, row_number() over (partition by site order by us, id) k from att),
+seq as (
+  select *, (case when odd then 3 else {CAPACITY} end)::bigint * {2 * _UNIT} as room, case when odd then 1 else 2 end as gain from own),
 run as (
-  select id, site, step, k, us as clock, ({CAPACITY}::bigint - 1) * {_UNIT} as level, 0::bigint as polls, false as timed_out, 0::bigint as queued
-  from seq where k = 1
+  select id, site, k, us, true as admitted, room - {2 * _UNIT} as level from seq where k = 1
   union all
-  select id, site, step, k, start + least(need, {_WAIT_TIMEOUT_SEC * 10}) * 100000,
-    least({CAPACITY} * {_UNIT}, have + least(need, {_WAIT_TIMEOUT_SEC * 10}) * 100000) - case when need <= {_WAIT_TIMEOUT_SEC * 10} then {_UNIT} else 0 end,
-    least(need, {_WAIT_TIMEOUT_SEC * 10}), need > {_WAIT_TIMEOUT_SEC * 10}, start - us
-  from (select s.id, s.site, s.step, s.k, s.us, greatest(s.us, r.clock) as start,
-      least({CAPACITY} * {_UNIT}, r.level + greatest(s.us - r.clock, 0)) as have,
-      greatest(({_UNIT} - least({CAPACITY} * {_UNIT}, r.level + greatest(s.us - r.clock, 0)) + 99999) // 100000, 0) as need
-    from run r join seq s on s.site = r.site and s.k = r.k + 1))
-"""
-TOKEN_BUCKET_WAIT = f"""
-{_WAIT} select id, site, not timed_out as admitted, timed_out, round(polls / 10, 3) as wait_sec, round(queued / 1000000, 3) as queued_sec from run
+  select s.id, s.site, s.k, s.us, least(s.room, r.level + (s.us - r.us) * s.gain) >= {2 * _UNIT},
+    least(s.room, r.level + (s.us - r.us) * s.gain)
+      - case when least(s.room, r.level + (s.us - r.us) * s.gain) >= {2 * _UNIT} then {2 * _UNIT} else 0 end
+  from run r join seq s on s.site = r.site and s.k = r.k + 1)
 """
+TOKEN_BUCKET_SITES = f"{_SITES} select id, site, admitted, round(level / {2 * _UNIT}, 6) as tokens_after from run"
 
 
-def rate_limit_timeouts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    waited = R.token_bucket_wait(
-        V.attempts(spark, sf_dir).select("id", "site", "step", "ts"), CAPACITY, RATE, timeout_sec=_WAIT_TIMEOUT_SEC
-    )
-    return errors.rate_limited(waited).select(
+def rate_limit_refusals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    admissions = R.token_bucket(V.attempts(spark, sf_dir).select("id", "site", "step", "ts"), CAPACITY, RATE)
+    return errors.rate_limited(admissions).select(
         "id", "site", "error.type", "error.message", F.col("error.context.step").alias("step")
     )
 
 
-RATE_LIMIT_TIMEOUTS = f"""
-{_WAIT} select id, site, 'ExtractionError' as type, 'Rate limit timeout for step ''' || step || '''' as message, step from run where timed_out
+RATE_LIMIT_REFUSALS = f"""
+{_BUCKET} select id, att.site, 'ExtractionError' as type, 'Rate limit timeout for step ' || chr(39) || step || chr(39) as message, step
+from run join att using (id) where not admitted
+"""
+
+
+def slow_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One token a month: a site's bucket gives its first tokens and refills all the same."""
+    replayed = R.token_bucket(V.attempts(spark, sf_dir).select("id", "site", "ts"), 2, 1 / (30 * 86_400))
+    return replayed.select("id", "site", "admitted", F.round("tokens_after", 9).alias("tokens_after"))
+
+
+_MONTH = 30 * 86_400 * 1_000_000
+SLOW_BUCKET = f"""
+with recursive {attempts_sql()}, {_SEQUENCE},
+run as (
+  select id, site, k, us, true as admitted, {_MONTH}::bigint as level from seq where k = 1
+  union all
+  select s.id, s.site, s.k, s.us, least({2 * _MONTH}, r.level + s.us - r.us) >= {_MONTH},
+    least({2 * _MONTH}, r.level + s.us - r.us) - case when least({2 * _MONTH}, r.level + s.us - r.us) >= {_MONTH} then {_MONTH} else 0 end
+  from run r join seq s on s.site = r.site and s.k = r.k + 1)
+select id, site, admitted, round(level / {_MONTH}, 9) as tokens_after from run
 """
 
 
@@ -281,8 +299,9 @@ from plan qualify row_number() over (partition by site, step, job_id order by at
 
 QUERIES = {
     "token_bucket": (token_bucket, TOKEN_BUCKET),
-    "token_bucket_wait": (token_bucket_wait, TOKEN_BUCKET_WAIT),
-    "rate_limit_timeouts": (rate_limit_timeouts, RATE_LIMIT_TIMEOUTS),
+    "token_bucket_sites": (token_bucket_sites, TOKEN_BUCKET_SITES),
+    "slow_bucket": (slow_bucket, SLOW_BUCKET),
+    "rate_limit_refusals": (rate_limit_refusals, RATE_LIMIT_REFUSALS),
     "limiter_defaults": (limiter_defaults, LIMITER_DEFAULTS),
     "breaker_replay": (breaker_replay, BREAKER_REPLAY),
     "breaker_transitions": (breaker_transitions, BREAKER_TRANSITIONS),

@@ -44,28 +44,28 @@ class _OrderedFold(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.state = handle.getValueState("state", self.state_schema)
-        self.buffer = handle.getListState("buffer", "t_us bigint, id bigint, ok boolean")
+        self.buffer = handle.getListState("buffer", "t_us bigint, id bigint, ok boolean, capacity int, rate double")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         added = []
         for batch in rows:
-            added += list(zip(batch["t_us"].tolist(), batch["id"].tolist(), batch["ok"].tolist(), strict=True))
+            added += list(zip(*(batch[c].tolist() for c in ("t_us", "id", "ok", "limit_capacity", "limit_rate")), strict=True))
         if added:
             self.buffer.appendList(added)
-            self.handle.registerTimer(_timer(min(t for t, _, _ in added)))
+            self.handle.registerTimer(_timer(min(row[0] for row in added)))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         watermark_us = timerValues.getCurrentWatermarkInMs() * 1000
-        held = sorted((int(t), int(i), bool(ok)) for t, i, ok in self.buffer.get())
+        held = sorted((int(t), int(i), bool(ok), int(size), float(rate)) for t, i, ok, size, rate in self.buffer.get())
         ready = [row for row in held if row[0] <= watermark_us]
         rest = held[len(ready) :]
         out = []
         state = tuple(self.state.get()) if self.state.exists() else self.start
-        for t, number, ok in ready:
+        for t, number, ok, size, rate in ready:
             if self.wake and (due := self.wake(state)) is not None and due <= t:
                 out.append((key[0], None, due, *self.woken(state)))
-            state, result = self.step(state, (t, ok))
+            state, result = self.step(state, (t, ok, size, rate))
             out.append((key[0], number, t, *result))
         if ready:
             self.state.update(state)
@@ -90,8 +90,13 @@ def _fold(
     attempts: DataFrame, processor: _OrderedFold, output: str, watermark: str
 ) -> DataFrame:
     use_rocksdb(attempts.sparkSession)
+    known = set(attempts.columns)
+    limits = [
+        F.col(name) if name in known else F.lit(0).cast(kind).alias(name)
+        for name, kind in (("limit_capacity", "int"), ("limit_rate", "double"))
+    ]
     narrow = attempts.withWatermark("ts", watermark).select(
-        "site", "ts", F.unix_micros("ts").alias("t_us"), "id", F.coalesce("ok", F.lit(False)).alias("ok")
+        "site", "ts", F.unix_micros("ts").alias("t_us"), "id", F.coalesce("ok", F.lit(False)).alias("ok"), *limits
     )
     folded = narrow.groupBy("site").transformWithStateInPandas(
         processor,
@@ -102,33 +107,21 @@ def _fold(
     return folded.withColumn("ts", F.timestamp_micros("t_us")).drop("t_us")
 
 
-def token_bucket_stream(
-    attempts: DataFrame, capacity: int, rate: float, tokens: int = 1, watermark: str = WATERMARK
-) -> DataFrame:
-    """``(site, id, ts, admitted, tokens_after)`` in the order of time per site."""
-    machine = rel._bucket_machine(rel.Bucket.of(capacity, rate, tokens))
-    processor = _OrderedFold(
-        (machine.start()[0], None),
-        lambda state, row: machine.step(tuple(state), row[:1]),
-        "level bigint, at bigint",
-        ["admitted", "tokens_after"],
-    )
-    return _fold(attempts, processor, machine.output, watermark)
+def token_bucket_stream(attempts: DataFrame, tokens: int = 1, watermark: str = WATERMARK) -> DataFrame:
+    """``(site, id, ts, admitted, tokens_after)`` in the order of time per site.
 
+    Every attempt carries its site's ``limit_capacity`` and ``limit_rate``. Levels are whole
+    numbers of any size and are kept as text.
+    """
+    machine = rel._bucket_machine(tokens)
 
-def token_bucket_wait_stream(
-    attempts: DataFrame, bucket: rel.Bucket, timeout_us: int | None, watermark: str = WATERMARK
-) -> DataFrame:
-    """Waiting mode: the columns of the batch operator plus ``site, id, ts``."""
-    advance = rel._wait_step(bucket, timeout_us)
-    names = [part.split()[0] for part in rel._WAIT_OUTPUT.split(", ")]
-    processor = _OrderedFold(
-        (bucket.capacity, None),
-        lambda state, row: advance(tuple(state), row[0]),
-        "level bigint, clock bigint",
-        names,
-    )
-    return _fold(attempts, processor, rel._WAIT_OUTPUT, watermark)
+    def step(state: tuple, row: tuple) -> tuple[tuple, tuple]:
+        level, at = state
+        (level, at), result = machine.step((None if level is None else int(level), at), (row[0], row[2], row[3]))
+        return (str(level), at), result
+
+    processor = _OrderedFold((None, None), step, "level string, at bigint", ["admitted", "tokens_after"])
+    return _fold(attempts, processor, machine.output, watermark)
 
 
 def breaker_stream(

@@ -95,16 +95,6 @@ def test_breaker_chunks_equal_fold(spark, seed, gap_us, fail, chunks):
     assert {r["permitted"] for r in got} == {True, False}
 
 
-@pytest.mark.parametrize(("rate", "timeout", "chunks"), [(1.0, 5.0, 8), (0.3, 60.0, 12), (0.1, 3.0, 11), (4.0, 5.0, 20)])
-def test_wait_chunks_do_not_change_the_result(spark, rate, timeout, chunks):
-    """Idle, loaded and never-empty queues."""
-    log = _log(spark, _random_rows(7, 1200, 0.7, 300_000))
-    one = R.token_bucket_wait(log, 3, rate, 1, timeout, chunks=1).orderBy("id").collect()
-    many = R.token_bucket_wait(log, 3, rate, 1, timeout, chunks=chunks).orderBy("id").collect()
-    assert one == many
-    assert any(r["wait_sec"] > 0 or r["queued_sec"] > 0 for r in one)
-
-
 def _times(*seconds):
     return [("s", round(s * 1e6), True) for s in seconds]
 
@@ -119,11 +109,32 @@ def test_bucket_examples(spark):
     assert [r["admitted"] for r in got] == [True] * 10 + [False, True, True]
 
 
-def test_wait_examples(spark):
-    got = R.token_bucket_wait(_log(spark, _times(*[0] * 6)), 5, 10.0, 1, 1.0).orderBy("id").collect()
-    assert (got[5]["admitted"], got[5]["wait_sec"]) == (True, 0.1)
-    got = R.token_bucket_wait(_log(spark, _times(0, 0)), 5, 1.0, 10, 0.1).collect()
-    assert all(r["timed_out"] and r["wait_sec"] == 0.1 for r in got)
+def test_slow_rates_refill(spark):
+    month = 30 * 86_400
+    rows = _times(0, 0, 0, month / 2, month, 2 * month)
+    got = R.token_bucket(_log(spark, rows), 2, 1 / month, chunks=3).orderBy("id").collect()
+    assert [r["admitted"] for r in got] == [True, True, False, False, True, True]
+    assert R.Bucket.of(5, 1 / month).gain > 0
+
+
+def test_sites_have_their_own_limits(spark):
+    rows = [(site, round(k * 1e5), True) for k in range(400) for site in ("a", "b", None)]
+    limits = spark.createDataFrame([("a", 1.0, 3), (None, 0.5, 2)], "site string, fill_rate double, capacity int")
+    got = R.token_bucket(_log(spark, rows), 7, 2.0, limits=limits, chunks=7).collect()
+    want = {}
+    for site, size, rate in (("a", 3, 1.0), ("b", 7, 2.0), (None, 2, 0.5)):
+        own = [(n, ("s", us, ok)) for n, (name, us, ok) in enumerate(rows) if name == site]
+        found = _sequential_bucket([r for _, r in own], size, rate)
+        want |= {n: found[k][0] for k, (n, _) in enumerate(own)}
+    assert {r["id"]: r["admitted"] for r in got} == want
+    assert "limit_rate" not in R.token_bucket(_log(spark, rows), 7, 2.0, limits=limits).columns
+
+
+def test_null_site_is_a_site(spark):
+    rows = [(site, round(k * 3e6), k % 4 == 0) for k in range(300) for site in ("a", None)]
+    got = R.breaker(_log(spark, rows), chunks=5).collect()
+    want = _sequential_breaker([("" if s is None else s, us, ok) for s, us, ok in rows], 5, 60.0, 2)
+    assert all((r["state_before"], r["permitted"], r["state_after"]) == want[r["id"]][:3] for r in got)
 
 
 def _breaker_states(spark, *events):

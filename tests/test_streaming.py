@@ -56,15 +56,6 @@ def test_token_bucket_stream(spark, attempt_files, tmp_path):
     assert _rows(got, *cols) == _rows(want, *cols)
 
 
-def test_token_bucket_wait_stream(spark, attempt_files, tmp_path):
-    folder, batch = attempt_files
-    stream = attempts_source.read_attempt_stream(spark, folder, max_files_per_trigger=1)
-    got = _drain(spark, R.token_bucket_wait(stream, 3, 0.1, 1, 20.0), "waiting", tmp_path).where("id < 10000")
-    want = R.token_bucket_wait(batch, 3, 0.1, 1, 20.0)
-    cols = ("id", "site", "admitted", "timed_out", "wait_sec", "queued_sec")
-    assert _rows(got, *cols) == _rows(want, *cols)
-
-
 def test_breaker_stream(spark, attempt_files, tmp_path):
     folder, batch = attempt_files
     stream = attempts_source.read_attempt_stream(spark, folder, max_files_per_trigger=1)
