@@ -9,8 +9,9 @@ bound at which all registers of a text are expected to be full, and further wher
 
 Texts that share all registers of a band are candidates. Every bucket is compared with its most central
 member, pairs are verified by the overlap of their multisets, and links are joined to components. Where members
-of one bucket are then still in different components, all pairs across them are compared too, by signature
-first and in blocks, so that no link between different texts that share a band is lost. Texts with equal
+of one bucket are then still in different components, pairs across them are compared too, by signature first and
+in blocks: at first each one's likeliest, which joins most, then all that are left, so that no link between
+different texts that share a band is lost. Texts with equal
 multisets are one node throughout.
 
 Signature comparisons drop a pair only below ``LIKELY`` agreeing registers, five standard deviations under the
@@ -39,6 +40,8 @@ BANDS = REGISTERS // BAND_ROWS
 THRESHOLD = 0.8
 LIKELY = 0.62
 BLOCK = 1_024
+#: likeliest partners per bucket that are tried before all others
+PARTNERS = 3
 _U = np.uint64
 _BLOCKS = np.random.Generator(np.random.PCG64(20_215)).integers(1, 1 << 63, 64, dtype=np.uint64)
 _POINTS = _U(0x9FB21C651E98DF25)
@@ -226,10 +229,11 @@ def _verified(pairs: DataFrame, rows: DataFrame, found: DataFrame, threshold: fl
     return durable(met.mapInArrow(run, "a binary, b binary, similarity double"))
 
 
-def _across(shared: DataFrame, roots: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
+def _across(shared: DataFrame, roots: DataFrame, nodes: DataFrame, least: float, most: int | None) -> DataFrame:
     """Likely pairs of one bucket that are in different components.
 
-    Members outside a bucket's largest component meet all its members of other components, in blocks.
+    Members outside a bucket's largest component meet all its members of other components, in blocks. With
+    ``most``, each keeps the likeliest few of a block only.
     """
     owned = shared.join(roots, F.col("digest") == F.col("node"), "left").select(
         "bucket", "digest", F.coalesce("root", "digest").alias("root")
@@ -251,18 +255,20 @@ def _across(shared: DataFrame, roots: DataFrame, nodes: DataFrame, least: float)
     members = members.withColumn("minor_block", every("minor_blocks"))
 
     def compare(few: pd.DataFrame, many: pd.DataFrame) -> pd.DataFrame:
-        found = {"a": [], "b": []}
+        names, others = [], []
         if len(few) and len(many):
             marks = np.frombuffer(b"".join(many["m_signature"]), np.uint32).reshape(len(many), -1)
-            names, roots_, main_ = (many[f"m_{c}"].to_numpy() for c in ("digest", "root", "main"))
+            their, roots_, main_ = (many[f"m_{c}"].to_numpy() for c in ("digest", "root", "main"))
             for name, root, mark in zip(few["digest"], few["root"], few["signature"], strict=True):
-                near = (marks == np.frombuffer(mark, np.uint32)).mean(axis=1) >= least
-                for j in np.flatnonzero(near):
-                    # two minors meet once
-                    if roots_[j] != root and (main_[j] or name < names[j]):
-                        found["a"].append(name)
-                        found["b"].append(names[j])
-        return pd.DataFrame(found)
+                agree = (marks == np.frombuffer(mark, np.uint32)).mean(axis=1)
+                near = np.flatnonzero((agree >= least) & (roots_ != root))
+                if most:
+                    near = near[np.lexsort((their[near], -agree[near]))[:most]]
+                else:  # two members outside the largest component meet once
+                    near = near[main_[near].astype(bool) | (their[near] > name)]
+                names += [name] * len(near)
+                others += their[near].tolist()
+        return pd.DataFrame({"a": names, "b": others})
 
     cell = ("bucket", "minor_block", "member_block")
     # both sides come from one table: new names keep their columns apart
@@ -291,8 +297,11 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold:
     stars = shared.join(heads, "bucket").where(F.col("a") != F.col("digest")).select("a", F.col("digest").alias("b")).distinct()
     links = _verified(_likely(stars, nodes, LIKELY), rows, found, threshold)
     roots = components(links)
-    more = durable(_across(shared, roots, nodes, LIKELY))
-    if not more.isEmpty():
+    # first the likeliest partners of those outside, which joins nearly all that belong together; then all the rest
+    for most in (PARTNERS, None):
+        more = durable(_across(shared, roots, nodes, LIKELY, most))
+        if more.isEmpty():
+            break
         links = links.union(_verified(more, rows, found, threshold))
         roots = components(links)
     member = F.struct(F.col("key").isNull().alias("none"), "key", "tag")
