@@ -7,8 +7,14 @@ well-formed document; every selector then runs on the JVM.
 The rewrite is a single pass over the tags with a stack. It follows the parts of
 the HTML parsing rules that change where an element ends up: implied end tags,
 paragraphs closed by blocks, formatting elements reopened after such a close,
-implied table rows, one html/head/body. Script and style text is left out, since
-it is never rendered. An element that is not rendered carries ``_hid="1"``.
+implied table rows, one html/head/body. Script and style text is left out unless asked
+for, since it is never rendered. An element that is not rendered carries ``_hid="1"``.
+
+A tag that never ends, up to the end of the page, is text, and so is every start tag after it.
+Elements nest up to ``MAX_DEPTH``, as in browsers; deeper ones are closed early. Where the XML
+parser's own limits are in force (see ``session.raise_xml_limits``), longer names and more
+attributes than it takes are left out. A document that something was left out of or closed
+early carries ``_cut="1"`` on its root; see :func:`is_cut`.
 """
 
 from __future__ import annotations
@@ -20,10 +26,14 @@ import pyarrow as pa
 from pyspark.sql import Column, SparkSession, functions as F
 from pyspark.sql.types import StringType
 
+from gleanery.session import raise_xml_limits
+
 HIDDEN_MARK = "_hid"
 
-# Limits of what follows: browsers stop nesting at this depth, and the XML parser refuses
-# longer names and more attributes on one element.
+CUT_MARK = "_cut"
+
+# Browsers stop nesting at this depth; an XML parser with its default limits refuses longer names
+# and more attributes on one element.
 MAX_DEPTH, MAX_NAME, MAX_ATTRIBUTES = 512, 1000, 9000
 
 # Element groups of the HTML standard.
@@ -53,13 +63,10 @@ _IMPLIED = {
     "tfoot": (frozenset("tbody thead tfoot tr td th caption colgroup".split()), frozenset({"table"})),
 }
 
-_TOKEN = re.compile(
-    r"<!--(?:.*?--!?>|.*\Z)"
-    r"|<[!?][^>]*+>?"
-    r"|</([a-zA-Z][^\s/>]*+)[^>]*+>?"
-    r"|<([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)>",
-    re.S,
-)
+_OTHER = r"<!--(?:.*?--!?>|.*\Z)|<[!?][^>]*+>?|</([a-zA-Z][^\s/>]*+)[^>]*+>?"
+_TOKEN = re.compile(_OTHER + r"|<([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)>", re.S)
+# the groups stay, but no start tag matches
+_NO_START = re.compile(_OTHER + r"|<(\Z.)(\Z.)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=>\"'/][^\s=>/]*+)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]++)))?", re.S)
 _NAME = re.compile(r"[a-z_][a-z0-9_.\-]*\Z")
 _BAD_NAME_CHAR = re.compile(r"[^a-z0-9_.\-]")
@@ -77,6 +84,8 @@ def _text(raw: str) -> str:
     return raw
 
 
+# Fixed value: how many like formatting elements the HTML standard keeps in its list.
+_SAME_FORMATTING = 3
 # marks a formatting element whose end tag came while a block inside it was still open
 _ENDED = "!"
 
@@ -84,9 +93,10 @@ _ENDED = "!"
 class _Page:
     """Open elements of one page while it is rewritten."""
 
-    __slots__ = ("out", "stack", "hidden", "reopen", "seen_head", "seen_body")
+    __slots__ = ("out", "stack", "hidden", "reopen", "seen_head", "seen_body", "limited", "cut")
 
-    def __init__(self) -> None:
+    def __init__(self, limited: bool) -> None:
+        self.limited, self.cut = limited, False
         self.out: list[str] = ["<html>"]
         self.stack: list[tuple[str, str]] = [("html", "")]
         self.hidden: list[bool] = [False]
@@ -96,6 +106,7 @@ class _Page:
 
     def push(self, name: str, attributes: str, hides: bool) -> None:
         if len(self.stack) >= MAX_DEPTH:
+            self.cut = True
             self.pop()
         hidden = hides or self.hidden[-1]
         self.out.append(f'<{name}{attributes} {HIDDEN_MARK}="1">' if hidden else f"<{name}{attributes}>")
@@ -116,6 +127,15 @@ class _Page:
             if keep_formatting and len(self.stack) > position and name in _FORMATTING:
                 cut.append((name, attributes))
         self.reopen.extend(reversed(cut))
+        if len(self.reopen) > _SAME_FORMATTING:
+            # of elements that are alike, the last few are opened again
+            counts: dict[tuple[str, str], int] = {}
+            kept = []
+            for one in reversed(self.reopen):
+                counts[one] = counts.get(one, 0) + 1
+                if counts[one] <= _SAME_FORMATTING:
+                    kept.append(one)
+            self.reopen = kept[::-1]
 
     def last(self, names: frozenset[str], barrier: frozenset[str]) -> int:
         for position in range(len(self.stack) - 1, 0, -1):
@@ -143,15 +163,16 @@ _TABLE = frozenset({"table"})
 _ROW_PARENTS = frozenset({"tbody", "thead", "tfoot"})
 
 
-def _attributes(raw: str, name: str) -> tuple[str, bool]:
+def _attributes(page: _Page, raw: str, name: str) -> tuple[str, bool]:
     parts, seen = [], set()
     hides = name in _NOT_RENDERED
     for found in _ATTRIBUTE.finditer(raw):
         key = found[1].lower()
-        if key in seen or key == HIDDEN_MARK or len(key) > MAX_NAME or not _NAME.match(key):
+        if key in seen or key in (HIDDEN_MARK, CUT_MARK) or not _NAME.match(key):
+            continue
+        if page.limited and (len(key) > MAX_NAME or len(seen) >= MAX_ATTRIBUTES):
+            page.cut = True
             continue
-        if len(seen) >= MAX_ATTRIBUTES:
-            break
         seen.add(key)
         value = found[2] if found[2] is not None else found[3] if found[3] is not None else found[4] or ""
         if key == "hidden" or (key == "style" and _HIDING_STYLE.search(value)):
@@ -163,7 +184,7 @@ def _attributes(raw: str, name: str) -> tuple[str, bool]:
 
 
 def _open(page: _Page, name: str, raw: str) -> None:
-    attributes, hides = _attributes(raw, name) if raw else ("", name in _NOT_RENDERED)
+    attributes, hides = _attributes(page, raw, name) if raw else ("", name in _NOT_RENDERED)
     if name == "html":
         if attributes and len(page.out) == 1:
             page.out[0] = f"<html{attributes}>"
@@ -241,16 +262,36 @@ def _close(page: _Page, name: str) -> None:
         page.pop()
 
 
-def repair_page(html: str | None, keep_raw_text: bool = False) -> str | None:
+def _element_name(page: _Page, raw: str) -> str:
+    if page.limited and len(raw) > MAX_NAME:
+        page.cut, raw = True, raw[:MAX_NAME]
+    return _BAD_NAME_CHAR.sub("_", raw.lower())
+
+
+def _next_token(html: str, at: int, token: re.Pattern) -> tuple[re.Match | None, int, re.Pattern]:
+    """The next token, where it starts, and the pattern to go on with.
+
+    A start tag that does not end before the page does is looked at once: after it, none is sought.
+    """
+    while (at := html.find("<", at)) >= 0:
+        found = token.match(html, at)
+        if found:
+            return found, at, token
+        if (first := html[at + 1 : at + 2]).isascii() and first.isalpha():
+            token = _NO_START
+        at += 1
+    return None, len(html), token
+
+
+def repair_page(html: str | None, keep_raw_text: bool = False, limited: bool = True) -> str | None:
     """One page as well-formed XML with a single html root; null stays null."""
     if html is None:
         return None
     html = _NOT_XML.sub("", html)
-    page = _Page()
+    page, token = _Page(limited), _TOKEN
     at, size = 0, len(html)
     while at < size:
-        found = _TOKEN.search(html, at)
-        start = found.start() if found else size
+        found, start, token = _next_token(html, at, token)
         if start > at:
             text = html[at:start]
             if not text.isspace():
@@ -264,7 +305,7 @@ def repair_page(html: str | None, keep_raw_text: bool = False) -> str | None:
             break
         at = found.end()
         if found[2]:
-            name = _BAD_NAME_CHAR.sub("_", found[2][:MAX_NAME].lower())
+            name = _element_name(page, found[2])
             raw = found[3]
             _open(page, name, raw)
             if name in _RAW or name in _ESCAPABLE_RAW:
@@ -277,29 +318,39 @@ def repair_page(html: str | None, keep_raw_text: bool = False) -> str | None:
                 page.pop()
                 at = end.end() if end else size
         elif found[1]:
-            _close(page, _BAD_NAME_CHAR.sub("_", found[1][:MAX_NAME].lower()))
+            _close(page, _element_name(page, found[1]))
     if not page.seen_body:
         page.need_body()
     while page.stack:
         page.pop()
+    if page.cut:
+        page.out[0] = f'{page.out[0][:-1]} {CUT_MARK}="1">'
     return "".join(page.out)
 
 
 @F.arrow_udf(StringType())
-def _repair(pages: pa.Array) -> pa.Array:
-    return pa.array([repair_page(page) for page in pages.to_pylist()], pa.string())
-
-
-@F.arrow_udf(StringType())
-def _repair_keeping_raw_text(pages: pa.Array) -> pa.Array:
-    return pa.array([repair_page(page, True) for page in pages.to_pylist()], pa.string())
+def _repair(pages: pa.Array, raw: pa.Array, limited: pa.Array) -> pa.Array:
+    settings = zip(pages.to_pylist(), raw.to_pylist(), limited.to_pylist(), strict=True)
+    return pa.array([repair_page(*row) for row in settings], pa.string())
 
 
 def repair(html: Column | str, keep_raw_text: bool = False) -> Column:
     """Well-formed document for Spark's ``xpath*`` functions."""
-    return (_repair_keeping_raw_text if keep_raw_text else _repair)(html)
+    spark = SparkSession.getActiveSession()
+    limited = spark is None or not raise_xml_limits(spark)
+    return _repair(html, F.lit(keep_raw_text), F.lit(limited))
+
+
+def is_cut(document: Column | str) -> Column:
+    """Whether something of the page is missing from its repaired document."""
+    document = F.col(document) if isinstance(document, str) else document
+    return F.regexp_extract(document, "^<html[^>]*>", 0).contains(f' {CUT_MARK}="1">')
 
 
 def register(spark: SparkSession) -> None:
     """``repair_html(html)`` for SQL, to be combined with ``xpath_string`` and its relatives."""
-    spark.udf.register("repair_html", _repair)
+    limited = str(not raise_xml_limits(spark)).lower()
+    spark.udf.register("repair_html_as", _repair)
+    spark.sql(
+        f"CREATE OR REPLACE TEMPORARY FUNCTION repair_html(html STRING) RETURNS STRING RETURN repair_html_as(html, false, {limited})"
+    )

@@ -147,10 +147,20 @@ def origin(url: Column | str) -> Column:
     return F.regexp_extract(_c(url), r"^[a-zA-Z][a-zA-Z0-9+.\-]*://[^/?#]*", 0)
 
 
+_LITERAL = r"^[^\[]*\[([^\]]*)"
+# what splitting a URL ignores: leading control characters and spaces, and tab, CR, LF anywhere
+_LEADING, _BREAKS = r"^[\x00-\x20]+", r"[\t\r\n]"
+
+
+@cache
+def _ip_literal() -> str:
+    return rf"^(?:{_ipv6()}|v[0-9A-Fa-f]+\..+)\z"
+
+
 def _bad_host(netloc: Column) -> Column:
     opened, closed = netloc.contains("["), netloc.contains("]")
-    literal = F.regexp_extract(netloc, r"^[^\[]*\[([^\]]*)", 1)
-    bad_literal = ~literal.rlike(rf"^(?:{_ipv6()}|v[0-9A-Fa-f]+\..+)\z")
+    literal = F.regexp_extract(netloc, _LITERAL, 1)
+    bad_literal = ~literal.rlike(_ip_literal())
     return (opened != closed) | (opened & bad_literal) | netloc.rlike(_confusable())
 
 
@@ -191,8 +201,7 @@ def normalize_strict(url: Column | str) -> Column:
 
 def is_valid(url: Column | str) -> Column:
     """http/https scheme (any case) and a non-empty, well-formed network location."""
-    # urlsplit-style reading: leading control characters and spaces go, tab/CR/LF go everywhere
-    u = F.regexp_replace(F.regexp_replace(_c(url), r"^[\x00-\x20]+", ""), r"[\t\r\n]", "")
+    u = F.regexp_replace(F.regexp_replace(_c(url), _LEADING, ""), _BREAKS, "")
     return F.coalesce(u.rlike(r"(?i)^https?://[^/?#]+") & ~_bad_host(_netloc(u)), F.lit(False))
 
 
@@ -274,16 +283,13 @@ def duplicates(df: DataFrame, column: str = "url") -> DataFrame:
 def dedup(df: DataFrame, column: str = "url", order: str = "page_id") -> DataFrame:
     """One row per canonical URL: the smallest ``order``. Rejected URLs are dropped.
 
-    The winner is chosen by a partial ``min_by``, so a URL with very many copies
-    is reduced inside each map task before the shuffle.
+    Only URL and ``order``, which identifies a row, take part in choosing; a URL with very many
+    copies is reduced inside each map task before the shuffle.
     """
     rows = with_normalized(df, column).where(F.col("norm_url").isNotNull())
-    others = [F.col(c) for c in df.columns]
-    return (
-        rows.groupBy("norm_url")
-        .agg(F.min_by(F.struct(*others), F.col(order)).alias("first"))
-        .select("norm_url", "first.*")
-    )
+    first = rows.groupBy(F.col("norm_url").alias("_url")).agg(F.min(order).alias("_first"))
+    kept = rows.join(first, (F.col("norm_url") == F.col("_url")) & (F.col(order) == F.col("_first")), "left_semi")
+    return kept.select("norm_url", *df.columns)
 
 
 def register(spark: SparkSession) -> None:
@@ -306,12 +312,11 @@ def register(spark: SparkSession) -> None:
             f" concat(rtrim('/', base), if({u} like '/%', '', '/'), {u}) end"
         ),
         "url_host(url STRING) RETURNS STRING": (
-            "lower(regexp_replace(regexp_replace(regexp_extract(regexp_replace("
-            f"{u}, {lit(_SCHEME)}, ''), '^//([^/?#]*)', 1), '^.*@', ''), ':[0-9]*$', ''))"
+            f"lower(regexp_replace(regexp_replace({_netloc_sql(_cleaned_sql('url'))}, '^.*@', ''), {lit(r':[0-9]*\z')}, ''))"
         ),
         "validate_url(url STRING) RETURNS BOOLEAN": (
-            f"coalesce(regexp_like({u}, '(?i)^https?://[^/?#]+')"
-            " and not regexp_like(url, '^[^/]*//[^/?#]*[\\\\[\\\\]]'), false)"
+            f"coalesce(regexp_like({_split_sql('url')}, '(?i)^https?://[^/?#]+')"
+            f" and not {_bad_host_sql(_netloc_sql(_split_sql('url')))}, false)"
         ),
         "normalize_url(url STRING) RETURNS STRING": _normalize_sql(),
     }
@@ -323,9 +328,33 @@ def _sql_text(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+def _cleaned_sql(url: str) -> str:
+    """``cleaned`` as SQL."""
+    return f"regexp_replace(regexp_replace({url}, {_sql_text(_CONTROL)}, ''), {_sql_text(_STRIP)}, '')"
+
+
+def _split_sql(url: str) -> str:
+    """What ``is_valid`` reads, as SQL."""
+    return f"regexp_replace(regexp_replace({url}, {_sql_text(_LEADING)}, ''), {_sql_text(_BREAKS)}, '')"
+
+
+def _netloc_sql(u: str) -> str:
+    return f"regexp_extract(regexp_replace({u}, {_sql_text(_SCHEME)}, ''), '^//([^/?#]*)', 1)"
+
+
+def _bad_host_sql(netloc: str) -> str:
+    """``_bad_host`` as SQL, from the same patterns."""
+    literal = f"regexp_extract({netloc}, {_sql_text(_LITERAL)}, 1)"
+    return (
+        f"((contains({netloc}, '[') <> contains({netloc}, ']'))"
+        f" or (contains({netloc}, '[') and not regexp_like({literal}, {_sql_text(_ip_literal())}))"
+        f" or regexp_like({netloc}, {_sql_text(_confusable())}))"
+    )
+
+
 def _normalize_sql() -> str:
     lit = _sql_text
-    clean = f"regexp_replace(regexp_replace(url, {lit(_CONTROL)}, ''), {lit(_STRIP)}, '')"
+    clean = _cleaned_sql("url")
     before = f"regexp_extract({clean}, '^[^?#]*', 0)"
     rest = f"regexp_replace({before}, {lit(_SCHEME)}, '')"
 
@@ -342,7 +371,7 @@ def _normalize_sql() -> str:
     )
     fragment = f"regexp_extract({clean}, {lit(r'(?s)^[^#]*#(.*)\z')}, 1)"
     return (
-        f"case when regexp_like({clean}, '(?i)^https?:') then concat("
+        f"case when regexp_like({clean}, '(?i)^https?:') and not {_bad_host_sql(_netloc_sql(clean))} then concat("
         f"lower(regexp_extract({before}, {lit(_SCHEME)}, 1)), ':',"
         f" if({rest} = '' or regexp_like({rest}, '^/(?!/)'), '//', ''), {rest},"
         f" if({query} = '', '', concat('?', {query})),"

@@ -148,20 +148,38 @@ def packs(spark: SparkSession, probes: list[Probe]) -> list[str]:
     return out
 
 
+def _reads_raw_text(probe: Probe) -> bool:
+    return probe.attribute == "textContent"
+
+
 def evaluate(
-    spark: SparkSession, document: Column, answers: Column, page_url: Column, probes: list[Probe]
+    spark: SparkSession,
+    document: Column,
+    answers: Column,
+    page_url: Column,
+    probes: list[Probe],
+    raw_document: Column | None = None,
 ) -> tuple[Column, Column]:
     """Two columns for one list of probes: the raw answers read from ``document``, and
     ``array<struct<status, value>>`` aligned with ``probes``, built from the ``answers`` column.
 
     status: ``found`` (first match rendered), ``hidden`` (first match not rendered), ``missing``,
-    ``invalid`` (path is not an element selector).
+    ``invalid`` (path is not an element selector). Text content is read from ``raw_document``,
+    where there is one.
     """
     unusable = not_elements(spark, sorted({probe.xpath for probe in probes}))
     bad_names = {p for p in probes if p.attribute and not re.fullmatch(r"[A-Za-z_][\w.\-]*", p.attribute)}
     asked = [probe for probe in probes if probe.xpath not in unusable]
-    readable = [Probe(p.xpath, "" if p in bad_names else p.attribute) for p in asked]
-    texts = [F.xpath_string(document, F.lit(path)) for path in packs(spark, readable)]
+    if raw_document is not None:
+        asked.sort(key=_reads_raw_text)
+    parts = [(document, asked)]
+    if raw_document is not None:
+        parts = [(d, [p for p in asked if _reads_raw_text(p) == raw]) for d, raw in ((document, False), (raw_document, True))]
+    texts = [
+        F.xpath_string(source, F.lit(path))
+        for source, mine in parts
+        for path in packs(spark, [Probe(p.xpath, "" if p in bad_names else p.attribute) for p in mine])
+    ]
     read = F.split(F.concat_ws(_SEP, *texts), _SEP, -1) if texts else F.array().cast("array<string>")
     position = {probe: n for n, probe in enumerate(asked)}
     structs = []

@@ -58,6 +58,9 @@ RULES = {
 }
 
 
+DAY_SEC = 86_400
+
+
 def _epoch(ts: Column | str) -> Column:
     c = F.col(ts) if isinstance(ts, str) else ts
     return F.floor(F.unix_micros(c.cast("timestamp")) / F.lit(1_000_000))
@@ -178,13 +181,36 @@ def on_grid(gauge: DataFrame, labels: tuple[str, ...], slide_sec: int = EVALUATI
     """Last gauge value at or before every grid point between its first and last sample.
 
     ``gauge(labels…, at_sec, value)``; each sample is carried to the grid points up to the next.
-    Only the last sample before a grid point counts, so samples are reduced per cell first.
+    Only the last sample before a grid point counts, so samples are reduced per cell first. The
+    next sample is sought within the day, and among the first ones of the days after it.
     """
     point = (F.ceil(F.col("at_sec") / slide_sec) * slide_sec).cast("long")
     last = gauge.withColumn("t", point).groupBy(*labels, "t").agg(F.max_by("value", "at_sec").alias("value"))
-    following = F.lead("t").over(Window.partitionBy(*labels).orderBy("t"))
-    spans = last.withColumn("until", F.coalesce(following - slide_sec, F.col("t")))
-    return spans.select(*labels, F.explode(F.sequence("t", "until", F.lit(slide_sec).cast("long"))).alias("t"), "value")
+    last = last.withColumn("day", F.floor(F.col("t") / DAY_SEC))
+    # one row per label set and day
+    firsts = last.groupBy(*labels, "day").agg(F.min("t").alias("first"))
+    firsts = firsts.withColumn("next_first", F.lead("first").over(Window.partitionBy(*labels).orderBy("day"))).drop("first")
+    joined = last.join(_renamed(firsts, (*labels, "day")), _matches((*labels, "day")), "left")
+    following = F.coalesce(F.lead("t").over(Window.partitionBy(*labels, "day").orderBy("t")), F.col("next_first"))
+    spans = joined.withColumn("until", F.coalesce(following - slide_sec, F.col("t"))).select(*labels, "t", "until", "value")
+    # a long gap is laid out day by day
+    first_day, last_day = F.floor(F.col("t") / DAY_SEC), F.floor(F.col("until") / DAY_SEC)
+    daily = spans.withColumn("at_day", F.explode(F.sequence(first_day, last_day)))
+    skipped = F.ceil(F.greatest(F.col("at_day") * DAY_SEC - F.col("t"), F.lit(0)) / slide_sec) * slide_sec
+    start, stop = F.col("t") + skipped, F.least(F.col("until"), (F.col("at_day") + 1) * DAY_SEC - 1)
+    points = F.when(start <= stop, F.sequence(start, stop, F.lit(slide_sec).cast("long")))
+    return daily.select(*labels, F.explode(points).alias("t"), "value")
+
+
+def _renamed(df: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    return df.select(*[F.col(c).alias(f"_{c}" if c in names else c) for c in df.columns])
+
+
+def _matches(names: tuple[str, ...]) -> Column:
+    same = F.lit(True)
+    for name in names:
+        same = same & F.col(name).eqNullSafe(F.col(f"_{name}"))
+    return same
 
 
 # --- hold --------------------------------------------------------------------------------
@@ -199,11 +225,19 @@ def hold(
     is pending from its first evaluation, fires once it has lasted ``hold_sec`` and resolves
     at the evaluation after its last one. ``value`` is the one at the last evaluation.
     """
-    order = Window.partitionBy(*labels).orderBy("t")
-    runs = evaluated.where("active").withColumn("run", F.col("t") - F.row_number().over(order) * slide_sec)
-    spans = runs.groupBy(*labels, "run").agg(
+    days = evaluated.where("active").withColumn("day", F.floor(F.col("t") / DAY_SEC))
+    order = Window.partitionBy(*labels, "day").orderBy("t")
+    runs = days.withColumn("run", F.col("t") - F.row_number().over(order) * slide_sec)
+    # runs within a day, then those of one label set that touch
+    parts = runs.groupBy(*labels, "day", "run").agg(
         F.min("t").alias("pending_at"), F.max("t").alias("last_true"), F.max_by("value", "t").alias("value")
     )
+    along = Window.partitionBy(*labels).orderBy("pending_at")
+    new = F.coalesce(F.col("pending_at") > F.lag("last_true").over(along) + slide_sec, F.lit(True))
+    joined = parts.withColumn("new", new.cast("int")).withColumn("number", F.sum("new").over(along))
+    spans = joined.groupBy(*labels, "number").agg(
+        F.min("pending_at").alias("pending_at"), F.max("last_true").alias("last_true"), F.max_by("value", "last_true").alias("value")
+    )
     # the first evaluation at which the run is old enough
     fires = F.col("pending_at") + F.ceil(F.lit(hold_sec) / slide_sec) * slide_sec
     return spans.select(

@@ -35,6 +35,7 @@ from gleanery.sources.specs import (
 BLANK_URL = "about:blank"
 MSG_FIELD = "Field '%s' extraction failed"
 MSG_NOT_VISIBLE = "Element not visible: %s (URL: %s)"
+MSG_REPEATED = "Name used more than once: %s"
 MSG_URL = "URL does not contain '%s' (current: %s)"
 MSG_FRAME = "Failed to switch to frame: %s"
 MSG_EMPTY = "URL cannot be empty"
@@ -254,7 +255,7 @@ def lookup(targets: DataFrame, pages: DataFrame) -> DataFrame:
     Only keys are joined; bodies are fetched later by ``page_id``.
     """
     wanted = targets.where(F.col("target").isNotNull()).select(F.col("target").alias("norm_url"))
-    ids = page_source.latest_ids(pages, wanted).withColumnRenamed("norm_url", "target")
+    ids = page_source.latest_ids(pages, wanted).select(F.col("norm_url").alias("target"), "page_id")
     status = (
         F.when(F.col("target_error").isNotNull(), "url_error")
         .when(F.col("target").isNull(), "blank")
@@ -341,7 +342,8 @@ def _values(df: DataFrame, templates: dict[int, list[xp.Probe]], document: str,
     for template, probes in sorted(templates.items()):
         if not probes:
             continue
-        read, shaped = xp.evaluate(spark, F.col(document), F.col("answers"), F.col(page_url), probes)
+        raw = F.col("raw_document") if "raw_document" in df.columns else None
+        read, shaped = xp.evaluate(spark, F.col(document), F.col("answers"), F.col(page_url), probes, raw)
         mine = F.col("template") == F.lit(template)
         answers = F.when(mine, read) if answers is None else answers.when(mine, read)
         found = F.when(mine, shaped) if found is None else found.when(mine, shaped)
@@ -461,7 +463,6 @@ def _evaluate(
     keys: list[str],
     visibility: str,
     unsupported: str,
-    keep_raw_text: bool = False,
 ) -> DataFrame:
     """Rows ``(keys, visit_url, doc_url, html, nav_error, steps, probes, template)`` -> outcomes per visit."""
     names = sorted(templates)
@@ -474,12 +475,13 @@ def _evaluate(
                 keys,
                 visibility,
                 unsupported,
-                keep_raw_text,
             )
             for part in parts
         ]
         return reduce(DataFrame.unionByName, answered)
-    repaired = rows.withColumn("document", repair("html", keep_raw_text))
+    repaired = rows.withColumn("document", repair("html"))
+    if any(xp._reads_raw_text(probe) for probes in templates.values() for probe in probes):
+        repaired = repaired.withColumn("raw_document", repair("html", keep_raw_text=True))
     valued = _values(repaired, templates, "document", "doc_url")
     outcomes = F.transform(
         "steps", lambda s: _outcome(s, F.col("visit_url"), F.col("nav_error"), visibility, unsupported)
@@ -574,6 +576,12 @@ def _with_frames(rows: DataFrame, compiled: Compiled, pages: DataFrame) -> DataF
     return flat.unionByName(framed)
 
 
+def _first_frame() -> Column:
+    """What a page without any frame fails to offer; null for steps that enter none."""
+    first = F.get(F.col("chain"), F.lit(0))
+    return F.when(first.isNotNull(), F.concat_ws("=", first["kind"], first["value"]))
+
+
 _RUN_KEYS = ["spec_id", "site"]
 _PAGE_KEYS = ["spec_id", "site", "page_id"]
 
@@ -592,7 +600,8 @@ def outcomes_by_target(
     # of a broadcast; visits without a capture need no body at all
     paired = visits.join(page_source.latest_ids(pages, wanted), "norm_url", "left").persist()
     found = paired.where(F.col("page_id").isNotNull())
-    rows = pages.select("page_id", "html").join(compiled.for_join(found), "page_id").select(
+    keys = page_source.capture_keys(pages)
+    rows = page_source.on_captures(pages.select(*keys, "html"), compiled.for_join(found), keys).select(
         *_RUN_KEYS,
         F.col("norm_url").alias("visit_url"),
         F.col("norm_url").alias("doc_url"),
@@ -610,7 +619,7 @@ def outcomes_by_target(
         *_RUN_KEYS,
         F.coalesce("norm_url", F.lit(BLANK_URL)).alias("visit_url"),
         F.when(F.col("norm_url").isNotNull(), F.format_string(MSG_NOT_CAPTURED, F.col("norm_url"))).alias("nav_error"),
-        "steps",
+        F.transform("steps", lambda s: s.withField("frame_desc", _first_frame())).alias("steps"),
         "probes",
         F.array().cast(_VALUE).alias("found"),
     )
@@ -718,6 +727,17 @@ def steps(outcomes: DataFrame) -> DataFrame:
     )
 
 
+def _repeated_name(outcomes: Column) -> Column:
+    """A step name that two steps of a site share, or a field name that two fields of a step share."""
+
+    def twice(names: Column) -> Column:
+        return F.get(F.filter(names, lambda n: F.size(F.filter(names, lambda m: m == n)) > 1), F.lit(0))
+
+    own = F.filter(outcomes, lambda o: ~o["is_base"])
+    fields = F.transform(own, lambda o: twice(F.transform(o["fields"], lambda f: f["field"])))
+    return F.coalesce(twice(F.transform(own, lambda o: o["step"])), F.get(F.array_compact(fields), F.lit(0)))
+
+
 def _data(outcomes: Column) -> Column:
     own = F.filter(outcomes, lambda o: ~o["is_base"])
     return F.map_from_entries(
@@ -739,22 +759,29 @@ def results(outcomes: DataFrame, mode: str = "run") -> DataFrame:
     ``run``: ``data`` for a site whose steps all passed, else only ``error`` (fail-fast:
     the first failing step in order decides, earlier data is dropped).
     ``stream``: one row per step completed before the first failure.
+    A spec that names two of its steps, or two fields of a step, alike has no results: ``run``
+    gives it a ValueError, ``stream`` no rows.
     """
     keys = _keys(outcomes)
+    outcomes = _computed_once(outcomes, "repeated", _repeated_name(F.col("outcomes")))
     failed = _first_error(F.col("outcomes"))
+    unusable = F.col("repeated").isNotNull()
     if mode == "run":
         return outcomes.select(
             *keys,
-            F.when(failed.isNull(), _data(F.col("outcomes"))).alias("data"),
-            failed["error"].alias("error"),
-            failed["step_ord"].alias("failed_step_ord"),
-            failed["step"].alias("failed_step"),
+            F.when(failed.isNull() & ~unusable, _data(F.col("outcomes"))).alias("data"),
+            F.when(unusable, _error("ValueError", F.format_string(MSG_REPEATED, F.col("repeated"))))
+            .otherwise(failed["error"])
+            .alias("error"),
+            F.when(~unusable, failed["step_ord"]).alias("failed_step_ord"),
+            F.when(~unusable, failed["step"]).alias("failed_step"),
         )
     done = F.filter(
         "outcomes",
         lambda o: ~o["is_base"] & (failed["step_ord"].isNull() | (o["step_ord"] < failed["step_ord"])),
     )
-    return outcomes.select(*keys, F.explode(done).alias("o")).select(
+    none = F.slice("outcomes", 1, 0)
+    return outcomes.select(*keys, F.explode(F.when(unusable, none).otherwise(done)).alias("o")).select(
         *keys,
         "o.step_ord",
         "o.step",

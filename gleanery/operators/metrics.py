@@ -98,6 +98,9 @@ def duration_stats(df: DataFrame, labels: tuple[str, ...], value: str = "duratio
     )
 
 
+DAY_US = 86_400_000_000
+
+
 # --- active sessions ---------------------------------------------------------------------
 
 
@@ -105,8 +108,8 @@ def active(intervals: DataFrame, cell: int = 10_000_000) -> DataFrame:
     """Gauge of open intervals after every instant at which it may change.
 
     ``intervals(start_us, end_us)`` in microseconds; an open end is null. The global running
-    sum is split in two: per-cell totals (few rows) are accumulated first, then every cell
-    is summed on its own, so no task sees the whole log.
+    sum is split in three: days (one row each) are accumulated first, then the cells of every
+    day, then the instants of every cell, so no task sees the whole log.
     """
     changes = intervals.select(
         F.inline(
@@ -122,17 +125,21 @@ def active(intervals: DataFrame, cell: int = 10_000_000) -> DataFrame:
         changes.groupBy("at_us")
         .agg(F.sum("delta").alias("delta"))
         .withColumn("cell", F.floor(F.col("at_us") / F.lit(cell)))
+        .withColumn("day", F.floor(F.col("at_us") / F.lit(DAY_US)))
     )
-    # one row per cell reaches this window
-    totals = instants.groupBy("cell").agg(F.sum("delta").alias("total"))
-    earlier = totals.select(
-        "cell",
-        F.coalesce(
-            F.sum("total").over(Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
-        ).alias("before"),
+    totals = instants.groupBy("day", "cell").agg(F.sum("delta").alias("total"))
+    # one row per day reaches this window
+    days = totals.groupBy("day").agg(F.sum("total").alias("total"))
+    before = Window.orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    days = days.select("day", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("before_day"))
+    within = Window.partitionBy("day").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = totals.join(days, "day").select(
+        F.col("cell").alias("cell"),
+        F.col("day").alias("day"),
+        (F.col("before_day") + F.coalesce(F.sum("total").over(within), F.lit(0))).alias("before"),
     )
-    inside = Window.partitionBy("cell").orderBy("at_us").rowsBetween(Window.unboundedPreceding, 0)
-    return instants.join(earlier, "cell").select(
+    inside = Window.partitionBy("day", "cell").orderBy("at_us").rowsBetween(Window.unboundedPreceding, 0)
+    return instants.join(earlier, ["day", "cell"]).select(
         "at_us", (F.col("before") + F.sum("delta").over(inside)).alias("active")
     )
 

@@ -3,6 +3,16 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import (
+    ArrayType,
+    DataType,
+    DateType,
+    MapType,
+    StringType,
+    StructType,
+    TimestampNTZType,
+    TimestampType,
+)
 
 
 def _c(x: Column | str) -> Column:
@@ -22,19 +32,35 @@ def text_keys(m: Column | str) -> Column:
     return F.transform_keys(_c(m), lambda k, _: k.cast("string"))
 
 
+def _differs(kind: DataType) -> bool:
+    """Whether a value of this type, or one inside it, has another form in JSON."""
+    if isinstance(kind, ArrayType):
+        return _differs(kind.elementType)
+    if isinstance(kind, MapType):
+        return not isinstance(kind.keyType, StringType) or _differs(kind.valueType)
+    if isinstance(kind, StructType):
+        return any(_differs(f.dataType) for f in kind.fields)
+    return isinstance(kind, (TimestampType, TimestampNTZType, DateType))
+
+
+def _adapted(value: Column, kind: DataType) -> Column:
+    if not _differs(kind):
+        return value
+    if isinstance(kind, ArrayType):
+        return F.transform(value, lambda x: _adapted(x, kind.elementType))
+    if isinstance(kind, MapType):
+        values = F.transform_values(value, lambda _, x: _adapted(x, kind.valueType)) if _differs(kind.valueType) else value
+        timed = isinstance(kind.keyType, (TimestampType, TimestampNTZType))
+        return F.transform_keys(values, lambda k, _: iso_timestamp(k) if timed else k.cast("string"))
+    if isinstance(kind, StructType):
+        members = [_adapted(value[f.name], f.dataType).alias(f.name) for f in kind.fields]
+        return F.when(value.isNotNull(), F.struct(*members))
+    return value.cast("string") if isinstance(kind, DateType) else iso_timestamp(value)
+
+
 def to_jsonable(df: DataFrame) -> DataFrame:
-    """Top-level columns adapted to JSON: timestamps to ISO text, map keys to text."""
-    adapted = []
-    for name, kind in df.dtypes:
-        if kind.startswith("timestamp"):
-            adapted.append(iso_timestamp(name).alias(name))
-        elif kind.startswith("map<") and not kind.startswith("map<string,"):
-            adapted.append(text_keys(name).alias(name))
-        elif kind == "date":
-            adapted.append(F.col(name).cast("string").alias(name))
-        else:
-            adapted.append(F.col(name))
-    return df.select(*adapted)
+    """Columns adapted to JSON at any depth: timestamps to ISO text, dates and map keys to text."""
+    return df.select(*[_adapted(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in df.schema.fields])
 
 
 def dumps(value: Column, pretty: bool = False) -> Column:

@@ -190,10 +190,9 @@ def violations(specs: DataFrame) -> DataFrame:
         [F.lit(_AFTER), F.lit(1), F.lit(0), F.lit(0)],
         step=step,
     )
-    # min_by/count combine map-side, so a name shared by very many specs stays cheap
-    repeated = sites.groupBy("site").agg(F.count(F.lit(1)).alias("copies"), F.min("spec_id").alias("spec_id")).where(
-        F.col("copies") > 1
-    )
+    # counts combine map-side; every site of a shared name gets its violation
+    repeated = sites.groupBy("site").agg(F.count(F.lit(1)).alias("copies")).where(F.col("copies") > 1)
+    repeated = sites.select("spec_id", "site").join(repeated, "site")
     same_site = _rows(
         repeated,
         [("V12", F.lit(True), F.col("copies"))],

@@ -41,8 +41,8 @@ v(rule, spec_id, step, field, detail, a, b, c, d, e) as (
   union all select 'V11', spec_id, null, null, '-5', 2, 0, 0, 0, 4 from s where g % 10 = 3
   union all select 'V12', spec_id, step, null, count(*)::varchar, 2, 1, 0, 0, 0 from p group by spec_id, step having count(*) > 1
   union all select 'V16', spec_id, null, null, case when g % 7 = 4 then 'a/b' else '' end, 2, 2, 0, 0, 0 from s where g % 7 = 4 or g % 15 = 5
-  union all select 'V12', min(spec_id), null, null, count(*)::varchar, 3, 0, 0, 0, 0 from s
-    group by case when g % 12 = 0 then ' ' else 'site_' || (g % 40) end having count(*) > 1
+  union all select 'V12', spec_id, null, null, copies::varchar, 3, 0, 0, 0, 0 from (
+    select spec_id, count(*) over (partition by case when g % 12 = 0 then ' ' else 'site_' || (g % 40) end) as copies from s) where copies > 1
 )
 """
 

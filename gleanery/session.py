@@ -11,6 +11,33 @@ BROADCAST_MAX_ROWS = 200_000
 BROADCAST_MAX_BYTES = 64 * 1024 * 1024
 
 
+# JVM properties without which the XML and XPath engines refuse very large elements and paths
+XML_LIMITS = (
+    "jdk.xml.elementAttributeLimit",
+    "jdk.xml.maxXMLNameLimit",
+    "jdk.xml.xpathExprOpLimit",
+    "jdk.xml.xpathExprGrpLimit",
+    "jdk.xml.xpathTotalOpLimit",
+)
+
+
+def raise_xml_limits(spark: SparkSession) -> bool:
+    """Lift the engines' limits in this JVM, if they are lifted wherever tasks run; whether they are.
+
+    A cluster's executors need ``-D<property>=0`` for each of ``XML_LIMITS`` in
+    ``spark.executor.extraJavaOptions``. Without, the driver keeps the limits too, so that what
+    it accepts is what the executors can run.
+    """
+    master = spark.sparkContext.master
+    options = spark.conf.get("spark.executor.extraJavaOptions", "") or ""
+    if master.startswith("local-cluster") or not master.startswith("local"):
+        if not all(f"-D{name}=0" in options for name in XML_LIMITS):
+            return False
+    for name in XML_LIMITS:
+        spark._jvm.java.lang.System.setProperty(name, "0")
+    return True
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder for checkpoints and hand-over tables.
 

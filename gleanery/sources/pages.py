@@ -29,20 +29,35 @@ def read_page_stream(
     return reader.load(path)
 
 
+def capture_keys(pages: DataFrame) -> list[str]:
+    """What tells captures apart: a page may be captured more than once."""
+    return [c for c in ("page_id", "fetched_at") if c in pages.columns]
+
+
+def on_captures(pages: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
+    """The captures that are wanted, with the columns of both sides; a null time equals another."""
+    marked = wanted.select(*[F.col(c).alias(f"_{c}" if c in keys else c) for c in wanted.columns])
+    same = F.lit(True)
+    for key in keys:
+        same = same & F.col(key).eqNullSafe(F.col(f"_{key}"))
+    return pages.join(marked, same).drop(*[f"_{key}" for key in keys])
+
+
 def latest_ids(pages: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
-    """``(norm_url, page_id)`` of the newest snapshot per canonical URL.
+    """``(norm_url, page_id[, fetched_at])`` of the newest snapshot per canonical URL.
 
     Only url, time and id move; page bodies stay where they are.
     """
-    newest = F.struct("fetched_at", "page_id") if "fetched_at" in pages.columns else F.col("page_id")
-    narrow = urls.with_normalized(pages.drop("html")).where(F.col("norm_url").isNotNull())
+    keys = capture_keys(pages)
+    narrow = urls.with_normalized(pages.drop("html")).where(F.col("norm_url").isNotNull() & F.col("page_id").isNotNull())
     if wanted is not None:
         narrow = narrow.join(broadcast_if_small(wanted.select("norm_url").distinct()), "norm_url", "left_semi")
-    return narrow.groupBy("norm_url").agg(F.max_by("page_id", newest).alias("page_id"))
+    newest = F.max(F.struct(*reversed(keys))).alias("newest")
+    return narrow.groupBy("norm_url").agg(newest).select("norm_url", *[F.col(f"newest.{key}").alias(key) for key in keys])
 
 
 def latest(pages: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
     """Newest snapshot per canonical URL, optionally only for ``wanted(norm_url)``."""
     winners = latest_ids(pages, wanted)
     # without a wish list there are about as many winners as pages: not worth measuring
-    return pages.join(winners if wanted is None else broadcast_if_small(winners.persist()), "page_id", "inner")
+    return on_captures(pages, winners if wanted is None else broadcast_if_small(winners), capture_keys(pages))

@@ -6,21 +6,23 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from gleanery.operators import serialization
+from gleanery.session import durable
 
+def write_json_array(df: DataFrame, path: str, pretty: bool = False, order: tuple[str, ...] = ()) -> None:
+    """One JSON array, in the order of the named columns, else of the input.
 
-ARRAY_MAX_ROWS = 100_000
-
-
-def write_json_array(df: DataFrame, path: str, pretty: bool = False) -> None:
-    """One JSON array in one file, for small exports such as a run summary.
-
-    The row count is checked first; a larger result belongs in ``write_json_lines``.
+    The array is written in parts by many tasks: its text is the part files one after the
+    other in the order of their names. Small results end up in one part.
     """
-    if df.limit(ARRAY_MAX_ROWS + 1).count() > ARRAY_MAX_ROWS:
-        raise ValueError(f"more than {ARRAY_MAX_ROWS} rows: use write_json_lines")
-    body = serialization.dumps(F.struct("*"), pretty)
-    document = df.agg(F.concat(F.lit("["), F.array_join(F.collect_list(body), ","), F.lit("]")).alias("value"))
-    document.coalesce(1).write.mode("overwrite").text(path)
+    body = serialization.dumps(F.struct("*"), pretty).alias("body")
+    rows = durable(df.select(body, F.struct(*order, F.monotonically_increasing_id().alias("_place")).alias("place")))
+    first = rows.agg(F.min("place").alias("place")).first()["place"]
+    lead = F.lit(False) if first is None else F.col("place._place") == first["_place"]
+    inner = rows.select(F.lit(1).alias("part"), "place", F.when(lead, F.col("body")).otherwise(F.concat(F.lit(","), "body")).alias("value"))
+    kind = rows.schema["place"].dataType
+    ends = df.sparkSession.createDataFrame([(0, "["), (2, "]")], "part int, value string")
+    whole = inner.unionByName(ends.select("part", F.lit(None).cast(kind).alias("place"), "value"))
+    whole.orderBy("part", "place").select("value").write.mode("overwrite").text(path)
 
 
 def write_json_lines(df: DataFrame, path: str, mode: str = "overwrite") -> None:

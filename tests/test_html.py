@@ -6,7 +6,7 @@ import xml.dom.minidom as dom
 import pytest
 from pyspark.sql import functions as F
 
-from gleanery.functions.html import repair, repair_page
+from gleanery.functions.html import is_cut, repair, repair_page
 from gleanery.functions.xpath import css_to_xpath, invalid_paths
 
 TOKENS = (
@@ -42,6 +42,39 @@ def test_any_token_soup_is_well_formed():
         dom.parseString(repair_page(html).encode())
 
 
+@pytest.mark.parametrize("piece", ['<a "', "<a ", "<a b='", '<a ">" ', "<!-", "</a ", "<b><p>"])
+def test_repair_takes_linear_time(piece):
+    import time
+
+    started = time.perf_counter()
+    dom.parseString(repair_page(piece * 100_000)[:1_000_000_000].encode())
+    assert time.perf_counter() - started < 20
+    started = time.perf_counter()
+    repair_page('<a "' * 100_000)
+    repair_page("<a " * 100_000)
+    assert time.perf_counter() - started < 2
+
+
+def test_a_tag_that_never_ends_is_text():
+    assert repair_page("<p>x</p><a y") == "<html><body><p>x</p>&lt;a y</body></html>"
+    assert repair_page("<p>x</p><é y<!-- c -->z") == "<html><body><p>x</p>&lt;é yz</body></html>"
+
+
+def test_large_elements_are_kept_or_reported(spark):
+    many = "<a " + " ".join(f'a{k}="{k}"' for k in range(9_500)) + ">x</a>"
+    long = "<a " + "n" * 3_000 + '="v">y</a>'
+    deep = "<div>" * 600 + "z"
+    df = spark.createDataFrame([(many,), (long,), (deep,), ("<p>w",)], "html string").select(repair("html").alias("d"))
+    got = df.select(
+        F.xpath_string("d", F.lit("string(count(//a/@*))")).alias("n"),
+        F.xpath_string("d", F.lit("normalize-space(//body)")).alias("t"),
+        is_cut("d").alias("cut"),
+    ).collect()
+    assert [(r.n, r.t, r.cut) for r in got] == [("9500", "x", False), ("1", "y", False), ("0", "z", True), ("0", "w", False)]
+    assert '_cut="1"' in repair_page(many) and repair_page(many).count('="') == 9_001
+    assert '_cut="1"' in repair_page(long) and "nnn" not in repair_page(long)
+
+
 def test_null_and_empty():
     assert repair_page(None) is None
     assert repair_page("") == "<html><body></body></html>"

@@ -119,3 +119,42 @@ def test_sql_functions(spark):
     assert tuple(row) == (1.0, "__x", "é_x", "http://b/a", False)
     found = spark.sql("select xpath_string(repair_html('<p>a<p>b <i>c'), '//p[2]')").first()[0]
     assert found == "b c"
+
+
+def test_array_of_many_records_in_order(spark, tmp_path):
+    df = spark.range(5_000).select((4_999 - F.col("id")).alias("n"), F.lit("x").alias("s")).repartition(7)
+    sinks.write_json_array(df, str(tmp_path / "a"), order=("n",))
+    text = "".join(open(p).read() for p in sorted((tmp_path / "a").glob("part-*")))
+    assert [r["n"] for r in json.loads(text)] == list(range(5_000))
+    sinks.write_json_array(df.limit(0), str(tmp_path / "b"))
+    assert json.loads("".join(open(p).read() for p in sorted((tmp_path / "b").glob("part-*")))) == []
+
+
+def test_nested_values_are_adapted(spark):
+    df = spark.sql(
+        "select timestamp'2024-01-01 00:00:00' t, array(struct(timestamp'2024-01-01 00:00:00.5' as u, map(date'2024-01-02', timestamp'2024-01-03 00:00:00') as m)) a,"
+        " cast(null as struct<d:date>) s, map(1, map(2, date'2024-01-04')) k"
+    )
+    got = J.to_jsonable(df).select(F.to_json(F.struct("*"))).first()[0]
+    assert json.loads(got) == {
+        "t": "2024-01-01T00:00:00", "a": [{"u": "2024-01-01T00:00:00.500000", "m": {"2024-01-02": "2024-01-03T00:00:00"}}], "k": {"1": {"2": "2024-01-04"}},
+    }
+
+
+def test_holds_and_grids_cross_days(spark):
+    day = 86_400
+    gauge = spark.createDataFrame([("j", day - 100, 5.0), ("j", 3 * day + 7, 1.0), ("k", 50, 2.0)], "job string, at_sec long, value double")
+    grid = A.on_grid(gauge, ("job",), 15)
+    got = {(r.job, r.t): r.value for r in grid.collect()}
+    want = {("j", t): 5.0 for t in range(-(-(day - 100) // 15) * 15, 3 * day + 15, 15)} | {("j", 3 * day + 15): 1.0, ("k", 60): 2.0}
+    assert got == want
+    spans = A.hold(grid.withColumn("active", F.col("value") > 4), ("job",), 60, 15).collect()
+    start = -(-(day - 100) // 15) * 15
+    assert [(r.pending_at, r.firing_at, r.resolved_at) for r in spans] == [(start, start + 60, 3 * day + 15)]
+
+
+def test_running_count_of_open_intervals(spark):
+    day = 86_400_000_000
+    df = spark.createDataFrame([(5, day + 3), (day - 1, None), (day + 2, 5 * day)], "start_us long, end_us long")
+    got = [tuple(r) for r in M.active(df).orderBy("at_us").collect()]
+    assert got == [(5, 1), (day - 1, 2), (day + 2, 3), (day + 3, 2), (5 * day, 1)]
