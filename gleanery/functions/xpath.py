@@ -12,7 +12,7 @@ from collections.abc import Iterable, Iterator
 from itertools import islice
 from typing import NamedTuple
 
-from pyspark.errors import PySparkException
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from gleanery.functions.html import HIDDEN_MARK
@@ -36,6 +36,11 @@ BOOLEAN_ATTRIBUTES = (
 _verdicts: dict[tuple[str, ...], bool] = {}
 
 
+def forget_verdicts() -> None:
+    """Probe every path anew, as a fresh process would."""
+    _verdicts.clear()
+
+
 class Probe(NamedTuple):
     """One selector and what to read from its first match (``''`` = rendered text)."""
 
@@ -44,23 +49,23 @@ class Probe(NamedTuple):
 
 
 def _accepts(spark: SparkSession, paths: Iterable[str]) -> bool:
-    """Whether all paths compile. The one-row query is folded by the optimizer: no job runs."""
+    """Whether all paths compile."""
     key = tuple(paths)
     if key not in _verdicts:
-        _verdicts[key] = _compiles(spark, key)
+        _verdicts[key] = all(_compiles(spark, path) for path in key)
     return _verdicts[key]
 
 
-def _compiles(spark: SparkSession, paths: tuple[str, ...]) -> bool:
-    document = F.lit(_PROBE_DOCUMENT)
-    checks = [F.xpath_string(document, F.lit(path)).alias(f"c{n}") for n, path in enumerate(paths)]
+def _compiles(spark: SparkSession, path: str) -> bool:
+    """Ask the driver's XPath engine, which is the one behind Spark's ``xpath*`` functions; no query runs."""
+    java = spark._jvm
+    engine = java.javax.xml.xpath.XPathFactory.newInstance().newXPath()
+    document = java.org.xml.sax.InputSource(java.java.io.StringReader(_PROBE_DOCUMENT))
     try:
-        spark.sql("SELECT 1 AS one").select(*checks).collect()
+        engine.evaluate(path, document)
         return True
-    except PySparkException:
-        return False
-    except Exception as error:  # the constant folder reports a bad path as a plain JVM error
-        if "XPath" in str(error) or "XML" in str(error):
+    except Py4JJavaError as error:
+        if "XPath" in str(error.java_exception) or "XML" in str(error.java_exception):
             return False
         raise
 

@@ -662,9 +662,15 @@ def outcomes_by_page(
     else:
         visits = visits.withColumn("join_key", F.col("site"))
         key = page_site
+    if compiled.small:
+        paired = pages.select("page_id", "url", "html", key.alias("join_key")).join(F.broadcast(visits), "join_key")
+    else:
+        # keys are paired first, so that the bodies of a busy host are dealt by their own ids
+        ids = page_source.capture_keys(pages)
+        wanted = pages.select(*ids, key.alias("join_key")).join(visits, "join_key").drop("join_key")
+        paired = page_source.on_captures(pages.select(*ids, "url", "html"), wanted, ids)
     rows = (
-        pages.select("page_id", "url", "html", key.alias("join_key"))
-        .join(compiled.for_join(visits), "join_key")
+        paired
         .withColumn("visit_url", F.coalesce(urls.normalize("url"), F.col("url")))
         .select(
             *_PAGE_KEYS,

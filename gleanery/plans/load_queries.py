@@ -154,8 +154,23 @@ def json_map_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = V.table(spark, sf_dir, "events").select(
         "event_id", F.create_map(F.col("user_id"), F.create_map(F.col("event_id"), F.col("event_type"))).alias("m")
     )
-    nested = rows.select("event_id", F.transform_values("m", lambda _, v: J.text_keys(v)).alias("m"))
-    return J.to_jsonable(nested).select("event_id", J.dumps(F.col("m")).alias("json"))
+    return J.to_jsonable(rows).select("event_id", J.dumps(F.col("m")).alias("json"))
+
+
+def json_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Times inside arrays, structs and maps."""
+    ts = F.col("ts").cast("timestamp")
+    inner = F.struct(ts.alias("at"), F.create_map(ts.cast("date"), F.date_trunc("second", ts)).alias("by_day"))
+    rows = V.table(spark, sf_dir, "events").select("event_id", F.array(inner).alias("seen"))
+    return J.to_jsonable(rows).select("event_id", J.dumps(F.col("seen")).alias("json"))
+
+
+JSON_NESTED = r"""
+select event_id, '[{"at":"' || strftime(ts, '%Y-%m-%dT%H:%M:%S')
+  || case when epoch_us(ts) % 1000000 = 0 then '' else strftime(ts, '.%f') end || '","by_day":{"' || strftime(ts, '%Y-%m-%d') || '":"'
+  || strftime(ts, '%Y-%m-%dT%H:%M:%S') || '"}}]' as json
+from events
+"""
 
 
 JSON_MAP_KEYS = """
@@ -183,6 +198,7 @@ QUERIES = {
     "expected_failures": (expected_failures, EXPECTED_FAILURES),
     "extraction_quality": (extraction_quality, EXTRACTION_QUALITY),
     "to_jsonable": (to_jsonable, TO_JSONABLE),
+    "json_nested": (json_nested, JSON_NESTED),
     "json_map_keys": (json_map_keys, JSON_MAP_KEYS),
     "json_pretty": (json_pretty, JSON_PRETTY),
 }

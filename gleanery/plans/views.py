@@ -78,6 +78,30 @@ PAGE_STEPS = {
 }
 
 
+H1_STEPS = {
+    "site_com": [_step("head", [("h1", "//article/h1", None)])],
+    "site_net": [_step("head", [("h1", "//article/h1", None)])],
+    "site_org": [_step("head", [("h1", "//article/h1", None)])],
+}
+SCRIPT_STEPS = {
+    name: [_step("raw", [("code", "//script", "textContent"), ("h1", "//h1", None)])] for name in ("site_com", "site_net", "site_org")
+}
+
+
+def host_specs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One spec per host that occurs among the pages."""
+    host = F.regexp_extract("url", r"^[a-z]+://([^/?#]+)", 1)
+    step = F.expr(f"array({H1_STEPS['site_com'][0]})")
+    return table(spark, sf_dir, "pages").select(host.alias("spec_id")).distinct().select(
+        "spec_id",
+        F.col("spec_id").alias("name"),
+        F.concat(F.lit("https://"), "spec_id").alias("base_url"),
+        step.alias("steps"),
+        F.lit(20).alias("wait_timeout_sec"),
+        F.lit(30).alias("page_load_timeout_sec"),
+    )
+
+
 ACTION_STEPS = {
     "site_com": [_step("read", [("h1", "//h1", None)]), _step("press", [("h1", "//h1", None)], click_xpath="//a")],
     "site_net": [_step("run", [("h1", "//h1", None)], execute_js="return 1")],
