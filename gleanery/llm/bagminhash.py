@@ -39,7 +39,7 @@ BAND_ROWS = 5
 BANDS = REGISTERS // BAND_ROWS
 THRESHOLD = 0.8
 LIKELY = 0.62
-BLOCK = 1_024
+BLOCK = 512
 #: likeliest partners per bucket that are tried before all others
 PARTNERS = 3
 _U = np.uint64
@@ -229,14 +229,10 @@ def _verified(pairs: DataFrame, rows: DataFrame, found: DataFrame, threshold: fl
     return durable(met.mapInArrow(run, "a binary, b binary, similarity double"))
 
 
-def _across(shared: DataFrame, roots: DataFrame, nodes: DataFrame, least: float, most: int | None) -> DataFrame:
-    """Likely pairs of one bucket that are in different components.
-
-    Members outside a bucket's largest component meet all its members of other components, in blocks. With
-    ``most``, each keeps the likeliest few of a block only.
-    """
+def _cells(shared: DataFrame, roots: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Members of buckets whose members are in different components, with how many blocks their bucket takes."""
     owned = shared.join(roots, F.col("digest") == F.col("node"), "left").select(
-        "bucket", "digest", F.coalesce("root", "digest").alias("root")
+        "bucket", "band", "digest", F.coalesce("root", "digest").alias("root")
     )
     sizes = owned.groupBy("bucket", "root").count()
     main = sizes.groupBy("bucket").agg(F.max(F.struct("count", "root")).alias("main"), F.count("*").alias("roots"), F.sum("count").alias("all"))
@@ -246,10 +242,21 @@ def _across(shared: DataFrame, roots: DataFrame, nodes: DataFrame, least: float,
         F.ceil(F.col("all") / BLOCK).cast("int").alias("member_blocks"),
         F.ceil((F.col("all") - F.col("main.count")) / BLOCK).cast("int").alias("minor_blocks"),
     )
-    met = durable(owned.join(mixed, "bucket").join(nodes.select("digest", "signature"), "digest"))
+    return durable(owned.join(mixed, "bucket").join(nodes.select("digest", "signature"), "digest"))
+
+
+def _across(met: DataFrame, least: float, most: int | None, threshold: float = 1.0) -> DataFrame:
+    """Pairs (a, b) of one bucket, in different components, whose signatures agree in a share of the registers.
+
+    Members outside a bucket's largest component meet all its members of other components, in blocks, and a pair
+    only in the first band that both share. With ``most``, each keeps the likeliest few of a block. Without, the
+    rows of ``met`` bring their multisets (values, counts); pairs are verified on the spot, the likeliest first,
+    and once two components are found to be linked, no more of their pairs are.
+    """
     deal = lambda n: F.pmod(F.xxhash64("digest"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    columns = ("bucket", "minor_block", "member_block", "digest", "root", "signature")
+    carried = ["band", "digest", "root", "signature"] + (["values", "counts"] if most is None else [])
+    columns = ("bucket", "minor_block", "member_block", *carried)
     minors = met.where("root <> main").withColumn("minor_block", deal("minor_blocks")).withColumn("member_block", every("member_blocks"))
     members = met.withColumn("main", F.col("root") == F.col("main")).withColumn("member_block", deal("member_blocks"))
     members = members.withColumn("minor_block", every("minor_blocks"))
@@ -259,22 +266,45 @@ def _across(shared: DataFrame, roots: DataFrame, nodes: DataFrame, least: float,
         if len(few) and len(many):
             marks = np.frombuffer(b"".join(many["m_signature"]), np.uint32).reshape(len(many), -1)
             their, roots_, main_ = (many[f"m_{c}"].to_numpy() for c in ("digest", "root", "main"))
-            for name, root, mark in zip(few["digest"], few["root"], few["signature"], strict=True):
-                agree = (marks == np.frombuffer(mark, np.uint32)).mean(axis=1)
-                near = np.flatnonzero((agree >= least) & (roots_ != root))
+            band = int(few["band"].iloc[0])
+            bag = lambda row, sign: (np.frombuffer(row[f"{sign}values"], np.uint64), np.frombuffer(row[f"{sign}counts"], np.uint32))
+            joined: dict[bytes, bytes] = {}
+
+            def top(root: bytes) -> bytes:
+                while root in joined:
+                    root = joined[root]
+                return root
+
+            for _, row in few.iterrows():
+                name, root = row["digest"], row["root"]
+                same = marks == np.frombuffer(row["signature"], np.uint32)
+                agree = same.mean(axis=1)
+                near = (agree >= least) & (roots_ != root)
+                if band:
+                    earlier = same[:, : band * BAND_ROWS].reshape(len(many), band, BAND_ROWS)
+                    near &= ~earlier.all(axis=2).any(axis=1)
+                near = np.flatnonzero(near)
+                near = near[np.lexsort((their[near], -agree[near]))]
                 if most:
-                    near = near[np.lexsort((their[near], -agree[near]))[:most]]
-                else:  # two members outside the largest component meet once
-                    near = near[main_[near].astype(bool) | (their[near] > name)]
-                names += [name] * len(near)
-                others += their[near].tolist()
+                    near = near[:most]
+                    names += [name] * len(near)
+                    others += their[near].tolist()
+                    continue
+                for j in near:
+                    # two members outside the largest component meet once
+                    if not (main_[j] or their[j] > name) or top(roots_[j]) == top(root):
+                        continue
+                    if overlap(*bag(row, ""), *bag(many.iloc[j], "m_")) >= threshold:
+                        joined[top(roots_[j])] = top(root)
+                        names.append(name)
+                        others.append(their[j])
         return pd.DataFrame({"a": names, "b": others})
 
     cell = ("bucket", "minor_block", "member_block")
     # both sides come from one table: new names keep their columns apart
     members = members.select(*[F.col(c).alias(f"m_{c}") for c in (*columns, "main")])
-    many = members.groupBy(*[f"m_{c}" for c in cell])
-    pairs = minors.select(*columns).groupBy(*cell).cogroup(many).applyInPandas(compare, "a binary, b binary")
+    grouped = members.groupBy(*[f"m_{c}" for c in cell])
+    pairs = minors.select(*columns).groupBy(*cell).cogroup(grouped).applyInPandas(compare, "a binary, b binary")
     return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
@@ -288,7 +318,7 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold:
     found = durable(profiles(rows))
     nodes = found.where("weight > 0").select("digest", "signature").dropDuplicates(["digest"])
     bands = [F.xxhash64(F.lit(b), F.substring("signature", b * 4 * BAND_ROWS + 1, 4 * BAND_ROWS)) for b in range(BANDS)]
-    keys = nodes.select("digest", F.explode(F.array(*bands)).alias("bucket"))
+    keys = nodes.select("digest", F.posexplode(F.array(*bands)).alias("band", "bucket"))
     sizes = keys.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     shared = durable(keys.join(sizes, "bucket"))
     central = shared.groupBy("digest").agg(F.sum("n").alias("score"))
@@ -297,13 +327,17 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold:
     stars = shared.join(heads, "bucket").where(F.col("a") != F.col("digest")).select("a", F.col("digest").alias("b")).distinct()
     links = _verified(_likely(stars, nodes, LIKELY), rows, found, threshold)
     roots = components(links)
-    # first the likeliest partners of those outside, which joins nearly all that belong together; then all the rest
-    for most in (PARTNERS, None):
-        more = durable(_across(shared, roots, nodes, LIKELY, most))
-        if more.isEmpty():
-            break
-        links = links.union(_verified(more, rows, found, threshold))
+    # first the likeliest partners of those outside, which joins nearly all that belong together
+    likely = durable(_across(_cells(shared, roots, nodes), LIKELY, PARTNERS))
+    if not likely.isEmpty():
+        links = links.union(_verified(likely, rows, found, threshold))
         roots = components(links)
+        # then all pairs that are left
+        cells = _cells(shared, roots, nodes)
+        sets = _sets(rows, found, cells.select("digest").distinct())
+        more = durable(_across(cells.join(sets, "digest"), LIKELY, None, threshold))
+        if not more.isEmpty():
+            roots = components(links.select("a", "b").union(more))
     member = F.struct(F.col("key").isNull().alias("none"), "key", "tag")
     owned = found.join(roots, F.col("digest") == F.col("node"), "left").select(
         "key", "tag", "weight", F.coalesce("root", "digest").alias("root")
