@@ -253,11 +253,20 @@ def _css_test(part: re.Match) -> str:
     }[sign]
 
 
+# a bracket runs to the one that closes it; quotes inside may hold commas, blanks and brackets
+_CSS_BRACKET = r"""\[(?:[^\]"']|"[^"]*"|'[^']*')*\]"""
+_CSS_LIST = re.compile(rf"((?:{_CSS_BRACKET}|[^,\[])*),")
+_CSS_TOKEN = re.compile(rf">|(?:{_CSS_BRACKET}|[^\s>\[])+")
+
+
 def css_to_xpath(css: str) -> str | None:
     """Simple CSS selectors (tag, ``.class``, ``#id``, ``[attr]``, descendant, ``>``, lists) as XPath."""
     alternatives = []
-    for selector in css.split(","):
-        tokens = re.findall(r">|(?:\[[^\]]*\]|[^\s>\[])+", selector.strip())
+    selectors = _CSS_LIST.findall(css + ",")
+    if sum(len(selector) + 1 for selector in selectors) != len(css) + 1:
+        return None  # a bracket that does not close
+    for selector in selectors:
+        tokens = _CSS_TOKEN.findall(selector.strip())
         path, axis = "", "//"
         for token in tokens:
             if token == ">":

@@ -168,7 +168,7 @@ def violations(specs: DataFrame) -> DataFrame:
             ("V6", selectors > 1, selectors),
             ("V7", (selectors == 1) & (F.col("index") < 0), F.col("index")),
             (
-                "V5",
+                "C1",
                 (selectors == 1) & F.col("css").isNotNull() & ~_simple_css(F.col("css")),
                 F.col("css"),
             ),

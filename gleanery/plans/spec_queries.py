@@ -32,7 +32,7 @@ v(rule, spec_id, step, field, detail, a, b, c, d, e) as (
   union all select 'V1', spec_id, step, f2, 'field.name', 1, ord, 1, 2, 3 from p where f2 = ''
   union all select 'V6', spec_id, step, null, '2', 1, ord, 2, 1, 1 from p where n % 13 = 8
   union all select 'V7', spec_id, step, null, '-1', 1, ord, 2, 1, 2 from p where n % 13 <> 8 and n % 11 = 9
-  union all select 'V5', spec_id, step, null, 'div:hover > iframe', 1, ord, 2, 1, 3 from p where n % 13 <> 8 and n % 11 <> 9 and n % 7 = 3
+  union all select 'C1', spec_id, step, null, 'div:hover > iframe', 1, ord, 2, 1, 3 from p where n % 13 <> 8 and n % 11 <> 9 and n % 7 = 3
   union all select 'V8', spec_id, step, null, 'step.name', 1, ord, 3, 0, 0 from p where step = '  '
   union all select 'V9', spec_id, step, null, 'sideways', 1, ord, 3, 0, 1 from p where n % 31 = 10
   union all select 'V10', spec_id, step, 'h1', '2', 1, ord, 4, 0, 0 from p where f2 = 'h1'

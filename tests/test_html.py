@@ -99,6 +99,9 @@ def test_spark_reads_every_page(spark):
         ("div [name='f']", "//div//*[@name='f']"),
         ("iframe[src^=\"/a\"], frame", "//iframe[starts-with(@src, '/a')] | //frame"),
         ("a:hover", None),
+        ("a[b", None),
+        ("iframe[src=\"a,b\"], frame", "//iframe[@src='a,b'] | //frame"),
+        ("iframe[title='x > y']", "//iframe[@title='x > y']"),
         ("div >", None),
     ],
 )
