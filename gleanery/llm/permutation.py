@@ -4,8 +4,8 @@ Every vector is represented by the order in which a set of pivots is near to it.
 bounded sample of the vectors, made orthonormal, so that each pivot adds to what the others say (for few
 dimensions several such sets). A vector is posted, with its permutation, in the inverted file of its nearest
 pivot, a file being cut into blocks of about ``BLOCK`` vectors. A query visits the files of its nearest
-``PROBES`` pivots, ranks the vectors there by the footrule distance of the permutations, and reranks the first
-``RERANK`` of each block by the inner product of the original vectors, in double precision.
+``PROBES`` pivots and takes the best of all vectors there by the inner product of the original vectors, in double
+precision. Places in a permutation say nothing about a vector's length, so none is left out by them.
 
 Equal vectors are indexed once, with as many of their smallest ids as an answer can hold, so that a vector
 that a third of all rows repeat costs no more than any other. Queries are answered once per distinct vector.
@@ -30,9 +30,11 @@ from gleanery.session import durable
 SAMPLE = 256
 PIVOTS = 64
 PROBES = 48
-RERANK = 64
 BLOCK = 2_048
 QUERY_BLOCK = 1_024
+#: queries of a block that are multiplied at a time, and the share of two lengths that rounding stays under
+STRIP = 256
+SLACK = 1e-9
 #: parts that the copies of one vector are split into before their smallest ids are taken
 SALTS = 64
 
@@ -75,20 +77,32 @@ def pivots(rows: DataFrame, count: int = PIVOTS, sample: int = SAMPLE) -> np.nda
     return np.vstack(made)[:count]
 
 
-def places(vectors: np.ndarray, directions: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pivots from the nearest to the farthest, and the place of each pivot in that order."""
-    order = np.argsort(-(vectors @ directions.T), axis=1, kind="stable").astype(np.int16)
-    place = np.empty_like(order)
-    np.put_along_axis(place, order, np.arange(order.shape[1], dtype=np.int16)[None, :], axis=1)
-    return order, place
+def permutations(vectors: np.ndarray, directions: np.ndarray) -> np.ndarray:
+    """Pivots from the nearest to the farthest."""
+    return np.argsort(-(vectors @ directions.T), axis=1, kind="stable").astype(np.int16)
 
 
-def footrule(place: np.ndarray, other: np.ndarray) -> np.ndarray:
-    """Spearman's footrule between one permutation and many, which are given pivot by pivot."""
-    total = np.zeros(other.shape[1], np.int16 if len(place) <= 180 else np.int32)
-    for k in range(len(place)):
-        total += np.abs(other[k] - place[k])
-    return total
+def best_of(
+    queries: np.ndarray, vectors: np.ndarray, leads: np.ndarray, count: int
+) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each query the places and inner products of the ``count`` best vectors, ties to the smaller of ``leads``.
+
+    A matrix product finds all that may be among them; what is left out is worse by more than rounding can be.
+    """
+    lengths = np.linalg.norm(vectors, axis=1).max()
+    for start in range(0, len(queries), STRIP):
+        strip = queries[start : start + STRIP]
+        near = strip @ vectors.T
+        slack = SLACK * lengths * np.linalg.norm(strip, axis=1)
+        if count < len(vectors):
+            least = np.partition(near, len(vectors) - count, axis=1)[:, len(vectors) - count] - slack
+        else:
+            least = np.full(len(strip), -np.inf)
+        for n, own in enumerate(strip):
+            at = np.flatnonzero(~(near[n] < least[n]))
+            scores = (vectors[at] * own).sum(axis=1)
+            keep = np.lexsort((leads[at], -scores))[:count]
+            yield start + n, at[keep], scores[keep]
 
 
 def search(
@@ -98,7 +112,6 @@ def search(
     key: str = "vec_id",
     vector: str = "embedding",
     probes: int = PROBES,
-    rerank: int = RERANK,
 ) -> DataFrame:
     """(query_id, rank, id, score): the k nearest rows of ``df`` for each row of ``queries``, but the query's own id.
 
@@ -125,16 +138,15 @@ def search(
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             flat = batch.column("vector").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, size)
-            order, place = places(flat, shared.value)
+            order = permutations(flat, shared.value)
             columns = [
                 batch.column(0),
                 pa.array([row.tobytes() for row in flat], pa.binary()),
-                pa.array([row.tobytes() for row in place], pa.binary()),
                 pa.array(order[:, :probes].astype(np.int32).tolist(), pa.list_(pa.int32())),
             ]
-            yield pa.RecordBatch.from_arrays(columns, [batch.schema.names[0], "vector", "place", "files"])
+            yield pa.RecordBatch.from_arrays(columns, [batch.schema.names[0], "vector", "files"])
 
-    shape = "vector binary, place binary, files array<int>"
+    shape = "vector binary, files array<int>"
     posted = durable(distinct.select("ids", "vector").mapInArrow(index, f"ids array<long>, {shape}").withColumn("file", F.col("files")[0]))
     # each vector that is asked for once, under the smallest id that asks for it
     wanted = rows.join(asked, "id", "left_semi").distinct()
@@ -143,7 +155,7 @@ def search(
     heads = durable(heads.mapInArrow(index, f"query long, {shape}"))
     # blocks per file: for data and for queries; one row per pivot
     data_blocks = {r["file"]: -(-r["count"] // BLOCK) for r in posted.groupBy("file").count().collect()}
-    visits = heads.select("query", "vector", "place", F.explode("files").alias("file"))
+    visits = heads.select("query", "vector", F.explode("files").alias("file"))
     query_blocks = {r["file"]: -(-r["count"] // QUERY_BLOCK) for r in visits.groupBy("file").count().collect()}
     if not data_blocks or not query_blocks:
         return spark.createDataFrame([], "query_id long, rank int, id long, score double")
@@ -168,16 +180,10 @@ def search(
         ids = list(there["ids"])
         leads = np.array([row[0] for row in ids])
         vectors = np.frombuffer(b"".join(there["vector"]), np.float64).reshape(len(there), size)
-        other = np.ascontiguousarray(np.frombuffer(b"".join(there["place"]), np.int16).reshape(len(there), -1).T)
+        own = np.frombuffer(b"".join(asks["vector"]), np.float64).reshape(len(asks), size)
         found = []
-        for query, own, place in zip(asks["query"], asks["vector"], asks["place"], strict=True):
-            best = np.arange(len(leads))
-            if rerank < len(leads):
-                far = footrule(np.frombuffer(place, np.int16), other)
-                best = np.lexsort((leads, far))[:rerank]
-            scores = (vectors[best] * np.frombuffer(own, np.float64)).sum(axis=1)
-            keep = np.lexsort((leads[best], -scores))[: k + 1]
-            found.append((np.full(len(keep), query), [ids[j] for j in best[keep]], scores[keep]))
+        for query, at, scores in best_of(own, vectors, leads, k + 1):
+            found.append((np.full(len(at), asks["query"].iloc[query]), [ids[j] for j in at], scores))
         return pd.DataFrame({
             "query": np.concatenate([f[0] for f in found]), "ids": [x for f in found for x in f[1]], "score": np.concatenate([f[2] for f in found]),
         })

@@ -547,3 +547,31 @@ def test_recall_against_brute_force(spark):
         scores[at] = -math.inf
         recall.append(len(got[ids[at]] & set(ids[np.lexsort((ids, -scores))[:20]].tolist())) / 20)
     assert np.mean(recall) >= 0.9
+
+
+def spread_vectors(spark, count, sigma, dims=64):
+    """Rows of Spark's own random numbers: even directions, lengths lognormal with ``sigma``."""
+    part = lambda d: F.randn(d + 1)
+    rows = spark.range(0, count, 1, 4).select(F.col("id").alias("vec_id"), F.array(*[part(d) for d in range(dims)]).alias("v"), F.exp(F.randn(99) * sigma).alias("s"))
+    size = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
+    return rows.select("vec_id", F.transform("v", lambda x: (x * F.col("s") / size).cast("float")).alias("embedding"))
+
+
+def recall_of(df, asked, k=20):
+    got = defaultdict(set)
+    for r in permutation.search(df, df.where(asked), k=k).collect():
+        got[r.query_id].add(r.id)
+    data = df.toPandas()
+    vectors, ids = np.array(data.embedding.tolist(), float), data.vec_id.to_numpy()
+    recall = []
+    for at in np.flatnonzero(ids % 500 == 0):
+        scores = vectors @ vectors[at]
+        scores[at] = -math.inf
+        recall.append(len(got[ids[at]] & set(ids[np.lexsort((ids, -scores))[:k]].tolist())) / k)
+    return np.mean(recall)
+
+
+@pytest.mark.parametrize("sigma", [0.0, 0.5])
+def test_recall_where_files_are_long(spark, sigma):
+    df = spread_vectors(spark, 20_000, sigma).localCheckpoint()
+    assert recall_of(df, "vec_id % 500 = 0") >= 0.9
