@@ -1,11 +1,13 @@
-"""Nearest neighbours by a permutation index.
+"""Nearest neighbours by a permutation index, exactly.
 
 Every vector is represented by the order in which a set of pivots is near to it. Pivots are directions: a
 bounded sample of the vectors, made orthonormal, so that each pivot adds to what the others say (for few
-dimensions several such sets). A vector is posted, with its permutation, in the inverted file of its nearest
-pivot, a file being cut into blocks of about ``BLOCK`` vectors. A query visits the files of its nearest
-``PROBES`` pivots and takes the best of all vectors there by the inner product of the original vectors, in double
-precision. Places in a permutation say nothing about a vector's length, so none is left out by them.
+dimensions several such sets). A vector is posted in the inverted file of its nearest pivot; a file is cut by
+length (powers of two) and into blocks of about ``BLOCK`` vectors. A query first visits the files of its nearest
+``PROBES`` pivots and takes the best of all vectors there by the inner product, in double precision. It then
+visits every other block but those that an upper bound rules out: the vectors of a file lie in the cone where
+the file's pivot is the nearest of its set, so none has a larger product than the query's projection onto that
+cone times the block's greatest length. While a query has fewer vectors than an answer needs, nothing is ruled out.
 
 Equal vectors are indexed once, with as many of their smallest ids as an answer can hold, so that a vector
 that a third of all rows repeat costs no more than any other. Queries are answered once per distinct vector.
@@ -29,12 +31,15 @@ from gleanery.session import durable
 #: vectors whose directions make the pivots: fixed by the least hashes of their ids, whatever the table's size
 SAMPLE = 256
 PIVOTS = 64
-PROBES = 48
+#: files that a query visits before bounds decide on the others
+PROBES = 8
 BLOCK = 2_048
 QUERY_BLOCK = 1_024
 #: queries of a block that are multiplied at a time, and the share of two lengths that rounding stays under
 STRIP = 256
 SLACK = 1e-9
+#: numbers that a task holds at a time when it compares bounds
+HELD = 1 << 21
 #: parts that the copies of one vector are split into before their smallest ids are taken
 SALTS = 64
 
@@ -82,24 +87,75 @@ def permutations(vectors: np.ndarray, directions: np.ndarray) -> np.ndarray:
     return np.argsort(-(vectors @ directions.T), axis=1, kind="stable").astype(np.int16)
 
 
+def packed(vectors: np.ndarray) -> pa.Array:
+    return pa.array([row.tobytes() for row in vectors], pa.binary())
+
+
+def unpacked(flat: np.ndarray, size: int) -> np.ndarray:
+    return flat.reshape(-1, size)
+
+
+def reach(vectors: np.ndarray, directions: np.ndarray) -> np.ndarray:
+    """For each vector and pivot the largest inner product with any unit vector that is posted under the pivot.
+
+    That is the length of the projection onto the cone where the pivot's coordinate is the largest of its set:
+    the coordinates above a level take that level, which is the mean of theirs and the pivot's.
+    """
+    near, whole = vectors @ directions.T, (vectors**2).sum(axis=1)[:, None]
+    bound = np.empty_like(near)
+    size = directions.shape[1]
+    for start in range(0, len(directions), size):
+        own = near[:, start : start + size]
+        top = -np.sort(-own, axis=1)
+        before = lambda x: np.cumsum(x, axis=1) - x
+        levels = (own[:, :, None] + before(top)[:, None, :]) / np.arange(1, own.shape[1] + 1)
+        most = levels.argmax(axis=2)
+        level = np.take_along_axis(levels, most[:, :, None], axis=2)[:, :, 0]
+        lost = own**2 + np.take_along_axis(before(top**2), most, axis=1) - (most + 1) * level**2
+        # what rounding may add to the square
+        bound[:, start : start + size] = np.sqrt(np.maximum(whole - lost, 0) + 1e-12 * whole)
+    return bound
+
+
+def blocks_of(counts: list[tuple[int, int, int, float]]) -> tuple[list[tuple[int, int, int, int]], np.ndarray, np.ndarray]:
+    """Cuts files into blocks: (file, layer, first block, blocks) per layer, and each block's file and greatest length.
+
+    ``counts`` has file, layer, vectors and greatest length. Layers follow each other from the longest vectors
+    to the shortest, and small ones share a block.
+    """
+    cells, files, lengths = [], [], []
+    room = 0
+    for file, layer, count, length in sorted(counts, key=lambda c: (c[0], -c[1])):
+        if count > room or files[-1] != file:
+            parts = -(-count // BLOCK)
+            first = len(files)
+            files += [file] * parts
+            lengths += [length] * parts
+            room = BLOCK - count if parts == 1 else 0
+        else:
+            first, parts, room = len(files) - 1, 1, room - count
+        cells.append((file, layer, first, parts))
+    return cells, np.array(files, np.int64), np.array(lengths)
+
+
 def best_of(
-    queries: np.ndarray, vectors: np.ndarray, leads: np.ndarray, count: int
+    queries: np.ndarray, least: np.ndarray, vectors: np.ndarray, leads: np.ndarray, count: int
 ) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For each query the places and inner products of the ``count`` best vectors, ties to the smaller of ``leads``.
 
-    A matrix product finds all that may be among them; what is left out is worse by more than rounding can be.
+    Products under ``least`` are not asked for. A matrix product finds all that may be among the best; what is
+    left out is worse by more than rounding can be.
     """
-    lengths = np.linalg.norm(vectors, axis=1).max()
+    longest = np.linalg.norm(vectors, axis=1).max()
     for start in range(0, len(queries), STRIP):
         strip = queries[start : start + STRIP]
         near = strip @ vectors.T
-        slack = SLACK * lengths * np.linalg.norm(strip, axis=1)
-        if count < len(vectors):
-            least = np.partition(near, len(vectors) - count, axis=1)[:, len(vectors) - count] - slack
-        else:
-            least = np.full(len(strip), -np.inf)
+        slack = SLACK * longest * np.linalg.norm(strip, axis=1)
         for n, own in enumerate(strip):
-            at = np.flatnonzero(~(near[n] < least[n]))
+            at = np.flatnonzero(~(near[n] < least[start + n] - slack[n]))
+            if len(at) > count:
+                rough = near[n][at]
+                at = at[~(rough < np.partition(rough, len(at) - count)[len(at) - count] - slack[n])]
             scores = (vectors[at] * own).sum(axis=1)
             keep = np.lexsort((leads[at], -scores))[:count]
             yield start + n, at[keep], scores[keep]
@@ -137,41 +193,64 @@ def search(
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            flat = batch.column("vector").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, size)
-            order = permutations(flat, shared.value)
+            flat = unpacked(batch.column("vector").flatten().to_numpy(zero_copy_only=False), size)
+            length = np.linalg.norm(flat, axis=1)
             columns = [
                 batch.column(0),
-                pa.array([row.tobytes() for row in flat], pa.binary()),
-                pa.array(order[:, :probes].astype(np.int32).tolist(), pa.list_(pa.int32())),
+                packed(flat),
+                pa.array(permutations(flat, shared.value)[:, 0].astype(np.int32)),
+                pa.array(np.frexp(length)[1].astype(np.int32)),
+                pa.array(length),
             ]
-            yield pa.RecordBatch.from_arrays(columns, [batch.schema.names[0], "vector", "files"])
+            yield pa.RecordBatch.from_arrays(columns, [batch.schema.names[0], "vector", "file", "layer", "length"])
+
+    posted = durable(distinct.select("ids", "vector").mapInArrow(index, "ids array<long>, vector binary, file int, layer int, length double"))
+    counts = posted.groupBy("file", "layer").agg(F.count(F.lit(1)), F.max("length")).collect()
+    cells, block_file, block_length = blocks_of([tuple(c) for c in counts])
+    if not cells:
+        return spark.createDataFrame([], "query_id long, rank int, id long, score double")
+    where = F.broadcast(spark.createDataFrame(cells, "file int, layer int, first int, parts int"))
+    placed = posted.join(where, ["file", "layer"]).select(
+        "ids", "vector", (F.col("first") + F.pmod(F.xxhash64("vector"), F.col("parts"))).cast("int").alias("block")
+    )
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat = unpacked(batch.column("vector").flatten().to_numpy(zero_copy_only=False), size)
+            yield pa.RecordBatch.from_arrays([batch.column("query"), packed(flat)], ["query", "vector"])
 
-    shape = "vector binary, files array<int>"
-    posted = durable(distinct.select("ids", "vector").mapInArrow(index, f"ids array<long>, {shape}").withColumn("file", F.col("files")[0]))
     # each vector that is asked for once, under the smallest id that asks for it
     wanted = rows.join(asked, "id", "left_semi").distinct()
     heads = wanted.groupBy("vector").agg(F.min("id").alias("query")).select("query", "vector")
     asking = wanted.withColumnRenamed("id", "query_id").join(heads, "vector").select("query_id", "query")
-    heads = durable(heads.mapInArrow(index, f"query long, {shape}"))
-    # blocks per file: for data and for queries; one row per pivot
-    data_blocks = {r["file"]: -(-r["count"] // BLOCK) for r in posted.groupBy("file").count().collect()}
-    visits = heads.select("query", "vector", F.explode("files").alias("file"))
-    query_blocks = {r["file"]: -(-r["count"] // QUERY_BLOCK) for r in visits.groupBy("file").count().collect()}
-    if not data_blocks or not query_blocks:
-        return spark.createDataFrame([], "query_id long, rank int, id long, score double")
-    per_file = lambda counts: F.coalesce(F.create_map(*[F.lit(x) for kv in counts.items() for x in kv])[F.col("file")], F.lit(0))
-    dealt = lambda column, counts: F.pmod(F.xxhash64(column), F.greatest(per_file(counts), F.lit(1))).cast("int")
-    left = (
-        visits.where(F.col("file").isin(list(data_blocks)))
-        .withColumn("query_block", dealt("query", query_blocks))
-        .withColumn("data_block", F.explode(F.sequence(F.lit(0), per_file(data_blocks) - 1)))
-    )
-    right = (
-        posted.where(F.col("file").isin(list(query_blocks)))
-        .withColumn("data_block", dealt("vector", data_blocks))
-        .withColumn("query_block", F.explode(F.sequence(F.lit(0), per_file(query_blocks) - 1)))
-    )
-    cell = ("file", "data_block", "query_block")
+    heads = durable(heads.mapInArrow(pack, "query long, vector binary"))
+    known = spark.sparkContext.broadcast((block_file, block_length))
+
+    def visits(first: bool):
+        """Blocks of the nearest files, or all others that the bounds leave."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            files, lengths = known.value
+            step = max(1, HELD // max(len(files), len(shared.value) * min(size, len(shared.value))))
+            for batch in batches:
+                for start in range(0, batch.num_rows, step):
+                    part = batch.slice(start, step)
+                    flat = unpacked(np.frombuffer(b"".join(part.column("vector").to_pylist()), np.float64), size)
+                    near = np.zeros((len(flat), len(shared.value)), bool)
+                    np.put_along_axis(near, permutations(flat, shared.value)[:, :probes].astype(np.int64), True, axis=1)
+                    go = near[:, files]
+                    if not first:
+                        least = part.column("least").to_numpy()[:, None]
+                        slack = SLACK * np.linalg.norm(flat, axis=1)[:, None] * lengths
+                        go = ~go & ~(reach(flat, shared.value)[:, files] * lengths < least - slack)
+                    blocks = [np.flatnonzero(row).astype(np.int32) for row in go]
+                    yield pa.RecordBatch.from_arrays(
+                        [*(part.column(name) for name in ("query", "vector", "least")), pa.array(blocks, pa.list_(pa.int32()))],
+                        ["query", "vector", "least", "blocks"],
+                    )
+
+        return run
+
+    cell = ("block", "query_block")
 
     def visit(asks: pd.DataFrame, there: pd.DataFrame) -> pd.DataFrame:
         empty = pd.DataFrame({"query": pd.Series(dtype="int64"), "ids": pd.Series(dtype=object), "score": pd.Series(dtype="float64")})
@@ -179,20 +258,34 @@ def search(
             return empty
         ids = list(there["ids"])
         leads = np.array([row[0] for row in ids])
-        vectors = np.frombuffer(b"".join(there["vector"]), np.float64).reshape(len(there), size)
-        own = np.frombuffer(b"".join(asks["vector"]), np.float64).reshape(len(asks), size)
+        vectors, own = (unpacked(np.frombuffer(b"".join(side["vector"]), np.float64), size) for side in (there, asks))
+        queries = asks["query"].to_numpy()
         found = []
-        for query, at, scores in best_of(own, vectors, leads, k + 1):
-            found.append((np.full(len(at), asks["query"].iloc[query]), [ids[j] for j in at], scores))
+        for n, at, scores in best_of(own, asks["least"].to_numpy(), vectors, leads, k + 1):
+            found.append((np.full(len(at), queries[n]), [ids[j] for j in at], scores))
         return pd.DataFrame({
-            "query": np.concatenate([f[0] for f in found]), "ids": [x for f in found for x in f[1]], "score": np.concatenate([f[2] for f in found]),
+            "query": np.concatenate([f[0] for f in found]), "ids": pd.Series([x for f in found for x in f[1]], dtype=object), "score": np.concatenate([f[2] for f in found]),
         })
 
-    hits = left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInPandas(visit, "query long, ids array<long>, score double")
-    # the k + 1 nearest vectors hold the k nearest ids, whichever of them is the query's own
+    def meet(asks: DataFrame, first: bool) -> DataFrame:
+        """(query, ids, score): the best of each block that a query visits."""
+        shape = "query long, vector binary, least double, blocks array<int>"
+        left = asks.mapInArrow(visits(first), shape).withColumn("block", F.explode("blocks")).drop("blocks")
+        parts = F.broadcast(left.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / QUERY_BLOCK).cast("int").alias("parts")))
+        left = left.join(parts, "block").withColumn("query_block", F.pmod(F.xxhash64("query"), F.col("parts")).cast("int")).drop("parts")
+        right = placed.join(parts, "block").withColumn("query_block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+        return left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInPandas(visit, "query long, ids array<long>, score double")
+
     near = Window.partitionBy("query").orderBy(F.desc("score"), F.col("ids")[0])
-    best = hits.withColumn("n", F.row_number().over(near)).where(F.col("n") <= k + 1)
-    answers = best.select("query", F.explode("ids").alias("id"), "score")
+    top = lambda hits: hits.withColumn("n", F.row_number().over(near)).where(F.col("n") <= k + 1)
+    none = F.lit(float("-inf"))
+    hits = durable(top(meet(heads.withColumn("least", none), True)))
+    # what a vector must reach, once a query has as many as its answer needs
+    least = hits.where(F.col("n") == k + 1).select("query", F.col("score").alias("least"))
+    asks = heads.join(least, "query", "left").withColumn("least", F.coalesce("least", none))
+    hits = hits.drop("n").unionByName(meet(asks, False))
+    # the k + 1 nearest vectors hold the k nearest ids, whichever of them is the query's own
+    answers = top(hits).select("query", F.explode("ids").alias("id"), "score")
     answers = asking.join(answers, "query").where(F.col("id") != F.col("query_id"))
     # an id with several vectors counts with its best one
     answers = answers.groupBy("query_id", "id").agg(F.max("score").alias("score"))

@@ -571,7 +571,36 @@ def recall_of(df, asked, k=20):
     return np.mean(recall)
 
 
-@pytest.mark.parametrize("sigma", [0.0, 0.5])
+@pytest.mark.parametrize("sigma", [0.0, 0.5, 1.0])
 def test_recall_where_files_are_long(spark, sigma):
     df = spread_vectors(spark, 20_000, sigma).localCheckpoint()
     assert recall_of(df, "vec_id % 500 = 0") >= 0.9
+
+
+def test_search_is_exact_where_files_are_far(spark):
+    assert search(spark, [(20, [1.0, 0.0], 1, "x"), (1, [-1.0, 0.0], 1, "x")]) == [(20, 1, 1, -1.0)]
+    rng = np.random.default_rng(6)
+    rows = [(20 * k, rng.normal(size=64).astype(np.float32).tolist()) for k in range(16)]
+    assert search(spark, [(*r, 1, "x") for r in rows]) == exact(rows, 20)
+
+
+@pytest.mark.parametrize("size", [2, 6, 64, 100])
+def test_no_bound_is_too_low(size):
+    rng = np.random.default_rng(size)
+    directions = np.vstack([np.linalg.qr(rng.normal(size=(size, size)))[0].T for _ in range(max(1, 64 // size))])[:64]
+    vectors = rng.normal(size=(500, size))
+    vectors[1::2] = vectors[::2] + rng.normal(size=(250, size)) * 0.1
+    files = permutation.permutations(vectors, directions)[:, 0]
+    bound = permutation.reach(vectors, directions)[:, files] * np.linalg.norm(vectors, axis=1)
+    assert (vectors @ vectors.T <= bound * (1 + 1e-9)).all()
+    # a cone that a vector lies in takes none of its length
+    assert np.allclose(bound[np.arange(500), np.arange(500)], (vectors**2).sum(axis=1))
+    if size == 64:
+        assert (bound < np.linalg.norm(vectors, axis=1) * np.linalg.norm(vectors, axis=1)[:, None] * 0.99).mean() > 0.3
+
+
+def test_search_is_exact_where_bounds_rule_files_out(spark):
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(12, 16))
+    rows = [(k, ((centres[k % 12] + rng.normal(size=16) * 0.05) * 2.0 ** rng.integers(-9, 9)).astype(np.float32).tolist()) for k in range(700)]
+    assert search(spark, [(*r, 1, "x") for r in rows]) == exact(rows, 20)
