@@ -6,7 +6,8 @@ licence sentence stands for its identifier. The sequence of a text's identifiers
 the rules in their order: a rule is a run of identifiers, names a licence, and takes what it matches from the
 rules after it. A text has the licences that either cut finds.
 
-Only texts that hold one of ``ANCHORS`` are cut: every known sentence holds one, so no other text can match.
+Only texts that hold an anchor are cut. The anchors follow from the known sentences: each of them holds one, so no
+other text can match.
 
 Defined results: null and empty texts, and those without a known sentence, have no licences and count 0.
 Everything happens within a row, so repeated rows get repeated results and nothing is shuffled.
@@ -50,8 +51,26 @@ SENTENCES = {
     " the Free Software Foundation",
     "gpl2_or_later": "either version 2 of the License, or (at your option) any later version",
     "gpl_details": "See the GNU General Public License for more details",
-    "mpl_file": "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/"
-    " under the Mozilla Public License",
+    "gnu3_or_later": "either version 3 of the License, or (at your option) any later version",
+    "lgpl3_or_later": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser"
+    " General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any"
+    " later version",
+    "lgpl3_library": "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser"
+    " General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any"
+    " later version",
+    "lgpl_redistribute": "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as"
+    " published by the Free Software Foundation",
+    "lgpl21_or_later": "either version 2.1 of the License, or (at your option) any later version",
+    "lgpl_details": "See the GNU Lesser General Public License for more details",
+    "agpl3_or_later": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero"
+    " General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any"
+    " later version",
+    "agpl_redistribute": "you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as"
+    " published by the Free Software Foundation",
+    "agpl_details": "See the GNU Affero General Public License for more details",
+    "mpl_subject": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
+    "mpl_file": "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/",
+    "mpl_file_http": "If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/",
     "isc_grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby"
     " granted, provided that the above copyright notice and this permission notice appear in all copies",
     "zlib_as_is": "This software is provided 'as-is', without any express or implied warranty",
@@ -83,12 +102,17 @@ NOTICES = (
     "Licensed under {name}",
     "Licensed under {name} (the License)",
     "Released under {name}",
-    "Distributed under {name}, a software license",
+    "Distributed under {name}",
     "This work is licensed under {name}",
     "This software is licensed under {name}",
     "This project is licensed under {name}",
     "This file is licensed under {name}",
-    "SPDX-License-Identifier: {short}",
+)
+# Identifiers that a SPDX line can name besides those of ``NAMES``.
+IDENTIFIERS = (
+    *(f"{short}-{kind}" for short in NAMES.values() if "GPL" in short for kind in ("or-later", "only")),
+    "Zlib",
+    "Unlicense",
 )
 #: In order: the licence, and the run of identifiers that stands for it.
 RULES = (
@@ -103,14 +127,26 @@ RULES = (
     ("Apache-2.0", ("apache_file", "apache_terms")),
     ("GPL-3.0-or-later", ("gpl3_or_later", "gpl_details")),
     ("GPL-3.0-or-later", ("gpl3_or_later",)),
+    ("GPL-3.0-or-later", ("gpl_redistribute", "gnu3_or_later")),
     ("GPL-2.0-or-later", ("gpl_redistribute", "gpl2_or_later")),
+    ("LGPL-3.0-or-later", ("lgpl3_or_later",)),
+    ("LGPL-3.0-or-later", ("lgpl3_library",)),
+    ("LGPL-3.0-or-later", ("lgpl_redistribute", "gnu3_or_later")),
+    ("LGPL-2.1-or-later", ("lgpl_redistribute", "lgpl21_or_later")),
+    ("AGPL-3.0-or-later", ("agpl3_or_later",)),
+    ("AGPL-3.0-or-later", ("agpl_redistribute", "gnu3_or_later")),
+    ("MPL-2.0", ("mpl_subject", "mpl_file")),
+    ("MPL-2.0", ("mpl_subject", "mpl_file_http")),
     ("MPL-2.0", ("mpl_file",)),
+    ("MPL-2.0", ("mpl_file_http",)),
+    ("MPL-2.0", ("mpl_subject",)),
     ("ISC", ("isc_grant",)),
     ("Zlib", ("zlib_as_is", "zlib_grant")),
     ("Unlicense", ("free_domain",)),
-    *((short, (f"notice_{short}",)) for short in NAMES.values()),
+    *((short, (f"notice_{short}",)) for short in (*NAMES.values(), *IDENTIFIERS)),
 )
-ANCHORS = ("licens", "software", "copyright", "redistribut", "released")
+#: anchors of most sentences; a sentence without one adds its longest word
+STEMS = ("licens", "software", "copyright", "redistribut", "released")
 
 _ENDS = r"[.!?;]+(?:\s|\z)|:\s*\n"
 _ODD = r"[^a-z0-9\x01]+"
@@ -122,17 +158,28 @@ def normalise(sentence: str) -> str:
 
 
 def dictionary() -> dict[str, str]:
-    """Normalised sentence to identifier, about 150 of them."""
-    known = {normalise(text): name for name, text in SENTENCES.items()}
+    """Normalised sentence to identifier, about 200 of them."""
+    known = {}
+    for name, text in SENTENCES.items():
+        # as a line, and up to the first place where a cut at sentence ends goes through it
+        known[normalise(text)] = known[normalise(re.split(r"[.!?;]+\s", text)[0])] = name
     for name, short in NAMES.items():
         for notice in NOTICES:
-            known[normalise(notice.format(name=name, short=short))] = f"notice_{short}"
-    for sentence in known:
-        if not any(anchor in sentence for anchor in ANCHORS):
-            raise ValueError(f"no anchor in: {sentence}")
+            known[normalise(notice.format(name=name))] = f"notice_{short}"
+    for short in (*NAMES.values(), *IDENTIFIERS):
+        known[normalise(f"SPDX-License-Identifier: {short}")] = f"notice_{short}"
     return known
 
 
+def anchors() -> tuple[str, ...]:
+    """Words, or parts of them, of which every known sentence holds one."""
+    found = list(STEMS)
+    for sentence in dictionary():
+        if not any(anchor in sentence for anchor in found):
+            found.append(max(sentence.split(), key=len))
+    return tuple(found)
+
+
 def _lowered(text: Column) -> Column:
     return F.translate(text, _UPPER, _LOWER)
 
@@ -164,7 +211,7 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     """Adds n_sentences (known sentences of the cut that has more of them) and licenses (sorted, distinct) to rows."""
     lowered = _lowered(F.col(text))
     may = F.lit(False)
-    for anchor in ANCHORS:
+    for anchor in anchors():
         may = may | F.contains(lowered, F.lit(anchor))
     cuts = F.when(
         F.coalesce(may, F.lit(False)),

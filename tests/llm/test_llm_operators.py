@@ -255,6 +255,71 @@ def test_licence_texts(spark):
     assert licenses.scan(df.limit(0)).collect() == []
 
 
+MPL_HEADER = """/* This Source Code Form is subject to the terms of the Mozilla Public
+ * License, v. 2.0. If a copy of the MPL was not distributed with this
+ * file, You can obtain one at https://mozilla.org/MPL/2.0/. */
+"""
+LGPL_HEADER = """    This library is free software; you can redistribute it and/or
+    modify it under the terms of the GNU Lesser General Public
+    License as published by the Free Software Foundation; either
+    version 2.1 of the License, or (at your option) any later version.
+
+    This library is distributed in the hope that it will be useful,
+    but WITHOUT ANY WARRANTY; without even the implied warranty of
+    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU
+    Lesser General Public License for more details.
+"""
+GPL_HEADER = """// This program is free software: you can redistribute it and/or modify
+// it under the terms of the GNU General Public License as published by
+// the Free Software Foundation, either version 3 of the License, or
+// (at your option) any later version.
+//
+// This program is distributed in the hope that it will be useful,
+// but WITHOUT ANY WARRANTY; without even the implied warranty of
+// MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+// GNU General Public License for more details.
+"""
+APACHE_HEADER = """# Licensed under the Apache License, Version 2.0 (the "License");
+# you may not use this file except in compliance with the License.
+# You may obtain a copy of the License at
+#
+#     http://www.apache.org/licenses/LICENSE-2.0
+#
+# Unless required by applicable law or agreed to in writing, software
+# distributed under the License is distributed on an "AS IS" BASIS,
+# WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+# See the License for the specific language governing permissions and
+# limitations under the License.
+"""
+
+
+def test_licence_headers_as_they_are_in_files(spark):
+    later = "GPL-3.0-or-later"
+    rows = [
+        (MPL_HEADER, ["MPL-2.0"]),
+        (MPL_HEADER.replace("https:", "http:"), ["MPL-2.0"]),
+        ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", ["MPL-2.0"]),
+        ("If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.", ["MPL-2.0"]),
+        (LGPL_HEADER, ["LGPL-2.1-or-later"]),
+        (LGPL_HEADER.replace("2.1", "3"), [f"L{later}"]),
+        (GPL_HEADER, [later]),
+        (GPL_HEADER.replace("GNU General", "GNU Lesser General"), [f"L{later}"]),
+        (GPL_HEADER.replace("This program is free", "This library is free").replace("GNU General", "GNU Lesser General"), [f"L{later}"]),
+        (GPL_HEADER.replace("GNU General", "GNU Affero General"), [f"A{later}"]),
+        (GPL_HEADER.replace("software:", "software;").replace("Foundation,", "Foundation;"), [later]),
+        (GPL_HEADER.replace("software:", "software;").replace("Foundation,", "Foundation;").replace("version 3", "version 2"), ["GPL-2.0-or-later"]),
+        (APACHE_HEADER, ["Apache-2.0"]),
+        ("Distributed under the MIT License.", ["MIT"]),
+        ("Distributed under CC BY 4.0.", ["CC-BY-4.0"]),
+        ("Distributed with this file.", []),
+    ]
+    named = ["GPL-2.0-or-later", later, "LGPL-2.1-or-later", f"L{later}", f"A{later}", "GPL-2.0-only", "MPL-2.0", "Zlib", "Unlicense", "BSD-3-Clause", "ISC"]
+    rows += [(f"/* SPDX-License-Identifier: {name} */\nint x;", [name]) for name in named]
+    df = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(rows)], "doc_id long, text string")
+    got = {r.doc_id: r.licenses for r in licenses.scan(df).collect()}
+    assert got == {k: names for k, (_, names) in enumerate(rows)}
+
+
 # 5 byte-level BPE
 
 
