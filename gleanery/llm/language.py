@@ -4,7 +4,8 @@ A language is a smoothed distribution over hashed byte n-grams of its words, cou
 documents. A word's likelihood in a language is the product over its n-grams. Every word of a document is
 taken to be in one language of an unknown mixture; expectation-maximisation estimates the proportions. This
 is done for the full set of languages and for the sets of its one, two, ... largest ones, and the set with
-the best likelihood less a penalty per language is kept.
+the best likelihood less a penalty per language is kept. Sets grow, up to all languages, for as long as a larger
+one could still win: no set is likelier than the best mixture of all languages.
 
 Defined results: a null text or one without a letter gets ``und`` and score 0, as does every text where
 nothing could be learned; equal texts get equal answers; the label of a document is never read to predict it.
@@ -26,9 +27,8 @@ CELLS = 1 << 16
 #: a model is CELLS floats per language and goes to every worker
 MAX_LANGUAGES = 200
 SMOOTHING = 0.5
-#: languages a document's mixture may keep, EM rounds, and the penalty per language in units of ln(words)
-MAX_SET = 3
-ROUNDS = 6
+#: change of a proportion at which EM ends, and the penalty per language in units of ln(words)
+TOLERANCE = 1e-4
 PENALTY = 2.0
 UNKNOWN = "und"
 
@@ -99,20 +99,26 @@ class Model:
             likely = np.exp(np.maximum(scores, -60.0))
             full = np.flatnonzero(counts > 0)
             at, sizes = first[full], counts[full]
-            whole, _ = self._mix(likely, at, sizes)
+            whole, value, gap = self._mix(likely, at, sizes)
+            most, price = value + gap, PENALTY * np.log(sizes + 1.0)
             rank = np.argsort(-whole, axis=0, kind="stable")
             chosen, goal = np.zeros_like(whole), np.full(len(full), -np.inf)
-            for size in range(1, min(MAX_SET, len(self.languages)) + 1):
+            for size in range(1, len(self.languages) + 1):
+                live = np.flatnonzero(most - size * price > goal)
+                if not len(live):
+                    break
                 # the likelihoods of each text's own largest languages
-                top = rank[:size]
-                picked = np.stack([likely[np.repeat(row, sizes), np.arange(likely.shape[1])] for row in top])
-                found, value = self._mix(picked, at, sizes)
-                value = value - size * PENALTY * np.log(sizes + 1.0)
-                better = value > goal
-                goal = np.where(better, value, goal)
-                spread = np.zeros_like(whole)
+                top, count = rank[:size, live], sizes[live]
+                begin = np.cumsum(count) - count
+                columns = np.arange(int(count.sum())) + np.repeat(at[live] - begin, count)
+                picked = np.stack([likely[np.repeat(row, count), columns] for row in top])
+                found, value, _ = self._mix(picked, begin, count)
+                value = value - size * price[live]
+                better = value > goal[live]
+                goal[live] = np.where(better, value, goal[live])
+                spread = np.zeros((len(whole), len(live)))
                 np.put_along_axis(spread, top, found, axis=0)
-                chosen = np.where(better, spread, chosen)
+                chosen[:, live] = np.where(better, spread, chosen[:, live])
             best[full] = np.argmax(chosen, axis=0)
             share[full] = np.clip(chosen.max(axis=0), 0.0, 1.0)
             for k, row in zip(full, chosen.T > 0, strict=True):
@@ -121,15 +127,28 @@ class Model:
         return names, np.where(known, share, 0.0), [s if ok else [] for s, ok in zip(sets, known, strict=True)]
 
     @staticmethod
-    def _mix(likely: np.ndarray, at: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """EM for all texts at once: proportions (languages x texts), and the log-likelihood they reach."""
-        weights = np.full((len(likely), len(sizes)), 1 / len(likely), np.float32)
-        for _ in range(ROUNDS if len(likely) > 1 else 0):
-            joint = likely * np.repeat(weights, sizes, axis=1)
+    def _mix(likely: np.ndarray, at: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """EM for all texts at once: proportions (languages x texts), the log-likelihood they reach, and the most
+        that other proportions could add to it. A text that has ended is left alone, whatever its neighbours do."""
+        weights = np.full((len(likely), len(sizes)), 1 / len(likely))
+        live, part, begin, count = np.arange(len(sizes) if len(likely) > 1 else 0), likely, at, sizes
+        while len(live):
+            joint = part * np.repeat(weights[:, live].astype(np.float32), count, axis=1)
             joint /= np.maximum(joint.sum(axis=0), 1e-30)
-            weights = np.add.reduceat(joint, at, axis=1) / sizes
-        total = (likely * np.repeat(weights, sizes, axis=1)).sum(axis=0, dtype=np.float64)
-        return weights.astype(np.float32), np.add.reduceat(np.log(np.maximum(total, 1e-30)), at)
+            new = np.add.reduceat(joint, begin, axis=1, dtype=np.float64) / count
+            moves = np.abs(new - weights[:, live]).max(axis=0) > TOLERANCE
+            weights[:, live] = new
+            if not moves.all():
+                part = part[:, np.repeat(moves, count)]
+                live, count = live[moves], count[moves]
+                begin = np.cumsum(count) - count
+        total = np.zeros(likely.shape[1])
+        for row, weight in zip(likely, weights, strict=True):
+            total += row * np.repeat(weight, sizes)
+        total = np.maximum(total, 1e-30)
+        # the likelihood is concave: its slopes at these proportions bound what is left
+        slope = np.stack([np.add.reduceat(row / total, at) for row in likely]).max(axis=0)
+        return weights, np.add.reduceat(np.log(total), at), np.maximum(slope - sizes, 0.0)
 
 
 def train(labelled: DataFrame, text: str = "text", lang: str = "lang") -> Model:

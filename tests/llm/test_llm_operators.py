@@ -232,6 +232,38 @@ def test_mixtures_are_separated(spark):
     assert names == ["x", "y"] and abs(share[0] - 0.7) < 0.03 and sets == [["x", "y"], ["y"]]
 
 
+def test_mixtures_of_many_languages(spark):
+    rng = random.Random(5)
+    alphabets = {"l1": "abcd", "l2": "efgh", "l3": "ijkl", "l4": "mnop", "l5": "qrst", "l6": "uvwx"}
+    some = lambda name, n: [" ".join("".join(rng.choices(alphabets[name], k=6)) for _ in range(n))]
+    rows = [(k, some(name, 60)[0], name) for k, name in enumerate(list(alphabets) * 30)]
+    model = language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    wanted = [{"l1": 40, "l2": 30, "l3": 20, "l4": 10}, dict.fromkeys(alphabets, 25) | {"l6": 50}, {"l2": 30}]
+    mixed = [" ".join(sum((some(name, n) for name, n in parts.items()), [])) for parts in wanted]
+    names, share, sets = model.predict(pa.array(mixed, pa.large_string()))
+    assert sets == [["l1", "l2", "l3", "l4"], list(alphabets), ["l2"]]
+    assert names == ["l1", "l6", "l2"]
+    assert np.allclose(share, [0.4, 50 / 175, 1.0], atol=0.02)
+    # alone or among others, a text gets the same
+    assert [model.predict(pa.array([text], pa.large_string()))[1][0] for text in mixed] == list(share)
+
+
+def test_proportions_are_those_of_a_long_em():
+    rng = np.random.default_rng(2)
+    likely = rng.uniform(0.2, 1.0, size=(4, 900)).astype(np.float32)
+    likely[0, :500] += 0.3
+    at, sizes = np.array([0, 300]), np.array([300, 600])
+    weights, value, gap = language.Model._mix(likely, at, sizes)
+    for k, (start, size) in enumerate(zip(at, sizes, strict=True)):
+        own, long = likely[:, start : start + size].astype(float), np.full(4, 0.25)
+        for _ in range(20_000):
+            joint = own * long[:, None]
+            long = (joint / joint.sum(axis=0)).mean(axis=1)
+        best = np.log(long @ own).sum()
+        assert value[k] <= best + 1e-6 <= value[k] + gap[k] + 1e-3
+        assert best - value[k] < 0.1
+
+
 # 4 licences
 
 
