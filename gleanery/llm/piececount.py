@@ -2,9 +2,10 @@
 
 A text is cut into units: a run of spaces and the non-spaces after it. A piece vocabulary without inner
 spaces never merges across units, so a text's length in tokens is the sum over its units. The lengths of the
-most frequent units of a bounded sample are sent to all workers as one packed table; a worker encodes every
-other unit itself and remembers a bounded number of them. No unit is ever shuffled, and the sample decides
-only which lengths are at hand: every text is counted whole.
+most frequent units of all texts are sent to all workers as one packed table; a worker encodes every other unit
+itself and remembers a bounded number of them. Every task counts the units of its texts in a bounded summary of
+heavy hitters (no unit that makes up more than one in ``TABLE_UNITS`` of a task's units is lost from it), and Spark
+adds the summaries up. The table decides only which lengths are at hand: every text is counted whole.
 
 A null text counts as the empty one: no tokens. Repeated rows give repeated results.
 """
@@ -23,9 +24,9 @@ from pyspark.sql import DataFrame, functions as F
 from gleanery.llm import words
 
 SPACE = "▁"
-#: rows whose units are counted for the shared table, and the most entries of that table
-SAMPLE_ROWS = 500
+#: the most entries of the shared table and of a task's summary, and the most bytes of one of them
 TABLE_UNITS = 65_536
+UNIT_BYTES = 64
 #: further units a worker remembers before it starts anew
 MEMO = 400_000
 
@@ -81,18 +82,57 @@ class PieceCounter:
         """The same counter with the lengths of the most frequent units of some texts."""
         if self._tools()[1]:
             return self
-        seen = Counter(unit for text in texts for unit in self.units(text) if "\0" not in unit)
-        common = [unit for unit, _ in seen.most_common(most)]
+        seen = Counter(unit for text in texts for unit in self.units(text))
+        return self.with_units([unit for unit, _ in seen.most_common() if fits(unit)][:most])
+
+    def with_units(self, common: list[str]) -> PieceCounter:
+        """The same counter with the lengths of some units."""
+        if self._tools()[1] or not common:
+            return self
         return PieceCounter(self.model, ("\0".join(common).encode(), np.array(self.lengths(common), "<u4").tobytes()))
 
 
-def count(
-    docs: DataFrame, model: bytes, key: str = "doc_id", text: str = "text", limit: int = 4096, sample_rows: int = SAMPLE_ROWS
-) -> DataFrame:
+def fits(unit: str) -> bool:
+    return "\0" not in unit and len(unit) <= UNIT_BYTES and len(unit.encode()) <= UNIT_BYTES
+
+
+def lessened(seen: Counter, most: int) -> Counter:
+    """At most ``most`` units, every count less by that of the first unit that goes (Misra and Gries)."""
+    if len(seen) <= most:
+        return seen
+    cut = np.partition(np.fromiter(seen.values(), np.int64, len(seen)), len(seen) - most - 1)[len(seen) - most - 1]
+    return Counter({unit: n - int(cut) for unit, n in seen.items() if n > cut})
+
+
+def frequent_units(rows: DataFrame, most: int = TABLE_UNITS) -> list[str]:
+    """The units that are most frequent in the column ``text`` of all rows, of those that fit."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = Counter()
+        for batch in batches:
+            for part in words.slices(batch, "text"):
+                new = Counter()
+                for text in words.column(part, "text").to_pylist():
+                    new.update(PieceCounter.units(text))
+                for unit, n in new.items():
+                    if unit in seen or fits(unit):
+                        seen[unit] += n
+                if len(seen) > 4 * most:
+                    seen = lessened(seen, most)
+        seen = lessened(seen, most)
+        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["unit", "n"])
+
+    summed = rows.select("text").mapInArrow(run, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
+    return [row.unit for row in summed.orderBy(F.desc("n"), "unit").limit(most).collect()]
+
+
+def count(docs: DataFrame, model: bytes, key: str = "doc_id", text: str = "text", limit: int = 4096) -> DataFrame:
     """(key, n_bytes, n_tokens, over_limit) per document, over_limit being n_tokens > limit."""
     rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    sample = [row.text for row in rows.select("text").limit(sample_rows).collect()]
-    shared = docs.sparkSession.sparkContext.broadcast(PieceCounter(model).with_table(sample))
+    counter = PieceCounter(model)
+    if not counter._tools()[1]:
+        counter = counter.with_units(frequent_units(rows))
+    shared = docs.sparkSession.sparkContext.broadcast(counter)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = shared.value

@@ -488,6 +488,31 @@ def test_count_odd_cases(odd, nothing, model):
     assert piececount.count(nothing, model).collect() == []
 
 
+def test_shared_units_are_those_of_all_rows(spark, model, monkeypatch):
+    sent = []
+    real = type(spark.sparkContext).broadcast
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, value: (sent.append(value), real(self, value))[1])
+    texts = ["early words"] * 1_000 + ["late ones come often and often"] * 3_000 + ["y" * 100_000, "é" * 60] * 5 + ["once"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: r.n_tokens for r in piececount.count(df, model).collect()}
+    (counter,) = [value for value in sent if isinstance(value, piececount.PieceCounter)]
+    units = counter.table[0].decode().split("\0")
+    assert units[0] == " often" and {" early", " late", " once"} <= set(units)
+    assert max(len(unit.encode()) for unit in units) <= piececount.UNIT_BYTES
+    library = sentencepiece.SentencePieceProcessor(model_proto=model)
+    assert got == dict(enumerate(map(len, library.encode(texts))))
+
+
+def test_summaries_keep_what_is_frequent():
+    rng = random.Random(9)
+    seen, hot = Counter(), [f"h{k}" for k in range(5)]
+    for _ in range(50):
+        seen.update(rng.choice(hot) if rng.random() < 0.5 else f"r{rng.random()}" for _ in range(200))
+        seen = piececount.lessened(seen, 20)
+        assert len(seen) <= 20
+    assert {unit for unit, _ in seen.most_common(5)} == set(hot)
+
+
 # 8 language model
 
 
