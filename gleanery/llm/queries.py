@@ -11,7 +11,7 @@ from uuid import uuid4
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gleanery.llm import backoff, bagminhash, bytebpe, fingerprint, language, licenses, mixing, permutation, piececount, warc
+from gleanery.llm import backoff, bagminhash, bytebpe, divergence, fingerprint, language, licenses, mixing, permutation, piececount, treap, warc
 from gleanery.session import durable, shared_dir, ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -106,6 +106,16 @@ def op10_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
 
 
+def op11_k2_treap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 best documents of every benchmark item."""
+    return treap.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_pointer_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far apart the sources of each language are, and the words that each overuses."""
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 OP9_SQL = r"""
 with docs as (
   select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size,
@@ -151,6 +161,8 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     "op8_backoff_automaton": (op8_backoff_automaton, None),
     "op9_source_mix": (op9_source_mix, OP9_SQL),
     "op10_permutation_index": (op10_permutation_index, None),
+    "op11_k2_treap": (op11_k2_treap, treap.SQL),
+    "op13_pointer_audit": (op13_pointer_audit, divergence.SQL),
 }
 
 
