@@ -140,8 +140,8 @@ def runs_of(texts: pa.Array, langs: pa.Array, sources: pa.Array) -> pa.RecordBat
     )
 
 
-def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.Array]]:
-    """The task's rows in runs of about ``SHARD_BYTES`` of text; one row at least, and never a cut text."""
+def _shards(batches: Iterator[pa.RecordBatch], limit: int = SHARD_BYTES) -> Iterator[list[pa.Array]]:
+    """The task's rows in runs of about ``limit`` bytes of text; one row at least, and never a cut text."""
     held, size = [], 0
     for batch in batches:
         batch = pa.RecordBatch.from_arrays([pc.fill_null(c.cast(pa.large_string()), "") for c in batch.columns], batch.schema.names)
@@ -149,7 +149,7 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.Array]]:
         start = 0
         while start < batch.num_rows:
             base = ends[start - 1] if start else 0
-            stop = max(start + (not size), int(np.searchsorted(ends, base + SHARD_BYTES - size, "right")))
+            stop = max(start + (not size), int(np.searchsorted(ends, base + limit - size, "right")))
             held.append(batch.slice(start, stop - start))
             size += int(ends[stop - 1] - base) if stop > start else 0
             start = stop
@@ -160,19 +160,19 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.Array]]:
         yield [pa.concat_arrays([b.column(c) for b in held]) for c in range(3)]
 
 
-def _map_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for shard in _shards(batches):
-        found = runs_of(*shard)
-        if found is not None:
-            for start in range(0, found.num_rows, 1 << 16):
-                part = found.slice(start, 1 << 16)
-                yield pa.RecordBatch.from_arrays([c.cast(pa.string()) if pa.types.is_large_string(c.type) else c for c in part.columns], part.schema.names)
+def runs(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """(lang, source, term, n_docs, n): equal runs of every shard of the documents."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for shard in _shards(batches, shard_bytes):
+            found = runs_of(*shard)
+            for start in range(0, found.num_rows if found else 0, 1 << 16):
+                part = found.slice(start, 1 << 16)
+                columns = [c.cast(pa.string()) if pa.types.is_large_string(c.type) else c for c in part.columns]
+                yield pa.RecordBatch.from_arrays(columns, part.schema.names)
 
-def runs(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
-    """(lang, source, term, n_docs, n): equal runs of every shard of the documents."""
     columns = [F.col(c).cast("string").alias(n) for c, n in ((text, "text"), (lang, "lang"), (source, "source"))]
-    return docs.select(*columns).mapInArrow(_map_runs, RUNS)
+    return docs.select(*columns).mapInArrow(run, RUNS)
 
 
 def _share(n: str) -> F.Column:
@@ -180,7 +180,7 @@ def _share(n: str) -> F.Column:
     return F.expr(f"cast(1 + (cast({n} + 5 as decimal(20, 0)) * 1000000000) div (total + 5 * words) as bigint)")
 
 
-def _matrix_cell(cell: pa.Table) -> pa.Table:
+def _matrix_cell(cell: pa.Table, block: int) -> pa.Table:
     """Sums of share differences and numbers of words for every pair of sources of one cell."""
     own = cell.column("term").is_null().to_numpy()
     place, value = cell.column("place").to_numpy(), cell.column("p").to_numpy()
@@ -192,8 +192,8 @@ def _matrix_cell(cell: pa.Table) -> pa.Table:
     words = pc.dictionary_encode(cell.column("term").filter(pa.array(~own)).combine_chunks())
     shares = np.tile(base, (len(words.dictionary), 1))
     shares[words.indices.to_numpy(), column[~own]] = value[~own]
-    left = np.flatnonzero(places // BLOCK == keys["low"])
-    right = np.flatnonzero(places // BLOCK == keys["high"])
+    left = np.flatnonzero(places // block == keys["low"])
+    right = np.flatnonzero(places // block == keys["high"])
     other = np.ascontiguousarray(shares[:, right])
     total = np.array([np.abs(other - shares[:, [g]]).sum(axis=0) for g in left], np.int64).reshape(len(left), len(right))
     a, b, total = np.repeat(places[left], len(right)), np.tile(places[right], len(left)), total.ravel()
@@ -211,23 +211,22 @@ def _matrix_cell(cell: pa.Table) -> pa.Table:
     )
 
 
-def _pairs(shares: DataFrame, groups: DataFrame) -> DataFrame:
+def _pairs(shares: DataFrame, groups: DataFrame, block: int, cell_words: int) -> DataFrame:
     """(lang, source, item, value) for all ordered pairs of a language's sources."""
-    blocks = Window.partitionBy("lang")
-    sized = groups.withColumn("blocks", F.expr(f"max(place) over (partition by lang) div {BLOCK} + 1"))
-    sized = sized.withColumn("shards", F.expr(f"words div {CELL_WORDS} + 1"))
-    cells = F.expr(f"explode(sequence(0L, blocks - 1))")
-    low, high = F.expr(f"least(place div {BLOCK}, other)").alias("low"), F.expr(f"greatest(place div {BLOCK}, other)").alias("high")
+    sized = groups.withColumn("blocks", F.expr(f"max(place) over (partition by lang) div {block} + 1"))
+    sized = sized.withColumn("shards", F.expr(f"words div {cell_words} + 1"))
+    cells = F.expr("explode(sequence(0L, blocks - 1))").alias("other")
+    low, high = F.expr(f"least(place div {block}, other)").alias("low"), F.expr(f"greatest(place div {block}, other)").alias("high")
     # a source's smoothed share goes to each of its cells, under no word
-    own = sized.select("*", F.explode(F.expr("sequence(0L, shards - 1)")).alias("shard")).select("*", cells.alias("other"))
+    own = sized.select("*", F.explode(F.expr("sequence(0L, shards - 1)")).alias("shard")).select("*", cells)
     own = own.select("lang", low, high, "shard", "place", F.lit(None).cast("string").alias("term"), F.col("p0").alias("p"))
     mine = shares.join(broadcast_if_small(sized.select("lang", "source", "place", "blocks", "shards")), ["lang", "source"])
-    mine = mine.withColumn("shard", F.expr("pmod(xxhash64(term), shards)")).select("*", cells.alias("other"))
+    mine = mine.withColumn("shard", F.expr("pmod(xxhash64(term), shards)")).select("*", cells)
     mine = mine.select("lang", low, high, "shard", "place", "term", "p")
     summed = (
         own.union(mine)
         .groupBy("lang", "low", "high", "shard")
-        .applyInArrow(_matrix_cell, "lang string, a long, b long, total long, seen long")
+        .applyInArrow(lambda cell: _matrix_cell(cell, block), "lang string, a long, b long, total long, seen long")
         .groupBy("lang", "a", "b")
         .agg(F.sum("total").alias("total"), F.sum("seen").alias("seen"))
     )
@@ -238,13 +237,21 @@ def _pairs(shares: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 def audit(
-    docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", min_docs: int = MIN_DOCS, top_terms: int = TOP_TERMS
+    docs: DataFrame,
+    text: str = "text",
+    lang: str = "lang",
+    source: str = "source",
+    min_docs: int = MIN_DOCS,
+    top_terms: int = TOP_TERMS,
+    shard_bytes: int = SHARD_BYTES,
+    block: int = BLOCK,
+    cell_words: int = CELL_WORDS,
 ) -> DataFrame:
     """(lang, source, part, item, value, rank): distances to the language's other sources, and the words it overuses.
 
     The shards' runs are written to the shared folder, as they are read three times.
     """
-    found = durable(runs(docs, text, lang, source))
+    found = durable(runs(docs, text, lang, source, shard_bytes))
     kept = found.groupBy("lang", "term").agg(F.sum("n_docs").alias("n_docs"), F.sum("n").alias("lang_n")).where(F.col("n_docs") >= min_docs)
     kept = durable(kept.select("lang", "term", "lang_n"))
     counts = found.join(broadcast_if_small(kept.select("lang", "term")), ["lang", "term"])
@@ -262,7 +269,7 @@ def audit(
     over = shares.join(broadcast_if_small(usual), ["lang", "term"]).where("p > q")
     over = over.select("lang", "source", F.col("term").alias("item"), F.expr("p - q").alias("value"))
     order = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
-    pairs = _pairs(shares, groups).withColumn("rank", F.row_number().over(order)).withColumn("part", F.lit("pair"))
+    pairs = _pairs(shares, groups, block, cell_words).withColumn("rank", F.row_number().over(order)).withColumn("part", F.lit("pair"))
     terms = over.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_terms).withColumn("part", F.lit("term"))
     columns = ["lang", "source", "part", "item", "value", "rank"]
     return pairs.select(*columns).union(terms.select(*columns))

@@ -11,12 +11,13 @@ from uuid import uuid4
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gleanery.llm import backoff, bagminhash, bytebpe, divergence, fingerprint, language, licenses, mixing, permutation, piececount, treap, warc
+from gleanery.llm import backoff, bagminhash, bytebpe, divergence, fingerprint, language, licenses, linecrf, mixing, permutation, piececount, treap, warc
 from gleanery.session import durable, shared_dir, ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 MAX_TOKENS = 4096
+MIN_QUALITY = 0.3
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -111,6 +112,14 @@ def op11_k2_treap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return treap.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document by its lines, learned from the labelled documents outside the held-out fold."""
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    found = linecrf.score(docs, linecrf.train(docs, labels.where(language.fold("doc_id") != 0)))
+    predicted = (F.col("score") >= MIN_QUALITY).cast("int").alias("predicted")
+    return found.select("doc_id", (language.fold("doc_id") == 0).alias("held_out"), "score", predicted, "n_lines", "bad_lines")
+
+
 def op13_pointer_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How far apart the sources of each language are, and the words that each overuses."""
     return divergence.audit(table(spark, sf_dir, "documents"))
@@ -162,6 +171,7 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     "op9_source_mix": (op9_source_mix, OP9_SQL),
     "op10_permutation_index": (op10_permutation_index, None),
     "op11_k2_treap": (op11_k2_treap, treap.SQL),
+    "op12_line_crf": (op12_line_crf, None),
     "op13_pointer_audit": (op13_pointer_audit, divergence.SQL),
 }
 

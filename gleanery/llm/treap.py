@@ -193,7 +193,7 @@ class Treap:
         return cols[good], scores[good]
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+def _blocks(batches: Iterator[pa.RecordBatch], most: int = BLOCK_DOCS) -> Iterator[pa.Table]:
     """The task's documents in blocks bounded in rows and postings; a block has one document at least."""
     held, docs, points = [], 0, 0
     for batch in batches:
@@ -201,7 +201,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         start = 0
         while start < batch.num_rows:
             base = int(ends[start - 1]) if start else 0
-            stop = min(start + BLOCK_DOCS - docs, int(np.searchsorted(ends, base + BLOCK_POINTS - points, "right")))
+            stop = min(start + most - docs, int(np.searchsorted(ends, base + BLOCK_POINTS - points, "right")))
             stop = max(stop, start + (not docs))
             if stop > start:
                 held.append(batch.slice(start, stop - start))
@@ -218,14 +218,14 @@ def _flat(lists: pa.ChunkedArray) -> np.ndarray:
     return pc.list_flatten(lists).to_numpy().astype(np.int64)
 
 
-def _finder(asked: list[tuple[np.ndarray, np.ndarray]], row_of: np.ndarray, names: pa.Array, docs: int, length: int, k: int):
+def _finder(asked: list[tuple[np.ndarray, np.ndarray]], row_of: np.ndarray, names: pa.Array, docs: int, length: int, k: int, most: int):
     """Searches of all items over a task's blocks: at most k documents an item, by score and key."""
     n_rows = int(row_of.max(initial=0)) + 1
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: list[pa.Table | None] = [None] * len(asked)
         floors = [1] * len(asked)
-        for block in _blocks(batches):
+        for block in _blocks(batches, most):
             sizes = block.column("n").to_numpy()
             order = np.argsort(sizes, kind="stable")
             col = np.empty(len(order), np.int64)
@@ -270,7 +270,7 @@ def _item_runs(items: DataFrame) -> Iterator[list[tuple[object, list[bytes]]]]:
         yield held
 
 
-def _rank_run(found: DataFrame, run: list[tuple[object, list[bytes]]], words: list[bytes], key_type: T.DataType, k: int) -> DataFrame | None:
+def _rank_run(found: DataFrame, run: list[tuple[object, list[bytes]]], words: list[bytes], key_type: T.DataType, k: int, most: int) -> DataFrame | None:
     """The k best documents of every item of one run, from the run's postings."""
     stats = found.agg(F.count(F.when(F.col("n") > 0, 1)).alias("docs"), F.coalesce(F.sum("n"), F.lit(0)).alias("length")).first()
     docs, length = stats["docs"], stats["length"]
@@ -292,7 +292,7 @@ def _rank_run(found: DataFrame, run: list[tuple[object, list[bytes]]], words: li
         mine = mine[(row_of[mine] >= 0) & (weight[mine] > 0)]
         asked.append((row_of[mine], weight[mine]))
     names = pa.array([key for key, _ in run], to_arrow_type(key_type))
-    search = _finder(asked, row_of, names, docs, length, k)
+    search = _finder(asked, row_of, names, docs, length, k, most)
     schema = f"item int, item_key {key_type.simpleString()}, key {found.schema['key'].dataType.simpleString()}, score long"
     best = found.mapInArrow(search, schema).withColumn("salt", F.spark_partition_id() % SALTS)
     order = [F.desc("score"), F.asc_nulls_last("key")]
@@ -302,7 +302,14 @@ def _rank_run(found: DataFrame, run: list[tuple[object, list[bytes]]], words: li
 
 
 def rank(
-    docs: DataFrame, items: DataFrame, k: int = TOP, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text"
+    docs: DataFrame,
+    items: DataFrame,
+    k: int = TOP,
+    key: str = "doc_id",
+    text: str = "text",
+    item_key: str = "item_id",
+    item_text: str = "text",
+    block_docs: int = BLOCK_DOCS,
 ) -> DataFrame:
     """(item_key, rank, key, score): the k documents of the highest score above 0 for every item."""
     spark = docs.sparkSession
@@ -313,7 +320,7 @@ def rank(
     for n, run in enumerate(_item_runs(items)):
         words = list(dict.fromkeys(t for _, terms in run for t in terms))
         postings(docs, words, key, text).write.parquet(f"{folder}/{n}")
-        best = _rank_run(spark.read.parquet(f"{folder}/{n}"), run, words, key_type, k)
+        best = _rank_run(spark.read.parquet(f"{folder}/{n}"), run, words, key_type, k, block_docs)
         found = found if best is None else best if found is None else found.union(best)
     if found is None:
         of = f"item_key {key_type.simpleString()}, rank int, key {docs.schema[key].dataType.simpleString()}, score long"
