@@ -24,8 +24,10 @@ from gleanery.llm import words
 #: n-gram lengths in bytes, a word's two borders counted, and the cells they are hashed into
 SIZES = (3,)
 CELLS = 1 << 16
-#: a model is CELLS floats per language and goes to every worker
-MAX_LANGUAGES = 200
+#: a model goes to every worker: CELLS floats for each of so many languages. With up to twice as many languages two
+#: cells become one, and so on down to FEWEST cells
+MANY_LANGUAGES = 200
+FEWEST = 1 << 10
 SMOOTHING = 0.5
 #: change of a proportion at which EM ends, and the penalty per language in units of ln(words)
 TOLERANCE = 1e-4
@@ -80,15 +82,16 @@ def _letters(texts: list[str], first: np.ndarray) -> np.ndarray:
 class Model:
     """Log-likelihoods of n-gram cells, one row per language, languages in order."""
 
-    def __init__(self, languages: list[str], counts: np.ndarray):
-        self.languages = languages
+    def __init__(self, languages: list[str], counts: np.ndarray, shift: int = 0):
+        self.languages, self.shift = languages, shift
         total = counts.sum(axis=1, keepdims=True)
-        self.table = np.ascontiguousarray(np.log((counts + SMOOTHING) / (total + SMOOTHING * CELLS)).astype(np.float32))
+        self.table = np.ascontiguousarray(np.log((counts + SMOOTHING) / (total + SMOOTHING * counts.shape[1])).astype(np.float32))
 
     def predict(self, texts: pa.Array) -> tuple[list[str], np.ndarray, list[list[str]]]:
         """For each text the largest language of its mixture, that language's proportion, and the set kept."""
         strings = texts.to_pylist()
         cells, begins, first = _grams(texts)
+        cells = cells >> self.shift
         known = _letters(strings, first) if self.languages else np.zeros(len(strings), bool)
         best, share = np.zeros(len(strings), np.int64), np.zeros(len(strings))
         sets = [[] for _ in strings]
@@ -153,7 +156,7 @@ class Model:
 
 def train(labelled: DataFrame, text: str = "text", lang: str = "lang") -> Model:
     """Counts over all rows with a label. Rows (language, cell, count) are summed by Spark; the driver gets at
-    most CELLS of them per language."""
+    most CELLS of them per language, and no more in all than MANY_LANGUAGES have."""
     rows = labelled.where(F.col(lang).isNotNull()).select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,17 +178,19 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang") -> Model:
                 [pa.array([name] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(counts[at])], ["lang", "cell", "n"]
             )
 
-    summed = rows.mapInArrow(run, "lang string, cell int, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n"))
-    languages = sorted(r.lang for r in rows.select("lang").distinct().limit(MAX_LANGUAGES + 1).collect())
-    if len(languages) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    counts = np.zeros((len(languages), CELLS))
-    got = summed.toArrow()
+    most = MANY_LANGUAGES * CELLS // FEWEST
+    languages = sorted(r.lang for r in rows.select("lang").distinct().limit(most + 1).collect())
+    if len(languages) > most:
+        raise ValueError(f"more than {most} languages")
+    shift = max(0, (-(-len(languages) // MANY_LANGUAGES) - 1).bit_length())
+    found = rows.mapInArrow(run, "lang string, cell int, n long").withColumn("cell", F.shiftright("cell", shift))
+    got = found.groupBy("lang", "cell").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros((len(languages), CELLS >> shift))
     place = {name: k for k, name in enumerate(languages)}
     if got.num_rows:
         where = np.array([place[name] for name in got.column("lang").to_pylist()])
         counts[where, got.column("cell").to_numpy()] = got.column("n").to_numpy()
-    return Model(languages, counts)
+    return Model(languages, counts, shift)
 
 
 def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
