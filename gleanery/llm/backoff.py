@@ -257,10 +257,8 @@ def score(
     shape = f"key {docs.schema[key].dataType.simpleString()}, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     if not size:
         return spark.createDataFrame([], shape).withColumnRenamed("key", key)
-    points = ranges.cuts(rows, "key", -(-size // block_bytes))
-    blocks = len(points) + 1
+    placed, blocks = ranges.with_block(rows, "key", -(-size // block_bytes), "block", F.xxhash64("key", "text"))
     shards = max(blocks, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    placed = ranges.with_range(rows, "key", points, "block")
     asked = placed.select("text", "train", "block").mapInArrow(_requests(order, shards), "shard int, block int, keys binary, counts binary")
     answers = asked.repartitionById(shards, F.col("shard")).mapInArrow(
         _answer, "block int, shard int, small binary, large binary, known long, size long"
