@@ -10,8 +10,9 @@ bound at which all registers of a text are expected to be full, and further wher
 Texts that share all registers of a band are candidates. Every bucket is compared with its most central
 member, pairs are verified by the overlap of their multisets, and links are joined to components. Where members
 of one bucket are then still in different components, pairs across them are compared too, by signature first and
-in blocks: at first each one's likeliest, which joins most, then all that are left, so that no link between
-different texts that share a band is lost. Texts with equal
+in blocks: at first each one's likeliest, which joins most, then the likeliest of every two components, then all
+that are left, so that no link between different texts that share a band is lost. Blocks hold signatures only;
+multisets move once per cell of likely pairs, and no pair is verified twice. Texts with equal
 multisets are one node throughout.
 
 Signature comparisons drop a pair only below ``LIKELY`` agreeing registers, five standard deviations under the
@@ -40,8 +41,10 @@ BANDS = REGISTERS // BAND_ROWS
 THRESHOLD = 0.8
 LIKELY = 0.62
 BLOCK = 512
-#: likeliest partners per bucket that are tried before all others
-PARTNERS = 3
+#: pairs across components that are tried, round by round: at most so many a member, and a pair of components, of a cell
+ROUNDS = ((3, None), (None, 8), (None, None))
+#: bytes of multisets that a side of a cell of pairs is meant to hold
+BLOCK_BYTES = 16 << 20
 _U = np.uint64
 _BLOCKS = np.random.Generator(np.random.PCG64(20_215)).integers(1, 1 << 63, 64, dtype=np.uint64)
 _POINTS = _U(0x9FB21C651E98DF25)
@@ -209,24 +212,31 @@ def overlap(a, wa, b, wb) -> float:
 
 
 def _verified(pairs: DataFrame, rows: DataFrame, found: DataFrame, threshold: float) -> DataFrame:
-    """Links (a, b, similarity): the pairs whose multisets overlap enough."""
+    """Links (a, b, similarity): the pairs whose multisets overlap enough.
+
+    Both ends are dealt to blocks and pairs to cells of two blocks; a cell gets each multiset of its pairs once,
+    however many of its pairs have it.
+    """
     pairs = durable(pairs)
     ends = pairs.select(F.col("a").alias("digest")).union(pairs.select(F.col("b").alias("digest"))).distinct()
     sets = durable(_sets(rows, found, ends))
-    side = lambda x: sets.select(F.col("digest").alias(x), F.col("values").alias(f"v{x}"), F.col("counts").alias(f"c{x}"))
-    met = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "va", "ca", "vb", "cb")
+    size = sets.agg(F.sum(F.length("values") + F.length("counts"))).first()[0] or 0
+    blocks = size // BLOCK_BYTES + 1
+    block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int")
+    dealt = pairs.withColumn("x", block("a")).withColumn("y", block("b"))
+    ends = [dealt.select("x", "y", F.col(c).alias("digest")) for c in ("a", "b")]
+    held = ends[0].union(ends[1]).distinct().join(sets, "digest").select("x", "y", "digest", "values", "counts")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("va", "ca", "vb", "cb")]
-            kinds = (np.uint64, np.uint32, np.uint64, np.uint32)
-            similar = np.array(
-                [overlap(*(np.frombuffer(x, kind) for x, kind in zip(row, kinds, strict=True))) for row in zip(*columns, strict=True)], float
-            )
-            made = pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(similar)], ["a", "b", "similarity"])
-            yield made.filter(pa.array(similar >= threshold))
+    def run(mine: pd.DataFrame, bags: pd.DataFrame) -> pd.DataFrame:
+        bag = {
+            name: (np.frombuffer(values, np.uint64), np.frombuffer(counts, np.uint32))
+            for name, values, counts in zip(bags["digest"], bags["values"], bags["counts"], strict=True)
+        }
+        similar = np.array([overlap(*bag[a], *bag[b]) for a, b in zip(mine["a"], mine["b"], strict=True)], float)
+        return pd.DataFrame({"a": mine["a"], "b": mine["b"], "similarity": similar})[similar >= threshold]
 
-    return durable(met.mapInArrow(run, "a binary, b binary, similarity double"))
+    met = dealt.groupBy("x", "y").cogroup(held.groupBy("x", "y"))
+    return durable(met.applyInPandas(run, "a binary, b binary, similarity double"))
 
 
 def _cells(shared: DataFrame, roots: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -245,59 +255,49 @@ def _cells(shared: DataFrame, roots: DataFrame, nodes: DataFrame) -> DataFrame:
     return durable(owned.join(mixed, "bucket").join(nodes.select("digest", "signature"), "digest"))
 
 
-def _across(met: DataFrame, least: float, most: int | None, threshold: float = 1.0) -> DataFrame:
+def _across(met: DataFrame, least: float, per_member: int | None, per_pair: int | None) -> DataFrame:
     """Pairs (a, b) of one bucket, in different components, whose signatures agree in a share of the registers.
 
     Members outside a bucket's largest component meet all its members of other components, in blocks, and a pair
-    only in the first band that both share. With ``most``, each keeps the likeliest few of a block. Without, the
-    rows of ``met`` bring their multisets (values, counts); pairs are verified on the spot, the likeliest first,
-    and once two components are found to be linked, no more of their pairs are.
+    only in the first band that both share. Only signatures move. With ``per_member`` each member keeps the
+    likeliest few of a block, with ``per_pair`` each pair of components the likeliest few of a cell; without
+    either, all pairs are kept.
     """
     deal = lambda n: F.pmod(F.xxhash64("digest"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    carried = ["band", "digest", "root", "signature"] + (["values", "counts"] if most is None else [])
-    columns = ("bucket", "minor_block", "member_block", *carried)
+    columns = ("bucket", "minor_block", "member_block", "band", "digest", "root", "signature")
     minors = met.where("root <> main").withColumn("minor_block", deal("minor_blocks")).withColumn("member_block", every("member_blocks"))
     members = met.withColumn("main", F.col("root") == F.col("main")).withColumn("member_block", deal("member_blocks"))
     members = members.withColumn("minor_block", every("minor_blocks"))
 
     def compare(few: pd.DataFrame, many: pd.DataFrame) -> pd.DataFrame:
-        names, others = [], []
+        names, others, owners, agreed = [], [], [], []
         if len(few) and len(many):
             marks = np.frombuffer(b"".join(many["m_signature"]), np.uint32).reshape(len(many), -1)
             their, roots_, main_ = (many[f"m_{c}"].to_numpy() for c in ("digest", "root", "main"))
             band = int(few["band"].iloc[0])
-            bag = lambda row, sign: (np.frombuffer(row[f"{sign}values"], np.uint64), np.frombuffer(row[f"{sign}counts"], np.uint32))
-            joined: dict[bytes, bytes] = {}
-
-            def top(root: bytes) -> bytes:
-                while root in joined:
-                    root = joined[root]
-                return root
-
-            for _, row in few.iterrows():
-                name, root = row["digest"], row["root"]
-                same = marks == np.frombuffer(row["signature"], np.uint32)
+            for name, root, signature in zip(few["digest"], few["root"], few["signature"], strict=True):
+                same = marks == np.frombuffer(signature, np.uint32)
                 agree = same.mean(axis=1)
-                near = (agree >= least) & (roots_ != root)
+                # two members outside the largest component meet once
+                near = (agree >= least) & (roots_ != root) & (main_.astype(bool) | (their > name) | bool(per_member))
                 if band:
                     earlier = same[:, : band * BAND_ROWS].reshape(len(many), band, BAND_ROWS)
                     near &= ~earlier.all(axis=2).any(axis=1)
                 near = np.flatnonzero(near)
-                near = near[np.lexsort((their[near], -agree[near]))]
-                if most:
-                    near = near[:most]
-                    names += [name] * len(near)
-                    others += their[near].tolist()
-                    continue
-                for j in near:
-                    # two members outside the largest component meet once
-                    if not (main_[j] or their[j] > name) or top(roots_[j]) == top(root):
-                        continue
-                    if overlap(*bag(row, ""), *bag(many.iloc[j], "m_")) >= threshold:
-                        joined[top(roots_[j])] = top(root)
-                        names.append(name)
-                        others.append(their[j])
+                near = near[np.lexsort((their[near], -agree[near]))][:per_member]
+                names += [name] * len(near)
+                others += their[near].tolist()
+                owners += [tuple(sorted((root, other))) for other in roots_[near]]
+                agreed += agree[near].tolist()
+        if per_pair:
+            taken: dict[tuple, int] = {}
+            keep = []
+            for n in sorted(range(len(names)), key=lambda n: (-agreed[n], names[n], others[n])):
+                taken[owners[n]] = taken.get(owners[n], 0) + 1
+                if taken[owners[n]] <= per_pair:
+                    keep.append(n)
+            names, others = [names[n] for n in keep], [others[n] for n in keep]
         return pd.DataFrame({"a": names, "b": others})
 
     cell = ("bucket", "minor_block", "member_block")
@@ -325,19 +325,19 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold:
     ranked = shared.join(central, "digest")
     heads = ranked.groupBy("bucket").agg(F.max(F.struct("score", "digest")).alias("top")).select("bucket", F.col("top.digest").alias("a"))
     stars = shared.join(heads, "bucket").where(F.col("a") != F.col("digest")).select("a", F.col("digest").alias("b")).distinct()
-    links = _verified(_likely(stars, nodes, LIKELY), rows, found, threshold)
+    tested = durable(_likely(stars, nodes, LIKELY))
+    links = _verified(tested, rows, found, threshold).select("a", "b")
     roots = components(links)
-    # first the likeliest partners of those outside, which joins nearly all that belong together
-    likely = durable(_across(_cells(shared, roots, nodes), LIKELY, PARTNERS))
-    if not likely.isEmpty():
-        links = links.union(_verified(likely, rows, found, threshold))
-        roots = components(links)
-        # then all pairs that are left
-        cells = _cells(shared, roots, nodes)
-        sets = _sets(rows, found, cells.select("digest").distinct())
-        more = durable(_across(cells.join(sets, "digest"), LIKELY, None, threshold))
-        if not more.isEmpty():
-            roots = components(links.select("a", "b").union(more))
+    # pairs across the components of a bucket: the likeliest first, which join nearly all, then all that are left
+    for per_member, per_pair in ROUNDS:
+        likely = durable(_across(_cells(shared, roots, nodes), LIKELY, per_member, per_pair))
+        if likely.isEmpty():
+            break
+        fresh = durable(likely.join(tested, ["a", "b"], "left_anti"))
+        if not fresh.isEmpty():
+            tested = tested.union(fresh)
+            links = links.union(_verified(fresh, rows, found, threshold).select("a", "b"))
+            roots = components(links)
     member = F.struct(F.col("key").isNull().alias("none"), "key", "tag")
     owned = found.join(roots, F.col("digest") == F.col("node"), "left").select(
         "key", "tag", "weight", F.coalesce("root", "digest").alias("root")
