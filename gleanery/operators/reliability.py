@@ -574,14 +574,19 @@ def breaker(
 
     Adds ``state_before, permitted, state_after, failures, successes, failure_rate, last_failure_us``;
     ``state_before`` is the state after the recovery check, ``woke`` marks a time-driven
-    OPEN -> HALF_OPEN, ``last_failure_us`` is kept while OPEN. ``record_at='end'`` dates an
-    attempt by its end (start plus duration).
+    OPEN -> HALF_OPEN, ``last_failure_us`` is kept while OPEN. With ``record_at='end'`` an attempt
+    asks at its start and is recorded at its end, others in between (:mod:`gleanery.operators.overlap`);
+    the columns after ``permitted`` are then those its record left behind, at ``decided_at``.
     """
-    rules = BreakerRules(failures, round(recovery_sec * MICROS), successes)
     if record_at == "end":
-        attempts = attempts.withColumn(
-            "ts", F.timestamp_micros(_micros(F.col("ts")) + F.round(F.col("duration_sec") * MICROS).cast("long"))
-        )
+        from gleanery.operators import overlap
+
+        if attempts.isStreaming:
+            raise ValueError("record_at='end' needs a batch")
+        found = overlap.per_attempt(overlap.breaker_events(attempts, failures, recovery_sec, successes, chunks)).drop("ts")
+        same = (F.col("site").eqNullSafe(F.col("seen_site"))) & (F.col("id") == F.col("seen_id"))
+        return attempts.join(found.withColumnsRenamed({"site": "seen_site", "id": "seen_id"}), same).drop("seen_site", "seen_id")
+    rules = BreakerRules(failures, round(recovery_sec * MICROS), successes)
     if attempts.isStreaming:
         from gleanery.streaming.stateful import breaker_stream
 
@@ -672,14 +677,22 @@ def retry_plan(
 ) -> DataFrame:
     """Attempt number, whether another try is due, when, and whether the policy is exhausted.
 
-    A job holds at most the handful of tries its policy allows, so the window per job is short.
+    On a stream the decisions follow event time and jitter is left out. A job holds at most the handful of tries its policy allows, so the window per job is short.
     """
-    stop, multiplier, low, high = POLICIES[policy]
+    if attempts.isStreaming:
+        from gleanery.streaming.retries import retry_plan_stream
+
+        return retry_plan_stream(attempts, policy, job)
     w = Window.partitionBy(*job).orderBy("ts", "id")
-    numbered = attempts.withColumn("attempt", F.row_number().over(w))
+    return decided(attempts.withColumn("attempt", F.row_number().over(w)), policy, job if jitter else None)
+
+
+def decided(numbered: DataFrame, policy: str, draw_from: tuple[str, ...] | None = None) -> DataFrame:
+    """Retry decisions on attempts that are numbered within their job."""
+    stop, multiplier, low, high = POLICIES[policy]
     retryable = ~F.col("ok") & is_retryable("exception_type")
     again = retryable & (F.col("attempt") < stop)
-    draw = spread_of(*[F.col(c) for c in job], F.col("attempt")) if jitter else None
+    draw = spread_of(*[F.col(c) for c in draw_from], F.col("attempt")) if draw_from else None
     wait = backoff(F.col("attempt"), multiplier, low, high, draw)
     return (
         numbered.withColumn("eligible", again)

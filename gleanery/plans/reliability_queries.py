@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gleanery.operators import errors, reliability as R
+from gleanery.operators import errors, overlap, reliability as R
 from gleanery.plans import views as V
 
 CAPACITY, RATE = 5, 1 / 3600
@@ -170,6 +170,63 @@ changes as (select site, id, ts, 0 as part, 'OPEN' as from_state, 'HALF_OPEN' as
 """
 
 
+def _overlapping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attempts that take minutes for every second, so that they overlap."""
+    log = V.attempts(spark, sf_dir, _BROKEN).select("id", "site", "ts", "ok", (F.col("duration_sec") * 60).alias("duration_sec"))
+    return overlap.breaker_events(log, recovery_sec=RECOVERY_SEC)
+
+
+# one row per event: a check (kind 0), or the record (kind 1) of an attempt that is not refused
+_ENDS = f"""
+with recursive {attempts_sql(_BROKEN)},
+ev as (
+  select id, site, ok, us as t, 1 as later, 0 as kind from att
+  union all
+  select id, site, ok, us + round(duration_sec * 60 * 1000000)::bigint, case when round(duration_sec * 60 * 1000000) > 0 then 0 else 1 end, 1 from att),
+seq as (select *, row_number() over (partition by site order by t, later, id, kind) k from ev),
+run as (
+  select id, site, t, k, kind, true as act, false as woke, 'CLOSED' as st0, 'CLOSED' as st, 0::bigint as f, 0::bigint as s,
+    null::bigint as last, null::double as rate, []::bigint[] as refused from seq where k = 1
+  union all
+  select id, site, t, k, kind, act, woke, st0,
+    case when kind = 0 or not act then st0 when ok and st0 = 'HALF_OPEN' and s0 + 1 >= 2 then 'CLOSED' when ok then st0
+      when st0 = 'HALF_OPEN' or f + 1 >= 5 then 'OPEN' else st0 end,
+    case when kind = 0 or not act then f when ok and (st0 = 'CLOSED' or (st0 = 'HALF_OPEN' and s0 + 1 >= 2)) then 0 when ok then f else f + 1 end,
+    case when kind = 1 and act and ok and st0 = 'HALF_OPEN' then s0 + 1 else s0 end,
+    case when kind = 1 and act and not ok then t else last end,
+    case when kind = 1 and act and not ok then (f + 1)::double / greatest(f + 1 + s0, 1) end,
+    case when kind = 0 and st0 = 'OPEN' then list_append(refused, id) else refused end
+  from (select *, case when woke then 'HALF_OPEN' else st end as st0, case when woke then 0 else s end as s0
+    from (select q.id, q.site, q.t, q.k, q.kind, q.ok, r.st, r.f, r.s, r.last, r.refused,
+        q.kind = 0 and r.st = 'OPEN' and q.t - r.last >= {_RECOVERY_US} as woke, q.kind = 0 or not list_contains(r.refused, q.id) as act
+      from run r join seq q on q.site = r.site and q.k = r.k + 1)))
+"""
+
+
+def breaker_replay_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = overlap.per_attempt(_overlapping(spark, sf_dir))
+    return found.select(
+        "id", "site", "state_before", "permitted", "woke", "state_after", "failures", "successes", F.round("failure_rate", 6).alias("failure_rate"),
+        F.unix_micros("decided_at").alias("decided_us"),
+    )
+
+
+BREAKER_REPLAY_ENDS = f"""
+{_ENDS} select c.id, c.site, c.st0 as state_before, c.st0 <> 'OPEN' as permitted, c.woke, coalesce(e.st, c.st) as state_after,
+  coalesce(e.f, c.f) as failures, coalesce(e.s, c.s) as successes, round(e.rate, 6) as failure_rate, coalesce(e.t, c.t) as decided_us
+from (select * from run where kind = 0) c left join (select * from run where kind = 1 and act) e using (site, id)
+"""
+
+
+def breaker_end_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overlap.transitions(_overlapping(spark, sf_dir)).select("site", "id", F.unix_micros("ts").alias("us"), "from_state", "to_state")
+
+
+BREAKER_END_TRANSITIONS = f"""
+{_ENDS} select site, id, t as us, case when woke then 'OPEN' else st0 end as from_state, st as to_state from run where woke or (act and st0 <> st)
+"""
+
+
 def breaker_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.transitions(_replayed(spark, sf_dir)).select("site", "id", "part", "from_state", "to_state")
 
@@ -304,6 +361,8 @@ QUERIES = {
     "rate_limit_refusals": (rate_limit_refusals, RATE_LIMIT_REFUSALS),
     "limiter_defaults": (limiter_defaults, LIMITER_DEFAULTS),
     "breaker_replay": (breaker_replay, BREAKER_REPLAY),
+    "breaker_replay_ends": (breaker_replay_ends, BREAKER_REPLAY_ENDS),
+    "breaker_end_transitions": (breaker_end_transitions, BREAKER_END_TRANSITIONS),
     "breaker_transitions": (breaker_transitions, BREAKER_TRANSITIONS),
     "transition_counts": (transition_counts, TRANSITION_COUNTS),
     "breaker_state": (breaker_state, BREAKER_STATE),

@@ -154,6 +154,39 @@ from pages where (page_id // 10) % 6 in (0, 4, 5) and page_id % 7 in (3, 6)
 """
 
 
+def _spec_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of ten lines: a document a line, some of them broken or blank, or one document with something behind it."""
+    site = F.format_string('{"sites": [{"name": "page_%d", "base_url": ""}]}', F.col("page_id"))
+    line = F.when(F.col("page_id") % 7 == 3, F.lit('{"sites": [')).when(F.col("page_id") % 10 == 8, F.lit("  ")).otherwise(site)
+    g = F.floor(F.col("page_id") / 10)
+    line = F.when((g % 3 == 2) & (F.col("page_id") % 10 > 0), F.lit("}")).otherwise(line)
+    line = F.when(F.col("page_id") % 10 == 0, site).otherwise(line)
+    kept = V.table(spark, sf_dir, "pages").where(~((g % 3 == 2) & (F.col("page_id") % 10 > 1)))
+    texts = kept.groupBy(g.alias("g")).agg(F.array_sort(F.collect_list(F.struct("page_id", line.alias("line")))).alias("l"))
+    joined = F.expr(r"array_join(transform(l, x -> x.line), if(g % 3 = 2, ' ', '\n'))")
+    return texts.select(F.concat(F.lit("doc_"), F.col("g").cast("string")).alias("source"), joined.alias("value"))
+
+
+def spec_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document of the texts, and what is wrong with it."""
+    documents = S.parse_documents(_spec_lines(spark, sf_dir))
+    return documents.select("source", "kind", F.get("sites", F.lit(0))["name"].alias("site"))
+
+
+SPEC_LINES = """
+with p as (select page_id n, page_id // 10 g, page_id % 10 d from pages)
+select 'doc_' || g || ':' || (d + 1) as source, case when n % 7 = 3 and d > 0 then 'unreadable' else 'list' end as kind,
+  case when n % 7 <> 3 or d = 0 then 'page_' || n end as site
+from p where g % 3 <> 2 and not (d = 8 and n % 7 <> 3)
+  and g in (select g from p group by g having count(*) > 1)
+union all
+select 'doc_' || g, case when count(*) > 1 then 'unreadable' else 'list' end, case when count(*) = 1 then 'page_' || min(n) end
+from p where g % 3 = 2 and d <= 1 group by g
+union all
+select 'doc_' || g, 'list', 'page_' || min(n) from p where g % 3 <> 2 group by g having count(*) = 1
+"""
+
+
 def step_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.step_targets(V.target_specs(spark, sf_dir)).select(
         "spec_id", "step_ord", "step", "target", "target_error"
@@ -199,6 +232,7 @@ QUERIES = {
     "spec_rollup": (spec_rollup, SPEC_ROLLUP),
     "spec_flatten": (spec_flatten, SPEC_FLATTEN),
     "spec_documents": (spec_documents, SPEC_DOCUMENTS),
+    "spec_lines": (spec_lines, SPEC_LINES),
     "spec_document_violations": (spec_document_violations, SPEC_DOCUMENT_VIOLATIONS),
     "step_targets": (step_targets, STEP_TARGETS),
     "page_lookup": (page_lookup, PAGE_LOOKUP),

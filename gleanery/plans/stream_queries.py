@@ -15,7 +15,7 @@ from gleanery.operators import metrics as M, reliability as R
 from gleanery.plans import alert_queries as A, extract_queries as X, reliability_queries as Q, views as V
 from gleanery.session import shared_dir
 from gleanery.sources.pages import PAGE_SCHEMA, read_page_stream
-from gleanery.streaming import windows as W
+from gleanery.streaming import cells as C, late, retries, stateful as S, windows as W
 
 _EVENT_SCHEMA = (
     "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING"
@@ -111,6 +111,92 @@ STREAM_FAILURE_ALERTS = f"""
 select * from ({A.ALERT_FAILURE_RATE}) where resolved_at * 1000000 <= (select max(epoch_us(ts)) from events) - 600 * 1000000
 """
 
+_WEEKS = ["day(ts) <= 7", "day(ts) between 8 and 14", "day(ts) between 15 and 21", "day(ts) > 21"]
+
+
+def _in_parts(spark: SparkSession, sf_dir: str, parts: list[str], failing: tuple[str, ...] = ("error",)) -> DataFrame:
+    """The event log as files that arrive one after the other, each a micro-batch."""
+    folder = f"{shared_dir(spark)}/parts-{uuid.uuid4().hex}"
+    events = V.table(spark, sf_dir, "events")
+    for part in parts:  # one file each: the source takes files by their age
+        events.where(part).coalesce(1).write.mode("append").parquet(folder)
+    source = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    return V.attempts_of(source, failing)
+
+
+_CELL = 3600 * 1_000_000
+_CELL_CLOSED = f"(us // {_CELL} + 1) * {_CELL} <= (select max(us) // 1000 * 1000 from att) - 600 * 1000000"
+
+
+def stream_bucket_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    admitted = C.token_bucket_cells(_in_parts(spark, sf_dir, _WEEKS), Q.CAPACITY, Q.RATE, cell_sec=3600)
+    return _drained(admitted).select("id", "site", "admitted", F.round("tokens_after", 6).alias("tokens_after"))
+
+
+STREAM_BUCKET_CELLS = f"""
+{Q._BUCKET} select id, site, admitted, round(level / {Q._UNIT}, 6) as tokens_after from run where {_CELL_CLOSED}
+"""
+
+
+def stream_breaker_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    replayed = C.breaker_cells(_in_parts(spark, sf_dir, _WEEKS, Q._BROKEN), recovery_sec=Q.RECOVERY_SEC, cell_sec=3600)
+    return _drained(replayed).select("id", "site", "state_before", "permitted", "state_after", "failures", "woke")
+
+
+STREAM_BREAKER_CELLS = f"""
+{Q.BREAKER} select id, site, st0 as state_before, st0 <> 'OPEN' as permitted, st as state_after, f as failures,
+  was = 'OPEN' and st0 = 'HALF_OPEN' as woke
+from run join att using (id, site) where {_CELL_CLOSED}
+"""
+
+
+def stream_recoveries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The moments at which breakers wake up, whether or not an attempt follows."""
+    rules = R.BreakerRules(recovery_us=Q.RECOVERY_SEC * R.MICROS)
+    told = S.breaker_stream(_in_parts(spark, sf_dir, _WEEKS, Q._BROKEN), rules, timers=True)
+    return _drained(told).where("id is null").select("site", F.unix_micros("ts").alias("us"), "state_before", "state_after")
+
+
+STREAM_RECOVERIES = f"""
+{Q.BREAKER} select distinct site, last + {Q._RECOVERY_US} as us, 'OPEN' as state_before, 'HALF_OPEN' as state_after
+from run where st = 'OPEN' and last + {Q._RECOVERY_US} <= (select max(us) // 1000 * 1000 from att) - 600 * 1000000
+"""
+
+
+def stream_late_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that come too late, per site: one event in seven of the first ten days comes last."""
+    held = "event_id % 7 = 0 and day(ts) <= 10"
+    log = _in_parts(spark, sf_dir, [f"day(ts) <= 10 and not ({held})", "day(ts) > 10", held])
+    folder = f"{shared_dir(spark)}/late-{uuid.uuid4().hex}"
+    late.split_late(log, folder).awaitTermination()
+    return late.late_counts(late.late_rows(spark, folder), "site")
+
+
+STREAM_LATE_COUNTS = f"""
+with {Q.attempts_sql()} select site, count(*) as late from att
+where id % 7 = 0 and day(ts) <= 10 and us <= (select max(us) // 1000 * 1000 from att where day(ts) > 10) - 600 * 1000000 group by site
+"""
+
+_TRIES = ("error", "view", "click")
+
+
+def stream_retry_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    planned = R.retry_plan(_in_parts(spark, sf_dir, _WEEKS, _TRIES))
+    return _drained(planned).select(
+        "id", "site", "attempt", "eligible", "exhausted", "wait_sec", F.unix_micros("next_attempt_at").alias("next_us")
+    )
+
+
+STREAM_RETRY_PLAN = f"select p.* from ({Q.RETRY_PLAN}) p join events e on e.event_id = p.id where epoch_us(e.ts) <= (select max(epoch_us(ts)) // 1000 * 1000 from events) - 600 * 1000000"
+
+
+def stream_retry_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rated = retries.retry_rate_stream(R.retry_plan(_in_parts(spark, sf_dir, _WEEKS, _TRIES)), A.DAY, A.SLIDE)
+    return _drained(rated).select("exception_type", "t", "n", F.round("rate", 10).alias("rate"))
+
+
+STREAM_RETRY_RATE = f"select * from ({A.RETRY_RATE_WINDOWED}) where t * 1000000 <= (select max(epoch_us(ts)) from events) - 600 * 1000000"
+
 QUERIES = {
     "stream_extract": (stream_extract, X.STREAM_MODE_STEPS),
     "stream_unique_pages": (stream_unique_pages, "select distinct url as norm_url from pages"),
@@ -118,5 +204,11 @@ QUERIES = {
     "stream_breaker": (stream_breaker, STREAM_BREAKER),
     "stream_success_rate": (stream_success_rate, STREAM_SUCCESS_RATE),
     "stream_p95": (stream_p95, STREAM_P95),
+    "stream_bucket_cells": (stream_bucket_cells, STREAM_BUCKET_CELLS),
+    "stream_breaker_cells": (stream_breaker_cells, STREAM_BREAKER_CELLS),
+    "stream_recoveries": (stream_recoveries, STREAM_RECOVERIES),
+    "stream_late_counts": (stream_late_counts, STREAM_LATE_COUNTS),
+    "stream_retry_plan": (stream_retry_plan, STREAM_RETRY_PLAN),
+    "stream_retry_rate": (stream_retry_rate, STREAM_RETRY_RATE),
     "stream_failure_alerts": (stream_failure_alerts, STREAM_FAILURE_ALERTS),
 }

@@ -41,23 +41,45 @@ class Specs(NamedTuple):
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """Whole JSON documents ``{"sites": [...]}``: one row per document with its parse result."""
+    """JSON documents ``{"sites": [...]}``, one a file or one a line: a row per document with its parse result."""
     raw = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("source"), "value")
     return parse_documents(raw)
 
 
+def _single(text: Column) -> Column:
+    """The text as a variant if it is one JSON value and nothing else, else null.
+
+    The parser stops at the end of the first value. Whatever follows it spoils the text as the only element of a
+    list or as the only member of an object: no text closes both early.
+    """
+    listed = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    member = F.try_parse_json(F.concat(F.lit('{"d":'), text, F.lit("}")))
+    alone = F.try_variant_get(listed, "$[1]", "variant").isNull() & member.isNotNull()
+    return F.when(alone, F.try_variant_get(listed, "$[0]", "variant"))
+
+
 def parse_documents(raw: DataFrame) -> DataFrame:
-    """``(source, value)`` -> ``(source, kind, sites)``; ``kind`` is the JSON type found under ``sites``."""
-    parsed = F.try_parse_json("value")
+    """``(source, value)`` -> ``(source, kind, sites)``; ``kind`` is the JSON type found under ``sites``.
+
+    A text of several documents, one a line, gives a row per line that is not blank, under ``source:line``. Any
+    other text that is not one JSON document, or has something after it, is ``unreadable``.
+    """
+    lines = F.filter(F.transform(F.split("value", "\n"), lambda text, n: F.struct((n + 1).alias("n"), text.alias("text"))), lambda x: F.trim(F.translate(x["text"], "\r\t", "  ")) != "")
+    # only where the first line is a document are the others taken for documents as well
+    many = _single(F.col("value")).isNull() & (F.size("lines") > 1) & F.schema_of_variant(_single(F.col("lines")[0]["text"])).startswith("OBJECT")
+    whole = F.array(F.struct("source", F.col("value").alias("text")))
+    split = F.transform("lines", lambda x: F.struct(F.concat_ws(":", "source", x["n"].cast("string")).alias("source"), x["text"].alias("text")))
+    rows = raw.select("source", "value", lines.alias("lines")).select(F.inline(F.when(many, split).otherwise(whole)))
+    parsed = _single(F.col("text"))
     found = F.try_variant_get(parsed, "$.sites", "variant")
-    return raw.select(
+    return rows.withColumn("parsed", parsed).select(
         "source",
-        F.when(parsed.isNull(), "unreadable")
+        F.when(F.col("parsed").isNull(), "unreadable")
         .when(found.isNull(), "missing")
         .when(F.schema_of_variant(found).startswith("ARRAY"), "list")
         .otherwise("other")
         .alias("kind"),
-        F.from_json("value", f"struct<sites:array<{SITE_SCHEMA}>>")["sites"].alias("sites"),
+        F.when(F.col("parsed").isNotNull(), F.from_json("text", f"struct<sites:array<{SITE_SCHEMA}>>")["sites"]).alias("sites"),
     )
 
 

@@ -27,7 +27,12 @@ def use_rocksdb(spark: SparkSession) -> None:
 
 
 class _OrderedFold(StatefulProcessor):
-    """Buffers a key's rows until the watermark passes them, then folds them in order."""
+    """Buffers a key's rows until the watermark passes them, then folds them in order.
+
+    ``wake`` says when a state changes by itself, ``woken`` the row for it; that row comes with the next attempt, or
+    with ``timers`` as soon as the watermark has passed the moment, whether or not another attempt follows. A key that is silent for longer than ``ttl_us``
+    of event time starts afresh, and its state is removed.
+    """
 
     def __init__(
         self,
@@ -37,13 +42,17 @@ class _OrderedFold(StatefulProcessor):
         names: list[str],
         wake: Callable[[tuple], int | None] | None = None,
         woken: Callable[[tuple], tuple] | None = None,
+        ttl_us: int | None = None,
+        timers: bool = False,
     ) -> None:
+        self.timers = timers
         self.start, self.step, self.state_schema, self.names = start, step, state_schema, names
-        self.wake, self.woken = wake, woken
+        self.wake, self.woken, self.ttl_us = wake, woken, ttl_us
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("state", self.state_schema)
+        # beside the state: the time of the last row, and the last wake-up that has its row
+        self.state = handle.getValueState("state", f"{self.state_schema}, seen bigint, told bigint")
         self.buffer = handle.getListState("buffer", "t_us bigint, id bigint, ok boolean, capacity int, rate double")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
@@ -61,20 +70,44 @@ class _OrderedFold(StatefulProcessor):
         ready = [row for row in held if row[0] <= watermark_us]
         rest = held[len(ready) :]
         out = []
-        state = tuple(self.state.get()) if self.state.exists() else self.start
-        for t, number, ok, size, rate in ready:
-            if self.wake and (due := self.wake(state)) is not None and due <= t:
+        *state, seen, told = self.state.get() if self.state.exists() else (*self.start, None, None)
+        state = tuple(state)
+
+        def ends() -> int | None:
+            return None if self.ttl_us is None or seen is None else seen + self.ttl_us
+
+        def tell_until(t: int) -> None:
+            nonlocal told
+            due = self.wake(state) if self.wake else None
+            if due is not None and due <= t and due != told and (ends() is None or due <= ends()):
                 out.append((key[0], None, due, *self.woken(state)))
+                told = due
+
+        for t, number, ok, size, rate in ready:
+            tell_until(t)
+            if ends() is not None and t > ends():
+                state, told = tuple(self.start), None
             state, result = self.step(state, (t, ok, size, rate))
+            state, seen = tuple(state), t
             out.append((key[0], number, t, *result))
+        if self.timers:
+            tell_until(watermark_us)
         if ready:
-            self.state.update(state)
             if rest:
                 self.buffer.put(rest)
             else:
                 self.buffer.clear()
         if rest:
             self.handle.registerTimer(_timer(rest[0][0]))
+        if ends() is not None and not rest and watermark_us > ends():
+            self.state.clear()
+        elif seen is not None:
+            self.state.update((*state, seen, told))
+            due = self.wake(state) if self.wake else None
+            if self.timers and due is not None and due != told and due > watermark_us:
+                self.handle.registerTimer(_timer(due))
+            if ends() is not None and ready:
+                self.handle.registerTimer(_timer(ends()) + 1)
         if out:
             yield pd.DataFrame(out, columns=["site", "id", "t_us", *self.names], dtype=object)
 
@@ -107,9 +140,17 @@ def _fold(
     return folded.withColumn("ts", F.timestamp_micros("t_us")).drop("t_us")
 
 
-def token_bucket_stream(attempts: DataFrame, tokens: int = 1, watermark: str = WATERMARK) -> DataFrame:
+def _micros(seconds: float | None) -> int | None:
+    return None if seconds is None else round(seconds * rel.MICROS)
+
+
+def token_bucket_stream(
+    attempts: DataFrame, tokens: int = 1, watermark: str = WATERMARK, ttl_sec: float | None = None
+) -> DataFrame:
     """``(site, id, ts, admitted, tokens_after)`` in the order of time per site.
 
+    A site that is silent for longer than ``ttl_sec`` is forgotten and starts with a full bucket.
+
     Every attempt carries its site's ``limit_capacity`` and ``limit_rate``. Levels are whole
     numbers of any size and are kept as text.
     """
@@ -120,14 +161,20 @@ def token_bucket_stream(attempts: DataFrame, tokens: int = 1, watermark: str = W
         (level, at), result = machine.step((None if level is None else int(level), at), (row[0], row[2], row[3]))
         return (str(level), at), result
 
-    processor = _OrderedFold((None, None), step, "level string, at bigint", ["admitted", "tokens_after"])
+    processor = _OrderedFold((None, None), step, "level string, at bigint", ["admitted", "tokens_after"], ttl_us=_micros(ttl_sec))
     return _fold(attempts, processor, machine.output, watermark)
 
 
 def breaker_stream(
-    attempts: DataFrame, rules: rel.BreakerRules, watermark: str = WATERMARK, emit_recovery: bool = False
+    attempts: DataFrame,
+    rules: rel.BreakerRules,
+    watermark: str = WATERMARK,
+    emit_recovery: bool = False,
+    ttl_sec: float | None = None,
+    timers: bool = False,
 ) -> DataFrame:
-    """Breaker state per attempt; with ``emit_recovery`` also a row (``id`` null) per recovery moment."""
+    """Breaker state per attempt; with ``emit_recovery`` also a row (``id`` null) per recovery moment that an attempt
+    finds, with ``timers`` of every one as soon as the watermark has passed it. A site that is silent for longer than ``ttl_sec`` is forgotten and starts CLOSED."""
     names = [part.split()[0] for part in rel._BREAKER_OUTPUT.split(", ")]
 
     def due(state: tuple) -> int | None:
@@ -138,8 +185,10 @@ def breaker_stream(
         lambda state, row: rules.step(tuple(state), row[0], row[1]),
         "mode int, failed bigint, passed bigint, last bigint",
         names,
-        due if emit_recovery else None,
+        due if emit_recovery or timers else None,
         lambda state: ("OPEN", True, "HALF_OPEN", state[1], 0, None, None),
+        _micros(ttl_sec),
+        timers,
     )
     return rel.shape_breaker(_fold(attempts, processor, rel._BREAKER_OUTPUT, watermark))
 

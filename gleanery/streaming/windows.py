@@ -11,10 +11,19 @@ from gleanery.streaming.stateful import WATERMARK, hold_stream
 
 
 def _windowed(
-    df: DataFrame, labels: tuple[str, ...], window_sec: int, slide_sec: int, watermark: str, *aggregates: Column
+    df: DataFrame, labels: tuple[str, ...], window_sec: int, slide_sec: int, watermark: str | None, *aggregates: Column
 ) -> DataFrame:
-    grid = F.window("ts", f"{window_sec} seconds", f"{slide_sec} seconds")
-    rows = df.withWatermark("ts", watermark).groupBy(*labels, grid).agg(*aggregates)
+    """Counts per sliding window. Where windows consist of whole slides, rows are first counted per slide, and only
+    these cells are copied into the windows that hold them; a stream without a watermark argument has one already."""
+    rows = df if watermark is None else df.withWatermark("ts", watermark)
+    if window_sec % slide_sec == 0 and window_sec > slide_sec:
+        names = [f"a{n}" for n in range(len(aggregates))]
+        cells = rows.groupBy(*labels, F.window("ts", f"{slide_sec} seconds")).agg(*aggregates)
+        grid = F.window("window", f"{window_sec} seconds", f"{slide_sec} seconds")
+        rows = cells.groupBy(*labels, grid).agg(*[F.sum(name).alias(name) for name in names])
+    else:
+        grid = F.window("ts", f"{window_sec} seconds", f"{slide_sec} seconds")
+        rows = rows.groupBy(*labels, grid).agg(*aggregates)
     return rows.withColumn("t", F.unix_seconds(F.col("window.end"))).withColumn(
         "event_time", F.window_time("window")
     )
@@ -51,7 +60,7 @@ def rate_stream(
     labels: tuple[str, ...],
     window_sec: int = alerts.RATE_WINDOW_SEC,
     slide_sec: int = alerts.EVALUATION_SEC,
-    watermark: str = WATERMARK,
+    watermark: str | None = WATERMARK,
 ) -> DataFrame:
     rows = _windowed(df, labels, window_sec, slide_sec, watermark, *_numbered(F.count(F.lit(1))))
     return rows.select(
