@@ -225,7 +225,8 @@ def _verified(pairs: DataFrame, rows: DataFrame, found: DataFrame, threshold: fl
     block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int")
     dealt = pairs.withColumn("x", block("a")).withColumn("y", block("b"))
     ends = [dealt.select("x", "y", F.col(c).alias("digest")) for c in ("a", "b")]
-    held = ends[0].union(ends[1]).distinct().join(sets, "digest").select("x", "y", "digest", "values", "counts")
+    held = ends[0].union(ends[1]).distinct().join(sets, "digest")
+    held = held.select(F.col("x").alias("hx"), F.col("y").alias("hy"), "digest", "values", "counts")
 
     def run(mine: pd.DataFrame, bags: pd.DataFrame) -> pd.DataFrame:
         bag = {
@@ -235,7 +236,7 @@ def _verified(pairs: DataFrame, rows: DataFrame, found: DataFrame, threshold: fl
         similar = np.array([overlap(*bag[a], *bag[b]) for a, b in zip(mine["a"], mine["b"], strict=True)], float)
         return pd.DataFrame({"a": mine["a"], "b": mine["b"], "similarity": similar})[similar >= threshold]
 
-    met = dealt.groupBy("x", "y").cogroup(held.groupBy("x", "y"))
+    met = dealt.groupBy("x", "y").cogroup(held.groupBy("hx", "hy"))
     return durable(met.applyInPandas(run, "a binary, b binary, similarity double"))
 
 
