@@ -13,8 +13,9 @@ for, since it is never rendered. An element that is not rendered carries ``_hid=
 A tag that never ends, up to the end of the page, is text, and so is every start tag after it.
 Elements nest up to ``MAX_DEPTH``, as in browsers; deeper ones are closed early. Where the XML
 parser's own limits are in force (see ``session.raise_xml_limits``), longer names and more
-attributes than it takes are left out. A document that something was left out of or closed
-early carries ``_cut="1"`` on its root; see :func:`is_cut`.
+attributes than it takes are left out. Formatting that is reopened again and again may add a few
+times the page's size, then no more of it is reopened. A document that something was left out of or
+closed early carries ``_cut="1"`` on its root; see :func:`is_cut`.
 """
 
 from __future__ import annotations
@@ -35,6 +36,8 @@ CUT_MARK = "_cut"
 # Browsers stop nesting at this depth; an XML parser with its default limits refuses longer names
 # and more attributes on one element.
 MAX_DEPTH, MAX_NAME, MAX_ATTRIBUTES = 512, 1000, 9000
+# What reopened formatting elements may add: so many characters, and so many times those of the page.
+REOPENED_FREE, REOPENED_TIMES = 1 << 16, 6
 
 # Element groups of the HTML standard.
 _VOID = frozenset("area base br col embed frame hr img input link meta param source track wbr".split())
@@ -93,10 +96,12 @@ _ENDED = "!"
 class _Page:
     """Open elements of one page while it is rewritten."""
 
-    __slots__ = ("out", "stack", "hidden", "reopen", "seen_head", "seen_body", "limited", "cut")
+    __slots__ = ("out", "stack", "hidden", "reopen", "seen_head", "seen_body", "limited", "cut", "opened", "room")
 
-    def __init__(self, limited: bool) -> None:
+    def __init__(self, limited: bool, size: int) -> None:
         self.limited, self.cut = limited, False
+        self.room = REOPENED_FREE + REOPENED_TIMES * size
+        self.opened: dict[str, int] = {}  # open elements by name
         self.out: list[str] = ["<html>"]
         self.stack: list[tuple[str, str]] = [("html", "")]
         self.hidden: list[bool] = [False]
@@ -111,10 +116,12 @@ class _Page:
         hidden = hides or self.hidden[-1]
         self.out.append(f'<{name}{attributes} {HIDDEN_MARK}="1">' if hidden else f"<{name}{attributes}>")
         self.stack.append((name, attributes))
+        self.opened[name] = self.opened.get(name, 0) + 1
         self.hidden.append(hidden)
 
     def pop(self) -> tuple[str, str]:
         top = self.stack.pop()
+        self.opened[top[0]] = self.opened.get(top[0], 0) - 1
         self.hidden.pop()
         self.out.append(f"</{top[0].lstrip(_ENDED)}>")
         return top
@@ -137,7 +144,16 @@ class _Page:
                     kept.append(one)
             self.reopen = kept[::-1]
 
+    def end(self, position: int) -> None:
+        """Mark a formatting element as ended: it closes with the block inside it."""
+        name, attributes = self.stack[position]
+        self.stack[position] = (_ENDED + name, attributes)
+        self.opened[name] -= 1
+        self.opened[_ENDED + name] = self.opened.get(_ENDED + name, 0) + 1
+
     def last(self, names: frozenset[str], barrier: frozenset[str]) -> int:
+        if not any(self.opened.get(name) for name in names):
+            return 0
         for position in range(len(self.stack) - 1, 0, -1):
             name = self.stack[position][0]
             if name in names:
@@ -154,6 +170,12 @@ class _Page:
 
     def resume_formatting(self) -> None:
         waiting, self.reopen = self.reopen, []
+        sizes = [2 * len(name) + len(attributes) + 5 for name, attributes in waiting]
+        # the innermost ones that there is room for
+        while waiting and sum(sizes) > self.room:
+            self.cut = True
+            del waiting[0], sizes[0]
+        self.room -= sum(sizes)
         for name, attributes in waiting:
             self.push(name, attributes, False)
 
@@ -253,7 +275,7 @@ def _close(page: _Page, name: str) -> None:
     if name in _FORMATTING:
         if any(open_name not in _FORMATTING and open_name != "span" for open_name in inner):
             # a block was opened inside: end it with that block's own end tag
-            page.stack[position] = (_ENDED + name, page.stack[position][1])
+            page.end(position)
             return
     elif name not in _TABLE and any(open_name in _SCOPE_END for open_name in inner):
         return
@@ -288,8 +310,8 @@ def repair_page(html: str | None, keep_raw_text: bool = False, limited: bool = T
     if html is None:
         return None
     html = _NOT_XML.sub("", html)
-    page, token = _Page(limited), _TOKEN
     at, size = 0, len(html)
+    page, token = _Page(limited, size), _TOKEN
     while at < size:
         found, start, token = _next_token(html, at, token)
         if start > at:

@@ -21,7 +21,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gleanery.functions import urls, xpath as xp
-from gleanery.functions.html import repair
+from gleanery.functions.html import is_cut, repair
 from gleanery.session import BROADCAST_MAX_BYTES, BROADCAST_MAX_ROWS, durable
 from gleanery.sources import pages as page_source
 from gleanery.sources.specs import (
@@ -454,6 +454,7 @@ def _outcome(s: Column, row_url: Column, nav: Column, visibility: str, unsupport
         .alias("status"),
         error.alias("error"),
         fields.alias("fields"),
+        F.coalesce(F.col("cut"), F.lit(False)).alias("cut"),
     )
 
 
@@ -479,7 +480,7 @@ def _evaluate(
             for part in parts
         ]
         return reduce(DataFrame.unionByName, answered)
-    repaired = rows.withColumn("document", repair("html"))
+    repaired = rows.withColumn("document", repair("html")).withColumn("cut", is_cut("document"))
     if any(xp._reads_raw_text(probe) for probes in templates.values() for probe in probes):
         repaired = repaired.withColumn("raw_document", repair("html", keep_raw_text=True))
     valued = _values(repaired, templates, "document", "doc_url")
@@ -717,7 +718,8 @@ def long(outcomes: DataFrame) -> DataFrame:
 def steps(outcomes: DataFrame) -> DataFrame:
     """One row per step: success, failure or unsupported, with its error.
 
-    ``reached`` is false after the first failing step, which a sequential run never starts.
+    ``reached`` is false after the first failing step, which a sequential run never starts;
+    ``cut`` says that something is missing from the document the step was read from.
     """
     keys = _keys(outcomes)
     bad = _first_error(F.col("outcomes"))["step_ord"]
@@ -729,6 +731,7 @@ def steps(outcomes: DataFrame) -> DataFrame:
         "o.url",
         "o.status",
         "o.error",
+        "o.cut",
         (F.col("failed_at").isNull() | (F.col("o.step_ord") <= F.col("failed_at"))).alias("reached"),
     )
 

@@ -128,3 +128,55 @@ def test_extreme_pages_are_readable(spark):
     got = df.select("n", F.xpath_string(repair("html"), F.lit("normalize-space((//h1)[1])")).alias("h")).orderBy("n").collect()
     assert [r["h"][:6].strip() for r in got] == ["deep", "wide", "long", "word w", "quotes", ""]
     assert len(got[3]["h"]) == len("word " * 200_000) - 1
+
+
+def test_reopened_formatting_adds_a_few_times_the_page():
+    flood = "".join(f"<p><b id={n}>" for n in range(20_000))
+    made = repair_page(flood)
+    assert len(made) < 10 * len(flood)
+    assert made.startswith('<html _cut="1">') and made.count("<p>") == 20_000
+    # a page that never closes its formatting keeps all of it
+    plain = "<p><b><i><font size=2>" + "<p>some text and more of it" * 500
+    assert "_cut" not in repair_page(plain)[:40] and repair_page(plain).count("<font") == 501
+
+
+def test_many_names_without_an_open_one_are_fast():
+    import time
+
+    start = time.perf_counter()
+    repair_page("<li><ul>" * 20_000)
+    assert time.perf_counter() - start < 5
+
+
+def test_outcomes_say_what_was_cut(spark):
+    from gleanery.operators import extract
+    from gleanery.sources import specs as S
+
+    spec = '{"sites": [{"name": "s", "base_url": "http://a.example", "steps": [{"name": "one", "fields": [{"name": "h", "xpath": "//h1"}]}]}]}'
+    sites = S.sites_of(S.parse_documents(spark.createDataFrame([("d", spec)], "source string, value string")))
+    rows = [(1, "http://a.example/1", "<h1>x</h1>"), (2, "http://a.example/2", "<div>" * 600 + "<h1>y</h1>"), (3, "http://a.example/3", None)]
+    found = extract.steps(extract.outcomes_by_page(spark.createDataFrame(rows, "page_id long, url string, html string"), sites))
+    assert [(r.page_id, r.cut) for r in found.orderBy("page_id").collect()] == [(1, False), (2, True), (3, False)]
+
+
+def test_texts_of_several_documents(spark):
+    from gleanery.sources import specs as S
+
+    one = '{"sites": [{"name": "%s"}]}'
+    texts = {
+        "single": one % "a",
+        "spread": '\n{"sites":\n [{"name": "b"}]}\n',
+        "lines": "\n".join([one % "c", "", "{broken", "\t" + one % "d" + "\r", '["no site"]']),
+        "behind": one % "e" + " " + one % "f",
+        "array_end": one % "g" + "] [",
+        "object_end": one % "h" + "} {",
+        "two": one % "i" + "," + one % "j",
+        "blank": " \n ",
+    }
+    found = S.parse_documents(spark.createDataFrame(list(texts.items()), "source string, value string"))
+    got = {(r.source, r.kind, r.site) for r in found.selectExpr("source", "kind", "sites[0].name as site").collect()}
+    assert got == {
+        ("single", "list", "a"), ("spread", "list", "b"), ("lines:1", "list", "c"), ("lines:3", "unreadable", None), ("lines:4", "list", "d"),
+        ("lines:5", "missing", None), ("behind", "unreadable", None), ("array_end", "unreadable", None), ("object_end", "unreadable", None),
+        ("two", "unreadable", None), ("blank", "unreadable", None),
+    }
