@@ -24,8 +24,8 @@ import re
 from html import unescape
 
 import pyarrow as pa
-from pyspark.sql import Column, SparkSession, functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from gleanery.session import raise_xml_limits
 
@@ -96,12 +96,13 @@ _ENDED = "!"
 class _Page:
     """Open elements of one page while it is rewritten."""
 
-    __slots__ = ("out", "stack", "hidden", "reopen", "seen_head", "seen_body", "limited", "cut", "opened", "room")
+    __slots__ = ("out", "stack", "hidden", "reopen", "seen_head", "seen_body", "limited", "cut", "opened", "room", "raw")
 
     def __init__(self, limited: bool, size: int) -> None:
         self.limited, self.cut = limited, False
         self.room = REOPENED_FREE + REOPENED_TIMES * size
         self.opened: dict[str, int] = {}  # open elements by name
+        self.raw: list[tuple[int, str]] = []  # script and style text, by its place in the output
         self.out: list[str] = ["<html>"]
         self.stack: list[tuple[str, str]] = [("html", "")]
         self.hidden: list[bool] = [False]
@@ -305,10 +306,8 @@ def _next_token(html: str, at: int, token: re.Pattern) -> tuple[re.Match | None,
     return None, len(html), token
 
 
-def repair_page(html: str | None, keep_raw_text: bool = False, limited: bool = True) -> str | None:
-    """One page as well-formed XML with a single html root; null stays null."""
-    if html is None:
-        return None
+def _rewritten(html: str, keep_raw_text: bool, limited: bool) -> _Page:
+    """The page's output without script and style text, which is kept aside if wanted."""
     html = _NOT_XML.sub("", html)
     at, size = 0, len(html)
     page, token = _Page(limited, size), _TOKEN
@@ -336,7 +335,8 @@ def repair_page(html: str | None, keep_raw_text: bool = False, limited: bool = T
                 if name in _ESCAPABLE_RAW:
                     page.out.append(_text(body))
                 elif keep_raw_text:
-                    page.out.append(body.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;"))
+                    page.raw.append((len(page.out), body.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;")))
+                    page.out.append("")
                 page.pop()
                 at = end.end() if end else size
         elif found[1]:
@@ -347,7 +347,23 @@ def repair_page(html: str | None, keep_raw_text: bool = False, limited: bool = T
         page.pop()
     if page.cut:
         page.out[0] = f'{page.out[0][:-1]} {CUT_MARK}="1">'
-    return "".join(page.out)
+    return page
+
+
+def repair_page(html: str | None, keep_raw_text: bool = False, limited: bool = True) -> str | None:
+    """One page as well-formed XML with a single html root; null stays null."""
+    return repair_both(html, limited)[1] if keep_raw_text else None if html is None else "".join(_rewritten(html, False, limited).out)
+
+
+def repair_both(html: str | None, limited: bool = True) -> tuple[str | None, str | None]:
+    """The page without and with its script and style text, read once."""
+    if html is None:
+        return None, None
+    page = _rewritten(html, True, limited)
+    plain = "".join(page.out)
+    for place, text in page.raw:
+        page.out[place] = text
+    return plain, "".join(page.out)
 
 
 @F.arrow_udf(StringType())
@@ -356,6 +372,25 @@ def _repair(pages: pa.Array, raw: pa.Array, limited: pa.Array) -> pa.Array:
     return pa.array([repair_page(*row) for row in settings], pa.string())
 
 
+_BOTH = StructType([StructField("document", StringType()), StructField("raw_document", StringType())])
+
+
+@F.arrow_udf(_BOTH)
+def _repair_both(pages: pa.Array, limited: pa.Array) -> pa.Array:
+    made = [repair_both(*row) for row in zip(pages.to_pylist(), limited.to_pylist(), strict=True)]
+    return pa.StructArray.from_arrays([pa.array([m[n] for m in made], pa.string()) for n in (0, 1)], ["document", "raw_document"])
+
+
+def with_document(rows: DataFrame, raw: bool, html: str = "html") -> DataFrame:
+    """Adds ``document``, with ``raw`` also ``raw_document``, and ``cut``; every row's page is read once."""
+    if not raw:
+        made = rows.withColumn("document", repair(html))
+    else:
+        limited = not raise_xml_limits(rows.sparkSession)
+        made = rows.withColumn("_both", _repair_both(html, F.lit(limited))).select(*rows.columns, "_both.*")
+    return made.withColumn("cut", is_cut("document"))
+
+
 def repair(html: Column | str, keep_raw_text: bool = False) -> Column:
     """Well-formed document for Spark's ``xpath*`` functions."""
     spark = SparkSession.getActiveSession()

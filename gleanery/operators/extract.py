@@ -6,9 +6,10 @@ Two ways to pair them:
   joined to the newest capture of that URL;
 * ``by_page``: every page is read with all steps of the site it belongs to.
 
-Both produce *visits*: one row per document with the steps to answer on it. A visit is
-repaired once, all its selectors run as a few constant XPath calls on the JVM, and the
-outcome of every step is computed inside the row with array functions. In ``by_page``
+Both produce *visits*: one row per document with the steps to answer on it. A page meets
+its visits as a list and is repaired once for all of them; the selectors of a visit run as a
+few constant XPath calls on the JVM, and the outcome of every step is computed inside the row
+with array functions. In ``by_page``
 mode nothing is shuffled between the scan and the finished record, so the same plan
 serves a stream.
 """
@@ -17,12 +18,13 @@ from __future__ import annotations
 
 from functools import reduce
 from typing import NamedTuple
+from uuid import uuid4
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from gleanery.functions import urls, xpath as xp
-from gleanery.functions.html import is_cut, repair
-from gleanery.session import BROADCAST_MAX_BYTES, BROADCAST_MAX_ROWS, durable
+from gleanery.functions.html import repair, with_document
+from gleanery.session import BROADCAST_MAX_BYTES, BROADCAST_MAX_ROWS, broadcast_if_small, durable, shared_dir
 from gleanery.sources import pages as page_source
 from gleanery.sources.specs import (
     DEFAULT_FRAME_EXIT,
@@ -458,6 +460,26 @@ def _outcome(s: Column, row_url: Column, nav: Column, visibility: str, unsupport
     )
 
 
+def _reads_raw(templates: dict[int, list[xp.Probe]]) -> bool:
+    return any(xp._reads_raw_text(probe) for probes in templates.values() for probe in probes)
+
+
+def _dealt(rows: DataFrame, parts: list[list[int]]) -> list[DataFrame]:
+    """The rows of each part of the templates.
+
+    Rows with their documents are written once, dealt by part, and every part reads its own; on a stream, which
+    cannot be written here, each part filters.
+    """
+    if rows.isStreaming:
+        return [rows.where(F.col("template").isin(part)) for part in parts]
+    spark = rows.sparkSession
+    known = spark.createDataFrame([(name, n) for n, part in enumerate(parts) for name in part], "template bigint, part int")
+    folder = f"{shared_dir(spark)}/documents-{uuid4().hex}"
+    rows.join(broadcast_if_small(known), "template").write.partitionBy("part").parquet(folder)
+    schema = T.StructType([*rows.schema.fields, T.StructField("part", T.IntegerType())])
+    return [spark.read.schema(schema).parquet(folder).where(F.col("part") == n).drop("part") for n in range(len(parts))]
+
+
 def _evaluate(
     rows: DataFrame,
     templates: dict[int, list[xp.Probe]],
@@ -470,20 +492,13 @@ def _evaluate(
     if len(names) > TEMPLATES_PER_PASS:
         parts = [names[n : n + TEMPLATES_PER_PASS] for n in range(0, len(names), TEMPLATES_PER_PASS)]
         answered = [
-            _evaluate(
-                rows.where(F.col("template").isin(part)),
-                {name: templates[name] for name in part},
-                keys,
-                visibility,
-                unsupported,
-            )
-            for part in parts
+            _evaluate(mine, {name: templates[name] for name in part}, keys, visibility, unsupported)
+            for part, mine in zip(parts, _dealt(rows, parts), strict=True)
         ]
         return reduce(DataFrame.unionByName, answered)
-    repaired = rows.withColumn("document", repair("html")).withColumn("cut", is_cut("document"))
-    if any(xp._reads_raw_text(probe) for probes in templates.values() for probe in probes):
-        repaired = repaired.withColumn("raw_document", repair("html", keep_raw_text=True))
-    valued = _values(repaired, templates, "document", "doc_url")
+    if "document" not in rows.columns:
+        rows = with_document(rows, _reads_raw(templates))
+    valued = _values(rows, templates, "document", "doc_url")
     outcomes = F.transform(
         "steps", lambda s: _outcome(s, F.col("visit_url"), F.col("nav_error"), visibility, unsupported)
     )
@@ -569,11 +584,14 @@ def _descend(rows: DataFrame, visits: DataFrame, pages: DataFrame) -> DataFrame:
 
 
 def _with_frames(rows: DataFrame, compiled: Compiled, pages: DataFrame) -> DataFrame:
-    """Enter frames only for the visits that have any."""
+    """Enter frames only for the visits that have any; the others keep the document their page was read into."""
     if not compiled.framed:
         return rows.drop("chain")
+    read = [c for c in ("document", "raw_document", "cut") if c in rows.columns]
     flat = rows.where(F.size("chain") == 0).drop("chain")
-    framed = _descend(rows.where(F.size("chain") > 0), compiled.visits, pages).drop("chain")
+    framed = _descend(rows.where(F.size("chain") > 0).drop(*read), compiled.visits, pages).drop("chain")
+    if read:
+        framed = with_document(framed, "raw_document" in read)
     return flat.unionByName(framed)
 
 
@@ -585,6 +603,9 @@ def _first_frame() -> Column:
 
 _RUN_KEYS = ["spec_id", "site"]
 _PAGE_KEYS = ["spec_id", "site", "page_id"]
+_VISIT = ["spec_id", "site", "steps", "probes", "template", "chain"]
+# visits that a page carries at a time: with more, it is read into a document once more
+VISITS_PER_READ = 256
 
 
 def outcomes_by_target(
@@ -602,17 +623,8 @@ def outcomes_by_target(
     paired = visits.join(page_source.latest_ids(pages, wanted), "norm_url", "left").persist()
     found = paired.where(F.col("page_id").isNotNull())
     keys = page_source.capture_keys(pages)
-    rows = page_source.on_captures(pages.select(*keys, "html"), compiled.for_join(found), keys).select(
-        *_RUN_KEYS,
-        F.col("norm_url").alias("visit_url"),
-        F.col("norm_url").alias("doc_url"),
-        "html",
-        F.lit(None).cast("string").alias("nav_error"),
-        "steps",
-        "probes",
-        "template",
-        "chain",
-    )
+    listed = compiled.for_join(_bundled(found.withColumnRenamed("norm_url", "visit_url"), [*keys, "visit_url"]))
+    rows = _read_once(page_source.on_captures(pages.select(*keys, "html"), listed, keys), compiled, [])
     answered = _evaluate(
         _with_frames(rows, compiled, pages), compiled.templates, _RUN_KEYS, visibility, unsupported
     )
@@ -623,6 +635,7 @@ def outcomes_by_target(
         F.transform("steps", lambda s: s.withField("frame_desc", _first_frame())).alias("steps"),
         "probes",
         F.array().cast(_VALUE).alias("found"),
+        F.lit(False).alias("cut"),
     )
     empty = absent.select(
         *_RUN_KEYS,
@@ -637,6 +650,32 @@ def outcomes_by_target(
     )
 
 
+def _bundled(visits: DataFrame, by: list[str]) -> DataFrame:
+    """The visits of a page, or of a join key, as lists of at most ``VISITS_PER_READ``."""
+    place = F.row_number().over(Window.partitionBy(*by).orderBy("spec_id", "template"))
+    dealt = visits.withColumn("bundle", place).withColumn("bundle", F.expr(f"(bundle - 1) div {VISITS_PER_READ}"))
+    return dealt.groupBy(*by, "bundle").agg(F.collect_list(F.struct(*_VISIT)).alias("visits")).drop("bundle")
+
+
+def _read_once(paired: DataFrame, compiled: Compiled, keys: list[str]) -> DataFrame:
+    """Pages with their lists of visits -> one row per visit: a page is read into a document before it meets them."""
+    read = with_document(paired, _reads_raw(compiled.templates))
+    kept = [c for c in ("document", "raw_document", "cut") if c in read.columns] + (["html"] if compiled.framed else [])
+    return read.select(*keys, "visit_url", *kept, F.inline("visits")).select(
+        *keys,
+        "spec_id",
+        "site",
+        "visit_url",
+        F.col("visit_url").alias("doc_url"),
+        *kept,
+        F.lit(None).cast("string").alias("nav_error"),
+        "steps",
+        "probes",
+        "template",
+        "chain",
+    )
+
+
 def _by_step(a: Column, b: Column) -> Column:
     return (a["step_ord"] - b["step_ord"]).cast("int")
 
@@ -664,27 +703,15 @@ def outcomes_by_page(
         visits = visits.withColumn("join_key", F.col("site"))
         key = page_site
     if compiled.small:
-        paired = pages.select("page_id", "url", "html", key.alias("join_key")).join(F.broadcast(visits), "join_key")
+        attached = F.broadcast(_bundled(visits, ["join_key"]))
+        paired = pages.select("page_id", "url", "html", key.alias("join_key")).join(attached, "join_key")
     else:
         # keys are paired first, so that the bodies of a busy host are dealt by their own ids
         ids = page_source.capture_keys(pages)
-        wanted = pages.select(*ids, key.alias("join_key")).join(visits, "join_key").drop("join_key")
-        paired = page_source.on_captures(pages.select(*ids, "url", "html"), wanted, ids)
-    rows = (
-        paired
-        .withColumn("visit_url", F.coalesce(urls.normalize("url"), F.col("url")))
-        .select(
-            *_PAGE_KEYS,
-            "visit_url",
-            F.col("visit_url").alias("doc_url"),
-            "html",
-            F.lit(None).cast("string").alias("nav_error"),
-            "steps",
-            "probes",
-            "template",
-            "chain",
-        )
-    )
+        wanted = pages.select(*ids, key.alias("join_key")).join(visits, "join_key")
+        paired = page_source.on_captures(pages.select(*ids, "url", "html"), _bundled(wanted, ids), ids)
+    paired = paired.withColumn("visit_url", F.coalesce(urls.normalize("url"), F.col("url")))
+    rows = _read_once(paired, compiled, ["page_id"])
     source = _with_frames(rows, compiled, pages)
     answered = _evaluate(source, compiled.templates, _PAGE_KEYS, visibility, unsupported)
     if not compiled.framed:

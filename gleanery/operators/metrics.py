@@ -21,6 +21,21 @@ HISTOGRAMS = {
     "page_load_duration_seconds": (("site",), (0.5, 1, 2, 5, 10, 30)),
 }
 GAUGES = {"active_sessions": (), "circuit_breaker_failure_rate": ("site",), "memory_usage_bytes": ()}
+HELP = {
+    "scrapes_total": "Total number of scrape attempts",
+    "login_attempts_total": "Total login attempts",
+    "steps_executed_total": "Total steps executed",
+    "fields_extracted_total": "Total fields extracted",
+    "retries_total": "Total retry attempts",
+    "circuit_breaker_state_changes_total": "Circuit breaker state transitions",
+    "scrape_duration_seconds": "Time spent scraping site",
+    "step_duration_seconds": "Time spent on step",
+    "wait_duration_seconds": "Explicit wait durations",
+    "page_load_duration_seconds": "Page load times",
+    "active_sessions": "Current active WebDriver sessions",
+    "circuit_breaker_failure_rate": "Current failure rate for circuit breaker",
+    "memory_usage_bytes": "Current memory usage",
+}
 WAIT_TYPES = ("frame_switch", "presence", "visibility", "clickable", "url_contains")
 LEGACY_STEP = "current"
 
@@ -204,6 +219,38 @@ def histogram_lines(df: DataFrame, name: str, labels: tuple[str, ...], prefix: s
     return df.select(F.lit(full).alias("metric"), F.explode(extra).alias("value"))
 
 
+def current(samples: DataFrame, labels: tuple[str, ...], value: str, *order: str) -> DataFrame:
+    """The last value of a gauge per label set; without labels the last of all, 0 if there is none."""
+    last = F.max_by(F.col(value).cast("double"), F.struct(*order)).alias("value")
+    if labels:
+        return samples.groupBy(*labels).agg(last)
+    return samples.agg(F.coalesce(last, F.lit(0.0)).alias("value"))
+
+
+def page(families: dict[str, DataFrame]) -> DataFrame:
+    """A whole page of metrics: ``(metric, part, value)``, families by name with their help and type lines first.
+
+    A family is the output of a counter, gauge or histogram operator; ``part`` orders the lines of a family as far
+    as the format does: help, type, samples.
+    """
+    out = None
+    for name, rows in families.items():
+        if name in HISTOGRAMS:
+            kind, lines = "histogram", histogram_lines(rows, name, HISTOGRAMS[name][0])
+        else:
+            kind = "counter" if name in COUNTERS else "gauge"
+            lines = counter_lines(rows, name, COUNTERS.get(name, GAUGES.get(name)))
+        full = PREFIX + name
+        head = F.array(
+            F.struct(F.lit(0).alias("part"), F.lit(f"# HELP {full} {HELP[name]}").alias("value")),
+            F.struct(F.lit(1).alias("part"), F.lit(f"# TYPE {full} {kind}").alias("value")),
+        )
+        heads = rows.sparkSession.range(1).select(F.lit(full).alias("metric"), F.inline(head))
+        part = heads.unionByName(lines.withColumn("part", F.lit(2)))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def exposition(parts: list[DataFrame]) -> DataFrame:
     out = parts[0]
     for part in parts[1:]:

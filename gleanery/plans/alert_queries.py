@@ -263,6 +263,51 @@ from held where outcome = 'fired'
 """
 
 
+def alert_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every rule says about the alerts that fired under it."""
+    parts = [(rule, run(spark, sf_dir)) for rule, run in _RULE_QUERIES.items()]
+    fired = None
+    for rule, found in parts:
+        site = F.col("site") if "site" in found.columns else F.lit("")
+        part = found.where("outcome = 'fired'").select(F.lit(rule).alias("alertname"), site.alias("site"), "firing_at", F.col("value").cast("double"))
+        fired = part if fired is None else fired.unionByName(part)
+    return A.annotate(fired).select("alertname", "site", "firing_at", "severity", "component", "summary", "description")
+
+
+_RULE_QUERIES = {
+    "HighScrapeFailureRate": alert_failure_rate,
+    "CircuitBreakerOpen": alert_breaker_open,
+    "SlowScrapeLatency": alert_latency,
+    "HighMemoryUsage": alert_memory,
+    "TooManyActiveSessions": alert_sessions,
+}
+
+
+def _digits_sql(value: str) -> str:
+    """Four significant digits without trailing zeros."""
+    return f"regexp_replace(round({value}, (3 - floor(log10({value})))::int)::varchar, '\\.?0*$', '')"
+
+
+_PLAIN = "regexp_replace(value::varchar, '\\.0$', '')"
+ALERT_NOTES = f"""
+select 'HighScrapeFailureRate' as alertname, site, firing_at, 'warning' as severity, 'scraper' as component,
+  'High scrape failure rate for ' || site as summary, 'Failure rate is ' || {_digits_sql('value * 100')} || '% for site ' || site as description
+from ({ALERT_FAILURE_RATE}) where outcome = 'fired'
+union all
+select 'CircuitBreakerOpen', site, firing_at, 'critical', 'circuit-breaker', 'Circuit breaker opened for ' || site,
+  'Circuit breaker has opened for site ' || site || ', indicating persistent failures' from ({ALERT_BREAKER_OPEN}) where outcome = 'fired'
+union all
+select 'SlowScrapeLatency', site, firing_at, 'warning', 'performance', 'Slow scrape latency for ' || site,
+  '95th percentile scrape duration is ' || {_PLAIN} || 's for site ' || site from ({ALERT_LATENCY}) where outcome = 'fired'
+union all
+select 'HighMemoryUsage', site, firing_at, 'warning', 'resources', 'High memory usage detected',
+  'Memory usage is ' || {_digits_sql('value / 1e9')} || 'GB' from ({ALERT_MEMORY}) where outcome = 'fired'
+union all
+select 'TooManyActiveSessions', '', firing_at, 'warning', 'resources', 'Too many active WebDriver sessions',
+  {_PLAIN} || ' active sessions detected' from ({ALERT_SESSIONS}) where outcome = 'fired'
+"""
+
+
 def counter_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A sampled counter per site: the event number, starting over every thousand."""
     samples = V.attempts(spark, sf_dir).select("id", "site", "ts", F.pmod("id", F.lit(1000)).cast("double").alias("value"))
@@ -290,5 +335,6 @@ QUERIES = {
     "retry_rate_windowed": (retry_rate_windowed, RETRY_RATE_WINDOWED),
     "transition_panel": (transition_panel, TRANSITION_PANEL),
     "alert_annotations": (alert_annotations, ALERT_ANNOTATIONS),
+    "alert_notes": (alert_notes, ALERT_NOTES),
     "counter_rate": (counter_rate, COUNTER_RATE),
 }

@@ -198,6 +198,70 @@ union all select metric, metric || '_count{{site="' || site || '"}} ' || count |
 union all select metric, metric || '_sum{{site="' || site || '"}} ' || round(sum, 2)::double from t where le = '+Inf'
 """
 
+def _memory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A gauge that follows the events: their value in kilobytes."""
+    return V.attempts(spark, sf_dir).select(F.unix_micros("ts").alias("us"), "id", (F.col("duration_sec") * 1000).alias("value"))
+
+
+def metrics_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All counters, histograms and gauges as one page of text; sums and shares are rounded like stored samples."""
+    rounded = lambda df, digits, *names: df.withColumns({c: F.round(c, digits) for c in names})
+    failures = R.failure_rate_gauge(Q._replayed(spark, sf_dir)).withColumnRenamed("failure_rate", "value")
+    active = M.current(M.active(_sessions(spark, sf_dir)), (), "active", "at_us")
+    return M.page({
+        "scrapes_total": scrapes_total(spark, sf_dir),
+        "login_attempts_total": login_attempts_total(spark, sf_dir),
+        "steps_executed_total": steps_total(spark, sf_dir),
+        "fields_extracted_total": fields_total(spark, sf_dir),
+        "retries_total": retries_total(spark, sf_dir),
+        "circuit_breaker_state_changes_total": Q.transition_counts(spark, sf_dir).withColumnRenamed("transitions", "value"),
+        "scrape_duration_seconds": rounded(scrape_histogram(spark, sf_dir), 2, "sum"),
+        "step_duration_seconds": rounded(step_histogram(spark, sf_dir), 2, "sum"),
+        "wait_duration_seconds": rounded(wait_histogram(spark, sf_dir), 2, "sum"),
+        "page_load_duration_seconds": rounded(page_load_histogram(spark, sf_dir), 2, "sum"),
+        "active_sessions": active,
+        "circuit_breaker_failure_rate": rounded(failures, 4, "value"),
+        "memory_usage_bytes": rounded(M.current(_memory(spark, sf_dir), (), "value", "us", "id"), 2, "value"),
+    })
+
+
+def _label_sql(labels: tuple[str, ...], le: bool = False) -> str:
+    parts = [f"""'{c}="' || {c} || '"'""" for c in labels] + (["""'le="' || le || '"'"""] if le else [])
+    return "'{' || " + " || ',' || ".join(parts) + " || '}'" if parts else "''"
+
+
+def _family_sql(name: str, sql: str, value: str = "value || '.0'") -> str:
+    """Lines of one family from the SQL of its rows."""
+    full, kind = M.PREFIX + name, "histogram" if name in M.HISTOGRAMS else "counter" if name in M.COUNTERS else "gauge"
+    head = f"select '{full}' as metric, 0 as part, '# HELP {full} {M.HELP[name]}' as value union all select '{full}', 1, '# TYPE {full} {kind}'"
+    if kind != "histogram":
+        labels = M.COUNTERS.get(name, M.GAUGES.get(name))
+        return f"{head} union all select '{full}', 2, '{full}' || {_label_sql(labels)} || ' ' || {value} from ({sql})"
+    labels = M.HISTOGRAMS[name][0]
+    last = "where le = '+Inf'"
+    return f"""{head}
+      union all select '{full}', 2, '{full}_bucket' || {_label_sql(labels, True)} || ' ' || value || '.0' from ({sql})
+      union all select '{full}', 2, '{full}_count' || {_label_sql(labels)} || ' ' || count || '.0' from ({sql}) {last}
+      union all select '{full}', 2, '{full}_sum' || {_label_sql(labels)} || ' ' || round(sum, 2)::double from ({sql}) {last}"""
+
+
+_MEMORY = f"with {_ATT} select round(arg_max(duration_sec * 1000, (us, id)), 2)::double as value from att"
+METRICS_PAGE = " union all ".join([
+    _family_sql("scrapes_total", SCRAPES_TOTAL),
+    _family_sql("login_attempts_total", LOGIN_ATTEMPTS_TOTAL),
+    _family_sql("steps_executed_total", STEPS_TOTAL),
+    _family_sql("fields_extracted_total", FIELDS_TOTAL),
+    _family_sql("retries_total", RETRIES_TOTAL),
+    _family_sql("circuit_breaker_state_changes_total", Q.TRANSITION_COUNTS, "transitions || '.0'"),
+    _family_sql("scrape_duration_seconds", SCRAPE_HISTOGRAM),
+    _family_sql("step_duration_seconds", STEP_HISTOGRAM),
+    _family_sql("wait_duration_seconds", WAIT_HISTOGRAM),
+    _family_sql("page_load_duration_seconds", PAGE_LOAD_HISTOGRAM),
+    _family_sql("active_sessions", f"{ACTIVE} select arg_max(active, at_us) as value from gauge"),
+    _family_sql("circuit_breaker_failure_rate", Q.BREAKER_FAILURE_RATE, "round(failure_rate, 4)::double"),
+    _family_sql("memory_usage_bytes", _MEMORY, "value"),
+])
+
 QUERIES = {
     "scrapes_total": (scrapes_total, SCRAPES_TOTAL),
     "login_attempts_total": (login_attempts_total, LOGIN_ATTEMPTS_TOTAL),
@@ -213,5 +277,6 @@ QUERIES = {
     "peak_concurrency": (peak_concurrency, PEAK_CONCURRENCY),
     "failure_ratio": (failure_ratio, FAILURE_RATIO),
     "duration_stats": (duration_stats, DURATION_STATS),
+    "metrics_page": (metrics_page, METRICS_PAGE),
     "metrics_exposition": (metrics_exposition, METRICS_EXPOSITION),
 }
