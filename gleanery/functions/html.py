@@ -405,9 +405,15 @@ def is_cut(document: Column | str) -> Column:
 
 
 def register(spark: SparkSession) -> None:
-    """``repair_html(html)`` for SQL, to be combined with ``xpath_string`` and its relatives."""
+    """For SQL, to be combined with ``xpath_string`` and its relatives: ``repair_html(html)``, and the table function
+    ``repaired(html)``, used with LATERAL, which also says what was cut and how many elements the document has."""
     limited = str(not raise_xml_limits(spark)).lower()
     spark.udf.register("repair_html_as", _repair)
     spark.sql(
         f"CREATE OR REPLACE TEMPORARY FUNCTION repair_html(html STRING) RETURNS STRING RETURN repair_html_as(html, false, {limited})"
     )
+    spark.sql(
+        "CREATE OR REPLACE TEMPORARY FUNCTION repaired(html STRING) RETURNS TABLE(document STRING, cut BOOLEAN, n_elements INT)"
+        f" RETURN SELECT d, contains(regexp_extract(d, '^<html[^>]*>', 0), ' {CUT_MARK}=\"1\">'), regexp_count(d, '<[a-z_]')"
+        f" FROM (SELECT repair_html_as(html, false, {limited}) AS d)"
+    )
