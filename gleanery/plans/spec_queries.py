@@ -65,6 +65,35 @@ with {_V} select rule, spec_id, step, field, detail from
 """
 
 
+_NO = "cast(null as string)"
+_GATE_LOGIN = f"""case when page_id % 4 = 0 then named_struct('url', '', 'username_xpath', '//u', 'password_xpath', '//p', 'submit_xpath', '//s',
+  'username_env', 'U', 'password_env', 'P', 'post_login_wait_xpath', {_NO}, 'post_login_url_contains', {_NO}) end"""
+_GATE_STEP = f"""array(named_struct('name', 'one', 'goto_url', url, 'click_xpath', case when page_id % 5 = 1 then '//b[' when page_id % 5 = 2 then '//b' end,
+  'wait_xpath', {_NO}, 'wait_url_contains', {_NO}, 'execute_js', {_NO},
+  'fields', array(named_struct('name', 'h1', 'xpath', '//h1', 'attribute', {_NO})),
+  'frames', if(page_id % 6 = 2, array(named_struct('xpath', {_NO}, 'css', {_NO}, 'index', cast(null as int), 'name', {_NO})),
+    cast(array() as array<struct<xpath:string,css:string,index:int,name:string>>)),
+  'frame_exit', 'parent'))"""
+
+
+def spec_gate_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One spec per page: logins without a URL, frames without a selector, click paths that do not compile."""
+    made = V.table(spark, sf_dir, "pages").select(
+        F.format_string("spec_%d", "page_id").alias("spec_id"), F.format_string("site_%d", "page_id").alias("name"), F.lit("").alias("base_url"),
+        F.expr(_GATE_LOGIN).alias("login"), F.expr(_GATE_STEP).alias("steps"), F.lit(20).alias("wait_timeout_sec"),
+        F.lit(30).alias("page_load_timeout_sec"), F.lit(None).cast("string").alias("artifact_dir"), F.lit(None).cast("boolean").alias("capture_enabled"),
+    )
+    return validation.violations(made).select("rule", "spec_id", "step", "detail")
+
+
+SPEC_GATE_VIOLATIONS = """
+select 'V3' as rule, 'spec_' || page_id as spec_id, null as step, 'login.url' as detail from pages where page_id % 4 = 0
+union all select 'V14', 'spec_' || page_id, null, '' from pages where page_id % 4 = 0
+union all select 'V15', 'spec_' || page_id, 'one', '//b[' from pages where page_id % 5 = 1
+union all select 'V5', 'spec_' || page_id, 'one', 'no selector' from pages where page_id % 6 = 2
+"""
+
+
 def spec_rule_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = validation.violations(V.derived_specs(spark, sf_dir))
     return found.groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
@@ -227,6 +256,7 @@ from targets left join (select url, max(page_id) page_id from pages group by url
 QUERIES = {
     "spec_violations": (spec_violations, SPEC_VIOLATIONS),
     "spec_first_violation": (spec_first_violation, SPEC_FIRST_VIOLATION),
+    "spec_gate_violations": (spec_gate_violations, SPEC_GATE_VIOLATIONS),
     "spec_rule_counts": (spec_rule_counts, SPEC_RULE_COUNTS),
     "spec_clean": (spec_clean, SPEC_CLEAN),
     "spec_rollup": (spec_rollup, SPEC_ROLLUP),
