@@ -10,8 +10,8 @@ bound at which all registers of a text are expected to be full, and further wher
 Texts that share all registers of a band are candidates. Every bucket is compared with its most central
 member, pairs are verified by the overlap of their multisets, and links are joined to components. Where members
 of one bucket are then still in different components, pairs across them are compared too, by signature first and
-in blocks, once: blocks hold signatures only and leave likely pairs. At first each member's likeliest are verified,
-which joins most, then all that still lie across components, so that no link between different texts that share a
+in blocks: blocks hold signatures only and leave likely pairs. At first each member's likeliest are verified, which
+joins most, then all that still lie across components, so that no link between different texts that share a
 band is lost. Multisets move once per cell of likely pairs, and no pair is verified twice. Texts with equal
 multisets are one node throughout.
 
@@ -29,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from gleanery.llm import words
 from gleanery.llm.stars import components
@@ -40,7 +40,8 @@ BAND_ROWS = 5
 BANDS = REGISTERS // BAND_ROWS
 THRESHOLD = 0.8
 LIKELY = 0.62
-BLOCK = 512
+#: members of a bucket that a side of a cell holds, by their signatures
+BLOCK = 4_096
 #: each member's likeliest partners across components that are tried before all others
 PARTNERS = 3
 #: bytes of multisets that a side of a cell of pairs is meant to hold
@@ -256,11 +257,11 @@ def _cells(shared: DataFrame, roots: DataFrame, nodes: DataFrame) -> DataFrame:
     return durable(owned.join(mixed, "bucket").join(nodes.select("digest", "signature"), "digest"))
 
 
-def _across(met: DataFrame, least: float) -> DataFrame:
-    """Pairs (a, b, agree) of one bucket, in different components, whose signatures agree in a share of the registers.
+def _across(met: DataFrame, least: float, most: int | None) -> DataFrame:
+    """Pairs (a, b) of one bucket, in different components, whose signatures agree in a share of the registers.
 
     Members outside a bucket's largest component meet all its members of other components, in blocks, and a pair
-    only in the first band that both share. Only signatures move.
+    only in the first band that both share; with ``most`` each keeps its likeliest few of a cell. Only signatures move.
     """
     deal = lambda n: F.pmod(F.xxhash64("digest"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
@@ -270,7 +271,7 @@ def _across(met: DataFrame, least: float) -> DataFrame:
     members = members.withColumn("minor_block", every("minor_blocks"))
 
     def compare(few: pd.DataFrame, many: pd.DataFrame) -> pd.DataFrame:
-        names, others, agreed = [], [], []
+        names, others = [], []
         if len(few) and len(many):
             marks = np.frombuffer(b"".join(many["m_signature"]), np.uint32).reshape(len(many), -1)
             their, roots_, main_ = (many[f"m_{c}"].to_numpy() for c in ("digest", "root", "main"))
@@ -281,28 +282,22 @@ def _across(met: DataFrame, least: float) -> DataFrame:
                 agree = same.mean(axis=1)
                 near = np.flatnonzero(agree >= least)
                 # two members outside the largest component meet once
-                near = near[(roots_[near] != root) & (main_[near] | (their[near] > name))]
+                near = near[(roots_[near] != root) & (main_[near] | (their[near] > name) | bool(most))]
                 if band and len(near):
                     earlier = same[near, : band * BAND_ROWS].reshape(len(near), band, BAND_ROWS)
                     near = near[~earlier.all(axis=2).any(axis=1)]
+                if most:
+                    near = near[np.lexsort((their[near], -agree[near]))[:most]]
                 names += [name] * len(near)
                 others += their[near].tolist()
-                agreed += agree[near].tolist()
-        return pd.DataFrame({"a": names, "b": others, "agree": pd.Series(agreed, dtype="float64")})
+        return pd.DataFrame({"a": names, "b": others})
 
     cell = ("bucket", "minor_block", "member_block")
     # both sides come from one table: new names keep their columns apart
     members = members.select(*[F.col(c).alias(f"m_{c}") for c in (*columns, "main")])
     grouped = members.groupBy(*[f"m_{c}" for c in cell])
-    return minors.select(*columns).groupBy(*cell).cogroup(grouped).applyInPandas(compare, "a binary, b binary, agree double")
-
-
-def _open(likely: DataFrame, roots: DataFrame) -> DataFrame:
-    """The pairs whose ends are in different components."""
-    for side in ("a", "b"):
-        owned = roots.select(F.col("node").alias(side), F.col("root").alias(f"{side}_root"))
-        likely = likely.join(owned, side, "left").withColumn(f"{side}_root", F.coalesce(f"{side}_root", side))
-    return likely.where("a_root <> b_root").drop("a_root", "b_root")
+    pairs = minors.select(*columns).groupBy(*cell).cogroup(grouped).applyInPandas(compare, "a binary, b binary")
+    return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -322,24 +317,20 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold:
     ranked = shared.join(central, "digest")
     heads = ranked.groupBy("bucket").agg(F.max(F.struct("score", "digest")).alias("top")).select("bucket", F.col("top.digest").alias("a"))
     stars = shared.join(heads, "bucket").where(F.col("a") != F.col("digest")).select("a", F.col("digest").alias("b")).distinct()
-    links = _verified(_likely(stars, nodes, LIKELY), rows, found, threshold).select("a", "b")
+    tested = durable(_likely(stars, nodes, LIKELY))
+    links = _verified(tested, rows, found, threshold).select("a", "b")
     roots = components(links)
     # pairs across the components of a bucket: first each member's likeliest, which join nearly all that belong
     # together, then all that still lie across
-    left = durable(_across(_cells(shared, roots, nodes), LIKELY))
     for most in (PARTNERS, None):
-        left = durable(_open(left, roots))
-        if left.isEmpty():
+        likely = durable(_across(_cells(shared, roots, nodes), LIKELY, most))
+        if likely.isEmpty():
             break
-        now = left
-        if most:
-            ends = F.array(F.struct(F.col("a").alias("own"), F.col("b").alias("other")), F.struct(F.col("b").alias("own"), F.col("a").alias("other")))
-            rank = F.row_number().over(Window.partitionBy("own").orderBy(F.desc("agree"), "other"))
-            now = left.select("agree", "a", "b", F.inline(ends)).withColumn("rank", rank).where(F.col("rank") <= most)
-            now = durable(now.select("a", "b").distinct())
-        links = links.union(_verified(now.select("a", "b"), rows, found, threshold).select("a", "b"))
-        roots = components(links)
-        left = left.join(now.select("a", "b"), ["a", "b"], "left_anti")
+        fresh = durable(likely.join(tested, ["a", "b"], "left_anti"))
+        if not fresh.isEmpty():
+            tested = tested.union(fresh)
+            links = links.union(_verified(fresh, rows, found, threshold).select("a", "b"))
+            roots = components(links)
     member = F.struct(F.col("key").isNull().alias("none"), "key", "tag")
     owned = found.join(roots, F.col("digest") == F.col("node"), "left").select(
         "key", "tag", "weight", F.coalesce("root", "digest").alias("root")
