@@ -2,7 +2,8 @@
 
 A job's attempts are kept until the watermark has passed them and are then numbered, so the rows are those of the
 batch ``retry_plan``. A job that is silent for longer than ``ttl_sec`` of event time is forgotten; a later attempt
-under its name is the first of a new job.
+under its name is the first of a new job. Jobs are many and short: they are kept in ``BUCKETS`` buckets by their
+hash, a state key each, whose rows and counters are packed.
 """
 
 from __future__ import annotations
@@ -10,56 +11,75 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from gleanery.operators import reliability as rel
+from gleanery.streaming.packed import STATE, pack, unpack
 from gleanery.streaming.stateful import WATERMARK, _timer, use_rocksdb
 
 TTL_SEC = 86_400
+BUCKETS = 512
 
 
 class _Attempts(StatefulProcessor):
-    """Numbers a job's attempts."""
+    """Numbers the attempts of the jobs of one bucket."""
 
-    def __init__(self, ttl_us: int, names: list[str]) -> None:
-        self.ttl_us, self.names = ttl_us, names
+    def __init__(self, ttl_us: int, job: tuple[str, ...]) -> None:
+        self.ttl_us, self.job = ttl_us, list(job)
+        self.names = [*job, "id", "ts", "ok", "exception_type", "attempt"]
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.count = handle.getValueState("count", "n int, seen bigint")
-        self.buffer = handle.getListState("buffer", "t_us bigint, id bigint, ok boolean, exception_type string")
+        listed = [(name, pa.string()) for name in self.job]
+        self.held = pa.schema([*listed, ("t_us", pa.int64()), ("id", pa.int64()), ("ok", pa.bool_()), ("exception_type", pa.string())])
+        self.counted = pa.schema([*listed, ("n", pa.int32()), ("seen", pa.int64())])
+        self.counts = handle.getValueState("counts", STATE)
+        self.buffer = handle.getListState("buffer", STATE)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        columns = ("t_us", "id", "ok", "exception_type")
-        added = [row for batch in rows for row in zip(*(batch[c].tolist() for c in columns), strict=True)]
-        if added:
-            self.buffer.appendList(added)
-            self.handle.registerTimer(_timer(min(row[0] for row in added)))
+        first = None
+        for batch in rows:
+            if len(batch):
+                self.buffer.appendValue(pack(batch[self.held.names], self.held))
+                earliest = int(batch["t_us"].min())
+                first = earliest if first is None else min(first, earliest)
+        if first is not None:
+            self.handle.registerTimer(_timer(first))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         watermark_us = timerValues.getCurrentWatermarkInMs() * 1000
-        held = sorted(((int(t), int(i), bool(ok), kind) for t, i, ok, kind in self.buffer.get()), key=lambda row: row[:2])
-        ready = [row for row in held if row[0] <= watermark_us]
-        rest = held[len(ready) :]
-        n, seen = self.count.get() if self.count.exists() else (0, None)
-        out = []
-        for t, number, ok, kind in ready:
-            n = 1 if seen is not None and t - seen > self.ttl_us else n + 1
-            seen = t
-            out.append((*key, number, pd.Timestamp(t, unit="us", tz="UTC"), ok, kind, n))
-        if ready:
-            self.buffer.put(rest) if rest else self.buffer.clear()
-        if rest:
-            self.handle.registerTimer(_timer(rest[0][0]))
-        if seen is not None and not rest and watermark_us > seen + self.ttl_us:
-            self.count.clear()
-        elif seen is not None:
-            self.count.update((n, seen))
-            self.handle.registerTimer(_timer(seen + self.ttl_us) + 1)
-        if out:
-            yield pd.DataFrame(out, columns=self.names)
+        held = unpack(self.buffer.get(), self.held).sort_by([("t_us", "ascending"), ("id", "ascending")])
+        n_ready = sum(1 for t in held["t_us"].to_pylist() if t <= watermark_us)
+        ready, rest = held.slice(0, n_ready).to_pydict(), held.slice(n_ready)
+        before = unpack([self.counts.get()] if self.counts.exists() else [], self.counted).to_pydict()
+        counts = dict(zip(zip(*(before[c] for c in self.job)), zip(before["n"], before["seen"], strict=True), strict=True))
+        numbers = []
+        for one, t in zip(zip(*(ready[c] for c in self.job)), ready["t_us"], strict=True):
+            n, seen = counts.get(one, (0, t))
+            n = 1 if t - seen > self.ttl_us else n + 1
+            counts[one] = (n, t)
+            numbers.append(n)
+        if numbers:
+            if rest.num_rows:
+                self.buffer.put([pack(rest.to_pandas(), self.held)])
+            else:
+                self.buffer.clear()
+        if rest.num_rows:
+            self.handle.registerTimer(_timer(rest["t_us"][0].as_py()))
+        # whatever may still come is too late to go on with a job that is silent for so long
+        kept = [(*one, n, seen) for one, (n, seen) in counts.items() if watermark_us <= seen + self.ttl_us]
+        if kept:
+            self.counts.update(pack(pd.DataFrame(kept, columns=self.counted.names), self.counted))
+            self.handle.registerTimer(_timer(max(row[-1] for row in kept) + self.ttl_us) + 1)
+        else:
+            self.counts.clear()
+        if numbers:
+            at = pd.to_datetime(ready["t_us"], unit="us", utc=True)
+            rows = {**{c: ready[c] for c in self.job}, "id": ready["id"], "ts": at, "ok": ready["ok"], "exception_type": ready["exception_type"]}
+            yield pd.DataFrame({**rows, "attempt": numbers})[self.names]
 
     def close(self) -> None:
         pass
@@ -77,14 +97,15 @@ def retry_plan_stream(
     ``ts`` stays an event time, so that windowed operators can follow.
     """
     use_rocksdb(attempts.sparkSession)
+    names = [F.col(c).cast("string") for c in job]
+    bucket = F.pmod(F.xxhash64(*names), F.lit(BUCKETS)).cast("int")
     rows = attempts.withWatermark("ts", watermark).select(
-        *[F.col(c).cast("string").alias(c) for c in job], "ts", F.unix_micros("ts").alias("t_us"), "id",
+        bucket.alias("bucket"), *[name.alias(c) for name, c in zip(names, job, strict=True)], "ts", F.unix_micros("ts").alias("t_us"), "id",
         F.coalesce("ok", F.lit(False)).alias("ok"), "exception_type",
     )
-    names = [*job, "id", "ts", "ok", "exception_type", "attempt"]
     listed = ", ".join(f"{c} string" for c in job)
-    numbered = rows.groupBy(*job).transformWithStateInPandas(
-        _Attempts(ttl_sec * rel.MICROS, names),
+    numbered = rows.groupBy("bucket").transformWithStateInPandas(
+        _Attempts(ttl_sec * rel.MICROS, job),
         outputStructType=f"{listed}, id bigint, ts timestamp, ok boolean, exception_type string, attempt int",
         outputMode="Append",
         timeMode="EventTime",

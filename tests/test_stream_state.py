@@ -184,3 +184,14 @@ def test_late_rows_go_to_a_sink_of_ones_own(spark, tmp_path):
     late.split_late(log, str(tmp_path / "out"), on_time=lambda df, n: seen.append((n, df.count()))).awaitTermination(300)
     assert sorted(seen) == [(0, 2), (1, 1), (2, 0)]
     assert late.late_rows(spark, str(tmp_path / "out")).count() == 1
+
+
+def test_retry_streams_keep_many_jobs_in_few_state_rows(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(retries, "BUCKETS", 8)
+    rows = [(n, "s", "step", START + timedelta(seconds=n // 2), 1.0, n % 3 == 0, "TimeoutException", f"j{n % 2000}") for n in range(6000)]
+    stream = as_files(spark, str(tmp_path / "in"), rows[:3000], rows[3000:], far())
+    got, query = drained(spark, R.retry_plan(stream), "many_jobs", tmp_path / "a")
+    want = R.retry_plan(spark.createDataFrame(rows, SCHEMA))
+    columns = ("id", "job_id", "attempt", "eligible", "exhausted", "wait_sec", "next_attempt_at")
+    assert rows_of(got, *columns) == rows_of(want, *columns)
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress) < 500
