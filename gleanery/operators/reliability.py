@@ -17,6 +17,7 @@ whole microseconds and token levels are whole multiples of a fixed quantum.
 from __future__ import annotations
 
 import json
+from collections import deque
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from fractions import Fraction
@@ -471,8 +472,9 @@ def _breaker_transfer(rules: BreakerRules) -> Callable[[Iterator[tuple]], list]:
 
     Followed at once: each CLOSED failure count, each HALF_OPEN success count, and an OPEN
     entry per moment it could wake up (a new follower starts at every row until the first
-    recovery time has passed). Followers that reach the same state join, so soon only one or
-    two are left; a counter still carried from the entry is kept as an offset to it.
+    recovery time has passed). Followers that reach the same state join; a counter still carried
+    from the entry is kept as an offset to it. Nothing happens to an OPEN follower until it wakes up,
+    so those wait in the order of their last failure, and a row meets the few that are awake.
     """
 
     def run(rows: Iterator[tuple]) -> list:
@@ -482,6 +484,7 @@ def _breaker_transfer(rules: BreakerRules) -> Callable[[Iterator[tuple]], list]:
             groups[(CLOSED, count, 0, None, False, True)] = [["closed", count, count]]
         for count in range(rules.successes):
             groups[(HALF_OPEN, 0, count, None, True, False)] = [["half", count, count]]
+        asleep: deque[tuple[tuple, list]] = deque()
         woken = (HALF_OPEN, 0, 0, None, True, False)
         first = previous = None
         waking = True
@@ -492,22 +495,33 @@ def _breaker_transfer(rules: BreakerRules) -> Callable[[Iterator[tuple]], list]:
                 first = t if first is None else first
                 previous = t
                 waking = t - first < rules.recovery_us
+            while asleep and t - asleep[0][0][3] >= rules.recovery_us:
+                # at one moment several rows can send followers to the same state
+                key, members = asleep.popleft()
+                groups.setdefault(key, []).extend(members)
             moved: dict[tuple, list] = {}
             for (mode, failed, passed, last, failed_from, passed_from), members in groups.items():
                 was = mode
                 (mode, failed_to, passed_to, last), _ = rules.step((mode, failed, passed, last), t, ok, any_failed=failed_from)
                 if mode == CLOSED and (was != CLOSED or ok):
                     failed_from = False
-                if passed_to != passed or (was == OPEN and mode != OPEN):
+                # an OPEN follower that is met wakes up, which ends its count even if it fails at once
+                if passed_to != passed or was == OPEN:
                     passed_from = False
                 key = (mode, failed_to, passed_to, last, failed_from, passed_from)
                 held = moved.get(key)
                 if held is None:
                     moved[key] = members
+                elif len(held) < len(members):
+                    members.extend(held)
+                    moved[key] = members
                 else:
                     held.extend(members)
+            for key in [key for key in moved if key[0] == OPEN]:
+                asleep.append((key, moved.pop(key)))
             groups = moved
-        return [previous if waking else None, [[list(state), _joined(members)] for state, members in groups.items()]]
+        left = [*groups.items(), *asleep]
+        return [previous if waking else None, [[list(state), _joined(members)] for state, members in left]]
 
     return run
 
@@ -515,7 +529,8 @@ def _breaker_transfer(rules: BreakerRules) -> Callable[[Iterator[tuple]], list]:
 def _joined(members: list) -> list:
     """Adjacent wake-up ranges of one follower become one range."""
     out: list = []
-    for member in members:
+    # ranges in the order of time; only the first one has no lower end
+    for member in sorted(members, key=lambda m: (m[0], m[1] is not None, m[1] or 0)):
         if out and member[0] == "open" and out[-1][0] == "open" and out[-1][2] == member[1]:
             out[-1] = ["open", out[-1][1], member[2]]
         else:

@@ -175,3 +175,35 @@ def test_backoff_schedules(spark):
     jittered = spark.range(200).select(R.backoff(F.lit(1), 0.5, 0.5, 4.0, R.spread_of(F.col("id"))).alias("w"))
     lo, hi = jittered.agg(F.min("w"), F.max("w")).first()
     assert 0.75 <= lo < 0.8 and 1.2 < hi <= 1.25
+
+
+def _exits(rules, rows, entry):
+    """The state that a chunk leaves behind: from its transfer, and row by row."""
+    machine, state = R._breaker_machine(rules), entry
+    for row in rows:
+        state, _ = machine.step(state, row)
+    return tuple(machine.apply(machine.transfer(iter(rows)), entry)), state
+
+
+def test_breaker_transfer_counts_successes_anew_after_a_failed_wake_up():
+    rules = R.BreakerRules(failures=1, recovery_us=10, successes=2)
+    by_transfer, by_rows = _exits(rules, [(0, False), (10, False), (11, True)], (R.CLOSED, 0, 2, None))
+    assert by_transfer == by_rows
+
+
+def test_breaker_transfer_of_a_dense_log_steps_a_few_followers_a_row():
+    rng = random.Random(2)
+    met = []
+
+    class Counting(R.BreakerRules):
+        def step(self, *given, **named):
+            met.append(1)
+            return super().step(*given, **named)
+
+    rules = Counting(5, 3_000, 2)
+    rows = [(t // 2, rng.random() > 0.45) for t in range(12_000)]
+    R._breaker_transfer(rules)(iter(rows))
+    assert len(met) < 8 * len(rows)
+    for entry in [(R.CLOSED, 3, 1, None), (R.HALF_OPEN, 7, 1, None), *((R.OPEN, 6, 0, last) for last in range(-2999, 0, 250))]:
+        by_transfer, by_rows = _exits(rules, rows[:9000], entry)
+        assert by_transfer == by_rows
