@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 BROADCAST_MAX_ROWS = 200_000
 BROADCAST_MAX_BYTES = 64 * 1024 * 1024
+ARROW_BATCH_LIMIT, ARROW_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 2 * 1024 * 1024
 
 
 # JVM properties without which the XML and XPath engines refuse very large elements and paths
@@ -63,6 +64,16 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Limit Arrow batches by bytes as well as by rows, unless the session has a limit of its own.
+
+    A batch, what Python makes of it and the answers are in memory at a time in every worker, and ten
+    thousand rows that hold a page or a text each can be any size.
+    """
+    if spark.conf.get(ARROW_BATCH_LIMIT, None) is None:
+        spark.conf.set(ARROW_BATCH_LIMIT, ARROW_BATCH_BYTES)
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
     """Even out the rows of a scan that has fewer splits than there are task slots.
 

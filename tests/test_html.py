@@ -180,3 +180,20 @@ def test_texts_of_several_documents(spark):
         ("lines:5", "missing", None), ("behind", "unreadable", None), ("array_end", "unreadable", None), ("object_end", "unreadable", None),
         ("two", "unreadable", None), ("blank", "unreadable", None),
     }
+
+
+def test_pages_meet_python_in_batches_of_bounded_bytes(spark):
+    from gleanery import session
+
+    spark.conf.unset(session.ARROW_BATCH_LIMIT)
+    pages = spark.range(0, 3000, 1, 1).select(F.repeat(F.lit("<p>x"), 2000).alias("html"))
+    pages.select(repair("html").alias("document"))
+
+    def counted(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": [batch.num_rows]})
+
+    rows = pages.mapInArrow(counted, "n bigint").collect()
+    assert max(row.n for row in rows) < 500
