@@ -12,12 +12,18 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from gleanery.operators import reliability as rel
+from gleanery.streaming.packed import STATE, pack, unpack
 
 WATERMARK = "10 minutes"
+HELD = pa.schema([("t_us", pa.int64()), ("id", pa.int64()), ("ok", pa.bool_()), ("limit_capacity", pa.int32()), ("limit_rate", pa.float64())])
+# rows that are Python objects at a time; the others are packed columns
+ROWS_AT_A_TIME = 20_000
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -53,22 +59,24 @@ class _OrderedFold(StatefulProcessor):
         self.handle = handle
         # beside the state: the time of the last row, and the last wake-up that has its row
         self.state = handle.getValueState("state", f"{self.state_schema}, seen bigint, told bigint")
-        self.buffer = handle.getListState("buffer", "t_us bigint, id bigint, ok boolean, capacity int, rate double")
+        self.buffer = handle.getListState("buffer", STATE)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        added = []
+        first = None
         for batch in rows:
-            added += list(zip(*(batch[c].tolist() for c in ("t_us", "id", "ok", "limit_capacity", "limit_rate")), strict=True))
-        if added:
-            self.buffer.appendList(added)
-            self.handle.registerTimer(_timer(min(row[0] for row in added)))
+            if len(batch):
+                self.buffer.appendValue(pack(batch[HELD.names], HELD))
+                earliest = int(batch["t_us"].min())
+                first = earliest if first is None else min(first, earliest)
+        if first is not None:
+            self.handle.registerTimer(_timer(first))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         watermark_us = timerValues.getCurrentWatermarkInMs() * 1000
-        held = sorted((int(t), int(i), bool(ok), int(size), float(rate)) for t, i, ok, size, rate in self.buffer.get())
-        ready = [row for row in held if row[0] <= watermark_us]
-        rest = held[len(ready) :]
+        held = unpack(self.buffer.get(), HELD).sort_by([("t_us", "ascending"), ("id", "ascending")])
+        n_ready = pc.sum(pc.less_equal(held["t_us"], watermark_us)).as_py() or 0
+        ready, rest = held.slice(0, n_ready), held.slice(n_ready)
         out = []
         *state, seen, told = self.state.get() if self.state.exists() else (*self.start, None, None)
         state = tuple(state)
@@ -83,33 +91,39 @@ class _OrderedFold(StatefulProcessor):
                 out.append((key[0], None, due, *self.woken(state)))
                 told = due
 
-        for t, number, ok, size, rate in ready:
-            tell_until(t)
-            if ends() is not None and t > ends():
-                state, told = tuple(self.start), None
-            state, result = self.step(state, (t, ok, size, rate))
-            state, seen = tuple(state), t
-            out.append((key[0], number, t, *result))
+        for slice_ in ready.to_batches(max_chunksize=ROWS_AT_A_TIME):
+            for t, number, ok, size, rate in zip(*(column.to_pylist() for column in slice_.columns), strict=True):
+                tell_until(t)
+                if ends() is not None and t > ends():
+                    state, told = tuple(self.start), None
+                state, result = self.step(state, (t, ok, size, rate))
+                state, seen = tuple(state), t
+                out.append((key[0], number, t, *result))
+            yield self._shaped(out)
+            out.clear()
         if self.timers:
             tell_until(watermark_us)
-        if ready:
-            if rest:
-                self.buffer.put(rest)
+        if n_ready:
+            if rest.num_rows:
+                self.buffer.put([pack(one.to_pandas(), HELD) for one in rest.to_batches(max_chunksize=ROWS_AT_A_TIME)])
             else:
                 self.buffer.clear()
-        if rest:
-            self.handle.registerTimer(_timer(rest[0][0]))
-        if ends() is not None and not rest and watermark_us > ends():
+        if rest.num_rows:
+            self.handle.registerTimer(_timer(rest["t_us"][0].as_py()))
+        if ends() is not None and not rest.num_rows and watermark_us > ends():
             self.state.clear()
         elif seen is not None:
             self.state.update((*state, seen, told))
             due = self.wake(state) if self.wake else None
             if self.timers and due is not None and due != told and due > watermark_us:
                 self.handle.registerTimer(_timer(due))
-            if ends() is not None and ready:
+            if ends() is not None and n_ready:
                 self.handle.registerTimer(_timer(ends()) + 1)
         if out:
-            yield pd.DataFrame(out, columns=["site", "id", "t_us", *self.names], dtype=object)
+            yield self._shaped(out)
+
+    def _shaped(self, out: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(out, columns=["site", "id", "t_us", *self.names], dtype=object)
 
     def close(self) -> None:
         pass

@@ -195,3 +195,15 @@ def test_retry_streams_keep_many_jobs_in_few_state_rows(spark, tmp_path, monkeyp
     columns = ("id", "job_id", "attempt", "eligible", "exhausted", "wait_sec", "next_attempt_at")
     assert rows_of(got, *columns) == rows_of(want, *columns)
     assert max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress) < 500
+
+
+def test_a_busy_site_is_folded_from_packed_rows_in_slices(spark, busy, tmp_path, monkeypatch):
+    monkeypatch.setattr(stateful, "ROWS_AT_A_TIME", 50)
+    rows, parts = busy
+    stream = as_files(spark, str(tmp_path / "in"), *parts, far())
+    got, query = drained(spark, R.breaker(stream, recovery_sec=30), "in_slices", tmp_path / "a")
+    want = R.breaker(spark.createDataFrame(rows, SCHEMA), recovery_sec=30)
+    columns = ("site", "id", "state_before", "state_after", "failures", "successes", "last_failure_us")
+    assert rows_of(got.where("site <> 'far'"), *columns) == rows_of(want, *columns)
+    # a buffered row is no state row of its own
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress) < 100
