@@ -15,14 +15,17 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from gleanery.operators import reliability as rel
+from gleanery.streaming.packed import STATE, pack, unpack
 from gleanery.streaming.stateful import WATERMARK, use_rocksdb
 
 CELL_SEC = 600
 _ROW = ("t_us", "id", "ok", "limit_capacity", "limit_rate")
+_HELD = pa.schema([("t_us", pa.int64()), ("id", pa.int64()), ("ok", pa.bool_()), ("limit_capacity", pa.int32()), ("limit_rate", pa.float64())])
 _PACKED = "t_us array<bigint>, id array<bigint>, ok array<boolean>, limit_capacity array<int>, limit_rate array<double>"
 
 
@@ -34,24 +37,27 @@ class _Cell(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.rows = handle.getListState("rows", "t_us bigint, id bigint, ok boolean, limit_capacity int, limit_rate double")
+        self.rows = handle.getListState("rows", STATE)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        added = [row for batch in rows for row in zip(*(batch[c].tolist() for c in _ROW), strict=True)]
+        added = False
+        for batch in rows:
+            if len(batch):
+                self.rows.appendValue(pack(batch[list(_ROW)], _HELD))
+                added = True
         if added:
-            self.rows.appendList(added)
             self.handle.registerTimer((int(key[1]) + 1) * self.cell_us // 1000)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        held = sorted((int(t), int(i), bool(ok), int(size), float(rate)) for t, i, ok, size, rate in self.rows.get())
+        held = unpack(self.rows.get(), _HELD).sort_by([("t_us", "ascending"), ("id", "ascending")])
         self.rows.clear()
-        if held:
+        if held.num_rows:
             machine = self.machine()
-            at = [_ROW.index(c) for c in machine.columns]
-            transfer = machine.transfer(tuple(row[n] for n in at) for row in held)
+            columns = {name: held[name].to_pylist() for name in _ROW}
+            transfer = machine.transfer(zip(*(columns[c] for c in machine.columns), strict=True))
             closed = pd.to_datetime([(int(key[1]) + 1) * self.cell_us], unit="us", utc=True)
-            packed = {name: [[row[n] for row in held]] for n, name in enumerate(_ROW)}
+            packed = {name: [values] for name, values in columns.items()}
             yield pd.DataFrame({"site": [key[0]], "cell": [int(key[1])], "closed": closed, "transfer": [json.dumps(transfer)], **packed})
 
     def close(self) -> None:
