@@ -28,7 +28,7 @@ from gleanery.operators.reliability import (
 )
 from gleanery.session import broadcast_if_small, durable, shared_dir
 
-ROWS_PER_CHUNK = 500_000
+ROWS_PER_CHUNK = 200_000
 MIN_ROWS_PER_CHUNK = 5_000
 
 CHECK, RECORD, SUMMARY = 0, 1, 2
@@ -97,7 +97,10 @@ def _fold(rules: BreakerRules, entries: dict[int, tuple]):
             (None if pd.isna(s) else s, i): bool(p)
             for s, i, p in zip(decisions["site"].tolist(), decisions["id"].tolist(), decisions["permitted"].tolist(), strict=True)
         }
-        out, site, state = [], sites[0], entries.get(chunk, _START)
+        names = [name for name in _NAMES if name not in ("chunk", "first_site", "single", "mode")]
+        out: dict[str, list] = {name: [] for name in names}
+        add = [out[name].append for name in names]
+        site, state = sites[0], entries.get(chunk, _START)
         columns = (rows[c].tolist() for c in ("t_us", "id", "kind", "ok", "to_chunk"))
         for name, t, number, kind, ok, to_chunk in zip(sites, *columns, strict=True):
             if name != site:
@@ -115,11 +118,18 @@ def _fold(rules: BreakerRules, entries: dict[int, tuple]):
                 state, rate = record(rules, state, t, bool(ok))
                 permitted, woke, shown = True, False, STATE_NAMES[before[0]]
             mode, failed, passed, last = state
-            out.append((chunk, kind, name, number, t, to_chunk, permitted, woke, shown, STATE_NAMES[mode], failed, passed, rate, last, None, None, None))
+            row = (kind, name, number, t, to_chunk, permitted, woke, shown, STATE_NAMES[mode], failed, passed, rate, last)
+            for put, value in zip(add, row, strict=True):
+                put(value)
         mode, failed, passed, last = state
         single = all(name == sites[0] for name in sites)
-        out.append((chunk, SUMMARY, site, None, None, None, None, None, None, None, failed, passed, None, last, sites[0], single, mode))
-        return pd.DataFrame(out, columns=_NAMES, dtype=object)
+        summary = (SUMMARY, site, None, None, None, None, None, None, None, failed, passed, None, last)
+        for put, value in zip(add, summary, strict=True):
+            put(value)
+        told = [None] * (len(out["kind"]) - 1)
+        ends = {"chunk": [chunk] * (len(told) + 1), "first_site": [*told, sites[0]], "single": [*told, single], "mode": [*told, mode]}
+        whole = {**out, **ends}
+        return pd.DataFrame({name: pd.Series(whole[name], dtype=object) for name in _NAMES})
 
     return run
 

@@ -152,3 +152,10 @@ def test_asof_of_nothing_and_clashes(spark):
     assert asof.join(a.limit(0), b, ("site",), "t", "ts", "id", ("value",)).collect() == []
     with pytest.raises(ValueError, match="both sides"):
         asof.join(a.withColumn("value", F.lit(1)), b, ("site",), "t", "ts", "id", ("value",))
+
+
+def test_replayed_chunks_are_bounded_well_below_a_million_rows():
+    from gleanery.operators import overlap
+
+    # four workers hold a chunk each, with everything that is made of it
+    assert overlap.ROWS_PER_CHUNK <= 200_000
