@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gleanery.operators import metrics as M, reliability as R
 from gleanery.plans import alert_queries as A, extract_queries as X, reliability_queries as Q, views as V
-from gleanery.session import shared_dir
+from gleanery.session import shared_dir, state_partitions
 from gleanery.sources.pages import PAGE_SCHEMA, read_page_stream
 from gleanery.streaming import cells as C, late, retries, stateful as S, windows as W
 
@@ -27,14 +27,15 @@ def _drained(df: DataFrame) -> DataFrame:
     """Run the stream to its end into a table of its own in the shared folder."""
     spark = df.sparkSession
     folder = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
-    query = (
+    writer = (
         df.writeStream.format("parquet")
         .option("path", f"{folder}/rows")
         .option("checkpointLocation", f"{folder}/checkpoint")
         .outputMode("append")
         .trigger(availableNow=True)
-        .start()
     )
+    with state_partitions(spark):
+        query = writer.start()
     query.awaitTermination()
     return spark.read.schema(df.schema).parquet(f"{folder}/rows")
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -74,6 +76,22 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set(ARROW_BATCH_LIMIT, ARROW_BATCH_BYTES)
 
 
+@contextmanager
+def state_partitions(spark: SparkSession) -> Iterator[None]:
+    """Streams started inside keep their state in at most one partition per task slot.
+
+    A stream keeps the number of shuffle partitions it starts with, and every stateful operator pays for a state
+    store, its commit and a Python worker per partition and micro-batch, however few rows come.
+    """
+    name = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(name)
+    spark.conf.set(name, min(int(before), spark.sparkContext.defaultParallelism))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
     """Even out the rows of a scan that has fewer splits than there are task slots.
 

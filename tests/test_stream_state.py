@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gleanery.operators import alerts as A, reliability as R
+from gleanery.plans import stream_queries
 from gleanery.sources import attempts as attempts_source
 from gleanery.streaming import cells, late, retries, stateful, windows as W
 
@@ -207,3 +208,17 @@ def test_a_busy_site_is_folded_from_packed_rows_in_slices(spark, busy, tmp_path,
     assert rows_of(got.where("site <> 'far'"), *columns) == rows_of(want, *columns)
     # a buffered row is no state row of its own
     assert max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress) < 100
+
+
+def test_streams_keep_their_state_in_one_partition_per_task_slot_at_most(spark, tmp_path, monkeypatch):
+    name, before = "spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions")
+    monkeypatch.setattr(stream_queries, "shared_dir", lambda _: str(tmp_path))
+    rows = as_files(spark, str(tmp_path / "log"), attempts_at(range(0, 600, 60), ["a"]))
+    spark.conf.set(name, 32)
+    try:
+        stream_queries._drained(W.ratio_stream(rows, ("site",), F.col("ok"), 60, 30).select("site", "t"))
+        assert spark.conf.get(name) == "32"
+    finally:
+        spark.conf.set(name, before)
+    kept = [folder for folder in tmp_path.glob("stream-*/checkpoint/state/0/*") if folder.name.isdigit()]
+    assert len(kept) == spark.sparkContext.defaultParallelism
