@@ -9,11 +9,11 @@ bound at which all registers of a text are expected to be full, and further wher
 
 Texts that share all registers of a band are candidates. Every bucket is compared with its most central
 member, pairs are verified by the overlap of their multisets, and links are joined to components. Where members
-of one bucket are then still in different components, pairs across them are compared too, by signature first and
-in blocks: blocks hold signatures only and leave likely pairs. At first each member's likeliest are verified, which
-joins most, then all that still lie across components, so that no link between different texts that share a
-band is lost. Multisets move once per cell of likely pairs, and no pair is verified twice. Texts with equal
-multisets are one node throughout.
+of one bucket are then still in different components, pairs across them are compared too, by signature and in
+cells of two blocks: the members that have a likely partner stay. Their multisets are sent to the cells and the
+pairs verified there, the likeliest first; only a pair whose components the cell has joined by then is passed
+over, so that no link between different texts that share a band is lost, and no table of pairs is made. Texts with
+equal multisets are one node throughout.
 
 Signature comparisons drop a pair only below ``LIKELY`` agreeing registers, five standard deviations under the
 threshold. A pair at the threshold shares no band with a probability of 5e-5.
@@ -42,10 +42,8 @@ THRESHOLD = 0.8
 LIKELY = 0.62
 #: members of a bucket that a side of a cell holds, by their signatures
 BLOCK = 4_096
-#: each member's likeliest partners across components that are tried before all others
-PARTNERS = 3
-#: bytes of multisets that a side of a cell of pairs is meant to hold
-BLOCK_BYTES = 16 << 20
+#: bytes of multisets that a side of a cell is meant to hold, and bytes of a shingle at most
+BLOCK_BYTES, _SET_BYTES = 16 << 20, 12
 _U = np.uint64
 _BLOCKS = np.random.Generator(np.random.PCG64(20_215)).integers(1, 1 << 63, 64, dtype=np.uint64)
 _POINTS = _U(0x9FB21C651E98DF25)
@@ -241,63 +239,123 @@ def _verified(pairs: DataFrame, rows: DataFrame, found: DataFrame, threshold: fl
     return durable(met.applyInPandas(run, "a binary, b binary, similarity double"))
 
 
+_CELL_ROWS = ("bucket", "minor_block", "member_block", "minor", "band", "digest", "root", "main", "signature")
+
+
 def _cells(shared: DataFrame, roots: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Members of buckets whose members are in different components, with how many blocks their bucket takes."""
+    """Cells of the buckets whose members are in different components: a row per member, cell and side.
+
+    Members outside a bucket's largest component, its minors, meet all its members in blocks. ``bin`` gathers cells.
+    """
     owned = shared.join(roots, F.col("digest") == F.col("node"), "left").select(
         "bucket", "band", "digest", F.coalesce("root", "digest").alias("root")
     )
-    sizes = owned.groupBy("bucket", "root").count()
-    main = sizes.groupBy("bucket").agg(F.max(F.struct("count", "root")).alias("main"), F.count("*").alias("roots"), F.sum("count").alias("all"))
+    owned = owned.join(nodes, "digest")
+    sizes = owned.groupBy("bucket", "root").agg(F.count("*").alias("count"), F.sum(_SET_BYTES * F.col("weight")).alias("bytes"))
+    main = sizes.groupBy("bucket").agg(
+        F.max(F.struct("count", "root", "bytes")).alias("main"), F.count("*").alias("roots"),
+        F.sum("count").alias("all"), F.sum("bytes").alias("all_bytes"),
+    )
+    blocks = lambda n, size: F.ceil(F.greatest(n / BLOCK, size / BLOCK_BYTES)).cast("int")
     mixed = main.where("roots > 1").select(
         "bucket",
-        F.col("main.root").alias("main"),
-        F.ceil(F.col("all") / BLOCK).cast("int").alias("member_blocks"),
-        F.ceil((F.col("all") - F.col("main.count")) / BLOCK).cast("int").alias("minor_blocks"),
+        F.col("main.root").alias("largest"),
+        blocks(F.col("all"), F.col("all_bytes")).alias("member_blocks"),
+        blocks(F.col("all") - F.col("main.count"), F.col("all_bytes") - F.col("main.bytes")).alias("minor_blocks"),
     )
-    return durable(owned.join(mixed, "bucket").join(nodes.select("digest", "signature"), "digest"))
-
-
-def _across(met: DataFrame, least: float, most: int | None) -> DataFrame:
-    """Pairs (a, b) of one bucket, in different components, whose signatures agree in a share of the registers.
-
-    Members outside a bucket's largest component meet all its members of other components, in blocks, and a pair
-    only in the first band that both share; with ``most`` each keeps its likeliest few of a cell. Only signatures move.
-    """
+    met = durable(owned.join(mixed, "bucket").withColumn("main", F.col("root") == F.col("largest")).drop("largest"))
+    total = met.agg(F.count("*").alias("n"), F.sum(_SET_BYTES * F.col("weight")).alias("bytes")).first()
+    bins = total["n"] // BLOCK + (total["bytes"] or 0) // BLOCK_BYTES + 1
     deal = lambda n: F.pmod(F.xxhash64("digest"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    columns = ("bucket", "minor_block", "member_block", "band", "digest", "root", "signature")
-    minors = met.where("root <> main").withColumn("minor_block", deal("minor_blocks")).withColumn("member_block", every("member_blocks"))
-    members = met.withColumn("main", F.col("root") == F.col("main")).withColumn("member_block", deal("member_blocks"))
-    members = members.withColumn("minor_block", every("minor_blocks"))
-
-    def compare(few: pd.DataFrame, many: pd.DataFrame) -> pd.DataFrame:
-        names, others = [], []
-        if len(few) and len(many):
-            marks = np.frombuffer(b"".join(many["m_signature"]), np.uint32).reshape(len(many), -1)
-            their, roots_, main_ = (many[f"m_{c}"].to_numpy() for c in ("digest", "root", "main"))
-            main_ = main_.astype(bool)
-            band = int(few["band"].iloc[0])
-            for name, root, signature in zip(few["digest"], few["root"], few["signature"], strict=True):
-                same = marks == np.frombuffer(signature, np.uint32)
-                agree = same.mean(axis=1)
-                near = np.flatnonzero(agree >= least)
-                # two members outside the largest component meet once
-                near = near[(roots_[near] != root) & (main_[near] | (their[near] > name) | bool(most))]
-                if band and len(near):
-                    earlier = same[near, : band * BAND_ROWS].reshape(len(near), band, BAND_ROWS)
-                    near = near[~earlier.all(axis=2).any(axis=1)]
-                if most:
-                    near = near[np.lexsort((their[near], -agree[near]))[:most]]
-                names += [name] * len(near)
-                others += their[near].tolist()
-        return pd.DataFrame({"a": names, "b": others})
-
-    cell = ("bucket", "minor_block", "member_block")
-    # both sides come from one table: new names keep their columns apart
-    members = members.select(*[F.col(c).alias(f"m_{c}") for c in (*columns, "main")])
-    grouped = members.groupBy(*[f"m_{c}" for c in cell])
-    pairs = minors.select(*columns).groupBy(*cell).cogroup(grouped).applyInPandas(compare, "a binary, b binary")
-    return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    minors = met.where(~F.col("main")).withColumn("minor_block", deal("minor_blocks")).withColumn("member_block", every("member_blocks"))
+    members = met.withColumn("member_block", deal("member_blocks")).withColumn("minor_block", every("minor_blocks"))
+    sides = minors.withColumn("minor", F.lit(True)).unionByName(members.withColumn("minor", F.lit(False)))
+    bin_ = F.pmod(F.xxhash64("bucket", "minor_block", "member_block"), F.lit(bins)).cast("int").alias("bin")
+    return sides.select(bin_, *_CELL_ROWS)
+
+
+def _sides(rows: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row numbers of the minors and the members of every cell."""
+    *cell, minor = (rows[c].to_numpy() for c in ("bucket", "minor_block", "member_block", "minor"))
+    order = np.lexsort((minor, *reversed(cell)))
+    new = np.zeros(len(order), bool)
+    for part in cell:
+        new[1:] |= part[order[1:]] != part[order[:-1]]
+    for mine in np.split(order, np.flatnonzero(new)):
+        few = np.count_nonzero(minor[mine])
+        if 0 < few < len(mine):
+            yield mine[len(mine) - few :], mine[: len(mine) - few]
+
+
+def _met(rows: pa.Table, least: float) -> Iterator[tuple[int, np.ndarray]]:
+    """Each minor's row and the rows of its likely partners in other components, the likeliest first.
+
+    A pair is met only in the first band that both share, and once where both are minors.
+    """
+    rows = rows.combine_chunks()
+    marks = np.frombuffer(b"".join(rows["signature"].to_pylist()), np.uint32).reshape(rows.num_rows, -1)
+    roots = rows["root"].combine_chunks().dictionary_encode().indices.to_numpy()
+    names = np.array(rows["digest"].to_pylist(), object)
+    main, bands = rows["main"].to_numpy(), rows["band"].to_numpy()
+    for minors, members in _sides(rows):
+        theirs, band = marks[members], int(bands[members[0]])
+        for row in minors:
+            same = theirs == marks[row]
+            agree = np.count_nonzero(same, axis=1)
+            near = np.flatnonzero(agree >= least * marks.shape[1])
+            near = near[roots[members[near]] != roots[row]]
+            if len(near):
+                near = near[main[members[near]] | (names[members[near]] > names[row])]
+            if band and len(near):
+                earlier = same[near, : band * BAND_ROWS].reshape(len(near), band, BAND_ROWS)
+                near = near[~earlier.all(axis=2).any(axis=1)]
+            if len(near):
+                yield row, members[near[np.argsort(-agree[near], kind="stable")]]
+
+
+def _across(cells: DataFrame, least: float) -> DataFrame:
+    """The rows of cells that have a likely partner in another component; as many as there are at most."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        wanted = np.zeros(rows.num_rows, bool)
+        for row, partners in _met(rows, least):
+            wanted[row] = True
+            wanted[partners] = True
+        return rows.filter(pa.array(wanted))
+
+    return cells.groupBy("bin").applyInArrow(run, cells.schema)
+
+
+def _joined(likely: DataFrame, rows: DataFrame, found: DataFrame, least: float, threshold: float) -> DataFrame:
+    """Links (a, b) that join the components of a cell as far as its pairs are similar enough.
+
+    The pairs are verified where they meet and never written out. A pair whose components are joined already needs
+    no test, so that a cell gives fewer links than it has members.
+    """
+    sets = _sets(rows, found, likely.select("digest").distinct())
+    held = likely.select("bin", "digest").distinct().join(sets, "digest")
+    held = held.select(F.col("bin").alias("hbin"), F.col("digest").alias("hdigest"), "values", "counts")
+
+    def run(mine: pa.Table, bags: pa.Table) -> pa.Table:
+        bag = {
+            name: (np.frombuffer(values, np.uint64), np.frombuffer(counts, np.uint32))
+            for name, values, counts in zip(*(bags[c].to_pylist() for c in ("hdigest", "values", "counts")), strict=True)
+        }
+        names = mine["digest"].to_pylist()
+        root = mine["root"].combine_chunks().dictionary_encode().indices.to_numpy()
+        joined = np.arange(len(root))  # components by their number; those that are joined have one number
+        a, b = [], []
+        for row, partners in _met(mine, least):
+            for other in partners.tolist():
+                here, there = joined[root[row]], joined[root[other]]
+                if here != there and overlap(*bag[names[row]], *bag[names[other]]) >= threshold:
+                    joined[joined == there] = here
+                    a.append(names[row])
+                    b.append(names[other])
+        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
+
+    return durable(likely.groupBy("bin").cogroup(held.groupBy("hbin")).applyInArrow(run, "a binary, b binary"))
 
 
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -308,7 +366,7 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold:
     """
     rows = tagged(docs, key, text)
     found = durable(profiles(rows))
-    nodes = found.where("weight > 0").select("digest", "signature").dropDuplicates(["digest"])
+    nodes = found.where("weight > 0").select("digest", "weight", "signature").dropDuplicates(["digest"])
     bands = [F.xxhash64(F.lit(b), F.substring("signature", b * 4 * BAND_ROWS + 1, 4 * BAND_ROWS)) for b in range(BANDS)]
     keys = nodes.select("digest", F.posexplode(F.array(*bands)).alias("band", "bucket"))
     sizes = keys.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
@@ -317,20 +375,12 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold:
     ranked = shared.join(central, "digest")
     heads = ranked.groupBy("bucket").agg(F.max(F.struct("score", "digest")).alias("top")).select("bucket", F.col("top.digest").alias("a"))
     stars = shared.join(heads, "bucket").where(F.col("a") != F.col("digest")).select("a", F.col("digest").alias("b")).distinct()
-    tested = durable(_likely(stars, nodes, LIKELY))
-    links = _verified(tested, rows, found, threshold).select("a", "b")
+    links = _verified(_likely(stars, nodes, LIKELY), rows, found, threshold).select("a", "b")
     roots = components(links)
-    # pairs across the components of a bucket: first each member's likeliest, which join nearly all that belong
-    # together, then all that still lie across
-    for most in (PARTNERS, None):
-        likely = durable(_across(_cells(shared, roots, nodes), LIKELY, most))
-        if likely.isEmpty():
-            break
-        fresh = durable(likely.join(tested, ["a", "b"], "left_anti"))
-        if not fresh.isEmpty():
-            tested = tested.union(fresh)
-            links = links.union(_verified(fresh, rows, found, threshold).select("a", "b"))
-            roots = components(links)
+    across = durable(_across(_cells(shared, roots, nodes), LIKELY))
+    if not across.isEmpty():
+        links = links.union(_joined(across, rows, found, LIKELY, threshold))
+        roots = components(links)
     member = F.struct(F.col("key").isNull().alias("none"), "key", "tag")
     owned = found.join(roots, F.col("digest") == F.col("node"), "left").select(
         "key", "tag", "weight", F.coalesce("root", "digest").alias("root")

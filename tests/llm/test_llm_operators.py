@@ -456,6 +456,25 @@ def test_classes_equal_brute_force(spark, odd):
     assert bagminhash.deduplicated(odd).count() == bagminhash.classes(odd).where("head").select("doc_id", "tag").distinct().count()
 
 
+def test_copies_too_far_for_a_link_make_no_table_of_pairs(spark, monkeypatch):
+    rng, base = random.Random(5), [f"w{k}" for k in range(120)]
+    texts = []
+    for _ in range(200):
+        at = set(rng.sample(range(10, 110), 2))
+        texts.append(" ".join(f"z{rng.randrange(10**9)}" if k in at else w for k, w in enumerate(base)))
+    counts = []
+
+    def counted(df, cut=bagminhash.durable):
+        counts.append((out := cut(df)).count())
+        return out
+
+    monkeypatch.setattr(bagminhash, "durable", counted)
+    rows = list(enumerate(texts))
+    got = bagminhash.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter((r.doc_id, r.class_id) for r in got) == Counter(zip(range(200), brute_classes(rows), strict=True))
+    assert max(counts) <= 2 * bagminhash.BANDS * len(texts)  # at most a row per band and side; of pairs there are 19,900
+
+
 def test_components_of_paths_and_stars(spark):
     links = [(k, k + 1) for k in range(60)] + [(100, k) for k in range(101, 160)] + [(200, 201), (201, 200), (300, 300)]
     got = {r.node: r.root for r in stars.components(spark.createDataFrame(links, "a long, b long")).collect()}
