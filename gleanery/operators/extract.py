@@ -290,6 +290,7 @@ class Compiled(NamedTuple):
     visits: DataFrame
     templates: dict[int, list[xp.Probe]]
     framed: bool
+    flat: bool
     small: bool
 
     def for_join(self, side: DataFrame) -> DataFrame:
@@ -313,6 +314,7 @@ def compile_visits(visits: DataFrame) -> Compiled:
         .agg(
             F.any_value("probes").alias("probes"),
             F.max(F.size("chain")).alias("depth"),
+            F.count_if(F.size("chain") == 0).alias("flat"),
             F.count(F.lit(1)).alias("n"),
             F.sum(F.length(F.to_json(F.struct("steps", "probes")))).alias("size"),
         )
@@ -323,6 +325,7 @@ def compile_visits(visits: DataFrame) -> Compiled:
         tagged,
         templates,
         framed=any(row["depth"] for row in lists),
+        flat=any(row["flat"] for row in lists),
         small=sum(row["n"] for row in lists) <= BROADCAST_MAX_ROWS
         and sum(row["size"] for row in lists) <= BROADCAST_MAX_BYTES,
     )
@@ -518,7 +521,8 @@ def _descend(rows: DataFrame, visits: DataFrame, pages: DataFrame) -> DataFrame:
     """Replace each row's document by the frame its chain points to, one depth at a time.
 
     A frame that cannot be entered keeps the row, with ``frame_desc`` set on its steps. Each
-    depth is written out once, so that only the pages it links to have to be fetched.
+    depth is written out once, so that only the pages it links to have to be fetched. The rows bring the
+    document of their page along; below it, a page is read into one only where a chain goes on.
     """
     if rows.isStreaming:
         raise ValueError("frames are looked up among captured pages: use a batch of pages")
@@ -537,9 +541,8 @@ def _descend(rows: DataFrame, visits: DataFrame, pages: DataFrame) -> DataFrame:
             mine = wants & (here["kind"] == kind) & (here["value"] == value)
             answers = F.when(mine, read).otherwise(answers)
             found = F.when(mine, shaped).otherwise(found)
-        located = _computed_once(
-            current.withColumn("document", repair("html")), "frame_answers", answers.cast("array<string>")
-        ).withColumn("frame", found.cast(_VALUE))
+        opened = current.withColumn("document", repair(F.when(wants, F.col("html")))) if level else current
+        located = _computed_once(opened, "frame_answers", answers.cast("array<string>")).withColumn("frame", found.cast(_VALUE))
         present = F.coalesce(F.col("frame")[0]["status"] != "missing", F.lit(False))
         srcdoc = F.when(present & (F.col("frame")[0]["value"] != ""), F.col("frame")[0]["value"])
         entry = _computed_once(
@@ -555,7 +558,7 @@ def _descend(rows: DataFrame, visits: DataFrame, pages: DataFrame) -> DataFrame:
         # only a linked frame needs another page; other rows get a key that matches nothing but
         # spreads them, and a body is carried only where it is still the row's document
         keyed = entry.select(
-            *[c for c in current.columns if c != "html"],
+            *[c for c in current.columns if c not in ("html", "document")],
             "entry",
             F.when(~F.col("entry.wants"), F.col("html")).otherwise(F.col("entry.srcdoc")).alias("own_html"),
             F.coalesce("entry.src", F.concat(F.lit("!"), F.xxhash64("visit_url", "template").cast("string"))).alias("src_key"),
@@ -567,7 +570,7 @@ def _descend(rows: DataFrame, visits: DataFrame, pages: DataFrame) -> DataFrame:
         )
         joined = keyed.join(frames, "src_key", "left")
         html = F.coalesce("own_html", "src_html")
-        kept = [c for c in current.columns if c not in ("html", "doc_url", "frame_failed")]
+        kept = [c for c in current.columns if c not in ("html", "document", "doc_url", "frame_failed")]
         current = joined.select(
             *kept,
             F.when(F.col("own_html").isNull() & F.col("src_html").isNotNull(), F.col("entry.src"))
@@ -588,11 +591,11 @@ def _with_frames(rows: DataFrame, compiled: Compiled, pages: DataFrame) -> DataF
     if not compiled.framed:
         return rows.drop("chain")
     read = [c for c in ("document", "raw_document", "cut") if c in rows.columns]
-    flat = rows.where(F.size("chain") == 0).drop("chain")
-    framed = _descend(rows.where(F.size("chain") > 0).drop(*read), compiled.visits, pages).drop("chain")
-    if read:
-        framed = with_document(framed, "raw_document" in read)
-    return flat.unionByName(framed)
+    chained = rows.where(F.size("chain") > 0).drop(*(c for c in read if c != "document"))
+    framed = with_document(_descend(chained, compiled.visits, pages).drop("chain"), "raw_document" in read)
+    if not compiled.flat:  # nothing would come of a second reading of all pages
+        return framed
+    return rows.where(F.size("chain") == 0).drop("chain").unionByName(framed)
 
 
 def _first_frame() -> Column:

@@ -145,6 +145,15 @@ def test_frames_and_exit(spark):
     }
 
 
+def test_pages_are_not_read_for_steps_without_frames_where_there_are_none(spark):
+    top = "<body><iframe srcdoc='<h3>in</h3>'></iframe>"
+    steps = [{"name": n, "frames": [{"index": 0}], "frame_exit": "parent", "fields": [{"name": "h", "xpath": "//h3"}]} for n in "ab"]
+    found = X.outcomes_by_page(_pages(spark, ("http://f.example/", top)), _spec(spark, {"name": "s", "base_url": "http://f.example/", "steps": steps}))
+    # what is left after the frames were entered: one reading of their documents
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
+    assert X.records(found).first()["data"] == {"a": {"h": "in"}, "b": {"h": "in"}}
+
+
 def test_newest_capture_wins(spark):
     rows = [(1, "http://a.example/", "<p>old", "2024-01-01"), (2, "HTTP://a.example/", "<p>new", "2024-01-03"), (3, "http://a.example/", "<p>mid", "2024-01-02")]
     pages = spark.createDataFrame(rows, "page_id bigint, url string, html string, at string").withColumn("fetched_at", F.col("at").cast("timestamp")).drop("at")
