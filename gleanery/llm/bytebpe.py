@@ -3,7 +3,7 @@
 A text is split by a pattern into pre-tokens. The first tier is a minimal perfect hash over the whole
 vocabulary: a pre-token that is itself an entry is answered by one probe and one comparison. The others go to
 the second tier, which merges their bytes with a heap of adjacent pairs over a linked list. Both tables are
-built from the rank file and bounded by it; a worker remembers a bounded number of pre-tokens.
+built from the rank file and bounded by it; a worker remembers pre-tokens up to a bounded number of bytes.
 
 A null text encodes as the empty one: no ids. Texts are encoded whole; repeated rows give repeated results.
 """
@@ -15,6 +15,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
+from sys import getsizeof
 
 import numpy as np
 import pyarrow as pa
@@ -23,9 +24,11 @@ from pyspark.sql import DataFrame, functions as F
 from xxhash import xxh3_64_intdigest
 
 from gleanery.llm import words
+from gleanery.session import bound_batches
 
-#: pre-tokens a worker remembers before it starts anew
-MEMO = 1_000_000
+#: bytes that the pre-tokens a worker remembers may take, and what one takes besides its text and ids
+MEMO_BYTES = 48 << 20
+ENTRY_BYTES = 160
 #: texts up to this character are split by the standard library's engine, which is twice as fast
 NARROW = 0x250
 _STEP, _MASK = 0xD1B54A32D192ED03, (1 << 64) - 1
@@ -155,17 +158,29 @@ class Merges:
 
 
 class _Memo(dict):
-    """Ids of the pre-tokens met so far; a new one goes through the two tiers."""
+    """Ids of pre-tokens met lately; a new one goes through the two tiers.
+
+    When half of ``MEMO_BYTES`` is taken, what is remembered becomes the older half, and what was that before is
+    forgotten, unless it is met again. A pre-token that does not fit into a half is not remembered.
+    """
 
     def __init__(self, table: PerfectHash, ids: list[int]):
         self.table, self.ids, self.merges = table, ids, Merges(dict(zip(table.entries, ids, strict=True)))
+        self.older, self.size = {}, 0
 
     def __missing__(self, piece: str) -> bytes:
-        key = piece.encode()
-        slot = self.table.find(key)
-        found = self.ids[slot].to_bytes(4, "little") if slot >= 0 else b"".join([i.to_bytes(4, "little") for i in self.merges.encode(key)])
-        if len(self) >= MEMO:
+        found = self.older.get(piece)
+        if found is None:
+            key = piece.encode()
+            slot = self.table.find(key)
+            found = self.ids[slot].to_bytes(4, "little") if slot >= 0 else b"".join([i.to_bytes(4, "little") for i in self.merges.encode(key)])
+        size = ENTRY_BYTES + getsizeof(piece) + len(found)
+        if size > MEMO_BYTES // 2:
+            return found
+        if self.size + size > MEMO_BYTES // 2:
+            self.older, self.size = dict(self), 0
             self.clear()
+        self.size += size
         self[piece] = found
         return found
 
@@ -210,6 +225,7 @@ def encode(docs: DataFrame, codec: Codec, key: str = "doc_id", text: str = "text
 
     The digests are of the ids and of the bytes that decoding them gives back.
     """
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(codec)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

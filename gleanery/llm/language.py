@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from gleanery.llm import words
+from gleanery.session import bound_batches
 
 #: n-gram lengths in bytes, a word's two borders counted, and the cells they are hashed into
 SIZES = (3,)
@@ -157,6 +158,7 @@ class Model:
 def train(labelled: DataFrame, text: str = "text", lang: str = "lang") -> Model:
     """Counts over all rows with a label. Rows (language, cell, count) are summed by Spark; the driver gets at
     most CELLS of them per language, and no more in all than MANY_LANGUAGES have."""
+    bound_batches(labelled.sparkSession)
     rows = labelled.where(F.col(lang).isNotNull()).select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,6 +197,7 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang") -> Model:
 
 def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, lang_pred, score, languages): the largest language, its proportion, and the mixture's set."""
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,6 +216,7 @@ def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "tex
 
 def keep(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """The documents, with all their columns, whose language is not ``und``."""
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -16,6 +16,7 @@ import sentencepiece
 import tiktoken
 from pyspark.sql import functions as F
 
+from gleanery import session
 from gleanery.llm import (
     backoff, bagminhash, bytebpe, fingerprint, language, licenses, mixing, permutation, piececount, queries, ranges, stars, warc, words,
 )
@@ -391,6 +392,32 @@ def test_split_for_narrow_texts_equals_the_pattern():
         assert split(text) == regex.findall(public_tokenizers.PATTERN, text)
 
 
+def test_remembered_pre_tokens_take_bounded_bytes(monkeypatch):
+    """Texts of pre-tokens that never come again, some of them long, leave no more behind than the bound."""
+    monkeypatch.setattr(bytebpe, "MEMO_BYTES", 64 << 10)
+    ranks = bytebpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rng, fresh = random.Random(6), queries.byte_codec()
+    memo = fresh._tools()[1]
+    for size in [3, 8, 8, 40_000, 12] * 20:
+        text = " ".join("".join(rng.choices("etaoinshrdlu", k=size)) for _ in range(60 if size < 100 else 1)) + " the same again"
+        assert fresh.encode(text) == np.array(library.encode_ordinary(text), "<u4").tobytes()
+        held = [*memo.items(), *memo.older.items()]
+        assert sum(len(piece) + len(ids) for piece, ids in held) <= bytebpe.MEMO_BYTES
+
+
+@pytest.mark.parametrize("operator", ["language", "encode"])
+def test_batches_of_long_texts_are_bounded(spark, codec, operator):
+    """Ten thousand long texts do not meet in one Arrow batch."""
+    spark.conf.unset(session.ARROW_BATCH_LIMIT)
+    docs = spark.createDataFrame([(1, "some words", "en")], "doc_id long, text string, lang string")
+    if operator == "language":
+        language.keep(docs, language.train(docs))
+    else:
+        bytebpe.encode(docs, codec)
+    assert int(spark.conf.get(session.ARROW_BATCH_LIMIT)) == session.ARROW_BATCH_BYTES
+
+
 def test_encode_odd_cases(odd, nothing, codec):
     got = bytebpe.encode(odd, codec).collect()
     assert len(got) == odd.count()
