@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from gleanery.llm import ranges, words
-from gleanery.session import durable
+from gleanery.session import bound_batches, durable
 
 ORDER = 2
 MU = 0.3
@@ -71,6 +71,22 @@ def grams(stream: np.ndarray, begin: np.ndarray, order: int) -> list[np.ndarray]
     return found
 
 
+def _distinct(keys: np.ndarray) -> np.ndarray:
+    """Distinct keys, ascending; sorts in place. ``np.unique`` without counts hashes, which takes many times as long."""
+    keys.sort()
+    new = np.ones(len(keys), bool)
+    new[1:] = keys[1:] != keys[:-1]
+    return keys[new]
+
+
+def _places(asked: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Where keys lie in ascending ones; they are looked up in order, so that each is near the one before."""
+    order = np.argsort(keys)
+    at = np.empty(len(keys), np.int64)
+    at[order] = np.searchsorted(asked, keys[order])
+    return at
+
+
 def _pack(keys: np.ndarray) -> bytes:
     """Byte planes: the upper bytes of sorted keys repeat."""
     return keys.view(np.uint8).reshape(len(keys), -1).T.tobytes()
@@ -95,7 +111,7 @@ def _requests(order: int, shards: int):
             for block in blocks:
                 train, other = (np.concatenate(part) if part else np.zeros(0, np.uint64) for part in held.pop(block)[:2])
                 seen, counts = np.unique(train, return_counts=True)
-                keys = np.union1d(seen, other)
+                keys = _distinct(np.concatenate([seen, other]))
                 own = np.zeros(len(keys), np.uint32)
                 own[np.searchsorted(keys, seen)] = counts
                 at = _shards(keys, shards)
@@ -112,17 +128,22 @@ def _requests(order: int, shards: int):
 
         for batch in batches:
             for part in words.slices(batch, "text"):
+                block = np.array(part.column("block").to_pylist(), np.int64)
+                if (block[1:] < block[:-1]).any():
+                    by_block = np.argsort(block, kind="stable")
+                    part, block = part.take(pa.array(by_block)), block[by_block]
                 stream, begin = tokens(words.column(part, "text"))
                 found = grams(stream, begin, order)
-                block = np.repeat(np.array(part.column("block").to_pylist(), np.int64), np.diff(begin))
                 train = np.repeat(np.array(part.column("train").to_pylist(), bool), np.diff(begin))
-                for b in np.unique(block).tolist():
-                    mine = block == b
-                    entry = held.setdefault(b, [[], [], 0])
+                edges = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(block)]
+                for start, stop in zip(edges, edges[1:], strict=False):
+                    mine = slice(begin[start], begin[stop])
+                    entry = held.setdefault(int(block[start]), [[], [], 0])
                     for keys in found:
-                        entry[0].append(keys[mine & train & (keys != 0)])
-                        entry[1].append(keys[mine & ~train & (keys != 0)])
-                    entry[2] += int(mine.sum())
+                        there = keys[mine] != 0
+                        entry[0].append(keys[mine][train[mine] & there])
+                        entry[1].append(keys[mine][~train[mine] & there])
+                    entry[2] += int(begin[stop] - begin[start])
                 # a task sends what it holds once that is as much as a block
                 if sum(e[2] for e in held.values()) > BLOCK_BYTES // 4:
                     yield from flush(list(held))
@@ -147,7 +168,7 @@ def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             asked.setdefault(block, []).append(place[at : at + len(own)])
             at += len(own)
         for n, (block, parts) in enumerate(asked.items()):
-            mine = total[np.unique(np.concatenate(parts))]
+            mine = total[_distinct(np.concatenate(parts))]
             small = np.minimum(mine, 255).astype(np.uint8)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -179,8 +200,7 @@ def _scores(order: int, mu: float, size: int, known: int, key_type: pa.DataType)
         small = np.concatenate([np.frombuffer(s, np.uint8) for s, _ in answers])
         count = small.astype(np.int64)
         count[small == 255] = np.concatenate([np.frombuffer(x, "<i8") for _, x in answers])
-        streams = [[p[1][k] for p in parts] for k in range(order)]
-        asked = np.unique(np.concatenate([x for level in streams for x in level]))
+        asked = _distinct(np.concatenate([keys for _, found, _ in parts for keys in found]))
         asked = asked[asked != 0]
         if len(asked) != len(count):
             raise RuntimeError("the answers do not fit the block's n-grams")
@@ -188,12 +208,13 @@ def _scores(order: int, mu: float, size: int, known: int, key_type: pa.DataType)
         for name, found, begin in parts:
             at = begin[:-1]
             sizes = np.diff(begin)
-            seen = count[np.searchsorted(asked, found[0])]
+            seen = count[_places(asked, found[0])]
+            first = seen > 0
             p = (seen + 0.5) / scale
             base = np.log10(p)
             for k in range(1, order):
                 there = found[k] != 0
-                mine = np.where(there, count[np.minimum(np.searchsorted(asked, found[k]), len(count) - 1)], 0)
+                mine = np.where(there, count[np.minimum(_places(asked, found[k]), len(count) - 1)], 0)
                 # the history's count: that of the gram one shorter that ends a place earlier
                 history = np.empty_like(seen)
                 history[1:] = seen[:-1]
@@ -202,7 +223,6 @@ def _scores(order: int, mu: float, size: int, known: int, key_type: pa.DataType)
                 history[~there] = 0
                 p = np.where(history > 0, mu * mine / np.maximum(history, 1) + (1 - mu) * p, p)
                 seen = mine
-            first = count[np.searchsorted(asked, found[0])] > 0
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(name, key_type),
@@ -250,6 +270,7 @@ def score(
     ``train`` is a condition on the columns of ``docs``; the model learns from the rows where it is true.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     rows = docs.select(
         F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.coalesce(train, F.lit(False)).alias("train")
     )

@@ -609,6 +609,38 @@ def test_scores_equal_the_automaton(spark, odd, order, block):
         assert any(abs(r.base_score - f[3]) < 1e-6 * abs(f[3]) and abs(r.score - f[4]) < 1e-6 * abs(f[4]) for f in near)
 
 
+def test_counts_are_looked_up_in_order(monkeypatch):
+    """In a large block a jump for each n-gram, or a hash table of them, takes most of the time."""
+    rng = random.Random(8)
+    rows = [(k, " ".join(f"w{rng.randrange(500)}" for _ in range(60))) for k in range(120)]
+    ids, texts = zip(*rows, strict=True)
+    train = [zlib.crc32(str(k).encode()) % 5 != 1 for k in ids]
+    lookup, unique = np.searchsorted, np.unique
+
+    def in_order(held, keys, *args):
+        assert np.ndim(keys) == 0 or (keys[1:] >= keys[:-1]).all()
+        return lookup(held, keys, *args)
+
+    def by_sorting(keys, **wanted):
+        assert wanted
+        return unique(keys, **wanted)
+
+    monkeypatch.setattr(np, "searchsorted", in_order)
+    monkeypatch.setattr(np, "unique", by_sorting)
+    placed = pa.RecordBatch.from_pydict({"text": texts, "train": train, "block": [k % 2 for k in ids]})
+    asked = [row for batch in backoff._requests(2, 4)(iter([placed])) for row in batch.to_pylist()]
+    assert {row["block"] for row in asked} == {0, 1}
+    asked = pa.RecordBatch.from_pylist(sorted(asked, key=lambda row: row["shard"]))
+    answers = [row for batch in backoff._answer(iter([asked])) for row in batch.to_pylist()]
+    size, known = sum(row["size"] for row in answers), sum(row["known"] for row in answers)
+    docs = [{"block": k % 2, "shard": -1, "key": k, "text": text, "small": None, "large": None} for k, text in rows]
+    answers = [{name: row[name] for name in ("block", "shard", "small", "large")} | {"key": None, "text": ""} for row in answers]
+    met = sorted(answers + docs, key=lambda row: (row["block"], row["shard"] < 0, row["shard"]))
+    found = backoff._scores(2, backoff.MU, size, known, pa.int64())(iter([pa.RecordBatch.from_pylist(met)]))
+    got = {row.pop("key"): tuple(row.values()) for batch in found for row in batch.to_pylist()}
+    assert got == {k: pytest.approx(want) for k, want in zip(ids, automaton(rows, backoff.MU, 2), strict=True)}
+
+
 def test_score_odd_cases(odd, nothing):
     assert backoff.score(nothing, F.lit(True)).collect() == []
     untrained = backoff.score(odd, F.lit(False)).collect()
