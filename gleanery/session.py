@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 BROADCAST_MAX_ROWS = 200_000
 BROADCAST_MAX_BYTES = 64 * 1024 * 1024
+PARTS_PER_SLOT = 8
 ARROW_BATCH_LIMIT, ARROW_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 2 * 1024 * 1024
 
 
@@ -104,6 +105,14 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     return df.repartition(slots, key) if df.rdd.getNumPartitions() < slots else df
 
 
+def dealt_evenly(df: DataFrame) -> DataFrame:
+    """Deal narrow rows that take long to work on over some partitions per task slot.
+
+    A scan is split by bytes: a file of one row group is one task, whatever its rows cost.
+    """
+    return df.repartition(max(PARTS_PER_SLOT * df.sparkSession.sparkContext.defaultParallelism, df.rdd.getNumPartitions()))
+
+
 def broadcast_if_small(
     df: DataFrame,
     max_rows: int = BROADCAST_MAX_ROWS,

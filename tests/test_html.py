@@ -140,6 +140,30 @@ def test_reopened_formatting_adds_a_few_times_the_page():
     assert "_cut" not in repair_page(plain)[:40] and repair_page(plain).count("<font") == 501
 
 
+@pytest.mark.parametrize(
+    ("html", "body"),
+    [
+        ("<p><b id=1><p><i><p>x", '<p><b id="1"></b></p><p><b id="1"><i></i></b></p><p><b id="1"><i>x</i></b></p>'),
+        ("<p><a href=x><b>1<p>2<p><a href=y>3", '<p><a href="x"><b>1</b></a></p><p><a href="x"><b>2</b></a></p><p><b><a href="y">3</a></b></p>'),
+        ("<p hidden><b>1<p>2", '<p hidden="" _hid="1"><b _hid="1">1</b></p><p><b>2</b></p>'),
+        ("<p><b><div hidden>1</b><i>2<p>3", '<p><b></b></p><div hidden="" _hid="1"><b _hid="1">1</b><i _hid="1">2<p _hid="1">3</p></i></div>'),
+        ("<b><p><i>1</b>2</p>3<span>4", "<b><p><i>12</i></p></b><i>3<span>4</span></i>"),
+        ("<p><b><b><b><b><b class='x'><p>1", '<p><b><b><b><b><b class="x"></b></b></b></b></b></p><p><b><b><b><b class="x">1</b></b></b></b></p>'),
+        ("<b><table><td><a x=1><b>1</table>2<p>3", '<b><table><tbody><tr><td><a x="1"><b>1</b></a></td></tr></tbody></table><a x="1"><b>2<p>3</p></b></a></b>'),
+    ],
+)
+def test_formatting_is_reopened_in_order(html, body):
+    assert repair_page(html) == f"<html><body>{body}</body></html>"
+
+
+def test_flooded_pages_are_dealt_to_all_task_slots(spark):
+    from gleanery.plans.extract_queries import formatting_flood
+
+    # the table is one file of one row group, which a scan does not split
+    places = formatting_flood(spark, "/root/testdata/sf0.001").select(F.spark_partition_id().alias("place")).distinct().count()
+    assert places >= spark.sparkContext.defaultParallelism
+
+
 def test_many_names_without_an_open_one_are_fast():
     import time
 
